@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_turns, read_back, with_probe
 from .exact_dedup import exact_groups
+from .packing import pack
 from .quality import quality_report
+from .sharding import place
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +22,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(_table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations and the probe -7."""
+    probe = [(role, r"\### Assistant: </turn> ok") for role in ("user", "assistant")]
+    return read_back(format_turns(with_probe(_table(spark, sf_dir, "conversations"), -7, probe)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -51,6 +68,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE s AS (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS shard FROM range(32) r(i)),
+h AS (SELECT i, ('0x' || substr(md5('offset|' || shard), 1, 15))::BIGINT % 4099 AS o, ('0x' || substr(md5('skip|' || shard), 1, 15))::BIGINT % 4098 + 1 AS k FROM s),
+a AS (SELECT list(o ORDER BY i) AS os, list(k ORDER BY i) AS ks FROM h),
+f AS (SELECT 0 AS turn, list_resize([]::BOOLEAN[], 4099, false) AS taken, list_resize([]::BIGINT[], 32, 0::BIGINT) AS tried, NULL::BIGINT AS slot FROM a
+  UNION ALL
+  SELECT turn + 1, list_concat(taken[1:slot], [true], taken[slot + 2:]), list_concat(tried[1:turn % 32], [j + 1], tried[turn % 32 + 2:]), slot
+  FROM (SELECT turn, taken, tried, j, (os[turn % 32 + 1] + j * ks[turn % 32 + 1]) % 4099 AS slot
+        FROM (SELECT turn, taken, tried, os, ks, list_first(list_filter(range(tried[turn % 32 + 1], 4099), lambda j: NOT taken[(os[turn % 32 + 1] + j * ks[turn % 32 + 1]) % 4099 + 1])) AS j
+              FROM f, a WHERE turn < 4099)))
+SELECT doc_id, f.slot::INT AS slot, shard FROM documents d JOIN f ON f.slot = ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 4099 JOIN s ON s.i = (f.turn - 1) % 32
+"""
+
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE WHEN contains(text, '</turn>') OR contains(text, '<turn ') THEN replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '<turn ', '<\turn ') ELSE text END AS body,
+  replace(replace(replace(replace(role, '\', '\\'), ' ', '\s'), '>', '\g'), chr(10), '\n') AS name FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(name) + length(body) + 18)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
 g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, k FROM d)
@@ -59,4 +101,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_sharding": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
