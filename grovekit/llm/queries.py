@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_turns, read_back, with_probe
 from .exact_dedup import exact_groups
 from .packing import pack
+from .pieces import encode
 from .quality import quality_report
 from .sharding import place
 
@@ -22,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"))
 
