@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_turns, read_back, with_probe
 from .exact_dedup import exact_groups
+from .html_text import extract
 from .packing import pack
 from .pieces import encode
 from .quality import quality_report
@@ -27,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"))
 
