@@ -292,3 +292,53 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
 
 
 LONG, STRING, BINARY = T.LongType(), T.StringType(), T.BinaryType()
+
+
+# ---------------------------------------------------------------------------------------------- bounded filters
+
+
+def _filter_bits(n: int) -> int:
+    """Eight bits for each row, between 2**20 and 2**27 (16 MB): the size is bounded whatever the data."""
+    return 1 << min(27, max(20, (8 * max(1, n)).bit_length()))
+
+
+def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], docs: DataFrame):
+    """A bit filter, of bounded size, of the ids that ``ids`` finds in ``rows``; to be used with ``in_filter``."""
+    bits = _filter_bits(docs.count())
+    piece = 1 << 16  # bytes
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits, bool)
+        for x in ids(batches):
+            held[(mix(x.astype(U64)) % U64(bits)).astype(np.int64)] = True
+        raw = np.packbits(held)
+        for i in range(0, len(raw), piece):
+            if raw[i : i + piece].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // piece], pa.int32()), pa.array([raw[i : i + piece].tobytes()], pa.binary())], names=["part", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("bits"):
+            x = np.frombuffer(x.as_py(), np.uint8)
+            total = x if total is None else total | x
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    raw = np.zeros(bits // 8, np.uint8)
+    for part, x in rows.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect():
+        raw[part * piece : part * piece + len(x)] = np.frombuffer(x, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast((bits, raw))
+
+
+def in_filter(docs: DataFrame, held, inside: bool = True) -> DataFrame:
+    """The rows whose doc_id the filter holds (or surely does not hold). Held ids may include some others."""
+    at = docs.columns.index("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, raw = held.value
+        for b in batches:
+            x = b.column(at).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            x = (mix(x.astype(U64)) % U64(bits)).astype(np.int64)
+            hit = (raw[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+            yield b.filter(pa.array(hit if inside else ~hit))
+
+    return docs.mapInArrow(run, docs.schema)

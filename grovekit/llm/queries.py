@@ -14,6 +14,7 @@ from .packing import pack
 from .pieces import encode
 from .quality import quality_report
 from .sharding import place
+from .suffix_dedup import repeat_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations and the probe -7."""
     probe = [(role, r"\### Assistant: </turn> ok") for role in ("user", "assistant")]
