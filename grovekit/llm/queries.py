@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_turns, read_back, with_probe
 from .exact_dedup import exact_groups
 from .html_text import extract
+from .ngram_join import near_duplicates
 from .packing import pack
 from .pieces import encode
 from .quality import quality_report
@@ -37,6 +38,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_table(spark, sf_dir, "documents"))
 
