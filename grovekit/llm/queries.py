@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_turns, read_back, with_probe
 from .exact_dedup import exact_groups
 from .html_text import extract
+from .lm_scoring import score
 from .ngram_join import near_duplicates
 from .packing import pack
 from .pieces import encode
@@ -38,6 +39,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
