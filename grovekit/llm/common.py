@@ -342,3 +342,14 @@ def in_filter(docs: DataFrame, held, inside: bool = True) -> DataFrame:
             yield b.filter(pa.array(hit if inside else ~hit))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id is surely not in ``ids`` (a column doc_id), and those for which a join must tell."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+    held = id_filter(ids.select("doc_id"), found, docs)
+    return in_filter(docs, held, inside=False), in_filter(docs, held)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, bucket_count, prefix_hash, project, salted_group_stats, span_hash
+from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, bucket_count, prefix_hash, project, salted_group_stats, span_hash, split_by_ids
 
 #: Bytes that decide on a cut, bits of the mask (chunks of 2**bits bytes on average), most bytes of a chunk.
 WINDOW, MASK_BITS, MAX_CHUNK = 24, 10, 16384
@@ -145,3 +145,18 @@ def exact_groups(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
     keep = -F.col("_best.minus")
     stays = F.col("doc_id").eqNullSafe(keep) & (F.col("n_points") == F.col("_best.n_points"))
     return grouped.withColumn("_twin", twin).select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long"), (stays & (F.col("_twin") == 1)).alias("kept"), "text_sha256", "n_points")
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """The rows that ``exact_groups`` keeps, with all their columns. Only texts whose id some dropped row has are moved."""
+    from pyspark.sql import Window
+
+    scratch = Scratch(docs.sparkSession)
+    report = scratch.save(exact_groups(docs))
+    sure, maybe = split_by_ids(docs, report.filter("NOT kept"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = maybe.withColumns({"_sha": F.sha2(F.translate(text, " \t\n\x0b\f\r", "").cast("binary"), 256), "_points": F.length(text).cast("long")})
+    kept = report.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), F.col("n_points").alias("_n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")) & (F.col("_points") == F.col("_n"))
+    twin = F.row_number().over(Window.partitionBy("doc_id", "_sha", "_points").orderBy("text"))
+    return sure.unionByName(marked.join(kept, same, "left_semi").withColumn("_twin", twin).filter("_twin = 1").select(*docs.columns))

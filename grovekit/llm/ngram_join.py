@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash
+from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash, split_by_ids
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, SIM = 5, (75, 100)
@@ -377,3 +377,11 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     out = full.unionByName(base.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     null = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
     return out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"))
+
+
+def near_dedup(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, with all its columns."""
+    scratch = Scratch(docs.sparkSession)
+    dropped = scratch.save(near_duplicates(docs, sim).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    sure, maybe = split_by_ids(docs, dropped)
+    return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*docs.columns))
