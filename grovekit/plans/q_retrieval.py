@@ -309,6 +309,6 @@ x AS (SELECT p.vault, p.id, p.p, d.path_key, d.path, len(list_filter(range(1, le
 SELECT vault, id, '/' || array_to_string(p, '/') AS pred, path_key AS projected FROM (SELECT *, row_number() OVER (PARTITION BY vault, id ORDER BY (p = path) DESC, l DESC, abs(len(p) - len(path)), len(path), path_key) AS r FROM x) WHERE r = 1""", "items"),
     "f10_baselines": with_views("""WITH d AS (SELECT vault, path_key, row_number() OVER (PARTITION BY vault ORDER BY path_key) - 1 AS i, count(*) OVER (PARTITION BY vault) AS nd FROM (SELECT DISTINCT vault, path_key FROM items)), r AS (SELECT vault, '/' || max(lang) AS dump_root FROM items GROUP BY vault)
 SELECT v.vault, v.id, d.path_key AS random_dir, dump_root, v.path_key AS oracle FROM items v JOIN r ON r.vault = v.vault JOIN d ON d.vault = v.vault AND d.i = ('0x' || substr(md5('0|' || v.id), 1, 15))::BIGINT % d.nd WHERE v.split = 'val'""", "items"),
-    "f11_shortlist_rule": with_views(f"WITH {_VR}, c AS (SELECT vault, id, doc_folder, row_number() OVER (PARTITION BY vault, id ORDER BY min(rk), doc_folder) AS pos FROM vr WHERE rk <= 40 GROUP BY vault, id, doc_folder), g AS (SELECT n, avg((EXISTS (SELECT 1 FROM c WHERE c.vault = v.vault AND c.id = v.id AND c.doc_folder = v.folder AND c.pos <= n))::INT) AS recall FROM vec_items v CROSS JOIN (VALUES (1), (3), (5)) t(n) WHERE split = 'val' GROUP BY n) SELECT coalesce(min(CASE WHEN round(recall, 6) >= 0.9 THEN n END), 5) AS n FROM g", "vec_items"),
+    "f11_shortlist_rule": with_views(f"WITH {_VR}, c AS (SELECT vault, id, doc_folder, min(rk) AS rk, row_number() OVER (PARTITION BY vault, id ORDER BY min(rk), doc_folder) AS pos FROM vr WHERE rk <= 40 GROUP BY vault, id, doc_folder), g AS (SELECT n, avg((EXISTS (SELECT 1 FROM c WHERE c.vault = v.vault AND c.id = v.id AND c.doc_folder = v.folder AND c.pos <= n AND c.rk <= 8 * n))::INT) AS recall FROM vec_items v CROSS JOIN (VALUES (1), (3), (5)) t(n) WHERE split = 'val' GROUP BY n) SELECT coalesce(min(CASE WHEN round(recall, 6) >= 0.9 THEN n END), 5) AS n FROM g", "vec_items"),
 }
 QUERIES = {k: f for k, f in globals().items() if k in SQL}
