@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import parse_key
 
@@ -30,7 +31,7 @@ def overlap_pick(short: DataFrame, keys: Sequence[str], folder: str, words: str,
 
 def with_picker(prompts: DataFrame, pick: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
     """Adds raw, the replies of ``pick`` to the column prompt, asked in batches. A batch that fails gives null replies."""
-    schema = prompts.schema.add("raw", "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField("raw", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
