@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Python workers live on from stage to stage: freed memory should go back to the system at once.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that are turned into arrays at once in a Python worker; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Rows of a hot group are dealt over this many sub-groups.
@@ -184,7 +187,7 @@ class BucketWriter:
 
     SCHEMA = "bucket int, n long, payload binary"
 
-    def __init__(self, n_buckets: int, dtype: np.dtype, flush_bytes: int = 24 << 20):
+    def __init__(self, n_buckets: int, dtype: np.dtype, flush_bytes: int = 12 << 20):
         self.n_buckets, self.dtype, self.limit = n_buckets, np.dtype(dtype), flush_bytes
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.bytes = 0
@@ -302,9 +305,12 @@ def _filter_bits(n: int) -> int:
     return 1 << min(27, max(20, (8 * max(1, n)).bit_length()))
 
 
-def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], docs: DataFrame):
-    """A bit filter, of bounded size, of the ids that ``ids`` finds in ``rows``; to be used with ``in_filter``."""
-    bits = _filter_bits(docs.count())
+def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], docs: DataFrame, scale: int = 1):
+    """A bit filter, of bounded size, of the ids that ``ids`` finds in ``rows``; to be used with ``in_filter``.
+
+    ``scale``: ids expected for each row of ``docs``.
+    """
+    bits = _filter_bits(scale * docs.count())
     piece = 1 << 16  # bytes
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +335,13 @@ def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterato
     return rows.sparkSession.sparkContext.broadcast((bits, raw))
 
 
+def held_ids(held: tuple[int, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """Which ids a filter holds, some others included."""
+    bits, raw = held
+    x = (mix(ids.astype(U64)) % U64(bits)).astype(np.int64)
+    return (raw[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+
+
 def in_filter(docs: DataFrame, held, inside: bool = True) -> DataFrame:
     """The rows whose doc_id the filter holds (or surely does not hold). Held ids may include some others."""
     at = docs.columns.index("doc_id")
@@ -337,8 +350,7 @@ def in_filter(docs: DataFrame, held, inside: bool = True) -> DataFrame:
         bits, raw = held.value
         for b in batches:
             x = b.column(at).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            x = (mix(x.astype(U64)) % U64(bits)).astype(np.int64)
-            hit = (raw[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+            hit = held_ids((bits, raw), x)
             yield b.filter(pa.array(hit if inside else ~hit))
 
     return docs.mapInArrow(run, docs.schema)

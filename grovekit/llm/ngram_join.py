@@ -4,13 +4,15 @@ A document is the set of its distinct shingles, as 63-bit hashes. Two sets of Ja
 token among the first ``n - ceil(t * n) + 1`` of each, under any total order of the tokens. So:
 
 * equal sets are one class from the start, and only classes are joined;
-* the first order puts tokens that are frequent in parts of the corpus last (a table of bounded size; any order is
-  exact, so the table only saves work) and the others in hash order; its prefixes go to buckets by token, where most
-  tokens turn out to have one class and are forgotten;
+* the first order puts tokens that recur within parts of the corpus last (a filter of bounded size, and a table of the
+  most frequent; any order is exact, so they only save work) and the others in hash order; its prefixes go to buckets by
+  token, where most tokens turn out to have one class and are forgotten;
 * classes that share a prefix token are candidates: all pairs of a short list; for a long list pairs with its first
   class, and once these have been verified, the pairs that are not connected yet;
-* a candidate must also fit in size, agree in a parity sketch as far as similarity demands (an exact lower bound of the
+* a candidate must also fit in size and in the places of a common prefix token (were it the first one, enough tokens must
+  be left), agree in a parity sketch as far as similarity demands (an exact lower bound of the
   symmetric difference), and share prefix tokens under each of the further orders; those left are verified in full.
+  Texts, not token sets, are brought together for that: they are smaller.
 
 No link is lost; links within a component that add nothing are not all looked at. Components come from alternating
 large-star and small-star rounds over written tables.
@@ -25,21 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash, split_by_ids
+from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash, split_by_ids, text_buffers
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, SIM = 5, (75, 100)
 #: Seeds of the token orders beside the first.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
-#: Tokens of the frequency table, at most; copies in a part of a task that bring a token there.
-FREQUENT, FREQUENT_MIN = 1 << 18, 8
+#: Tokens of the frequency table, at most; classes with a token that bring it into the filter; tokens expected there for
+#: each document.
+FREQUENT, FREQUENT_MIN, FREQUENT_SHARE = 1 << 16, 3, 64
 #: Classes of a token up to which all pairs are candidates at once.
-SHORT_LIST = 16
-#: Bits of the parity sketch.
-SKETCH = 2048
+SHORT_LIST = 4
+#: Least bits of a parity sketch, a power of two; a sketch has four bits or more for each token.
+SKETCH = 256
 _SCAN_BYTES = 1 << 20
 _NULL_ID = np.iinfo(np.int64).min
-_POST = np.dtype([("t", "<u8"), ("c", "<u8")])
+_POST = np.dtype([("t", "<u8"), ("c", "<u8"), ("n", "<u4"), ("i", "<u4")])
 _COUNT = np.dtype([("t", "<u8"), ("n", "<u8")])
 
 
@@ -86,10 +89,26 @@ def _fingerprints(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-def _sketches(doc: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    """Rows of SKETCH bits: the parity of the tokens that fall on each."""
-    cell = doc * SKETCH + (mix(token) & np.uint64(SKETCH - 1)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=n * SKETCH) & 1).astype(bool).reshape(n, SKETCH), axis=1)
+def _sketches(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the parity sketches, end to end, and their offsets: the parity of the tokens that fall on each bit.
+
+    Bits are the last ones of a hash, so a longer sketch folds into a shorter one.
+    """
+    size = np.bincount(doc, minlength=n)
+    bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64))
+    edge = np.concatenate([[0], np.cumsum(bits)])
+    cell = edge[doc] + (mix(token).astype(np.int64) & (bits[doc] - 1))
+    return np.packbits((np.bincount(cell, minlength=edge[-1]) & 1).astype(bool), bitorder="little"), edge // 8
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded: no more than the tokens that one set alone has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prefix_length(n, sim: tuple[int, int] = SIM):
@@ -97,21 +116,33 @@ def prefix_length(n, sim: tuple[int, int] = SIM):
     return n - -(-sim[0] * n // sim[1]) + 1
 
 
-def _order_key(token: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first order: tokens not in the table by hash, then those in it by rising count."""
-    if not len(frequent):
-        return token
-    at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-    return np.where(frequent[at] == token, np.uint64(1 << 63) + rank[at], token)
+def _order_key(token: np.ndarray, known: tuple) -> np.ndarray:
+    """The first order: tokens that recur in no part by hash, then those of the filter, then the table by rising count."""
+    held, frequent, rank = known
+    low = token >> np.uint64(1)
+    key = np.where(held_ids(held, token), low + np.uint64(1 << 62), low)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
+        key = np.where(frequent[at] == token, np.uint64(1 << 63) + rank[at], key)
+    return key
 
 
-def _prefixes(doc: np.ndarray, token: np.ndarray, key: np.ndarray, n: int, sim: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(doc: np.ndarray, token: np.ndarray, key: np.ndarray, n: int, sim: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Documents, tokens, sizes and places of the prefixes."""
     order = np.lexsort((key, doc))
     count = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
     place = np.arange(len(doc)) - first[doc]
     head = place < prefix_length(count, sim)[doc]
-    return doc[head], token[order][head]
+    return doc[head], token[order][head], count[doc][head], place[head]
+
+
+def _enough_left(n, i, m, j, sim: tuple[int, int]):
+    """Whether sets of n and m tokens can be similar if their first common token has the places i and j.
+
+    The overlap must be ``t / (1 + t) * (n + m)`` or more, and is at most what is left from that token on.
+    """
+    return sim[0] * (n + m) <= (sim[0] + sim[1]) * np.minimum(n - i, m - j)
 
 
 def _first_seen(cls: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -134,8 +165,8 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
 
         def frequent() -> Iterator[pa.RecordBatch]:
             t, n = np.unique(np.concatenate(held), return_counts=True)
-            r = np.empty(int((n >= FREQUENT_MIN).sum()), _COUNT)
-            r["t"], r["n"] = t[n >= FREQUENT_MIN], n[n >= FREQUENT_MIN]
+            r = np.empty(int((n > 1).sum()), _COUNT)
+            r["t"], r["n"] = t[n > 1], n[n > 1]
             if len(r):
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([None], pa.int64())] * 4, pa.array([r.tobytes()], pa.binary())], names=names)
 
@@ -143,7 +174,7 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
         for batch, block in blocks(batches, limit=_SCAN_BYTES):
             doc, token = shingles(block)
             a, b = _fingerprints(doc, token, block.n)
-            sketch = binary_array(_sketches(doc, token, block.n).reshape(-1), np.arange(block.n + 1) * (SKETCH // 8))
+            sketch = binary_array(*_sketches(doc, token, block.n))
             count = np.bincount(doc, minlength=block.n)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n, np.int32)), batch.column(0), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), sketch], names=names)
             held.append(token[_first_seen(a, seen)[doc]])
@@ -157,8 +188,9 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "kind int, doc_id long, n long, cls long, check long, payload binary")
 
 
-def _frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The table of frequent tokens, sorted, and their ranks by count. Its size is bounded by FREQUENT."""
+def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple:
+    """What the first order goes by: a filter of the tokens that recur, and the most frequent ones with their ranks by
+    count. Both are of bounded size."""
     spark = sets.sparkSession
     buckets = bucket_count(spark)
     most = max(1, FREQUENT // buckets)
@@ -170,24 +202,36 @@ def _frequent_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield from w.add((r["t"] % np.uint64(buckets)).astype(np.int32), r)
         yield from w.flush()
 
-    def top(table: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> pa.Table:
         r = read_payloads(table, _COUNT)
         t, at = np.unique(r["t"], return_inverse=True)
         out = np.empty(len(t), _COUNT)
         out["t"], out["n"] = t, np.bincount(at, weights=r["n"]).astype(np.uint64)
-        out = out[np.lexsort((out["t"], out["n"]))][-most:]
-        return pa.table({"payload": pa.array([out.tobytes()], pa.binary())})
+        out = out[out["n"] >= FREQUENT_MIN]
+        top = out[np.lexsort((out["t"], out["n"]))][-most:]
+        return pa.table({"payload": pa.array([out.tobytes()], pa.binary()), "top": pa.array([top.tobytes()], pa.binary())})
+
+    rows = scratch.save(sets.filter("kind = 1").select("payload").mapInArrow(deal, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(add, "payload binary, top binary"))
 
-    rows = sets.filter("kind = 1").select("payload").mapInArrow(deal, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(top, "payload binary").collect()
-    r = np.concatenate([np.frombuffer(bytes(x[0]), _COUNT) for x in rows]) if rows else np.empty(0, _COUNT)
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield read_payloads(b, _COUNT)["t"]
+
+    held = id_filter(rows.select("payload"), tokens, docs, FREQUENT_SHARE)
+    tops = [np.frombuffer(bytes(x[0]), _COUNT) for x in rows.select("top").collect()]
+    r = np.concatenate(tops) if tops else np.empty(0, _COUNT)
     rank = np.empty(len(r), np.uint64)
     rank[np.lexsort((r["t"], r["n"]))] = np.arange(len(r), dtype=np.uint64)
     order = np.argsort(r["t"])
-    return r["t"][order], rank[order]
+    return held, r["t"][order], rank[order]
+
 
+def _lists(r: np.ndarray, short: int, sim: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the postings of a bucket: candidate pairs, and the postings of each token with more than ``short`` classes.
 
-def _lists(r: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of the postings of a bucket: candidate pairs, and the classes of each token with more than ``short``."""
+    In a long list a class is paired with the first one, by size, that it may be similar to, and with the next in an order
+    that differs from list to list, so that large groups are well connected at once.
+    """
     r = r[np.lexsort((r["c"], r["t"]))]
     new = np.ones(len(r), bool)
     new[1:] = (r["t"][1:] != r["t"][:-1]) | (r["c"][1:] != r["c"][:-1])
@@ -196,33 +240,48 @@ def _lists(r: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray, list[np.n
     new[1:] = r["t"][1:] != r["t"][:-1]
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(r)))
-    a, b, long = [], [], []
+    a, b, long = [], [], []  # places of the postings
     for s in range(2, short + 1):
         rows = start[size == s]
         if len(rows):
-            members = r["c"][rows[:, None] + np.arange(s)[None, :]]
+            members = rows[:, None] + np.arange(s)[None, :]
             i, j = np.triu_indices(s, 1)
             a.append(members[:, i].ravel()), b.append(members[:, j].ravel())
     for x, s in zip(start[size > short].tolist(), size[size > short].tolist()):
-        members = r["c"][x : x + s]
-        long.append(members)
-        a.append(np.full(s - 1, members[0])), b.append(members[1:])
+        members = x + np.lexsort((r["c"][x : x + s], r["n"][x : x + s]))
+        n = r["n"][members].astype(np.int64)
+        long.append(r[members])
+        shuffled = members[np.argsort(mix(r["c"][members] ^ r["t"][x]))]
+        a.append(shuffled[:-1]), b.append(shuffled[1:])
+        first = 0
+        while first < s:
+            last = int(np.searchsorted(n * sim[0], n[first] * sim[1], "right"))
+            a.append(np.full(last - first - 1, members[first])), b.append(members[first + 1 : last])
+            first = last
     if not a:
         z = np.zeros(0, np.uint64)
         return z, z, long
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1], long
-
-
-def _candidates(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], sim: tuple[int, int]) -> DataFrame:
+    a, b = np.concatenate(a), np.concatenate(b)
+    (n, i), (m, j) = ((r["n"][x].astype(np.int64), r["i"][x].astype(np.int64)) for x in (a, b))
+    ok = _enough_left(n, i, m, j, sim)
+    x, y = r["c"][a[ok]], r["c"][b[ok]]
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[keep], y[keep], long
+
+
+def _candidates(docs: DataFrame, known: tuple, sim: tuple[int, int]) -> DataFrame:
     """Rows a, b (candidate classes, a before b), or list_id and members (the classes of a long list)."""
     spark = docs.sparkSession
     buckets = bucket_count(spark)
-    held = spark.sparkContext.broadcast(table)
+    held, table = known[0], spark.sparkContext.broadcast(known[1:])
     docs = project(docs, doc_id="long", text="string")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = held.value
+        order = (held.value, *table.value)
         seen: set[int] = set()
         w = BucketWriter(buckets, _POST)
         for _, block in blocks(batches, limit=_SCAN_BYTES):
@@ -230,27 +289,29 @@ def _candidates(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], sim: tupl
             cls, _ = _fingerprints(doc, token, block.n)
             mine = _first_seen(cls, seen)[doc]
             doc, token = doc[mine], token[mine]
-            doc, token = _prefixes(doc, token, _order_key(token, frequent, rank), block.n, sim)
+            doc, token, size, place = _prefixes(doc, token, _order_key(token, order), block.n, sim)
             r = np.empty(len(doc), _POST)
-            r["t"], r["c"] = token, cls[doc]
+            r["t"], r["c"], r["n"], r["i"] = token, cls[doc], size, place
             yield from w.add((token % np.uint64(buckets)).astype(np.int32), r)
         yield from w.flush()
 
     def pair(t: pa.Table) -> pa.Table:
         # classes are compared as signed numbers from here on, as Spark does
         r = read_payloads(t, _POST)
-        a, b, long = _lists(r, SHORT_LIST)
+        a, b, long = _lists(r, SHORT_LIST, sim)
         a, b = a.view(np.int64), b.view(np.int64)
         a, b = np.minimum(a, b), np.maximum(a, b)
-        ids = [int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in long]
-        none = len(long)
+        none, kind = len(long), pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64()), ("i", pa.int64())]))
+        joined = np.concatenate(long) if long else np.empty(0, _POST)
+        members = pa.StructArray.from_arrays([pa.array(joined["c"].view(np.int64) if len(joined) else np.zeros(0, np.int64)), pa.array(joined["n"].astype(np.int64)), pa.array(joined["i"].astype(np.int64))], ["cls", "n", "i"])
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in long])]).astype(np.int32)), members)
         return pa.table({
             "a": pa.concat_arrays([pa.array(a), pa.nulls(none, pa.int64())]), "b": pa.concat_arrays([pa.array(b), pa.nulls(none, pa.int64())]),
-            "list_id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(ids, pa.int64())]),
-            "members": pa.concat_arrays([pa.nulls(len(a), pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in long], pa.list_(pa.int64()))]),
+            "list_id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([int(x["t"][0].view(np.int64)) for x in long], pa.int64())]),
+            "members": pa.concat_arrays([pa.nulls(len(a), kind), members.cast(kind)]),
         })
 
-    return docs.mapInArrow(post, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(pair, "a long, b long, list_id long, members array<long>")
+    return docs.mapInArrow(post, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(pair, "a long, b long, list_id long, members array<struct<cls:long,n:long,i:long>>")
 
 
 def similar(x: np.ndarray, y: np.ndarray, sim: tuple[int, int] = SIM, orders: tuple[int, ...] = ORDERS) -> bool:
@@ -277,14 +338,10 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("a_sketch", "b_sketch"))
-            m, n = (b.column(c).to_numpy() for c in ("a_n", "b_n"))
-            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(b.column(6), b.column(7))], np.int64)
             # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
-            ok = apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (m + n)
-            yield b.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(ok))
+            ok = apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (b.column(4).to_numpy() + b.column(5).to_numpy())
+            yield b.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(ok, pa.bool_()))
 
     fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") * sim[1] >= F.greatest("a_n", "b_n") * sim[0])
     near = scratch.save(fit.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(sketch, "a long, b long, a_rep long, b_rep long"))
@@ -294,25 +351,27 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
             yield np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
 
     wanted = id_filter(near.select("a_rep", "b_rep"), reps, docs)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, block in blocks(batches, limit=_SCAN_BYTES):
-            doc, token = shingles(block)
-            cls, _ = _fingerprints(doc, token, block.n)
-            mine = _first_seen(cls, seen)
-            keep = mine[doc]
-            size = np.bincount(doc[keep], minlength=block.n)[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[mine].view(np.int64)), binary_array(token[keep].view(np.uint8), np.concatenate([[0], np.cumsum(size)]) * 8)], names=["cls", "tokens"])
-
-    found = in_filter(project(docs, doc_id="long", text="string"), wanted).mapInArrow(sets, "cls long, tokens binary")
+    found = in_filter(project(docs, doc_id="long", text="string"), wanted).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), sim) for x, y in zip(b.column(2), b.column(3))]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    whole = near.select("a", "b").join(found.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # a few pairs at a time: texts may be long
+                b = batch.slice(at, 64)
+                at += b.num_rows
+                sides = []
+                for column in (2, 3):
+                    block = TextBlock(*text_buffers(b.column(column)))
+                    doc, token = shingles(block)
+                    edge = np.searchsorted(doc, np.arange(block.n + 1))
+                    sides.append((token, edge, _fingerprints(doc, token, block.n)[0].view(np.int64)))
+                (x, i, cx), (y, j, cy) = sides
+                # a row that repeats an id with another text is not the one meant
+                meant = (cx == b.column(0).to_numpy()) & (cy == b.column(1).to_numpy())
+                ok = [bool(m) and similar(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], sim) for k, m in enumerate(meant)]
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    whole = near.join(found.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("x")), "a_rep").join(found.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("y")), "b_rep")
     return scratch.save(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
 
 
@@ -354,17 +413,18 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     classes = scratch.save(classes.select("cls", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch"), (F.col("low") == F.col("high")).alias("sure"), "salts"))
     if classes.filter("NOT sure").limit(1).count():
         raise ValueError("two different sets share a 64-bit fingerprint")
-    found = scratch.save(_candidates(docs, _frequent_tokens(sets), sim))
+    found = scratch.save(_candidates(docs, _frequent_tokens(sets, docs, scratch), sim))
     edges = _verify(found.filter("a IS NOT NULL").select("a", "b").distinct(), classes, docs, scratch, sim)
     labels = components(edges, scratch)
-    long = found.filter("members IS NOT NULL").select("list_id", "members").dropDuplicates(["list_id"])
+    long = found.filter("members IS NOT NULL").select("list_id", "members")
     if long.limit(1).count():
         # pairs of a long list that are not connected yet
-        member = long.select("list_id", F.explode("members").alias("cls")).join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        member = long.select("list_id", F.explode("members").alias("m")).select("list_id", "m.*").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         mixed = member.groupBy("list_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("list_id")
-        member = scratch.save(member.join(mixed, "list_id", "left_semi").join(classes.select("cls", "n"), "cls"))
-        x, y = (member.select("list_id", F.col("cls").alias(c), F.col("label").alias(f"{c}_label"), F.col("n").alias(f"{c}_n")) for c in "ab")
-        rest = x.join(y, "list_id").filter(F.col("a") < F.col("b")).filter("a_label <> b_label").filter(F.least("a_n", "b_n") * sim[1] >= F.greatest("a_n", "b_n") * sim[0])
+        member = scratch.save(member.join(mixed, "list_id", "left_semi"))
+        x, y = (member.select("list_id", F.col("cls").alias(c), F.col("label").alias(f"{c}_label"), F.col("n").alias(f"{c}_n"), (F.col("n") - F.col("i")).alias(f"{c}_left")) for c in "ab")
+        enough = (F.col("a_n") + F.col("b_n")) * sim[0] <= F.least("a_left", "b_left") * (sim[0] + sim[1])
+        rest = x.join(y, (x["list_id"] == y["list_id"]) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & enough)
         more = _verify(rest.select("a", "b").distinct(), classes, docs, scratch, sim)
         if more.limit(1).count():
             labels = components(edges.unionByName(more), scratch)
