@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, TextBlock, bucket_count, mix, prefix_hash, project, span_hash, text_buffers
+from .common import Scratch, TextBlock, mix, prefix_hash, project, span_hash, text_buffers
 
 #: Tokens that are no words: the end of a text, and the context of its first token.
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
@@ -34,6 +34,9 @@ BUCKETS, STEPS, ROUNDS = 48, 4, 60
 #: Least weight of each component, so that no probability is zero.
 FLOOR = 1e-6
 _KEY_BITS = 38
+#: Bytes of text in a chunk, and share of a bucket in all counts: what one task holds at once. Every chunk asks every
+#: bucket, so their number goes by the size of the texts alone.
+CHUNK_BYTES = 5 << 20
 
 
 def tokens_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +92,9 @@ def _chunks(docs: DataFrame, chunks: int) -> DataFrame:
     docs = project(docs, doc_id="long", text="string")
     part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)).cast("int")
     docs = docs.withColumn("part", part)
-    return docs.withColumn("chunk", (F.pmod(F.xxhash64("doc_id"), F.lit(chunks)) * 2 + F.when(F.col("part") == DELETED, 0).otherwise(1)).cast("int"))
+    few = -(-chunks // 8)
+    chunk = F.when(F.col("part") == DELETED, F.pmod(F.xxhash64("doc_id"), F.lit(few)) * 2).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)) * 2 + 1)
+    return docs.withColumn("chunk", chunk.cast("int"))
 
 
 def _block(table: pa.Table) -> TextBlock:
@@ -219,7 +224,7 @@ def fit_weights(cells: np.ndarray, p0: float, rounds: int = ROUNDS) -> np.ndarra
     return out
 
 
-def score(docs: DataFrame, per_partition: int = 2) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text counts as empty: one token, the end. ``base_score`` is that of the additive unigram model, ``score``
@@ -228,7 +233,8 @@ def score(docs: DataFrame, per_partition: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    buckets = bucket_count(spark, per_partition)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = -(-size // chunk_bytes) or 1
     dealt = _chunks(docs, buckets)
     answers = counts(dealt, scratch, buckets)
     totals = [(_unpack(bytes(r[0])), _unpack(bytes(r[1]))) for r in answers.filter("chunk = -1").select("kept", "deleted").collect()]
