@@ -344,7 +344,49 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
             yield b.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(ok, pa.bool_()))
 
     fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") * sim[1] >= F.greatest("a_n", "b_n") * sim[0])
-    near = scratch.save(fit.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(sketch, "a long, b long, a_rep long, b_rep long"))
+    near = fit.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(sketch, "a long, b long, a_rep long, b_rep long")
+    return _verify_near(near, docs, scratch, sim)
+
+
+def _near_in_lists(member: DataFrame, classes: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """a, b, a_rep, b_rep: pairs of one list and different labels that sizes, places and sketches leave.
+
+    A list is gone through in blocks; pairs that fail are never written.
+    """
+    rows = member.join(classes.select("cls", "rep", "sketch"), "cls").select("list_id", "cls", "label", "n", "i", "rep", "sketch")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        cls, label, n, i, rep = (t.column(c).to_numpy() for c in ("cls", "label", "n", "i", "rep"))
+        sketches = [x.as_py() for x in t.column("sketch")]
+        order = np.lexsort((cls, n))
+        out: list[tuple[int, int, int, int]] = []
+        for at in range(len(order)):
+            x = order[at]
+            last = int(np.searchsorted(n[order] * sim[0], n[x] * sim[1], "right"))
+            y = order[at + 1 : last]
+            y = y[(label[y] != label[x]) & _enough_left(n[x], i[x], n[y], i[y], sim)]
+            if not len(y):
+                continue
+            mine = np.frombuffer(sketches[x], np.uint64)
+            for size in {len(sketches[k]) for k in y.tolist()}:  # longer sketches fold to the length of the shorter
+                part = np.array([k for k in y.tolist() if len(sketches[k]) == size])
+                theirs = np.frombuffer(b"".join(sketches[k] for k in part.tolist()), np.uint64).reshape(len(part), -1)
+                own = mine
+                while theirs.shape[1] > len(own):
+                    theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
+                while len(own) > theirs.shape[1]:
+                    own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+                apart = np.bitwise_count(theirs ^ own).sum(1).astype(np.int64)
+                for k in part[apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (n[x] + n[part])].tolist():
+                    out.append((cls[x], cls[k], rep[x], rep[k]) if cls[x] < cls[k] else (cls[k], cls[x], rep[k], rep[x]))
+        return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("a", "b", "a_rep", "b_rep"))})
+
+    return rows.groupBy("list_id").applyInArrow(pairs, "a long, b long, a_rep long, b_rep long").distinct()
+
+
+def _verify_near(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
+    """Of near pairs those that link, by their texts."""
+    near = scratch.save(near)
 
     def reps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
@@ -421,11 +463,8 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
         # pairs of a long list that are not connected yet
         member = long.select("list_id", F.explode("members").alias("m")).select("list_id", "m.*").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         mixed = member.groupBy("list_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("list_id")
-        member = scratch.save(member.join(mixed, "list_id", "left_semi"))
-        x, y = (member.select("list_id", F.col("cls").alias(c), F.col("label").alias(f"{c}_label"), F.col("n").alias(f"{c}_n"), (F.col("n") - F.col("i")).alias(f"{c}_left")) for c in "ab")
-        enough = (F.col("a_n") + F.col("b_n")) * sim[0] <= F.least("a_left", "b_left") * (sim[0] + sim[1])
-        rest = x.join(y, (x["list_id"] == y["list_id"]) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & enough)
-        more = _verify(rest.select("a", "b").distinct(), classes, docs, scratch, sim)
+        member = member.join(mixed, "list_id", "left_semi")
+        more = _verify_near(_near_in_lists(member, classes, sim), docs, scratch, sim)
         if more.limit(1).count():
             labels = components(edges.unionByName(more), scratch)
     # from classes to the smallest doc_id of a component, and to all documents
