@@ -223,7 +223,7 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, k: int = K, spread: int = SP
             r["h"], r["c"], r["d"], r["v"], r["q"] = h, c, _ids(batch.column(0))[doc], versions(block)[doc], at - block.offs[doc]
             held.append(r)
             size += r.nbytes
-            if size > 24 << 20:
+            if size > 12 << 20:
                 yield from out()
                 held, size = [], 0
         if size:
