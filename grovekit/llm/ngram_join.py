@@ -38,6 +38,8 @@ ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 FREQUENT, FREQUENT_MIN, FREQUENT_SHARE = 1 << 16, 3, 64
 #: Classes of a token up to which all pairs are candidates at once.
 SHORT_LIST = 4
+#: Classes of a long list that a task compares with one another, or with as many others, on average.
+LIST_BLOCK = 2048
 #: Least bits of a parity sketch, a power of two; a sketch has four bits or more for each token.
 SKETCH = 256
 _SCAN_BYTES = 1 << 20
@@ -351,12 +353,17 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
 def _near_in_lists(member: DataFrame, classes: DataFrame, sim: tuple[int, int]) -> DataFrame:
     """a, b, a_rep, b_rep: pairs of one list and different labels that sizes, places and sketches leave.
 
-    A list is gone through in blocks; pairs that fail are never written.
+    A list of k classes (column ``size``) is dealt by class into k / LIST_BLOCK blocks, and each pair of blocks is a group
+    of its own, so no task holds a whole list; pairs that fail are never written.
     """
-    rows = member.join(classes.select("cls", "rep", "sketch"), "cls").select("list_id", "cls", "label", "n", "i", "rep", "sketch")
+    rows = member.join(classes.select("cls", "rep", "sketch"), "cls")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("list_id", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "label", "n", "i", "rep", "sketch")
 
     def pairs(t: pa.Table) -> pa.Table:
-        cls, label, n, i, rep = (t.column(c).to_numpy() for c in ("cls", "label", "n", "i", "rep"))
+        cls, label, n, i, rep, own_block = (t.column(c).to_numpy() for c in ("cls", "label", "n", "i", "rep", "own"))
+        across = t.column("p")[0] != t.column("q")[0]
         sketches = [x.as_py() for x in t.column("sketch")]
         order = np.lexsort((cls, n))
         out: list[tuple[int, int, int, int]] = []
@@ -365,6 +372,8 @@ def _near_in_lists(member: DataFrame, classes: DataFrame, sim: tuple[int, int])
             last = int(np.searchsorted(n[order] * sim[0], n[x] * sim[1], "right"))
             y = order[at + 1 : last]
             y = y[(label[y] != label[x]) & _enough_left(n[x], i[x], n[y], i[y], sim)]
+            if across:
+                y = y[own_block[y] != own_block[x]]
             if not len(y):
                 continue
             mine = np.frombuffer(sketches[x], np.uint64)
@@ -381,7 +390,7 @@ def _near_in_lists(member: DataFrame, classes: DataFrame, sim: tuple[int, int])
                     out.append((cls[x], cls[k], rep[x], rep[k]) if cls[x] < cls[k] else (cls[k], cls[x], rep[k], rep[x]))
         return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("a", "b", "a_rep", "b_rep"))})
 
-    return rows.groupBy("list_id").applyInArrow(pairs, "a long, b long, a_rep long, b_rep long").distinct()
+    return rows.groupBy("list_id", "p", "q").applyInArrow(pairs, "a long, b long, a_rep long, b_rep long").distinct()
 
 
 def _verify_near(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
@@ -462,8 +471,8 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     if long.limit(1).count():
         # pairs of a long list that are not connected yet
         member = long.select("list_id", F.explode("members").alias("m")).select("list_id", "m.*").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = member.groupBy("list_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("list_id")
-        member = member.join(mixed, "list_id", "left_semi")
+        mixed = member.groupBy("list_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("list_id", "size")
+        member = member.join(mixed, "list_id")
         more = _verify_near(_near_in_lists(member, classes, sim), docs, scratch, sim)
         if more.limit(1).count():
             labels = components(edges.unionByName(more), scratch)

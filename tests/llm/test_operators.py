@@ -181,6 +181,27 @@ def test_near_duplicates(spark, monkeypatch, short, frequent):
     assert order(ngram_join.near_duplicates(frame(spark, rows)).collect()) == order(brute_components(rows))
 
 
+@pytest.mark.parametrize("block", [10**6, 7, 1])
+def test_long_lists_in_blocks(spark, monkeypatch, block):
+    """Every pair of a list that links is left, whatever the blocks; none twice, none of one label."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
+    r, sets = random.Random(5), []
+    for _ in range(6):
+        seed = r.sample(range(10**6), r.randint(8, 200))
+        sets += [np.array(sorted({*seed[: len(seed) - k], *range(2 * 10**6 + 99 * len(sets), 2 * 10**6 + 99 * len(sets) + k)}), np.uint64) for k in (0, 1, 2, 3, 5)]
+    doc, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    data, edge = ngram_join._sketches(doc, token, len(sets))
+    classes = spark.createDataFrame([(c, 1000 + c, bytearray(data[edge[c] : edge[c + 1]])) for c in range(len(sets))], "cls long, rep long, sketch binary")
+    # two lists with all classes; odd labels are shared by two neighbours
+    label = [c - c % 4 if c % 4 == 1 else c for c in range(len(sets))]
+    member = spark.createDataFrame([(t, c, label[c], len(x), 0, len(sets)) for t in (1, 2) for c, x in enumerate(sets)], "list_id long, cls long, label long, n long, i long, size long")
+    got = [tuple(x) for x in ngram_join._near_in_lists(member, classes, (75, 100)).collect()]
+    pairs = {(a, b) for a, b, _, _ in got}
+    linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if label[a] != label[b] and ngram_join.similar(sets[a], sets[b], orders=())}
+    assert len(linked) > 20 and linked <= pairs and len(got) == len(pairs)
+    assert all(label[a] != label[b] and (p, q) == (1000 + a, 1000 + b) for a, b, p, q in got)
+
+
 def test_components_of_a_chain(spark):
     from grovekit.llm.common import Scratch
 
