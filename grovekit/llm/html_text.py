@@ -2,9 +2,10 @@
 
 A small tolerant parser builds the DOM. For every node the characters, the link characters, the tags and the link
 tags below it are counted, and its density is the characters per tag, adjusted for links: a node whose text is mostly
-links scores low. The density sum of a node is the sum over its children. The node with the largest density sum
-marks the body: the least density on the path from it to the body element is the threshold, nodes that fall below
-it are pruned, and the maximum-sum subtree among those left is the main text.
+links scores low. The density sum of a node is the sum over its children, its own text counting as one more child.
+The node with the largest density sum, whatever its element, marks the body: the least density on the path from it to
+the body element is the threshold. From the body down every node that reaches the threshold gives its maximum-sum
+subtree, in page order; what falls below is left out with all that is in it.
 """
 
 from __future__ import annotations
@@ -40,16 +41,20 @@ _HEADER_NAME = re.compile(r"(?:^|[-_])(?:header|head|hero)(?:$|[-_])", re.I)
 _WITH = re.compile(r"^(?:has|with|no|without|is|not)[-_]", re.I)
 _CORE = frozenset("article content main post entry story article-body article-content article-text post-body post-content entry-content entry-body main-content story-body page-content body-text".split())
 _ROLES = frozenset("navigation complementary contentinfo search form alert alertdialog dialog banner".split())
+#: Elements that are pieces of a text, not its container.
+_PIECES = frozenset("p span b i em strong a li td tr h1 h2 h3 h4 h5 h6 blockquote ul ol pre".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "dropped", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "dropped", "chars", "links", "tags", "link_tags", "linked", "density", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.linked, self.peak = False, self
 
 
 def _chrome(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -142,47 +147,95 @@ def _post_order(root: Node) -> list[Node]:
     return out[::-1]
 
 
+def _composite(chars: int, links: int, tags: int, link_tags: int, whole: float) -> float:
+    base = math.log(chars * links / max(1, chars - links) + whole * chars + math.e)
+    x = (chars / max(1, links)) * (max(1, tags) / max(1, link_tags))
+    return chars / max(1, tags) * math.log(max(x, 1.0) + 1e-9) / max(base, 1e-9)
+
+
 def measure(root: Node) -> list[Node]:
-    """Composite text density and density sum of every node that is not dropped."""
+    """Densities, density sum and the node of the largest sum in its subtree, of every node that is not dropped."""
     nodes = _post_order(root)
+    for n in reversed(nodes):
+        n.linked = n.tag == "a" or (n.parent is not None and n.parent.linked)
+    own = []
     for n in nodes:
         for c in n.children:
             if type(c) is str:
                 n.chars += len(_SPACE.sub(" ", c).strip())
-            elif not c.dropped:
+        own.append(n.chars)
+        for c in n.children:
+            if type(c) is Node and not c.dropped:
                 n.chars += c.chars
                 n.links += c.links
                 n.tags += c.tags + 1
                 n.link_tags += c.link_tags + (c.tag == "a")
-        if n.tag == "a":
+        if n.linked:
             n.links = n.chars
     whole = root.links / root.chars if root.chars else 0.0
-    for n in nodes:
+    for n, chars in zip(nodes, own):
         if not n.chars:
             continue
-        plain = max(1, n.chars - n.links)
-        base = math.log(n.chars * n.links / plain + whole * n.chars + math.e)
-        x = (n.chars / max(1, n.links)) * (max(1, n.tags) / max(1, n.link_tags))
-        n.density = n.chars / max(1, n.tags) * math.log(max(x, 1.0) + 1e-9) / max(base, 1e-9)
-    for n in nodes:
-        n.total = sum(c.density for c in n.children if type(c) is Node and not c.dropped)
+        n.density = _composite(n.chars, n.links, n.tags, n.link_tags, whole)
+        below = [c for c in n.children if type(c) is Node and not c.dropped]
+        n.total = sum(c.density for c in below) + (_composite(chars, 0, 1, 0, whole) if chars and not n.linked else 0.0)
+        for c in below:
+            if _rank(c.peak) > _rank(n.peak):
+                n.peak = c.peak
     return nodes
 
 
-def _text(root: Node) -> str:
-    """Blocks of a subtree in page order, white space in each turned into one space, joined by one space."""
-    parts: list[str] = []
-    stack: list[Node | str] = [root]
+def _rank(n: Node) -> tuple[float, bool]:
+    """By density sum; of equal ones an article comes first."""
+    return n.total, n.tag in ("article", "main")
+
+
+def _container(n: Node, top: Node) -> Node:
+    """What a text's piece is in, up to ``top``."""
+    while n is not top and n.tag in _PIECES:
+        n = n.parent
+    return n
+
+
+def _chosen(root: Node, low: float) -> tuple[set[int], set[int]]:
+    """The maximum-sum subtrees of the nodes that reach the threshold, with the headings of the first one; and the nodes around them."""
+    n = best = _container(root.peak, root)
+    chosen, around, stack = {id(best)}, set(), [root]
+    while n.parent is not None and n.tag not in ("article", "main"):  # headings before it, up to its article
+        for c in n.parent.children:
+            if c is n:
+                break
+            if type(c) is Node and c.tag in _HEADINGS and not 2 * c.links > c.chars:
+                chosen.add(id(c))
+        n = n.parent
     while stack:
         n = stack.pop()
+        if id(n) not in chosen and n.chars and n.density >= low:
+            chosen.add(id(_container(n.peak, n)))
+            if id(n) not in chosen:
+                around.add(id(n))
+                stack += [c for c in n.children if type(c) is Node and not c.dropped]
+    return chosen, around
+
+
+def _text(root: Node, chosen: set[int], around: set[int] = frozenset()) -> str:
+    """Blocks of the chosen subtrees in page order, white space in each turned into one space, joined by one space."""
+    parts: list[str] = []
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    while stack:
+        n, inside = stack.pop()
         if type(n) is str:
-            parts.append(n)
+            parts.append(n if inside else " ")
         elif not n.dropped:
+            inside = inside or id(n) in chosen
+            if not (inside or id(n) in around):
+                parts.append("\n")
+                continue
             edge = n.tag in _BLOCK
             if edge:
                 parts.append("\n")
-                stack.append("\n")
-            stack += n.children[::-1]
+                stack.append(("\n", True))
+            stack += [(c, inside) for c in reversed(n.children)]
     return _SPACE.sub(" ", "".join(parts)).strip()
 
 
@@ -191,27 +244,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    nodes = [n for n in measure(root) if n.chars]
-    if not nodes:
+    measure(root)
+    if not root.chars:
         return ""
-    marked = [n for n in nodes if n.tag in ("article", "main")]
-    best = max(marked or nodes, key=lambda n: (n.total, n.density))
-    if not marked and not best.total:
-        return _text(root)
-    # the least density on the path up to the body is the threshold; the largest sum above it is the main text
-    path, n = [], best
-    while n is not None:
-        path.append(n)
-        n = n.parent
-    threshold = min(n.density for n in path)
-    keep = [n for n in (marked or nodes) if n.density >= threshold]
-    top = max(keep or [best], key=lambda n: n.total)
-    if marked:  # articles that stand beside one another on the page all belong to the text
-        outer = [n for n in keep or [best] if not any(p.tag in ("article", "main") for p in _above(n))]
-        return " ".join(x for x in map(_text, _page_order(root, outer or [top])) if x)
-    while top.parent is not None and top.tag in ("p", "span", "b", "i", "em", "strong", "a", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "pre"):
-        top = top.parent
-    return _text(top)
+    best = root.peak
+    if not best.total:
+        return _text(root, {id(root)})
+    # the least density on the path up to the body is the threshold
+    low = min(n.density for n in [best, *_above(best)])
+    return _text(root, *_chosen(root, low))
 
 
 def _above(n: Node) -> Iterator[Node]:
@@ -221,16 +262,6 @@ def _above(n: Node) -> Iterator[Node]:
         n = n.parent
 
 
-def _page_order(root: Node, chosen: list[Node]) -> list[Node]:
-    want, out, stack = {id(n) for n in chosen}, [], [root]
-    while stack:
-        n = stack.pop()
-        if id(n) in want:
-            out.append(n)
-        stack += [c for c in reversed(n.children) if type(c) is Node]
-    return out
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every row of ``pages`` from its whole HTML.
 

@@ -389,6 +389,18 @@ def test_html():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_by_density():
+    """Elements named article decide nothing."""
+    p = lambda c, n: f"<p>{c * n}</p>"
+    story = p("a", 500) + p("b", 500) + p("c", 300)
+    want = " ".join(["a" * 500, "b" * 500, "c" * 300])
+    teasers = "".join(f"<article><h2><a href=x>teaser {i}</a></h2><p>Few words. <a href=x>Read more</a></p></article>" for i in range(5))
+    assert html_text.main_text(f"<body><div id=story>{story}</div>{teasers}</body>") == want
+    assert html_text.main_text(f"<body><main><div id=story>{story}</div>{teasers}</main></body>") == want
+    assert html_text.main_text(f"<body><article><h1>Title</h1><div>{story}</div></article></body>") == "Title " + want
+    assert html_text.main_text(f"<body><a href=x><div>{p('l', 200) * 2}</div></a><div>{p('a', 150)}{p('b', 150)}</div></body>") == "a" * 150 + " " + "b" * 150
+
+
 def test_html_of_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {}
