@@ -5,7 +5,12 @@ tags below it are counted, and its density is the characters per tag, adjusted f
 links scores low. The density sum of a node is the sum over its children, its own text counting as one more child.
 The node with the largest density sum, whatever its element, marks the body: the least density on the path from it to
 the body element is the threshold. From the body down every node that reaches the threshold gives its maximum-sum
-subtree, in page order; what falls below is left out with all that is in it.
+subtree, in page order; what falls below is left out with all that is in it. Lists of links in a chosen subtree that
+fall below the threshold go too.
+
+The logarithm in the composite density grows with the size of a node without links, so a smaller block would have to
+be denser than the whole page that it is part of. A node also reaches the threshold if its characters outside links
+per tag are no fewer than the least of those on the path.
 """
 
 from __future__ import annotations
@@ -44,16 +49,18 @@ _ROLES = frozenset("navigation complementary contentinfo search form alert alert
 #: Elements that are pieces of a text, not its container.
 _PIECES = frozenset("p span b i em strong a li td tr h1 h2 h3 h4 h5 h6 blockquote ul ol pre".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+#: Elements that may be lists of links; a paragraph or a heading is none.
+_LISTS = frozenset("ul ol dl div section table tbody tr td details center article".split())
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "dropped", "chars", "links", "tags", "link_tags", "linked", "density", "total", "peak")
+    __slots__ = ("tag", "children", "parent", "dropped", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
         self.chars = self.links = self.tags = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.plain = self.total = 0.0
         self.linked, self.peak = False, self
 
 
@@ -177,6 +184,7 @@ def measure(root: Node) -> list[Node]:
         if not n.chars:
             continue
         n.density = _composite(n.chars, n.links, n.tags, n.link_tags, whole)
+        n.plain = (n.chars - n.links) / max(1, n.tags)
         below = [c for c in n.children if type(c) is Node and not c.dropped]
         n.total = sum(c.density for c in below) + (_composite(chars, 0, 1, 0, whole) if chars and not n.linked else 0.0)
         for c in below:
@@ -197,7 +205,7 @@ def _container(n: Node, top: Node) -> Node:
     return n
 
 
-def _chosen(root: Node, low: float) -> tuple[set[int], set[int]]:
+def _chosen(root: Node, low: float, plain: float) -> tuple[set[int], set[int]]:
     """The maximum-sum subtrees of the nodes that reach the threshold, with the headings of the first one; and the nodes around them."""
     n = best = _container(root.peak, root)
     chosen, around, stack = {id(best)}, set(), [root]
@@ -210,7 +218,7 @@ def _chosen(root: Node, low: float) -> tuple[set[int], set[int]]:
         n = n.parent
     while stack:
         n = stack.pop()
-        if id(n) not in chosen and n.chars and n.density >= low:
+        if id(n) not in chosen and n.chars and (n.density >= low or n.plain >= plain):
             chosen.add(id(_container(n.peak, n)))
             if id(n) not in chosen:
                 around.add(id(n))
@@ -218,8 +226,25 @@ def _chosen(root: Node, low: float) -> tuple[set[int], set[int]]:
     return chosen, around
 
 
-def _text(root: Node, chosen: set[int], around: set[int] = frozenset()) -> str:
-    """Blocks of the chosen subtrees in page order, white space in each turned into one space, joined by one space."""
+def _runs(n: Node, least: float) -> set[int]:
+    """Places of the children of a node that are its own text: runs of strings and inline elements of so many characters."""
+    out, run, size = set(), [], 0
+    for i, c in enumerate([*n.children, None]):
+        if c is None or (type(c) is Node and c.tag in _BLOCK):
+            if size >= least:
+                out.update(run)
+            run, size = [], 0
+        elif type(c) is str or not c.dropped:
+            run.append(i)
+            size += len(_SPACE.sub(" ", c).strip()) if type(c) is str else c.chars - c.links
+    return out
+
+
+def _text(root: Node, chosen: set[int], around: set[int] = frozenset(), low: float = 0.0, plain: float = 0.0) -> str:
+    """Blocks of the chosen subtrees in page order, white space in each turned into one space, joined by one space.
+
+    Of the nodes around them only runs of their own text that reach the threshold stay; in them, all but lists of links.
+    """
     parts: list[str] = []
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
@@ -227,15 +252,17 @@ def _text(root: Node, chosen: set[int], around: set[int] = frozenset()) -> str:
         if type(n) is str:
             parts.append(n if inside else " ")
         elif not n.dropped:
+            links = inside and n.tag in _LISTS and n.link_tags > 1 and 2 * n.links > n.chars and n.density < low and n.plain < plain
             inside = inside or id(n) in chosen
-            if not (inside or id(n) in around):
+            if links or not (inside or id(n) in around):
                 parts.append("\n")
                 continue
             edge = n.tag in _BLOCK
             if edge:
                 parts.append("\n")
                 stack.append(("\n", True))
-            stack += [(c, inside) for c in reversed(n.children)]
+            own = () if inside else _runs(n, plain)
+            stack += [(c, inside or i in own) for i, c in reversed(list(enumerate(n.children)))]
     return _SPACE.sub(" ", "".join(parts)).strip()
 
 
@@ -251,8 +278,9 @@ def main_text(page: str | None) -> str:
     if not best.total:
         return _text(root, {id(root)})
     # the least density on the path up to the body is the threshold
-    low = min(n.density for n in [best, *_above(best)])
-    return _text(root, *_chosen(root, low))
+    path = [best, *_above(best)]
+    low, plain = min(n.density for n in path), min(n.plain for n in path)
+    return _text(root, *_chosen(root, low, plain), low, plain)
 
 
 def _above(n: Node) -> Iterator[Node]:

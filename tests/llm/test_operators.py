@@ -390,14 +390,18 @@ def test_html():
 
 
 def test_html_by_density():
-    """Elements named article decide nothing."""
+    """Elements named article decide nothing; blocks that reach the threshold stay, those below it and lists of links go."""
     p = lambda c, n: f"<p>{c * n}</p>"
     story = p("a", 500) + p("b", 500) + p("c", 300)
     want = " ".join(["a" * 500, "b" * 500, "c" * 300])
     teasers = "".join(f"<article><h2><a href=x>teaser {i}</a></h2><p>Few words. <a href=x>Read more</a></p></article>" for i in range(5))
+    links = "<ul>" + "".join(f"<li><a href=x>link number {i}</a></li>" for i in range(9)) + "</ul>"
     assert html_text.main_text(f"<body><div id=story>{story}</div>{teasers}</body>") == want
     assert html_text.main_text(f"<body><main><div id=story>{story}</div>{teasers}</main></body>") == want
+    assert html_text.main_text(f"<body><div>{story}</div><div>{links}</div><div>{p('d', 400)}</div></body>") == want + " " + "d" * 400
+    assert html_text.main_text(f"<body><div>{p('a', 500)}{links}{p('b', 500)}{p('c', 300)}</div></body>") == want
     assert html_text.main_text(f"<body><article><h1>Title</h1><div>{story}</div></article></body>") == "Title " + want
+    assert html_text.main_text(f"<body>{'d' * 400} <b>e</b> f<div>{story}</div>g</body>") == "d" * 400 + " e f " + want
     assert html_text.main_text(f"<body><a href=x><div>{p('l', 200) * 2}</div></a><div>{p('a', 150)}{p('b', 150)}</div></body>") == "a" * 150 + " " + "b" * 150
 
 
