@@ -13,7 +13,8 @@ a partner are sorted:
    long, are resolved by that precomputed rank. Neighbours that agree in 2 * K bytes, compared byte by byte, are
    repeats. Memory is bounded by the bucket.
 3. Anchors with very many different surroundings (a passage put into a third of all documents) are spread: their
-   windows are dealt by the window's hash, not by the anchor, so no task gets the whole group.
+   windows are dealt by the window's hash, not by the anchor, so no task gets the whole group. What stands for equal
+   surroundings is settled here, too: its copies are, and bring no windows.
 
 Documents with nothing to fetch or remove are told apart by a bit filter of bounded size and never shuffled.
 """
@@ -120,6 +121,10 @@ def settle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the anchor records of a bucket: those whose surroundings recur, and those whose surroundings must be fetched."""
     done = [r[(r["f"] & _FULL) > 0]]
     spread = r[(r["f"] & _SPREAD) > 0]
+    if len(spread):  # its copies in the same part are settled, and those that came here from other parts
+        spread = spread[np.lexsort((spread["c"], spread["h"]))]
+        cls = np.cumsum(_groups(spread["h"], spread["c"])) - 1
+        done.append(spread[((np.bincount(cls) > 1) | (np.bincount(cls, weights=(spread["f"] & _MANY) > 0) > 0))[cls]])
     r = r[(r["f"] & (_FULL | _SPREAD)) == 0]
     r = r[np.lexsort((r["c"], r["h"]))]
     new_c, new_h = _groups(r["h"], r["c"]), _groups(r["h"])
@@ -271,7 +276,11 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, k: int = K, spread: int = SP
             w = BucketWriter(2 * buckets, _CONTEXT)
             parts += list(w.add((contexts["h"][~hot] % np.uint64(buckets)).astype(np.int32), contexts[~hot])) + list(w.flush())
             if hot.any():
-                windows = _windows(block, at[hot], contexts[hot], k)
+                # rows alike in id and text are partners, so their places count twice
+                place = np.lexsort((p["q"], p["v"], p["d"]))
+                first = np.zeros(len(p), bool)
+                first[place] = _groups(p["d"][place], p["v"][place], p["q"][place]) if len(p) else False
+                windows = np.concatenate([_windows(block, at[x], contexts[x], k) for x in (hot & first, hot & ~first)])
                 w = BucketWriter(2 * buckets, _WINDOW)
                 parts += list(w.add((windows["w"] % np.uint64(buckets)).astype(np.int32) + buckets, windows)) + list(w.flush())
         return pa.Table.from_batches(parts, _EMPTY.schema) if parts else _EMPTY

@@ -124,6 +124,21 @@ def test_suffix_dedup(spark, spread, monkeypatch):
     assert order(suffix_dedup.repeat_report(frame(spark, rows)).collect()) == order(brute_windows(rows))
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_copies_beside_a_spread_passage(spark, parts, monkeypatch):
+    """Two copies of a short own text beside a passage of many rows, before or after it, and rows alike in id and text."""
+    monkeypatch.setattr(suffix_dedup.repeat_spans, "__defaults__", (suffix_dedup.K, 2))
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, rows = text(500), []
+    for i in range(12):
+        own = text(r.randint(5, 90))
+        rows += [(4 * i + j, own + passage if i % 2 else passage + own) for j in range(2)]
+        rows += [(4 * i + 2, text(r.randint(5, 90)) + passage + text(20))] * 2
+    df = frame(spark, rows).repartitionByRange(parts, "doc_id") if parts == 1 else frame(spark, rows[::4] + rows[2::4]).coalesce(1).union(frame(spark, rows[1::4]).coalesce(1)).union(frame(spark, rows[3::4]).coalesce(1))
+    assert order(suffix_dedup.repeat_report(df).collect()) == order(brute_windows(rows))
+
+
 def test_suffix_order():
     """Ranks at cover columns and sorted columns are those of the suffixes themselves."""
     r = np.random.default_rng(3)
