@@ -453,7 +453,7 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Texts without words, null ones included, have empty sets and link with nothing. Rows with one doc_id count as one
-    document; a null doc_id comes before all others. Extra columns take no part.
+    document, so their classes are linked; a null doc_id comes before all others. Extra columns take no part.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -466,6 +466,12 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
         raise ValueError("two different sets share a 64-bit fingerprint")
     found = scratch.save(_candidates(docs, _frequent_tokens(sets, docs, scratch), sim))
     edges = _verify(found.filter("a IS NOT NULL").select("a", "b").distinct(), classes, docs, scratch, sim)
+    # ids that have several classes, or one and an empty set
+    shared = base.groupBy("doc_id").agg(F.min(F.when(F.col("n") > 0, F.col("cls"))).alias("low"), F.max(F.when(F.col("n") > 0, F.col("cls"))).alias("high"), F.min("n").alias("least"))
+    shared = scratch.save(shared.filter("low < high OR (low IS NOT NULL AND least = 0)"))
+    repeats = shared.limit(1).count() > 0
+    if repeats:
+        edges = scratch.save(edges.unionByName(base.filter("n > 0").select("doc_id", F.col("cls").alias("b")).join(shared.select("doc_id", F.col("low").alias("a")), "doc_id").filter("a <> b").select("a", "b").distinct()))
     labels = components(edges, scratch)
     long = found.filter("members IS NOT NULL").select("list_id", "members")
     if long.limit(1).count():
@@ -482,7 +488,11 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = known.join(least, "label").select(F.col("cls").alias("_cls"), F.explode("salts").alias("_s"), "component_id")
     full = base.filter("n > 0").join(of_class, (F.col("cls") == F.col("_cls")) & (F.col("_salt") == F.col("_s"))).select("doc_id", "n", "component_id")
-    out = full.unionByName(base.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    none = base.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    if repeats:
+        of_id = shared.filter("least = 0").select("doc_id", F.col("low").alias("cls")).join(known, "cls").join(least, "label").select("doc_id", F.col("component_id").alias("_of"))
+        none = none.join(of_id, "doc_id", "left").select("doc_id", "n", F.coalesce("_of", "component_id").alias("component_id"))
+    out = full.unionByName(none)
     null = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
     return out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"))
 

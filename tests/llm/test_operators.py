@@ -196,6 +196,15 @@ def test_near_duplicates(spark, monkeypatch, short, frequent):
     assert order(ngram_join.near_duplicates(frame(spark, rows)).collect()) == order(brute_components(rows))
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts, one of them empty, are one document; one of each group stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (9, a + " more"), (2, b + " more"), (7, c), (7, ""), (4, c + " more"), (8, ""), (6, c), (11, "p q r s t u"), (11, "v w x y z"), (12, None)]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert order(got) == order(brute_components(rows)) and {r["component_id"] for r in got if r["doc_id"] in (2, 5, 9)} == {2}
+    assert sorted(r["doc_id"] for r in ngram_join.near_dedup(frame(spark, rows)).collect()) == [2, 4, 8, 11, 11, 12]
+
+
 @pytest.mark.parametrize("block", [10**6, 7, 1])
 def test_long_lists_in_blocks(spark, monkeypatch, block):
     """Every pair of a list that links is left, whatever the blocks; none twice, none of one label."""
