@@ -2,14 +2,12 @@
 
 * ``TextBlock``: a slice of an Arrow string column as one byte buffer with document offsets, on which word
   boundaries, line boundaries and hashes are computed with numpy, never per character in Python.
-* ``Scratch``: intermediate tables in the folder that all executors share (``spark.checkpoint.dir``).
+* ``Scratch`` (of ``sources.scratch``): intermediate tables in the folder that all executors share.
 * ``salted_group_stats``: per-group aggregates brought back to the rows of the group without a hot task.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import Scratch, released  # noqa: F401
+
 # Python workers live on from stage to stage: freed memory should go back to the system at once.
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -226,46 +226,27 @@ def read_payloads(table: pa.Table | pa.RecordBatch, dtype: np.dtype, column: str
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
-    """Buckets for an exchange: some for each shuffle partition, so that one bucket at a time is in memory."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-# ---------------------------------------------------------------------------------------------- tables on the side
+#: Bytes that a task holds of one bucket, about.
+BUCKET_BYTES = 8 << 20
 
 
-_LOCAL: dict[str, str] = {}
+def bucket_count(spark: SparkSession, expected_bytes: int, per_partition: int = 1) -> int:
+    """Buckets for an exchange of so many bytes: by the bytes, so that what a task holds does not grow with the table, and
+    no fewer than the shuffle partitions."""
+    return max(per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(expected_bytes) // BUCKET_BYTES))
 
 
-class Scratch:
-    """Intermediate Parquet tables in the folder shared by driver and executors.
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col("`text`").cast("string")))).first()[0] or 0
 
-    The folder is ``spark.checkpoint.dir`` of the session; a temporary one is set only where that is unset (tests).
-    A written table cuts the lineage: a lost executor costs the tasks that it ran, not the whole history.
-    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="grovekit-"))
-            base = _LOCAL["dir"]
-        self.root = f"{base.rstrip('/')}/grovekit-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(taken: list[str], stem: str) -> str:
+    """A column name that none of ``taken`` has, in whatever case."""
+    low = {c.lower() for c in taken}
+    while stem.lower() in low:
+        stem = f"_{stem}"
+    return stem
 
 
 # ---------------------------------------------------------------------------------------------- groups
@@ -301,26 +282,28 @@ LONG, STRING, BINARY = T.LongType(), T.StringType(), T.BinaryType()
 
 
 def _filter_bits(n: int) -> int:
-    """Eight bits for each row, between 2**20 and 2**27 (16 MB): the size is bounded whatever the data."""
+    """Eight bits for each id, between 2**20 and 2**27 (16 MB): the size is bounded whatever the data."""
     return 1 << min(27, max(20, (8 * max(1, n)).bit_length()))
 
 
-def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], docs: DataFrame, scale: int = 1):
+def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int):
     """A bit filter, of bounded size, of the ids that ``ids`` finds in ``rows``; to be used with ``in_filter``.
 
-    ``scale``: ids expected for each row of ``docs``.
+    ``expected``: ids, at most. Where they would leave less than a bit to each, a filter would hold back little: there is
+    none (a value of None), and all rows take the exact way behind it.
     """
-    bits = _filter_bits(scale * docs.count())
-    piece = 1 << 16  # bytes
+    bits = _filter_bits(expected)
+    if expected > bits:
+        return rows.sparkSession.sparkContext.broadcast(None)
+    piece = 1 << 13  # bytes
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, bool)
+        raw = np.zeros(bits // 8, np.uint8)
         for x in ids(batches):
-            held[(mix(x.astype(U64)) % U64(bits)).astype(np.int64)] = True
-        raw = np.packbits(held)
-        for i in range(0, len(raw), piece):
-            if raw[i : i + piece].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // piece], pa.int32()), pa.array([raw[i : i + piece].tobytes()], pa.binary())], names=["part", "bits"])
+            x = (mix(x.astype(U64)) % U64(bits)).astype(np.int64)
+            np.bitwise_or.at(raw, x >> 3, (1 << (7 - (x & 7))).astype(np.uint8))
+        for i in np.flatnonzero(raw.reshape(-1, piece).any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([raw[i * piece : (i + 1) * piece].tobytes()], pa.binary())], names=["part", "bits"])
 
     def join(table: pa.Table) -> pa.Table:
         total = None
@@ -335,22 +318,26 @@ def id_filter(rows: DataFrame, ids: Callable[[Iterator[pa.RecordBatch]], Iterato
     return rows.sparkSession.sparkContext.broadcast((bits, raw))
 
 
-def held_ids(held: tuple[int, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """Which ids a filter holds, some others included."""
+def held_ids(held: tuple[int, np.ndarray] | None, ids: np.ndarray) -> np.ndarray:
+    """Which ids a filter holds, some others included; all of them if there is none."""
+    if held is None:
+        return np.ones(len(ids), bool)
     bits, raw = held
     x = (mix(ids.astype(U64)) % U64(bits)).astype(np.int64)
     return (raw[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _doc_ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
 def in_filter(docs: DataFrame, held, inside: bool = True) -> DataFrame:
     """The rows whose doc_id the filter holds (or surely does not hold). Held ids may include some others."""
     at = docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, raw = held.value
         for b in batches:
-            x = b.column(at).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            hit = held_ids((bits, raw), x)
+            hit = held_ids(held.value, _doc_ids(b.column(at)))
             yield b.filter(pa.array(hit if inside else ~hit))
 
     return docs.mapInArrow(run, docs.schema)
@@ -361,7 +348,7 @@ def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
-            yield b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            yield _doc_ids(b.column(0))
 
-    held = id_filter(ids.select("doc_id"), found, docs)
+    held = id_filter(ids.select("doc_id"), found, ids.count())
     return in_filter(docs, held, inside=False), in_filter(docs, held)

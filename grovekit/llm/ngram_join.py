@@ -194,7 +194,7 @@ def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tupl
     """What the first order goes by: a filter of the tokens that recur, and the most frequent ones with their ranks by
     count. Both are of bounded size."""
     spark = sets.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, 0, 4)
     most = max(1, FREQUENT // buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tupl
         for b in batches:
             yield read_payloads(b, _COUNT)["t"]
 
-    held = id_filter(rows.select("payload"), tokens, docs, FREQUENT_SHARE)
+    held = id_filter(rows.select("payload"), tokens, FREQUENT_SHARE * docs.count())
     tops = [np.frombuffer(bytes(x[0]), _COUNT) for x in rows.select("top").collect()]
     r = np.concatenate(tops) if tops else np.empty(0, _COUNT)
     rank = np.empty(len(r), np.uint64)
@@ -278,7 +278,7 @@ def _lists(r: np.ndarray, short: int, sim: tuple[int, int]) -> tuple[np.ndarray,
 def _candidates(docs: DataFrame, known: tuple, sim: tuple[int, int]) -> DataFrame:
     """Rows a, b (candidate classes, a before b), or list_id and members (the classes of a long list)."""
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, 0, 4)
     held, table = known[0], spark.sparkContext.broadcast(known[1:])
     docs = project(docs, doc_id="long", text="string")
 
@@ -401,7 +401,7 @@ def _verify_near(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[
         for b in batches:
             yield np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
 
-    wanted = id_filter(near.select("a_rep", "b_rep"), reps, docs)
+    wanted = id_filter(near.select("a_rep", "b_rep"), reps, 2 * near.count())
     found = in_filter(project(docs, doc_id="long", text="string"), wanted).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

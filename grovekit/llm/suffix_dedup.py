@@ -1,52 +1,54 @@
 """Removal of long repeated byte strings with blockwise suffix sorting over a difference cover.
 
-A byte goes when a window of ``2 * K`` bytes that covers it also starts anywhere else. Only suffixes that can have such
-a partner are sorted:
-
-1. *Anchors.* In every window the K-gram with the least hash is its anchor. Equal windows have equal anchors at the
-   same place, so windows are compared within the documents' positions that share an anchor only. Anchor positions (about
-   one in fifty) go to buckets by hash. Positions whose whole surroundings (K bytes before, K bytes after) recur are
-   settled there by a hash of the surroundings; one of them stands for all.
-2. *Suffix buckets.* For the other shared anchors the surroundings, 3 * K bytes, are fetched and a bucket at a time is
-   sorted: the suffixes at cover columns (``column mod 7`` in the difference cover {0, 1, 3}) are ranked once, right
-   to left; then all suffixes at one column are sorted by the bytes up to the next cover column, and ties, however
-   long, are resolved by that precomputed rank. Neighbours that agree in 2 * K bytes, compared byte by byte, are
-   repeats. Memory is bounded by the bucket.
-3. Anchors with very many different surroundings (a passage put into a third of all documents) are spread: their
-   windows are dealt by the window's hash, not by the anchor, so no task gets the whole group. What stands for equal
-   surroundings is settled here, too: its copies are, and bring no windows.
-
-Documents with nothing to fetch or remove are told apart by a bit filter of bounded size and never shuffled.
+A byte goes when a window of ``2 * K`` bytes that covers it also starts anywhere else. Hashes only deal the work out: what
+is removed has been found equal byte by byte.
+
+1. *Anchors.* In every window the K-gram with the least hash is its anchor. Equal windows have equal anchors at the same
+   place, so a window's partners lie about anchors of its own kind. The hashes of the anchors (about one position in fifty)
+   are counted by buckets; those that occur once are done with.
+2. *Surroundings.* For the others each part of a task takes the surroundings, 3 * K bytes about the anchor, out of its
+   texts. Those that are the same bytes within the part are repeats by that alone, and one of them stands for all.
+3. *Suffix buckets.* The surroundings go to buckets by anchor, and a bucket at a time is sorted: the suffixes at cover
+   columns (``column mod 7`` in the difference cover {0, 1, 3}) are ranked once, right to left; then all suffixes at one
+   column are sorted by the bytes up to the next cover column, and ties, however long, are resolved by that precomputed
+   rank. Neighbours that agree in 2 * K bytes, compared byte by byte, are repeats. Memory is bounded by the bucket.
+4. An anchor in very many different surroundings (a passage put into a third of all documents) would fill a bucket. Its
+   windows are dealt in sections, by the bytes that all windows of a section have in common, after the sections that
+   occur once have been counted out as anchors were. They are sorted and compared by the same rule.
+
+Texts are not moved for any of this; those that lose something meet their spans in the end. Documents with nothing to
+remove are told apart by a bit filter of bounded size and never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash, text_buffers
+from .common import BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, fresh, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash, text_buffers, text_bytes
 
 #: Half the length of the strings that count as repeated.
 K = 100
 #: Difference cover: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
-#: More different surroundings of one anchor than this in a part of a task make it a spread anchor.
-SPREAD = 4096
+#: Different surroundings of one anchor, over all parts, from which its windows are dealt in sections: what a bucket of
+#: one anchor may hold (about 330 bytes each). The rule that finds repeats is the same on both sides.
+SPREAD = 100_000
 _SCAN_BYTES = 192 << 10
+#: Anchors, and bytes of surroundings, that a part of a task gathers.
+PART_ANCHORS, PART_BYTES = 600_000, 20 << 20
 
-_ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("v", "<u4"), ("q", "<u4"), ("f", "u1")])
-_PLACE = np.dtype([("d", "<i8"), ("v", "<u4"), ("q", "<u4"), ("h", "<u8"), ("f", "u1")])
-_SPAN = np.dtype([("d", "<i8"), ("v", "<u4"), ("s", "<i4"), ("e", "<i4")])
-_CONTEXT = np.dtype([("h", "<u8"), ("d", "<i8"), ("v", "<u4"), ("q", "<u4"), ("left", "u1"), ("right", "u1"), ("x", "u1", 3 * K)])
-_WINDOW = np.dtype([("w", "<u8"), ("d", "<i8"), ("v", "<u4"), ("s", "<i4")])
-#: Flags: stands for several equal surroundings; settled; its anchor is spread; only says that the anchor is spread.
-_MANY, _FULL, _SPREAD, _SIGN = 1, 2, 4, 8
+_KEY = np.dtype([("h", "<u8"), ("n", "<u4"), ("w", "<u4")])
+_SPAN = np.dtype([("d", "<i8"), ("v", "<u8", 2), ("s", "<i4"), ("e", "<i4")])
+_CONTEXT = np.dtype([("g", "<u8"), ("d", "<i8"), ("v", "<u8", 2), ("q", "<u4"), ("left", "u1"), ("right", "u1"), ("low", "u1"), ("high", "u1"), ("many", "u1"), ("x", "u1", 3 * K)])
 _NULL_ID = np.iinfo(np.int64).min
+_SCHEMA = BucketWriter.SCHEMA
 
 
 def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
@@ -58,12 +60,14 @@ def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+    return column.cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
 
 
 def versions(block: TextBlock) -> np.ndarray:
-    """32 bits that tell texts apart which come under one document id."""
-    return (span_hash(prefix_hash(block.data), block.offs[:-1], block.offs[1:]) >> np.uint64(32)).astype(np.uint32)
+    """128 bits of a digest of each text, which tell apart texts that come under one document id."""
+    raw = block.data.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(block.offs[:-1].tolist(), block.offs[1:].tolist()))
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)
 
 
 def anchors(block: TextBlock, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,49 +102,6 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _prepare(records: np.ndarray, spread: int) -> np.ndarray:
-    """Within a part of a task: one record stands for equal surroundings, and anchors with too many are spread."""
-    r = records[np.lexsort((records["c"], records["h"]))]
-    new_c, new_h = _groups(r["h"], r["c"]), _groups(r["h"])
-    size = np.bincount(np.cumsum(new_c) - 1)
-    many = size[np.cumsum(new_c) - 1] > 1
-    r["f"][many & new_c] |= _MANY
-    r["f"][many & ~new_c] |= _FULL
-    group = np.cumsum(new_h) - 1
-    hot = np.bincount(group, weights=new_c) > spread
-    if hot.any():
-        over = hot[group]
-        r["f"][over & ((r["f"] & _FULL) == 0)] |= _SPREAD
-        sign = r[over & new_h].copy()
-        sign["f"] = _SIGN
-        r = np.concatenate([r, sign])
-    return r
-
-
-def settle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the anchor records of a bucket: those whose surroundings recur, and those whose surroundings must be fetched."""
-    done = [r[(r["f"] & _FULL) > 0]]
-    spread = r[(r["f"] & _SPREAD) > 0]
-    if len(spread):  # its copies in the same part are settled, and those that came here from other parts
-        spread = spread[np.lexsort((spread["c"], spread["h"]))]
-        cls = np.cumsum(_groups(spread["h"], spread["c"])) - 1
-        done.append(spread[((np.bincount(cls) > 1) | (np.bincount(cls, weights=(spread["f"] & _MANY) > 0) > 0))[cls]])
-    r = r[(r["f"] & (_FULL | _SPREAD)) == 0]
-    r = r[np.lexsort((r["c"], r["h"]))]
-    new_c, new_h = _groups(r["h"], r["c"]), _groups(r["h"])
-    cls, group = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-    repeated = (np.bincount(cls) > 1) | (np.bincount(cls, weights=(r["f"] & _MANY) > 0) > 0) if len(r) else np.zeros(0, bool)
-    full = repeated[cls] & ((r["f"] & _SIGN) == 0)
-    hot = np.bincount(group, weights=(r["f"] & _SIGN) > 0) > 0 if len(r) else np.zeros(0, bool)
-    classes = np.bincount(group, weights=new_c) if len(r) else np.zeros(0)
-    done.append(r[full])
-    # one for each kind of surroundings, if there are several or the anchor is spread
-    wanted = new_c & ((classes > 1) | hot)[group] & ((r["f"] & _SIGN) == 0)
-    fetch = r[wanted]
-    fetch["f"] = np.where(hot[group[wanted]], _SPREAD, 0)
-    return np.concatenate(done), np.concatenate([fetch, spread])
-
-
 def _suffix_keys(x: np.ndarray, column: int, size: int) -> np.ndarray:
     """``size`` bytes (up to 8) from a column on, as numbers that sort like the bytes; zeros past the end."""
     out = np.zeros(len(x), np.uint64)
@@ -151,17 +112,22 @@ def _suffix_keys(x: np.ndarray, column: int, size: int) -> np.ndarray:
     return out
 
 
-def cover_ranks(group: np.ndarray, x: np.ndarray, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> dict[int, np.ndarray]:
-    """Ranks of the suffixes at the cover columns, within the group first; computed right to left, a period at a time."""
+def cover_ranks(group: np.ndarray, x: np.ndarray, period: int = PERIOD, cover: tuple[int, ...] = COVER, first: int = 0, last: int | None = None) -> dict[int, np.ndarray]:
+    """Ranks of the suffixes at the cover columns, within the group first; computed right to left, a period at a time.
+
+    Those of columns from ``first`` to a period after ``last`` are kept.
+    """
     ranks: dict[int, np.ndarray] = {}
-    zero = np.zeros(len(x), np.int64)
-    for column in range(x.shape[1] - 1, -1, -1):
+    zero = np.zeros(len(x), np.int32)
+    for column in range(x.shape[1] - 1, first - 1, -1):
         if column % period in cover:
             keys = (ranks.get(column + period, zero), _suffix_keys(x, column, period), group)
             order = np.lexsort(keys)
-            rank = np.empty(len(x), np.int64)
+            rank = np.empty(len(x), np.int32)
             rank[order] = np.cumsum(_groups(*(k[order] for k in keys)))
             ranks[column] = rank
+            if last is not None and column > last:
+                ranks.pop(column + period, None)
     return ranks
 
 
@@ -173,206 +139,272 @@ def sort_column(group: np.ndarray, x: np.ndarray, column: int, rows: np.ndarray,
     return rows[np.lexsort(([rank[rows]] if rank is not None else []) + keys)]
 
 
-def repeated_windows(group: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, k: int = K) -> np.ndarray:
-    """For each surroundings (rows of ``x``, of ``left`` + ``right`` bytes about column k) and each start 0..k whether
-    the window of 2k bytes there is also in another row of its group."""
+def sections(k: int = K) -> list[tuple[int, int]]:
+    """The window starts 0..k in runs that get longer from both ends to the middle."""
+    ends, at, step = [], 0, 1
+    while at < (k + 1) // 2:
+        ends.append((at, min(at + step, (k + 1) // 2) - 1))
+        at += step
+        step = 1 if len(ends) < 4 else 2 * step
+    back = [(k - b, k - a) for a, b in ends[::-1]]
+    middle = [(ends[-1][1] + 1, back[0][0] - 1)] if ends[-1][1] + 1 < back[0][0] else []
+    return ends + middle + back
+
+
+def repeated_windows(group: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, k: int = K) -> np.ndarray:
+    """For each surroundings (rows of ``x``) and each start from ``low`` to ``high`` of the row whether the window of 2k
+    bytes there is also in another row of its group."""
     out = np.zeros((len(x), k + 1), bool)
-    ranks = cover_ranks(group, x)
-    for o in range(k + 1):
-        rows = np.flatnonzero((o >= k - left.astype(np.int64)) & (o <= right.astype(np.int64) - k))
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    if not len(x) or (low > high).all():
+        return out
+    first, last = int(low.min()), int(high.max())
+    ranks = cover_ranks(group, x, first=first, last=last)
+    for o in range(first, last + 1):
+        rows = np.flatnonzero((low <= o) & (o <= high))
         if len(rows) < 2:
             continue
         rows = sort_column(group, x, o, rows, ranks)
-        same = (group[rows][1:] == group[rows][:-1]) & (_suffix_keys(x[rows], o, 8)[1:] == _suffix_keys(x[rows], o, 8)[:-1])
-        i = np.flatnonzero(same)
+        i = np.flatnonzero(group[rows][1:] == group[rows][:-1])
         i = i[(x[rows[i], o : o + 2 * k] == x[rows[i + 1], o : o + 2 * k]).all(1)]
         out[rows[i], o] = out[rows[i + 1], o] = True
     return out
 
 
-def _spans(contexts: np.ndarray, hit: np.ndarray, k: int) -> np.ndarray:
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Spans of each document that meet or overlap as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["s"], spans["v"][:, 1], spans["v"][:, 0], spans["d"]))]
+    new = _groups(spans["d"], spans["v"][:, 0], spans["v"][:, 1])
+    base = (np.cumsum(new) - 1) << 33
+    reach = np.maximum.accumulate(base + spans["e"])
+    new[1:] |= base[1:] + spans["s"][1:] > reach[:-1]
+    start = np.flatnonzero(new)
+    out = spans[start]
+    out["e"] = (reach - base)[np.append(start[1:], len(spans)) - 1]
+    return out
+
+
+def _spans_of(contexts: np.ndarray, hit: np.ndarray, k: int) -> np.ndarray:
     """The bytes covered by the windows found, as spans of the documents."""
     padded = np.zeros((len(hit), hit.shape[1] + 2), np.int8)
     padded[:, 1:-1] = hit
     step = np.diff(padded, axis=1)
     r, a = np.nonzero(step == 1)
     _, b = np.nonzero(step == -1)
-    out = np.empty(len(r), _SPAN)
-    out["d"], out["v"] = contexts["d"][r], contexts["v"][r]
-    q = contexts["q"][r].astype(np.int64) - k
-    out["s"], out["e"] = q + a, q + b - 1 + 2 * k
+    return _as_spans(contexts[r], a, b - 1, k)
+
+
+def _as_spans(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """The bytes of the windows that start from ``low`` to ``high`` of each surroundings."""
+    out = np.empty(len(contexts), _SPAN)
+    out["d"], out["v"] = contexts["d"], contexts["v"]
+    q = contexts["q"].astype(np.int64) - k
+    out["s"], out["e"] = q + low, q + high + 2 * k
     return out
 
 
-def repeat_spans(docs: DataFrame, scratch: Scratch, k: int = K, spread: int = SPREAD) -> tuple[DataFrame, int]:
-    """Spans to remove, as rows (bucket, n, payload of _SPAN records), by buckets of document ids; and their number."""
+def _contexts(block: TextBlock, ids: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """The surroundings of anchors, zeros where the document ends."""
+    out = np.zeros(len(at), _CONTEXT)
+    q = at - block.offs[doc]
+    out["d"], out["v"], out["q"] = ids[doc], versions(block)[doc], q
+    out["left"], out["right"] = np.minimum(k, q), np.minimum(2 * k, block.offs[doc + 1] - at)
+    out["low"], out["high"] = k - out["left"], out["right"] - k
+    column = np.arange(3 * k)[None, :] - k
+    for a in range(0, len(at), 4096):
+        s = slice(a, a + 4096)
+        inside = (column >= -out["left"][s, None].astype(np.int64)) & (column < out["right"][s, None].astype(np.int64))
+        out["x"][s, : 3 * k] = np.where(inside, block.data[np.clip(at[s, None] + column, 0, max(0, len(block.data) - 1))], 0)
+    return out
+
+
+def _in_sections(contexts: np.ndarray, h: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The surroundings once for each section in which they have windows; ``g`` tells by the common bytes."""
+    pre = prefix_hash(contexts["x"].ravel())
+    at = np.arange(len(contexts)) * (3 * K)
+    for i, (a, b) in enumerate(sections(k)):
+        low, high = np.maximum(contexts["low"], a), np.minimum(contexts["high"], b)
+        here = low <= high
+        part = contexts[here].copy()
+        part["low"], part["high"] = low[here], high[here]
+        part["g"] = mix(span_hash(pre, at[here] + b, at[here] + a + 2 * k) ^ mix(h[here] + np.uint64(i + 1)))
+        yield part
+
+
+def _collapsed(contexts: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """One for each kind of surroundings that are the same bytes (neighbours in ``order``), and the spans of those that
+    are not alone."""
+    if not len(contexts):
+        return contexts, np.empty(0, _SPAN)
+    c = contexts[order]
+    low, high = c["low"].astype(np.int64), c["high"].astype(np.int64)
+    new = _groups(c["g"], c["low"], c["high"])
+    for a in range(0, len(c), 8192):  # bytes between the first and the last window
+        p, q = c["x"][a : a + 8192], c["x"][a + 1 : a + 8193]
+        column = np.arange(c["x"].shape[1])
+        inside = (column >= low[a : a + len(q), None]) & (column < high[a : a + len(q), None] + 2 * k)
+        new[a + 1 : a + 1 + len(q)] |= ((p[: len(q)] != q) & inside).any(1)
+    size = np.diff(np.append(np.flatnonzero(new), len(c)))
+    many = np.repeat(size > 1, size)
+    one = c[new]
+    one["many"] = size > 1
+    return one, _as_spans(c[many], low[many], high[many], k)
+
+
+def sort_contexts(c: np.ndarray, k: int) -> np.ndarray:
+    """The spans that sorting the surroundings of a bucket finds; what was settled in its part is only a partner here."""
+    c = c[np.argsort(c["g"], kind="stable")]
+    new = _groups(c["g"])
+    size = np.diff(np.append(np.flatnonzero(new), len(c)))
+    c = c[np.repeat(size > 1, size)]
+    group = np.cumsum(_groups(c["g"])).astype(np.int64)
+    found = [np.empty(0, _SPAN)]
+    for a, b in _portions(group, 8192):
+        p = c[a:b]
+        hit = repeated_windows(group[a:b], p["x"], p["low"], p["high"], k)
+        alone = p["many"] == 0
+        found.append(_spans_of(p[alone], hit[alone], k))
+    return _merged(np.concatenate(found))
+
+
+def _count_keys(docs: DataFrame, keys: Callable[[TextBlock, np.ndarray], tuple[np.ndarray, np.ndarray]], scratch: Scratch, expected_bytes: int, spread: int) -> tuple:
+    """Filters of the keys that occur twice or more and of those in more than ``spread`` kinds of surroundings; how often
+    the first occur, together; and whether there are any of the second."""
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
-    docs = project(docs, doc_id="long", text="string")
-    schema = BucketWriter.SCHEMA
+    buckets = bucket_count(spark, expected_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        w, size = BucketWriter(buckets, _KEY), 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            r = _prepare(np.concatenate(held), spread)
-            key = np.where((r["f"] & (_FULL | _SPREAD)) > 0, mix(r["c"] ^ r["d"].astype(np.uint64)), r["h"])
-            w = BucketWriter(buckets, _ANCHOR)
-            yield from w.add((key % np.uint64(buckets)).astype(np.int32), r)
-            yield from w.flush()
+            h, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            first = np.flatnonzero(_groups(h))
+            r = np.empty(len(first), _KEY)
+            r["h"], r["n"], r["w"] = h[first], np.diff(np.append(first, len(h))), np.add.reduceat(_groups(h, c), first, dtype=np.uint32) if len(first) else 0
+            yield from w.add((r["h"] % np.uint64(buckets)).astype(np.int32), r)
 
         for batch, block in blocks(batches, limit=_SCAN_BYTES):
-            at, doc, h, c = anchors(block, k)
-            r = np.zeros(len(at), _ANCHOR)
-            r["h"], r["c"], r["d"], r["v"], r["q"] = h, c, _ids(batch.column(0))[doc], versions(block)[doc], at - block.offs[doc]
-            held.append(r)
-            size += r.nbytes
-            if size > 12 << 20:
+            held.append(keys(block, _ids(batch.column(0))))
+            size += len(held[-1][0])
+            if size > PART_ANCHORS:
                 yield from out()
-                held, size = [], 0
+                held.clear()
+                size = 0
         if size:
             yield from out()
+        yield from w.flush()
 
-    def reduce_anchors(table: pa.Table) -> pa.Table:
-        done, fetch = settle(read_payloads(table, _ANCHOR))
-        w = BucketWriter(buckets, _PLACE)
-        both = np.concatenate([done, fetch])
-        p = np.empty(len(both), _PLACE)
-        for name in ("d", "v", "q", "h"):
-            p[name] = both[name]
-        p["f"] = np.concatenate([np.full(len(done), _FULL, np.uint8), fetch["f"] & _SPREAD])
-        parts = list(w.add(_doc_bucket(p["d"], buckets), p)) + list(w.flush())
-        return pa.Table.from_batches(parts, pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])) if parts else _EMPTY
-
-    places = scratch.save(docs.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(reduce_anchors, schema))
-
-    # the surroundings of the places to fetch
-    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            p = read_payloads(b, _PLACE)
-            yield p["d"][(p["f"] & _FULL) == 0]
-
-    wanted = id_filter(places.select("bucket", "n", "payload"), fetched, docs)
-
-    def around(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        p = read_payloads(right, _PLACE)
-        p = p[(p["f"] & _FULL) == 0]
-        parts: list[pa.RecordBatch] = []
-        if len(p) and left.num_rows:
-            ids, block = _ids(left.column("doc_id").combine_chunks()), TextBlock(*text_buffers(left.column("text")))
-            doc, p = _match(ids, versions(block), p)
-            contexts = np.zeros(len(p), _CONTEXT)
-            at = block.offs[doc] + p["q"]
-            contexts["left"], contexts["right"] = np.minimum(k, p["q"]), np.minimum(2 * k, block.offs[doc + 1] - at)
-            for name in ("h", "d", "v", "q"):
-                contexts[name] = p[name]
-            column = np.arange(3 * k)[None, :] - k
-            for a in range(0, len(p), 4096):
-                s = slice(a, a + 4096)
-                inside = (column >= -contexts["left"][s, None].astype(np.int64)) & (column < contexts["right"][s, None].astype(np.int64))
-                contexts["x"][s, : 3 * k] = np.where(inside, block.data[np.clip(at[s, None] + column, 0, max(0, len(block.data) - 1))], 0)
-            hot = (p["f"] & _SPREAD) > 0
-            w = BucketWriter(2 * buckets, _CONTEXT)
-            parts += list(w.add((contexts["h"][~hot] % np.uint64(buckets)).astype(np.int32), contexts[~hot])) + list(w.flush())
-            if hot.any():
-                # rows alike in id and text are partners, so their places count twice
-                place = np.lexsort((p["q"], p["v"], p["d"]))
-                first = np.zeros(len(p), bool)
-                first[place] = _groups(p["d"][place], p["v"][place], p["q"][place]) if len(p) else False
-                windows = np.concatenate([_windows(block, at[x], contexts[x], k) for x in (hot & first, hot & ~first)])
-                w = BucketWriter(2 * buckets, _WINDOW)
-                parts += list(w.add((windows["w"] % np.uint64(buckets)).astype(np.int32) + buckets, windows)) + list(w.flush())
-        return pa.Table.from_batches(parts, _EMPTY.schema) if parts else _EMPTY
+    def add(table: pa.Table) -> pa.Table:
+        r = read_payloads(table, _KEY)
+        h, at = np.unique(r["h"], return_inverse=True)
+        n, kinds = np.bincount(at, weights=r["n"]), np.bincount(at, weights=r["w"])
+        shared, hot = h[n > 1], h[kinds > spread]
+        return pa.table({"shared": pa.array([shared.tobytes()], pa.binary()), "hot": pa.array([hot.tobytes()], pa.binary()), "n": pa.array([len(shared)], pa.int64()), "n_hot": pa.array([len(hot)], pa.int64()), "places": pa.array([int(n[n > 1].sum())], pa.int64())})
 
-    def sort_bucket(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= buckets:
-            w = read_payloads(table, _WINDOW)
-            w = w[np.argsort(w["w"], kind="stable")]
-            new = _groups(w["w"])
-            w = w[np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1] if len(w) else w
-            spans = np.empty(len(w), _SPAN)
-            spans["d"], spans["v"], spans["s"], spans["e"] = w["d"], w["v"], w["s"], w["s"] + 2 * k
-        else:
-            c = read_payloads(table, _CONTEXT)
-            c = c[np.argsort(c["h"], kind="stable")]
-            group = np.cumsum(_groups(c["h"]))
-            found = []
-            for a, b in _portions(group, 8192):
-                found.append(_spans(c[a:b], repeated_windows(group[a:b], c["x"][a:b], c["left"][a:b], c["right"][a:b], k), k))
-            spans = np.concatenate(found) if found else np.empty(0, _SPAN)
-        w = BucketWriter(buckets, _SPAN)
-        parts = list(w.add(_doc_bucket(spans["d"], buckets), spans)) + list(w.flush())
-        return pa.Table.from_batches(parts, _EMPTY.schema) if parts else _EMPTY
+    rows = scratch.save(docs.mapInArrow(scan, _SCHEMA).groupBy("bucket").applyInArrow(add, "shared binary, hot binary, n long, n_hot long, places long"))
+    n, n_hot, places = (x or 0 for x in rows.agg(F.sum("n"), F.sum("n_hot"), F.sum("places")).first())
 
-    some = _with_bucket(in_filter(docs, wanted), buckets)
-    contexts = some.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(around, schema)
-    sorted_ = contexts.groupBy("bucket").applyInArrow(sort_bucket, schema)
+    def of(column: str, expected: int):
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for b in batches:
+                yield read_payloads(b, np.dtype("<u8"), column)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The settled places as spans."""
-        for b in batches:
-            offs = np.concatenate([[0], np.cumsum(b.column(1).to_numpy())])
-            p = read_payloads(b, _PLACE)
-            full = (p["f"] & _FULL) > 0
-            s = np.empty(int(full.sum()), _SPAN)
-            q = p["q"][full].astype(np.int64)
-            s["d"], s["v"], s["s"], s["e"] = p["d"][full], p["v"][full], np.maximum(q - k, 0), q + 2 * k
-            count = np.diff(np.concatenate([[0], np.cumsum(full)])[offs])
-            keep = count > 0
-            to = np.concatenate([[0], np.cumsum(count[keep])]) * _SPAN.itemsize
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(count[keep].astype(np.int64)), binary_array(s.view(np.uint8), to)], names=["bucket", "n", "payload"])
+        return id_filter(rows.select(column), found, expected)
 
-    return scratch.save(sorted_.unionByName(places.mapInArrow(whole, schema))), buckets
+    return of("shared", n), of("hot", n_hot), places, n_hot > 0
+
+
+def repeat_spans(docs: DataFrame, scratch: Scratch, k: int = K, spread: int = SPREAD) -> tuple[DataFrame, int]:
+    """Spans to remove, as rows (bucket, n, payload of _SPAN records), by buckets of documents; and their number."""
+    spark = docs.sparkSession
+    docs = project(docs, doc_id="long", text="string")
+    size = text_bytes(docs)
+    shared, hot, places, any_hot = _count_keys(docs, lambda block, _: anchors(block, k)[2:], scratch, size // 4, spread)
+
+    def hot_contexts(block: TextBlock, ids: np.ndarray) -> Iterator[np.ndarray]:
+        at, doc, h, _ = anchors(block, k)
+        mine = held_ids(hot.value, h) & held_ids(shared.value, h)
+        yield from _in_sections(_contexts(block, ids, at[mine], doc[mine], k), h[mine], k)
+
+    def section_keys(block: TextBlock, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = np.concatenate([c["g"] for c in hot_contexts(block, ids)])
+        return g, np.zeros(len(g), np.uint64)
+
+    common = None
+    if any_hot:
+        common, _, more, _ = _count_keys(docs, section_keys, scratch, size // 4, 1 << 31)
+        places += more
+    n_contexts = bucket_count(spark, places * _CONTEXT.itemsize, 4)
+    n_docs = bucket_count(spark, size)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Surroundings, by their keys, and spans settled here, by document, in the buckets after those."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        contexts, spans, size = BucketWriter(n_contexts, _CONTEXT), BucketWriter(n_contexts + n_docs, _SPAN), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            c, around = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            one, settled = _collapsed(c, np.lexsort((around, c["g"])), k)
+            yield from contexts.add((one["g"] % np.uint64(n_contexts)).astype(np.int32), one)
+            settled = _merged(settled)
+            yield from spans.add(_doc_bucket(settled["d"], settled["v"], n_docs) + n_contexts, settled)
+
+        for batch, block in blocks(batches, limit=_SCAN_BYTES):
+            ids = _ids(batch.column(0))
+            at, doc, h, around = anchors(block, k)
+            often = held_ids(shared.value, h)
+            if any_hot:
+                often &= ~held_ids(hot.value, h)
+                for c in hot_contexts(block, ids):
+                    c = c[held_ids(common.value, c["g"])]
+                    held.append((c, c["g"]))
+                    size += c.nbytes
+            c = _contexts(block, ids, at[often], doc[often], k)
+            c["g"] = h[often]
+            held.append((c, around[often]))
+            size += c.nbytes
+            if size > PART_BYTES:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+        yield from contexts.flush()
+        yield from spans.flush()
+
+    def sort_bucket(key: tuple, table: pa.Table) -> pa.Table:
+        spans = read_payloads(table, _SPAN) if key[0].as_py() >= n_contexts else sort_contexts(read_payloads(table, _CONTEXT), k)
+        w = BucketWriter(n_docs, _SPAN)
+        parts = list(w.add(_doc_bucket(spans["d"], spans["v"], n_docs), spans)) + list(w.flush())
+        return pa.Table.from_batches(parts, _EMPTY.schema) if parts else _EMPTY
+
+    return scratch.save(docs.mapInArrow(fetch, _SCHEMA).groupBy("bucket").applyInArrow(sort_bucket, _SCHEMA)), n_docs
 
 
 _EMPTY = pa.table({"bucket": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
 
 
-def _doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+def _doc_bucket(ids: np.ndarray, version: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) ^ version[:, 0]) % np.uint64(buckets)).astype(np.int32)
 
 
-def _with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    """Adds the bucket of each document id."""
+def _with_bucket(docs: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """Adds the bucket of each document, under a name of its own, which comes first."""
     names = docs.columns
-    schema = "bucket int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    bucket = fresh(names, "bucket")
+    schema = T.StructType([T.StructField(bucket, T.IntegerType()), *docs.schema.fields])
     at = names.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(_ids(b.column(at)), buckets)), *b.columns], names=["bucket", *names])
-
-    return docs.mapInArrow(run, schema)
-
-
-def _match(ids: np.ndarray, version: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of a document row for each record, and those records that have one; rows alike in id and text count once."""
-    order = np.lexsort((version, ids))
-    key_d, key_v = ids[order], version[order]
-    rec = np.lexsort((p["v"], p["d"]))
-    p = p[rec]
-    joint = np.lexsort((np.concatenate([np.zeros(len(order)), np.ones(len(p))]), np.concatenate([key_v, p["v"]]), np.concatenate([key_d, p["d"]])))
-    is_doc = joint < len(order)
-    last = np.maximum.accumulate(np.where(is_doc, joint, -1))
-    at = np.where(~is_doc, last, -1)[~is_doc]
-    which = joint[~is_doc] - len(order)
-    ok = at >= 0
-    at, which = at[ok], which[ok]
-    ok = (key_d[at] == p["d"][which]) & (key_v[at] == p["v"][which])
-    return order[at[ok]], p[which[ok]]
-
-
-def _windows(block: TextBlock, at: np.ndarray, contexts: np.ndarray, k: int) -> np.ndarray:
-    """All windows of spread anchors, with the hash of each."""
-    pre = prefix_hash(block.data)
-    o = np.arange(k + 1)[None, :] - k
-    ok = (o >= -contexts["left"][:, None].astype(np.int64)) & (o + 2 * k <= contexts["right"][:, None].astype(np.int64))
-    r, c = np.nonzero(ok)
-    start = at[r] + c - k
-    out = np.empty(len(r), _WINDOW)
-    out["w"], out["d"], out["v"], out["s"] = span_hash(pre, start, start + 2 * k), contexts["d"][r], contexts["v"][r], contexts["q"][r].astype(np.int64) + c - k
-    return np.unique(out)  # a document's window may be near two anchors
+        for batch, block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(_ids(batch.column(at)), versions(block), buckets)), *batch.columns], names=[bucket, *names])
+
+    return docs.mapInArrow(run, schema), bucket
 
 
 def _portions(group: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
@@ -390,60 +422,59 @@ def _portions(group: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
         yield a, len(group)
 
 
-def _removed(block: TextBlock, ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Marks the bytes of a block that spans cover; each row of a document and text that occurs twice is marked."""
+def _removed(block: TextBlock, ids: np.ndarray, spans: dict[tuple[int, int, int], list[tuple[int, int]]]) -> np.ndarray:
+    """Marks the bytes of a block that spans cover; rows that are alike in id and text share theirs."""
     edge = np.zeros(len(block.data) + 1, np.int32)
-    version = versions(block)
-    # rows that are alike share their spans
-    order = np.lexsort((version, ids))
-    new = _groups(ids[order], version[order])
-    lead = order[np.flatnonzero(new)]
-    doc, p = _match(ids[lead], version[lead], spans)
-    doc = lead[doc]
-    size = block.offs[doc + 1] - block.offs[doc]
-    np.add.at(edge, block.offs[doc] + np.clip(p["s"], 0, size), 1)
-    np.add.at(edge, block.offs[doc] + np.clip(p["e"], 0, size), -1)
-    out = np.cumsum(edge)[:-1] > 0
-    for i, j in zip(order[~new].tolist(), np.repeat(lead, np.diff(np.append(np.flatnonzero(new), len(new))) - 1).tolist() if len(new) else []):
-        out[block.offs[i] : block.offs[i + 1]] = out[block.offs[j] : block.offs[j + 1]]
+    for i, (d, (v, u)) in enumerate(zip(ids.tolist(), versions(block).tolist())):
+        for s, e in spans.get((d, v, u), ()):
+            edge[block.offs[i] + s] += 1
+            edge[block.offs[i] + e] -= 1
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _by_document(spans: np.ndarray) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
+    out: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    for d, (v, u), s, e in zip(*(_merged(spans)[c].tolist() for c in ("d", "v", "s", "e"))):
+        out.setdefault((d, v, u), []).append((s, e))
     return out
 
 
-def _apply(docs: DataFrame, finish, schema: str, k: int) -> DataFrame:
+def _apply(docs: DataFrame, finish, schema: T.StructType | str, k: int, spread: int) -> DataFrame:
     """``finish(batch, block, removed)`` over all documents, with the bytes to remove."""
     scratch = Scratch(docs.sparkSession)
-    spans, buckets = repeat_spans(docs, scratch, k)
+    spans, buckets = repeat_spans(docs, scratch, k, spread)
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             yield np.unique(read_payloads(b, _SPAN)["d"])
 
-    marked = id_filter(spans, owners, docs)
+    marked = id_filter(spans, owners, docs.count())
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches):
             yield finish(batch, block, np.zeros(len(block.data), bool))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        done = []
-        all_spans = read_payloads(right, _SPAN)
-        for batch, block in blocks(left.drop_columns(["bucket"]).combine_chunks().to_batches()):
-            done.append(finish(batch, block, _removed(block, _ids(batch.column(batch.schema.get_field_index("doc_id"))), all_spans)))
-        return pa.Table.from_batches(done) if done else empty
-
-    probe = pa.RecordBatch.from_arrays([pa.array([], pa.string() if t.simpleString() == "string" else pa.int64()) for t in (f.dataType for f in docs.schema)], names=docs.columns)
-    empty = pa.Table.from_batches([finish(probe, TextBlock(np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, bool))])
+        rows = pa.table(left.columns[1:], names=left.column_names[1:]).combine_chunks()
+        known = _by_document(read_payloads(right, _SPAN))
+        done = [finish(batch, block, _removed(block, _ids(batch.column(batch.schema.get_field_index("doc_id"))), known)) for batch, block in blocks(rows.to_batches())]
+        if not done:
+            nothing = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in rows.schema], names=rows.column_names)
+            done = [finish(nothing, TextBlock(np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, bool))]
+        return pa.Table.from_batches(done)
+
     rest = in_filter(docs, marked, inside=False).mapInArrow(plain, schema)
-    some = _with_bucket(in_filter(docs, marked), buckets).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut, schema)
-    return rest.unionByName(some)
+    some, bucket = _with_bucket(in_filter(docs, marked), buckets)
+    return rest.unionByName(some.groupBy(bucket).cogroup(spans.groupBy("bucket")).applyInArrow(cut, schema))
 
 
-def repeat_report(docs: DataFrame, k: int = K) -> DataFrame:
+def repeat_report(docs: DataFrame, k: int = K, spread: int = SPREAD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
-    Null texts count as empty; texts under 2k bytes lose nothing unless a window of theirs recurs, which they do not
-    have. Rows that repeat an id and a text are documents of their own, so all of their long texts go. Matches never
-    cross documents.
+    Null texts count as empty; texts under 2k bytes have no window, so they lose nothing. Rows that repeat an id and a
+    text are documents of their own, so all of their long texts go; rows of one id (or none) with different texts are
+    told apart. Matches never cross documents. A very long text is a block of its own. Other columns take no part; an
+    empty table gives an empty report.
     """
     docs = project(docs, doc_id="long", text="string")
 
@@ -458,12 +489,13 @@ def repeat_report(docs: DataFrame, k: int = K) -> DataFrame:
         sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(to[:-1], to[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(block.offs)), pa.array(block.per_doc(gone)), pa.array(block.per_doc(begins)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _apply(docs, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", k)
+    return _apply(docs, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", k, spread)
 
 
-def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
-    """The documents with their repeated strings cut out of ``text``, other columns as they are, and ``n_chars`` (if
-    there) counted anew. A character goes only if all its bytes do. Documents stay, even those left empty."""
+def remove_repeats(docs: DataFrame, k: int = K, spread: int = SPREAD) -> DataFrame:
+    """The documents with their repeated strings cut out of ``text``, other columns as they are, whatever their names, and
+    ``n_chars`` (if there) counted anew. A character goes only if all its bytes do. Documents stay, even those left empty;
+    null texts stay null. Repeated rows are cut alike; an empty table gives an empty one."""
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -476,12 +508,10 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
         keep = (kept_bytes > 0)[char]
         offs = np.concatenate([[0], np.cumsum(keep)])[block.offs]
         columns = list(batch.columns)
-        null = columns[at].is_null()
         text = binary_array(block.data[keep], offs, pa.string())
-        columns[at] = pa.array(text.to_pylist(), pa.string(), mask=null.to_numpy(zero_copy_only=False)) if columns[at].null_count else text
+        columns[at] = pa.array(text.to_pylist(), pa.string(), mask=columns[at].is_null().to_numpy(zero_copy_only=False)) if columns[at].null_count else text
         if chars is not None:
-            columns[chars] = pa.array(block.per_doc(keep & lead))
+            columns[chars] = pa.array(block.per_doc(keep & lead)).cast(columns[chars].type)
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _apply(docs, finish, schema, k)
+    return _apply(docs, finish, docs.schema, k, spread)

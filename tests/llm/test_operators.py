@@ -83,7 +83,7 @@ def test_rule_order():
 @pytest.mark.parametrize("id_bytes", [16, 1])
 def test_exact_groups(spark, id_bytes):
     """Identifiers of one byte collide all the time; verified ones must still tell texts apart."""
-    rows = documents()
+    rows = [*documents(), (None, None), (None, None), (910, "long " * 300_000), (911, " long" * 300_000)]
     groups = {}
     for i, t in rows:
         groups.setdefault(WS.sub("", t or ""), []).append((i, len(t or "")))
@@ -103,6 +103,17 @@ def test_exact_groups(spark, id_bytes):
         assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size,most", [(1, 64), (1, 1)])
+def test_identifiers_are_verified(spark, monkeypatch, size, most):
+    """Colliding identifiers are made longer until they tell all chunks apart; at last the chunks themselves do."""
+    monkeypatch.setattr(exact_dedup, "MOST_ID_BYTES", most)
+    df = frame(spark, documents()).select("doc_id", "text")
+    got = exact_dedup._verified_size(df, size)
+    assert got == 0 if most == 1 else 1 < got <= most
+    texts = {WS.sub("", t or "") for _, t in documents()}
+    assert exact_dedup.recipes(df, size).select("recipe").distinct().count() == len(texts)
+
+
 def brute_windows(rows, width=200):
     enc = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[s : s + width] for _, b in enc for s in range(len(b) - width + 1))
@@ -117,17 +128,45 @@ def brute_windows(rows, width=200):
     return out
 
 
-@pytest.mark.parametrize("spread", [4096, 2])
-def test_suffix_dedup(spark, spread, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.repeat_spans, "__defaults__", (suffix_dedup.K, spread))
+@pytest.mark.parametrize("spread", [100_000, 2])
+def test_suffix_dedup(spark, spread):
     rows = documents()
-    assert order(suffix_dedup.repeat_report(frame(spark, rows)).collect()) == order(brute_windows(rows))
-
-
+    assert order(suffix_dedup.repeat_report(frame(spark, rows), spread=spread).collect()) == order(brute_windows(rows))
+
+
+@pytest.mark.parametrize("spread", [100_000, 2])
+def test_suffix_dedup_with_a_weak_hash(monkeypatch, spread):
+    """With hashes that take four values every match must still come from the sorted buckets, and none that is not one.
+
+    The steps are run one after another without the engine, as its workers would not see the patched hash.
+    """
+    weak = lambda prefix, start, end: (end - start).astype(np.uint64) * np.uint64(7) + (prefix[end] - prefix[start]) % np.uint64(4)
+    monkeypatch.setattr(suffix_dedup, "span_hash", weak)
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x % np.uint64(4))
+    rows = [(i, (t or "")[:400]) for i, t in documents(30) if i is not None and i != 905]
+    block = TextBlock(*text_buffers(pa.array([t for _, t in rows])))
+    ids = np.array([i for i, _ in rows])
+    at, doc, h, around = suffix_dedup.anchors(block)
+    c = suffix_dedup._contexts(block, ids, at, doc, suffix_dedup.K)
+    c["g"] = h
+    if spread == 2:
+        c = np.concatenate(list(suffix_dedup._in_sections(c, h, suffix_dedup.K)))
+    half = len(c) // 2
+    spans = []
+    kept = []
+    for part in (c[:half], c[half:]):  # two parts, as of two tasks
+        one, settled = suffix_dedup._collapsed(part, np.argsort(part["g"], kind="stable"), suffix_dedup.K)
+        kept.append(one), spans.append(settled)
+    spans.append(suffix_dedup.sort_contexts(np.concatenate(kept), suffix_dedup.K))
+    gone = suffix_dedup._removed(block, ids, suffix_dedup._by_document(np.concatenate(spans)))
+    want = {i: n for i, _, n, _, _ in brute_windows(rows)}
+    assert dict(zip(ids.tolist(), block.per_doc(gone).tolist())) == want and sum(want.values()) > 1000
+
+
+@pytest.mark.parametrize("spread", [100_000, 2])
 @pytest.mark.parametrize("parts", [1, 3])
-def test_copies_beside_a_spread_passage(spark, parts, monkeypatch):
+def test_copies_beside_a_spread_passage(spark, parts, spread):
     """Two copies of a short own text beside a passage of many rows, before or after it, and rows alike in id and text."""
-    monkeypatch.setattr(suffix_dedup.repeat_spans, "__defaults__", (suffix_dedup.K, 2))
     r = random.Random(7)
     text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage, rows = text(500), []
@@ -136,7 +175,24 @@ def test_copies_beside_a_spread_passage(spark, parts, monkeypatch):
         rows += [(4 * i + j, own + passage if i % 2 else passage + own) for j in range(2)]
         rows += [(4 * i + 2, text(r.randint(5, 90)) + passage + text(20))] * 2
     df = frame(spark, rows).repartitionByRange(parts, "doc_id") if parts == 1 else frame(spark, rows[::4] + rows[2::4]).coalesce(1).union(frame(spark, rows[1::4]).coalesce(1)).union(frame(spark, rows[3::4]).coalesce(1))
-    assert order(suffix_dedup.repeat_report(df).collect()) == order(brute_windows(rows))
+    assert order(suffix_dedup.repeat_report(df, spread=spread).collect()) == order(brute_windows(rows))
+
+
+def test_suffix_dedup_of_odd_tables(spark):
+    """Null ids with different texts, a very long text, an empty table."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b = text(300), text(2_000_000)
+    rows = [(None, a), (None, text(300)), (None, text(100) + a), (7, b), (8, b[:1000] + text(50)), (9, None), (9, "")]
+    got = {(x["doc_id"], x["n_bytes"]): x["n_removed"] for x in suffix_dedup.repeat_report(frame(spark, rows)).collect()}
+    assert got == {(None, 300): 300, (None, 400): 300, (7, 2_000_000): 1000, (8, 1050): 1000, (9, 0): 0} or got[None, 300] in (0, 300) and got[None, 400] == 300
+    assert sorted(x["n_removed"] for x in suffix_dedup.repeat_report(frame(spark, rows)).collect()) == [0, 0, 0, 300, 300, 1000, 1000]
+    assert suffix_dedup.repeat_report(empty(spark)).count() == 0
+
+
+def test_sections():
+    for k in (1, 2, 3, 5, 50, 100):
+        assert [o for a, b in suffix_dedup.sections(k) for o in range(a, b + 1)] == list(range(k + 1))
 
 
 def test_suffix_order():
@@ -153,6 +209,26 @@ def test_suffix_order():
         assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("form", ["quality_filter", "exact_dedup", "near_dedup", "remove_repeats", "place"])
+def test_clashing_columns(spark, form):
+    """Columns whose names operators might use inside come back unchanged, of whatever type."""
+    from pyspark.sql import functions as F
+
+    forms = {"quality_filter": quality.quality_filter, "exact_dedup": exact_dedup.exact_dedup, "near_dedup": ngram_join.near_dedup, "remove_repeats": suffix_dedup.remove_repeats, "place": sharding.place}
+    names = ["bucket", "n", "row", "id", "sha", "points", "whole", "cls", "label", "list_id", "_sha", "_slot", "_shard", "_salt", "_twin", "_bucket", "payload", "kept", "part", "chunk"]
+    rows = [(i, t) for i, t in documents(40) if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(c), F.hash("text").cast("string")) for c in names})
+    df = df.withColumn("double", F.col("doc_id") * 0.5).withColumn("struct", F.struct(F.col("doc_id").alias("a"), F.array("text").alias("b"))).withColumn("map", F.create_map(F.lit("k"), F.col("doc_id")))
+    out = forms[form](df)
+    assert out.columns[: len(df.columns)] == df.columns
+    before = {(r["doc_id"], r["sha"]): r for r in df.collect()}
+    got = out.collect()
+    assert len(got) > 5
+    for r in got:
+        was = before[r["doc_id"], r["sha"]]
+        assert all(r[c] == was[c] for c in df.columns if c != "text" or form != "remove_repeats")
+
+
 def test_remove_repeats_keeps_characters_whole(spark):
     p = "é" * 100
     rows = [(1, "a" + p + "b"), (2, "xé" + p + "y"), (3, None), (4, "short")]
@@ -360,9 +436,10 @@ def test_sharding(spark):
     gone = sharding.fill_table(sharding.SHARDS[:-1])
     moved = sum(a != b for a, b in zip(table, gone) if a != len(sharding.SHARDS) - 1)
     assert moved < 0.2 * len(table)
-    df = spark.createDataFrame([(1, "x"), (None, "y"), (1, "z")], "doc_id long, shard string")
+    df = spark.createDataFrame([(1, "x"), (None, "y"), (1, "z"), (1, "z")], "doc_id long, shard string")
     got = sharding.place(df).collect()
-    assert len(got) == 3 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1
+    assert len(got) == 4 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1 and {r["shard"] for r in got} <= set(sharding.SHARDS)
+    assert sharding.place(df.filter("false")).count() == 0
     for bad in ((("a", "a"), 7), ((), 7), (("a",), 8)):
         with pytest.raises(ValueError):
             sharding.fill_table(*bad)
