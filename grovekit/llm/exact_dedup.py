@@ -1,9 +1,10 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text, without its white space, is cut where a rolling hash of the last bytes meets a mask, so equal passages are
-cut alike wherever they lie. Each chunk gets an identifier. Chunks with equal identifiers are compared byte by byte
-in one exchange of the distinct chunks; were two different chunks to share an identifier, both get an ordinal, so
-identifiers are verified. A document is then its recipe, the ordered list of chunk identifiers, and documents are
+cut alike wherever they lie. Each chunk gets an identifier. All chunks of one identifier are compared byte by byte:
+the least and the greatest of them, of each part and then of all, must be the same. Were two different chunks to share an
+identifier, longer identifiers are taken and verified in turn, and in the end the chunk itself, so identifiers are
+verified whatever their length. A document is then its recipe, the ordered list of chunk identifiers, and documents are
 equal when recipes are. Long texts are never moved again: the recipe is about a sixtieth of the text.
 """
 
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, bucket_count, prefix_hash, project, salted_group_stats, span_hash, split_by_ids
+from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, fresh, prefix_hash, project, salted_group_stats, span_hash, split_by_ids
 
 #: Bytes that decide on a cut, bits of the mask (chunks of 2**bits bytes on average), most bytes of a chunk.
 WINDOW, MASK_BITS, MAX_CHUNK = 24, 10, 16384
-#: More colliding identifiers than this are an error (with 128 bits none are expected at any size).
-MAX_COLLISIONS = 10_000
+#: Bytes of an identifier, and the longest that the hash gives; beyond, a chunk is its own identifier.
+ID_BYTES, MOST_ID_BYTES = 16, 64
 
 
 def normalised(block: TextBlock) -> TextBlock:
@@ -58,54 +59,39 @@ def cut(block: TextBlock, window: int = WINDOW, bits: int = MASK_BITS, most: int
 
 
 def identify(chunk: bytes, size: int) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=size).digest()
+    """An identifier of so many bytes; of none: the chunk itself."""
+    return hashlib.blake2b(chunk, digest_size=size).digest() if size else chunk
 
 
-def _verify(docs: DataFrame, size: int) -> dict[bytes, list[bytes]]:
-    """Identifiers that stand for more than one content, with the SHA-256 of each content in order."""
-    spark = docs.sparkSession
-    n_buckets = bucket_count(spark)
+def _distinct_contents(docs: DataFrame, size: int) -> bool:
+    """Whether each identifier of so many bytes stands for one content."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk once for each block of text: copies within a task are compared here already."""
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk once for each block of text: copies within a block are compared here already."""
         for _, block in blocks(batches):
             block = normalised(block)
             start, end, _ = cut(block)
-            seen: dict[tuple[bytes, bytes], None] = {}
             raw = block.data.tobytes()
-            for a, b in zip(start.tolist(), end.tolist()):
-                c = raw[a:b]
-                seen[identify(c, size), c] = None
+            seen = dict.fromkeys((identify(c, size), c) for a, b in zip(start.tolist(), end.tolist()) for c in (raw[a:b],))
             if seen:
-                ids = [k for k, _ in seen]
-                bucket = [int.from_bytes(k[:4].ljust(4, b"\0"), "big") % n_buckets for k in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(ids, pa.binary()), pa.array([c for _, c in seen], pa.binary())], names=["bucket", "id", "chunk"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        found: dict[bytes, bytes] = {}
-        clash: dict[bytes, set[bytes]] = {}
-        for batch in table.to_batches():
-            for k, c in zip(batch.column(1), batch.column(2)):
-                k, c = k.as_py(), c.as_py()
-                if found.setdefault(k, c) != c:
-                    clash.setdefault(k, {hashlib.sha256(found[k]).digest()}).add(hashlib.sha256(c).digest())
-        out = [(k, c) for k, cs in clash.items() for c in sorted(cs)]
-        return pa.table({"id": pa.array([k for k, _ in out], pa.binary()), "content": pa.array([c for _, c in out], pa.binary())})
-
-    pairs = docs.select("text").mapInArrow(distinct, "bucket int, id binary, chunk binary").groupBy("bucket").applyInArrow(compare, "id binary, content binary")
-    rows = pairs.limit(MAX_COLLISIONS + 1).collect()
-    if len(rows) > MAX_COLLISIONS:
-        raise ValueError("more colliding chunk identifiers than any table of this size can have: use longer identifiers")
-    out: dict[bytes, list[bytes]] = {}
-    for k, c in sorted((bytes(r[0]), bytes(r[1])) for r in rows):
-        out.setdefault(k, []).append(c)
-    return out
-
-
-def recipes(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.binary())], names=["id", "chunk"])
+
+    # a popular chunk shrinks to one row in every part before it is moved; groups stream through, sorted
+    ends = docs.select("text").mapInArrow(cut_up, "id binary, chunk binary").groupBy("id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    return ends.filter("low <> high").limit(1).count() == 0
+
+
+def _verified_size(docs: DataFrame, size: int) -> int:
+    """The shortest length of identifiers, from ``size`` on by doubling, that tells all chunks apart; 0 if none does."""
+    while size <= MOST_ID_BYTES and not _distinct_contents(docs, size):
+        size *= 2
+    return size if size <= MOST_ID_BYTES else 0
+
+
+def recipes(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     """doc_id, n_points (code points of the text), text_sha256 (of the normalised text), recipe (verified identifiers)."""
     docs = project(docs, doc_id="long", text="string")
-    clash = _verify(docs, id_bytes)
+    size = _verified_size(docs, id_bytes)
 
     def cook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches):
@@ -113,13 +99,11 @@ def recipes(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
             block = normalised(block)
             start, end, doc = cut(block)
             raw = block.data.tobytes()
-            ids = []
-            for a, b in zip(start.tolist(), end.tolist()):
-                k = identify(raw[a:b], id_bytes)
-                order = clash.get(k) if clash else None
-                ids.append(k + (order.index(hashlib.sha256(raw[a:b]).digest()) if order else 0).to_bytes(2, "big"))
-            counts = np.bincount(doc, minlength=block.n)
-            offs = np.concatenate([[0], np.cumsum(counts)]) * (id_bytes + 2)
+            ids = [identify(raw[a:b], size) for a, b in zip(start.tolist(), end.tolist())]
+            if not size:  # chunks of any length: the length comes before each
+                ids = [len(x).to_bytes(4, "big") + x for x in ids]
+            total = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+            offs = total[np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.n))])]
             sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(block.offs[:-1].tolist(), block.offs[1:].tolist())]
             recipe = binary_array(np.frombuffer(b"".join(ids), np.uint8), offs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points), pa.array(sha), recipe], names=["doc_id", "n_points", "text_sha256", "recipe"])
@@ -127,36 +111,39 @@ def recipes(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
     return docs.mapInArrow(cook, "doc_id long, n_points long, text_sha256 string, recipe binary")
 
 
-def exact_groups(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     """One row per document with the group of equal texts that it belongs to.
 
     Texts are equal when identical without the characters of ``[\\x20\\x09-\\x0D]``; null counts as empty, and all
     empty texts are one group. The row with the most code points stays, then the smallest doc_id (a null doc_id comes
-    first). Of rows that repeat a doc_id with equal texts one alone stays. Further columns take no part.
+    first). Of rows that repeat a doc_id with equal texts one alone stays. Very long texts are cut like others, so only
+    their recipes move. Further columns take no part; an empty table gives an empty report.
     Returns doc_id, keep_id, group_size, kept, text_sha256, n_points.
     """
     scratch = Scratch(docs.sparkSession)
-    base = scratch.save(recipes(docs, id_bytes))
-    best = F.struct(F.col("n_points"), F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"))
-    grouped = salted_group_stats(base, ["recipe"], F.xxhash64("doc_id", "n_points"), {"group_size": F.count(F.lit(1)), "_best": F.max(best)}, {"group_size": F.sum, "_best": F.max})
-    from pyspark.sql import Window
-
-    twin = F.row_number().over(Window.partitionBy("recipe", "_salt", "doc_id", "n_points").orderBy("text_sha256"))
+    base = scratch.save(recipes(docs, id_bytes).withColumn("row", F.monotonically_increasing_id()))
+    # null ids first, then the smallest; ``row`` tells rows apart that are alike, and spreads them
+    best = F.struct(F.col("n_points"), F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"), (-F.col("row")).alias("at"))
+    grouped = salted_group_stats(base, ["recipe"], F.xxhash64("row"), {"group_size": F.count(F.lit(1)), "_best": F.max(best)}, {"group_size": F.sum, "_best": F.max})
     keep = -F.col("_best.minus")
-    stays = F.col("doc_id").eqNullSafe(keep) & (F.col("n_points") == F.col("_best.n_points"))
-    return grouped.withColumn("_twin", twin).select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long"), (stays & (F.col("_twin") == 1)).alias("kept"), "text_sha256", "n_points")
+    return grouped.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long"), (F.col("row") == -F.col("_best.at")).alias("kept"), "text_sha256", "n_points")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows that ``exact_groups`` keeps, with all their columns. Only texts whose id some dropped row has are moved."""
-    from pyspark.sql import Window
+    """The rows that ``exact_groups`` keeps, with all their columns as they are, whatever their names.
 
+    Of rows that are alike in doc_id, text without white space and length one stays, the one whose text is the least. A
+    null text counts as empty, so one row of all empty ones stays. An empty table gives an empty one. Only texts whose id
+    some dropped row has are moved.
+    """
     scratch = Scratch(docs.sparkSession)
     report = scratch.save(exact_groups(docs))
     sure, maybe = split_by_ids(docs, report.filter("NOT kept"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = maybe.withColumns({"_sha": F.sha2(F.translate(text, " \t\n\x0b\f\r", "").cast("binary"), 256), "_points": F.length(text).cast("long")})
-    kept = report.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), F.col("n_points").alias("_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")) & (F.col("_points") == F.col("_n"))
-    twin = F.row_number().over(Window.partitionBy("doc_id", "_sha", "_points").orderBy("text"))
-    return sure.unionByName(marked.join(kept, same, "left_semi").withColumn("_twin", twin).filter("_twin = 1").select(*docs.columns))
+    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
+    row, one = fresh(docs.columns, "row"), "struct(*)"
+    marked = maybe.select(F.expr(one).alias(row), F.col("`doc_id`").cast("long").alias("id"), text.alias("whole"), F.sha2(F.translate(text, " \t\n\x0b\f\r", "").cast("binary"), 256).alias("sha"), F.length(text).cast("long").alias("points"))
+    # rows that are alike shrink to one in every part before they are moved
+    marked = marked.groupBy("id", "sha", "points").agg(F.min_by(row, "whole").alias(row))
+    kept = report.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("n_points").alias("k_points"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")) & (F.col("points") == F.col("k_points"))
+    return sure.unionByName(marked.join(kept, same, "left_semi").select(F.col(row).alias("r")).select("r.*"))
