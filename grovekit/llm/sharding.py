@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Slots of the table (a prime, over a hundred for each shard) and the shards of the query.
 TABLE_SIZE = 4099
 SHARDS = tuple(f"shard-{i:02d}" for i in range(32))
@@ -59,7 +61,13 @@ def lookup_table(df: DataFrame, shards: Sequence[str] = SHARDS, size: int = TABL
 
 
 def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """Adds slot and shard to every row; equal keys get equal shards. Columns of those names are replaced."""
-    table = lookup_table(df, shards, size).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    rows = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size))
-    return rows.join(F.broadcast(table), rows["slot"] == table["_slot"], "inner").drop("_slot").withColumnRenamed("_shard", "shard")
+    """Adds slot and shard to every row; equal keys get equal shards, and a null key that of the empty text.
+
+    Columns of the input that are called slot or shard are replaced; all others come back as they are, whatever their
+    names. Repeated rows come back repeated, and an empty table empty.
+    """
+    rest = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    at, name = fresh(rest, "_slot"), fresh(rest, "_shard")
+    table = lookup_table(df, shards, size).select(F.col("slot").alias(at), F.col("shard").alias(name))
+    rows = df.withColumn(at, slot_of(F.col(f"`{key}`"), size)).select(*[f"`{c}`" for c in rest], at)
+    return rows.join(F.broadcast(table), at).select(*[f"`{c}`" for c in rest], F.col(at).alias("slot"), F.col(name).alias("shard"))
