@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import TextBlock, blocks, mix, prefix_hash, project, span_hash
 
@@ -23,8 +24,8 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 _IS_DIGIT = np.zeros(256, bool)
 _IS_DIGIT[48:58] = True
-#: Documents, at most, that cost and selectivity are estimated on, and the share of rows drawn.
-SAMPLE_DOCS, SAMPLE_SHARE = 2000, 0.05
+#: Documents, about, that cost and selectivity are estimated on: the share drawn falls as the table grows.
+SAMPLE_DOCS = 2000
 #: Words in the windows whose repetition is measured.
 REPEAT_WINDOW = 8
 
@@ -134,7 +135,7 @@ RULES = BASE_RULES + VERDICT_RULES
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[float, float]]:
-    """Cost (seconds per byte) and rejected share of each rule on a sample of documents.
+    """Cost (seconds per byte) and rejected share of each rule on a sample of about ``sample_docs`` documents.
 
     Each rule is timed alone, with nothing computed before it. Without rows every rule has cost and share 0.
     """
@@ -149,12 +150,12 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int
             n = len(rules)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(took), pa.array(out, pa.int64()), pa.array([len(block.data)] * n, pa.int64()), pa.array([block.n] * n, pa.int64())], names=["rule", "took", "bad", "bytes", "docs"])
 
-    sample = project(docs, text="string").sample(SAMPLE_SHARE, 7).limit(sample_docs)
-    rows = sample.mapInArrow(trial, "rule string, took double, bad long, bytes long, docs long").collect()
-    total: dict[str, list[float]] = {r.name: [0.0, 0, 0, 0] for r in rules}
-    for name, *x in rows:
-        total[name] = [a + b for a, b in zip(total[name], x)]
-    return {k: (took / max(1, size), bad / max(1, n)) for k, (took, bad, size, n) in total.items()}
+    n = docs.count()  # of a Parquet table: read from its footers
+    sample = project(docs, text="string").sample(min(1.0, sample_docs / max(1, n)), 7)
+    # each part of the table tries its own few documents; only sums by rule are brought together
+    tried = sample.mapInArrow(trial, "rule string, took double, bad long, bytes long, docs long")
+    total = {r[0]: r[1:] for r in tried.groupBy("rule").agg(F.sum("took"), F.sum("bad"), F.sum("bytes"), F.sum("docs")).collect()}
+    return {r.name: (took / max(1, size), bad / max(1, n)) for r in rules for took, bad, size, n in [total.get(r.name, (0.0, 0, 0, 0))]}
 
 
 def plan(figures: dict[str, tuple[float, float]], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
@@ -180,7 +181,11 @@ def cascade(block: TextBlock, order: list[Rule], shared: Measures | None = None)
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows whose text passes all rules, with all their columns. A null text counts as empty, and fails."""
+    """The rows whose text passes all rules, with all their columns as they are, whatever their names.
+
+    A null text counts as empty, and fails. Rows are judged one by one: repeated rows, and those of equal ids, stay or
+    go alike. A very long text is a block of its own and judged whole; an empty table gives an empty one.
+    """
     order = plan(estimate(docs, rules), rules)
     names = docs.columns
 
@@ -199,7 +204,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base figures, base_failed and kept.
 
     The base figures are asked for of every document; the cascade of the other rules sees only those that the base
-    rules leave. Null and empty texts have no word and fail. Rows are judged one by one: repeated rows repeat.
+    rules leave. Null and empty texts have no word and fail. Rows are judged one by one, each on its whole text: repeated
+    rows repeat, null ids stay null. Other columns take no part; an empty table gives an empty report.
     """
     docs = project(docs, doc_id="long", text="string")
     order = plan(estimate(docs, VERDICT_RULES), VERDICT_RULES)
