@@ -5,8 +5,13 @@ tags below it are counted, and its density is the characters per tag, adjusted f
 links scores low. The density sum of a node is the sum over its children, its own text counting as one more child.
 The node with the largest density sum, whatever its element, marks the body: the least density on the path from it to
 the body element is the threshold. From the body down every node that reaches the threshold gives its maximum-sum
-subtree, in page order; what falls below is left out with all that is in it. Lists of links in a chosen subtree that
-fall below the threshold go too.
+subtree, in page order; what falls below is left out with all that is in it. In a chosen subtree, too, what is mostly
+link text goes if it falls below the threshold.
+
+Elements, roles and names of menus, notices, adverts, forms, reader comments and the like are a prior: the text in them
+counts as link text. So it makes no body, weighs against the nodes that hold it, and falls below the threshold wherever
+there is other text; where there is none, names are not believed. A name counts only if all its words are such words: a
+class "search-tips" says nothing.
 
 The logarithm in the composite density grows with the size of a node without links, so a smaller block would have to
 be denser than the whole page that it is part of. A node also reaches the threshold if its characters outside links
@@ -29,21 +34,19 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noframes")}
 _MARKERS = re.compile(r"\b(?:id|class|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: Elements without content, and those whose content is never text of the page.
+#: Elements without content, those whose content is never text of the page, and those around the text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("script style noscript template svg math canvas iframe object audio video head title textarea select button form input nav footer aside menu dialog xmp noframes datalist fieldset label".split())
+_NEVER = frozenset("script style noscript template svg math canvas iframe object audio video head title textarea select button input xmp noframes datalist".split())
+_AROUND = frozenset("nav footer aside menu form dialog".split())
 #: Elements that end a block of text; an inline element does not.
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: An open element of the first kind ends where one of the second kind begins.
 _CLOSES = {"p": _BLOCK - {"br", "body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-#: Words in ids and classes of what surrounds an article; a name that says "with" or "without" such a thing is another matter.
-_CHROME = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|masthead|topbar|toolbar|comments?|commentlist|respond|disqus\w*|repl(?:y|ies)|cookies?\w*|consent\w*|gdpr|notices?|notification\w*|alerts?|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|subscription|signup|login|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|widgets?|pagination|pager|skip(?:link)?|copyright|form|search\w*|tags|tracking|outbrain|taboola)(?:$|[-_])",
-    re.I,
-)
-_HEADER_NAME = re.compile(r"(?:^|[-_])(?:header|head|hero)(?:$|[-_])", re.I)
-_WITH = re.compile(r"^(?:has|with|no|without|is|not)[-_]", re.I)
+#: Words in ids and classes of what surrounds an article; those of it only outside an article; and words beside them.
+_BOILER = frozenset("ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb sidebar aside footer masthead topbar toolbar comment commentlist respond disqus reply replies cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendation widget pagination pager skip skiplink copyright form search tag tags tracking outbrain taboola".split())
+_HEADER = frozenset("header head hero".split())
+_PARTS = frozenset("area article bar block blog body bottom box button buttons card container content count foot google group header icon inline inner item items large left link links list main mobile outer page panel post reader right row section side site slot small story text thread title top unit user wrap wrapper".split())
 _CORE = frozenset("article content main post entry story article-body article-content article-text post-body post-content entry-content entry-body main-content story-body page-content body-text".split())
 _ROLES = frozenset("navigation complementary contentinfo search form alert alertdialog dialog banner".split())
 #: Elements that are pieces of a text, not its container.
@@ -55,31 +58,42 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "dropped", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
+    __slots__ = ("tag", "children", "parent", "dropped", "boiler", "named", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, boiler: bool = False, named: bool = False):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
+        #: What surrounds a text, by its element or role, or by its names.
+        self.boiler, self.named = boiler, named
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.plain = self.total = 0.0
         self.linked, self.peak = False, self
 
 
-def _chrome(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is a menu, a notice, an advert or the like by its tag, role or names."""
-    if tag in _NEVER or (tag == "header" and not inside_article):
+def _boiler_name(name: str, inside_article: bool) -> bool:
+    """Whether a class or id is made of words for what surrounds a text, and of nothing else."""
+    words = [w for w in re.split(r"[-_\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    if not inside_article and words and set(words) <= _HEADER | {"site", "page", "top", "main", "inner", "wrapper", "container"} and _HEADER.intersection(words):
         return True
+    known = lambda w, some: w in some or (w.endswith("s") and w[:-1] in some)
+    return any(known(w, _BOILER) for w in words) and all(known(w, _BOILER) or known(w, _PARTS) for w in words)
+
+
+def _kind(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is never shown or no text; surrounds a text by its element or role; does so by its names."""
+    if tag in _NEVER:
+        return True, False, False
+    around = tag in _AROUND or (tag == "header" and not inside_article)
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False
+        return False, around, False
     if _HIDDEN.search(attrs):
-        return True
+        return True, False, False
+    named = False
     for m in _MARKERS.finditer(attrs):
-        names = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").split()
-        if _CORE.intersection(x.lower() for x in names):
-            continue
-        for x in names:
-            if x in _ROLES or (_CHROME.search(x) and not _WITH.match(x)) or (not inside_article and _HEADER_NAME.search(x)):
-                return True
-    return False
+        names = (m[1] or m[2] or m[3] or "").split()
+        around |= any(x in _ROLES for x in names)
+        if not _CORE.intersection(x.lower() for x in names):
+            named |= any(_boiler_name(x, inside_article) for x in names)
+    return False, around, named
 
 
 def parse(page: str) -> Node:
@@ -131,7 +145,7 @@ def parse(page: str) -> Node:
             up = up.parent
         if tag == "a" and node.tag == "a":
             node = node.parent
-        new = Node(tag, node, _chrome(tag, m[3], article > 0))
+        new = Node(tag, node, *_kind(tag, m[3], article > 0))
         node.children.append(new)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
@@ -160,11 +174,14 @@ def _composite(chars: int, links: int, tags: int, link_tags: int, whole: float)
     return chars / max(1, tags) * math.log(max(x, 1.0) + 1e-9) / max(base, 1e-9)
 
 
-def measure(root: Node) -> list[Node]:
+def measure(root: Node, names: bool = True) -> list[Node]:
     """Densities, density sum and the node of the largest sum in its subtree, of every node that is not dropped."""
     nodes = _post_order(root)
     for n in reversed(nodes):
-        n.linked = n.tag == "a" or (n.parent is not None and n.parent.linked)
+        n.linked = n.tag == "a" or n.boiler or (names and n.named) or (n.parent is not None and n.parent.linked)
+        n.chars = n.links = n.tags = n.link_tags = 0
+        n.density = n.plain = n.total = 0.0
+        n.peak = n
     own = []
     for n in nodes:
         for c in n.children:
@@ -183,7 +200,7 @@ def measure(root: Node) -> list[Node]:
     for n, chars in zip(nodes, own):
         if not n.chars:
             continue
-        n.density = _composite(n.chars, n.links, n.tags, n.link_tags, whole)
+        n.density = 0.0 if n.linked else _composite(n.chars, n.links, n.tags, n.link_tags, whole)
         n.plain = (n.chars - n.links) / max(1, n.tags)
         below = [c for c in n.children if type(c) is Node and not c.dropped]
         n.total = sum(c.density for c in below) + (_composite(chars, 0, 1, 0, whole) if chars and not n.linked else 0.0)
@@ -243,7 +260,8 @@ def _runs(n: Node, least: float) -> set[int]:
 def _text(root: Node, chosen: set[int], around: set[int] = frozenset(), low: float = 0.0, plain: float = 0.0) -> str:
     """Blocks of the chosen subtrees in page order, white space in each turned into one space, joined by one space.
 
-    Of the nodes around them only runs of their own text that reach the threshold stay; in them, all but lists of links.
+    Of the nodes around them only runs of their own text that reach the threshold stay; in them, all but lists of links and
+    what is marked as no text of the page, if they fall below it.
     """
     parts: list[str] = []
     stack: list[tuple[Node | str, bool]] = [(root, False)]
@@ -252,7 +270,8 @@ def _text(root: Node, chosen: set[int], around: set[int] = frozenset(), low: flo
         if type(n) is str:
             parts.append(n if inside else " ")
         elif not n.dropped:
-            links = inside and n.tag in _LISTS and n.link_tags > 1 and 2 * n.links > n.chars and n.density < low and n.plain < plain
+            kind = n.boiler or n.named or (n.tag in _LISTS and n.link_tags > 1)
+            links = inside and kind and 2 * n.links > n.chars and n.density < low and n.plain < plain
             inside = inside or id(n) in chosen
             if links or not (inside or id(n) in around):
                 parts.append("\n")
@@ -267,16 +286,17 @@ def _text(root: Node, chosen: set[int], around: set[int] = frozenset(), low: flo
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page; empty if it has none. A null page counts as empty."""
+    """The main text of a page; empty if it has none, or links alone. A null page counts as empty. Of nodes with equal
+    density sums an article comes first, then the first one that is met from the leaves up."""
     if not page:
         return ""
     root = parse(page)
     measure(root)
-    if not root.chars:
+    if root.links == root.chars:  # no text but such: then names may mean something else
+        measure(root, names=False)
+    if root.links == root.chars:
         return ""
     best = root.peak
-    if not best.total:
-        return _text(root, {id(root)})
     # the least density on the path up to the body is the threshold
     path = [best, *_above(best)]
     low, plain = min(n.density for n in path), min(n.plain for n in path)
@@ -293,7 +313,8 @@ def _above(n: Node) -> Iterator[Node]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every row of ``pages`` from its whole HTML.
 
-    Null HTML gives an empty text, null ids and urls stay null; repeated rows give repeated rows.
+    Null HTML gives an empty text, null ids and urls stay null; repeated rows give repeated rows. A very long page is parsed
+    whole. Other columns take no part; an empty table gives an empty one.
     """
     rows = project(pages, page_id="long", url="string", html="string")
 
