@@ -3,16 +3,18 @@
 A document is the set of its distinct shingles, as 63-bit hashes. Two sets of Jaccard similarity t or more share a
 token among the first ``n - ceil(t * n) + 1`` of each, under any total order of the tokens. So:
 
-* equal sets are one class from the start, and only classes are joined;
+* equal sets (by 128 bits of their sums) are one class from the start, and only classes are joined;
 * the first order puts tokens that recur within parts of the corpus last (a filter of bounded size, and a table of the
   most frequent; any order is exact, so they only save work) and the others in hash order; its prefixes go to buckets by
   token, where most tokens turn out to have one class and are forgotten;
-* classes that share a prefix token are candidates: all pairs of a short list; for a long list pairs with its first
-  class, and once these have been verified, the pairs that are not connected yet;
-* a candidate must also fit in size and in the places of a common prefix token (were it the first one, enough tokens must
-  be left), agree in a parity sketch as far as similarity demands (an exact lower bound of the
-  symmetric difference), and share prefix tokens under each of the further orders; those left are verified in full.
-  Texts, not token sets, are brought together for that: they are smaller.
+* classes that share a prefix token under the first order are candidates: all pairs of a short list; for a long list pairs
+  with its first class, and once these have been verified, the pairs that are not connected yet. A candidate must fit in
+  size and in the places of the common token;
+* candidates must then agree under each of the further orders, whose prefixes are taken along with the classes: they must
+  share a prefix token there too, and as many as the similarity needs beside what lies behind the prefixes. Pairs that
+  fail one order go; texts have not been touched by then. Parity sketches (an exact lower bound of the symmetric
+  difference) hold back some that pass;
+* those left are verified in full. Texts, not token sets, are brought together for that: they are smaller.
 
 No link is lost; links within a component that add nothing are not all looked at. Components come from alternating
 large-star and small-star rounds over written tables.
@@ -27,24 +29,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, span_hash, split_by_ids, text_buffers
+from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, salted_group_stats, span_hash, split_by_ids, text_buffers, text_bytes
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, SIM = 5, (75, 100)
 #: Seeds of the token orders beside the first.
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
-#: Tokens of the frequency table, at most; classes with a token that bring it into the filter; tokens expected there for
-#: each document.
-FREQUENT, FREQUENT_MIN, FREQUENT_SHARE = 1 << 16, 3, 64
+#: Tokens of the frequency table, at most; classes with a token that bring it into the filter; tokens of the filter, at
+#: most: the most frequent ones.
+FREQUENT, FREQUENT_MIN, FILTERED = 1 << 16, 3, 1 << 24
 #: Classes of a token up to which all pairs are candidates at once.
 SHORT_LIST = 4
 #: Classes of a long list that a task compares with one another, or with as many others, on average.
 LIST_BLOCK = 2048
+#: A token with more postings than this in what a task writes at once is split: its postings are dealt by class into
+#: SPLIT lists, so no task holds the list of a token that a large part of the corpus has.
+HOT_POSTINGS, SPLIT = 256, 64
 #: Least bits of a parity sketch, a power of two; a sketch has four bits or more for each token.
 SKETCH = 256
 _SCAN_BYTES = 1 << 20
+#: Classes that a task remembers to have met.
+_SEEN = 1 << 20
 _NULL_ID = np.iinfo(np.int64).min
-_POST = np.dtype([("t", "<u8"), ("c", "<u8"), ("n", "<u4"), ("i", "<u4")])
+#: A posting: token within its bucket, class, size of the set and place in it (up to 65,535: a filter only).
+_POST = np.dtype([("t", "<u4"), ("c", "<u8", 2), ("n", "<u4"), ("i", "<u2")])
+_HOT = np.dtype([("t", "<u8"), ("c", "<u8", 2), ("n", "<u4"), ("i", "<u2")])
 _COUNT = np.dtype([("t", "<u8"), ("n", "<u8")])
 
 
@@ -80,15 +89,38 @@ def shingles(block: TextBlock, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return d[new], t[new]
 
 
-def _fingerprints(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set; equal sets have equal sums."""
-    out = []
-    for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
+def fingerprints(doc: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """Two 64-bit sums over each set, as rows of two numbers; equal sets have equal sums."""
+    out = np.empty((n, 2), np.uint64)
+    edge = np.searchsorted(doc, np.arange(n + 1))
+    for i, seed in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
         total = np.zeros(len(token) + 1, np.uint64)
         np.cumsum(mix(token ^ np.uint64(seed)), dtype=np.uint64, out=total[1:])
-        edge = np.searchsorted(doc, np.arange(n + 1))
-        out.append(mix(total[edge[1:]] - total[edge[:-1]]))
-    return out[0], out[1]
+        out[:, i] = mix(total[edge[1:]] - total[edge[:-1]])
+    return out
+
+
+def _class_array(c: np.ndarray) -> pa.Array:
+    """Rows of two numbers as values of 16 bytes, which sort alike."""
+    return binary_array(np.ascontiguousarray(c.astype(">u8")).view(np.uint8).reshape(-1), 16 * np.arange(len(c) + 1))
+
+
+def _classes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(text_buffers(column)[0].tobytes(), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def _first_seen(cls: np.ndarray, seen: set[bytes]) -> np.ndarray:
+    """Marks the rows whose class this task meets first (as far as it remembers)."""
+    out = np.zeros(len(cls), bool)
+    raw = np.ascontiguousarray(cls).tobytes()
+    if len(seen) > _SEEN:
+        seen.clear()
+    for i in range(len(cls)):
+        c = raw[16 * i : 16 * i + 16]
+        if c not in seen:
+            seen.add(c)
+            out[i] = True
+    return out
 
 
 def _sketches(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +135,6 @@ def _sketches(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, n
     return np.packbits((np.bincount(cell, minlength=edge[-1]) & 1).astype(bool), bitorder="little"), edge // 8
 
 
-def _apart(x: bytes, y: bytes) -> int:
-    """Bits in which two sketches differ, the longer one folded: no more than the tokens that one set alone has."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 def prefix_length(n, sim: tuple[int, int] = SIM):
     """Tokens of the prefix of a set of n."""
     return n - -(-sim[0] * n // sim[1]) + 1
@@ -147,22 +169,74 @@ def _enough_left(n, i, m, j, sim: tuple[int, int]):
     return sim[0] * (n + m) <= (sim[0] + sim[1]) * np.minimum(n - i, m - j)
 
 
-def _first_seen(cls: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Marks the rows whose class this task meets first."""
-    out = np.zeros(len(cls), bool)
-    for i, c in enumerate(cls.tolist()):
-        if c not in seen:
-            seen.add(c)
-            out[i] = True
-    return out
+def profiles(doc: np.ndarray, token: np.ndarray, n: int, sim: tuple[int, int] = SIM) -> pa.Array:
+    """For each set its prefixes under the further orders (32 bits of each key, rising) and its parity sketch."""
+    size = np.bincount(doc, minlength=n)
+    p = np.where(size > 0, prefix_length(size, sim), 0)
+    sketch, edge = _sketches(doc, token, n)
+    words = np.diff(edge) // 4
+    offs = np.concatenate([[0], np.cumsum(len(ORDERS) * p + words)])
+    out = np.empty(offs[-1], "<u4")
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    for k, seed in enumerate(ORDERS):
+        key = mix(token ^ np.uint64(seed))
+        key = key[np.lexsort((key, doc))]
+        place = np.arange(len(doc)) - first[doc]
+        head = place < p[doc]
+        out[(offs[:-1] + k * p)[doc[head]] + place[head]] = (key[head] >> np.uint64(32)).astype(np.uint32)
+    at = np.arange(len(sketch) // 4) + np.repeat(offs[:-1] + len(ORDERS) * p - edge[:-1] // 4, words)
+    out[at] = sketch.view("<u4")
+    return binary_array(out.view(np.uint8), 4 * offs)
+
+
+class Profile:
+    """A profile as read back."""
+
+    __slots__ = ("n", "prefixes", "sketch")
+
+    def __init__(self, raw: bytes, n: int, sim: tuple[int, int]):
+        p = prefix_length(n, sim)
+        a = np.frombuffer(raw, "<u4")
+        self.n, self.prefixes, self.sketch = n, [a[k * p : (k + 1) * p] for k in range(len(ORDERS))], a[len(ORDERS) * p :].view("<u8")
+
+
+def agree_in_orders(x: Profile, y: Profile, sim: tuple[int, int] = SIM) -> bool:
+    """Whether two sets may be similar by their prefixes under each further order.
+
+    They must have a prefix token in common. Below the lower end of the two prefixes all tokens of both sets are known;
+    those in common there and what either set has beside them must make up the overlap that the similarity needs.
+    """
+    need = sim[0] * (x.n + y.n)  # the overlap, times sim[0] + sim[1]
+    for p, q in zip(x.prefixes, y.prefixes):
+        both = np.sort(np.concatenate([p, q]))
+        same = both[1:][both[1:] == both[:-1]]
+        if not len(same):
+            return False
+        end = min(p[-1], q[-1])
+        common = int(np.searchsorted(same, end))
+        rest = min(x.n - int(np.searchsorted(p, end)), y.n - int(np.searchsorted(q, end)))
+        if (sim[0] + sim[1]) * (common + rest) < need:
+            return False
+    return True
+
+
+def agree_in_sketch(x: Profile, y: Profile, sim: tuple[int, int] = SIM) -> bool:
+    """Whether the sketches, the longer one folded, differ in no more bits than the sets may: |x ^ y| is at most
+    (1 - t) / (1 + t) * (|x| + |y|), and each token of one set alone changes one bit."""
+    a, b = x.sketch, y.sketch
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (x.n + y.n)
 
 
 def jaccard_sets(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, cls, check (two fingerprints of the set), sketch; kind 1: payload of counts of frequent tokens."""
+    """kind 0: doc_id, n, cls (128 bits of the set); kind 1: payload of counts of frequent tokens."""
     docs = project(docs, doc_id="long", text="string")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held, size = [], 0
 
         def frequent() -> Iterator[pa.RecordBatch]:
@@ -170,16 +244,15 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
             r = np.empty(int((n > 1).sum()), _COUNT)
             r["t"], r["n"] = t[n > 1], n[n > 1]
             if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([None], pa.int64())] * 4, pa.array([r.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([None], pa.int64())] * 2, pa.array([None], pa.binary()), pa.array([r.tobytes()], pa.binary())], names=names)
 
-        names = ["kind", "doc_id", "n", "cls", "check", "payload"]
+        names = ["kind", "doc_id", "n", "cls", "payload"]
         for batch, block in blocks(batches, limit=_SCAN_BYTES):
             doc, token = shingles(block)
-            a, b = _fingerprints(doc, token, block.n)
-            sketch = binary_array(*_sketches(doc, token, block.n))
+            cls = fingerprints(doc, token, block.n)
             count = np.bincount(doc, minlength=block.n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n, np.int32)), batch.column(0), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), sketch], names=names)
-            held.append(token[_first_seen(a, seen)[doc]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n, np.int32)), batch.column(0), pa.array(count.astype(np.int64)), _class_array(cls), pa.nulls(block.n, pa.binary())], names=names)
+            held.append(token[_first_seen(cls, seen)[doc]])
             size += len(held[-1])
             if size > 4_000_000:
                 yield from frequent()
@@ -187,15 +260,26 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
         if size:
             yield from frequent()
 
-    return docs.mapInArrow(scan, "kind int, doc_id long, n long, cls long, check long, payload binary")
+    return docs.mapInArrow(scan, "kind int, doc_id long, n long, cls binary, payload binary")
 
 
-def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple:
+def _order_key(token: np.ndarray, known: tuple) -> np.ndarray:
+    """The first order: tokens that recur in no part by hash, then those of the filter, then the table by rising count."""
+    held, frequent, rank = known
+    low = token >> np.uint64(1)
+    key = np.where(held_ids(held, token), low + np.uint64(1 << 62), low)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
+        key = np.where(frequent[at] == token, np.uint64(1 << 63) + rank[at], key)
+    return key
+
+
+def _frequent_tokens(sets: DataFrame, size: int, scratch: Scratch) -> tuple:
     """What the first order goes by: a filter of the tokens that recur, and the most frequent ones with their ranks by
     count. Both are of bounded size."""
     spark = sets.sparkSession
-    buckets = bucket_count(spark, 0, 4)
-    most = max(1, FREQUENT // buckets)
+    buckets = bucket_count(spark, size // 2)
+    most, filtered = max(1, FREQUENT // buckets), max(1, FILTERED // buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = BucketWriter(buckets, _COUNT)
@@ -210,7 +294,8 @@ def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tupl
         out = np.empty(len(t), _COUNT)
         out["t"], out["n"] = t, np.bincount(at, weights=r["n"]).astype(np.uint64)
         out = out[out["n"] >= FREQUENT_MIN]
-        top = out[np.lexsort((out["t"], out["n"]))][-most:]
+        out = out[np.lexsort((out["t"], out["n"]))][-filtered:]
+        top = out[-most:]
         return pa.table({"payload": pa.array([out.tobytes()], pa.binary()), "top": pa.array([top.tobytes()], pa.binary())})
 
     rows = scratch.save(sets.filter("kind = 1").select("payload").mapInArrow(deal, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(add, "payload binary, top binary"))
@@ -219,8 +304,10 @@ def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tupl
         for b in batches:
             yield read_payloads(b, _COUNT)["t"]
 
-    held = id_filter(rows.select("payload"), tokens, FREQUENT_SHARE * docs.count())
-    tops = [np.frombuffer(bytes(x[0]), _COUNT) for x in rows.select("top").collect()]
+    n_tokens = (rows.agg(F.sum(F.length("payload"))).first()[0] or 0) // _COUNT.itemsize
+    held = id_filter(rows.select("payload"), tokens, n_tokens)
+    # FREQUENT tokens at most, or the first one of each bucket where there are more buckets than that
+    tops = [np.frombuffer(bytes(x[0]), _COUNT) for x in rows.orderBy(F.length("top").desc()).limit(FREQUENT).select("top").collect()]
     r = np.concatenate(tops) if tops else np.empty(0, _COUNT)
     rank = np.empty(len(r), np.uint64)
     rank[np.lexsort((r["t"], r["n"]))] = np.arange(len(r), dtype=np.uint64)
@@ -229,31 +316,38 @@ def _frequent_tokens(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> tupl
 
 
 def _lists(r: np.ndarray, short: int, sim: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of the postings of a bucket: candidate pairs, and the postings of each token with more than ``short`` classes.
+    """Of postings: candidate pairs (rows of four numbers as two classes), and the postings of each token with more than
+    ``short`` classes, or with a posting of size 0: the sign that its list is split.
 
     In a long list a class is paired with the first one, by size, that it may be similar to, and with the next in an order
     that differs from list to list, so that large groups are well connected at once.
     """
-    r = r[np.lexsort((r["c"], r["t"]))]
-    new = np.ones(len(r), bool)
-    new[1:] = (r["t"][1:] != r["t"][:-1]) | (r["c"][1:] != r["c"][:-1])
-    r = r[new]
+    r = r[np.lexsort((r["c"][:, 1], r["c"][:, 0], r["t"]))]
+    same_t = np.zeros(len(r), bool)
+    same_t[1:] = r["t"][1:] == r["t"][:-1]
+    r = r[~(same_t & np.concatenate([[False], (r["c"][1:] == r["c"][:-1]).all(1)]))] if len(r) else r
     new = np.ones(len(r), bool)
     new[1:] = r["t"][1:] != r["t"][:-1]
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(r)))
+    split = np.add.reduceat(r["n"] == 0, start, dtype=np.int64) > 0 if len(start) else np.zeros(0, bool)
     a, b, long = [], [], []  # places of the postings
     for s in range(2, short + 1):
-        rows = start[size == s]
+        rows = start[(size == s) & ~split]
         if len(rows):
             members = rows[:, None] + np.arange(s)[None, :]
             i, j = np.triu_indices(s, 1)
             a.append(members[:, i].ravel()), b.append(members[:, j].ravel())
-    for x, s in zip(start[size > short].tolist(), size[size > short].tolist()):
-        members = x + np.lexsort((r["c"][x : x + s], r["n"][x : x + s]))
+    far = (size > short) | split
+    for x, s in zip(start[far].tolist(), size[far].tolist()):
+        members = x + np.lexsort((r["c"][x : x + s, 1], r["c"][x : x + s, 0], r["n"][x : x + s]))
+        members = members[r["n"][members] > 0]
+        s = len(members)
+        if not s:
+            continue
         n = r["n"][members].astype(np.int64)
         long.append(r[members])
-        shuffled = members[np.argsort(mix(r["c"][members] ^ r["t"][x]))]
+        shuffled = members[np.argsort(mix(r["c"][members, 0] ^ r["t"][x]))]
         a.append(shuffled[:-1]), b.append(shuffled[1:])
         first = 0
         while first < s:
@@ -261,112 +355,184 @@ def _lists(r: np.ndarray, short: int, sim: tuple[int, int]) -> tuple[np.ndarray,
             a.append(np.full(last - first - 1, members[first])), b.append(members[first + 1 : last])
             first = last
     if not a:
-        z = np.zeros(0, np.uint64)
+        z = np.zeros((0, 2), np.uint64)
         return z, z, long
     a, b = np.concatenate(a), np.concatenate(b)
     (n, i), (m, j) = ((r["n"][x].astype(np.int64), r["i"][x].astype(np.int64)) for x in (a, b))
     ok = _enough_left(n, i, m, j, sim)
     x, y = r["c"][a[ok]], r["c"][b[ok]]
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    order = np.lexsort((y, x))
+    swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+    x, y = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
+    order = np.lexsort((y[:, 1], y[:, 0], x[:, 1], x[:, 0]))
     x, y = x[order], y[order]
     keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    keep[1:] = (x[1:] != x[:-1]).any(1) | (y[1:] != y[:-1]).any(1)
     return x[keep], y[keep], long
 
 
-def _candidates(docs: DataFrame, known: tuple, sim: tuple[int, int]) -> DataFrame:
-    """Rows a, b (candidate classes, a before b), or list_id and members (the classes of a long list)."""
+_FOUND = "a binary, b binary, list_id long, sub long, members array<struct<cls:binary,n:long,i:long>>"
+
+
+def _candidates(docs: DataFrame, known: tuple, size: int, sim: tuple[int, int]) -> DataFrame:
+    """Rows a, b (candidate classes, a before b), or list_id, sub and members: up to LIST_BLOCK classes of a long list."""
     spark = docs.sparkSession
-    buckets = bucket_count(spark, 0, 4)
+    buckets = bucket_count(spark, size, 4)
     held, table = known[0], spark.sparkContext.broadcast(known[1:])
     docs = project(docs, doc_id="long", text="string")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = (held.value, *table.value)
-        seen: set[int] = set()
-        w = BucketWriter(buckets, _POST)
+        seen: set[bytes] = set()
+        w, hot = BucketWriter(buckets, _POST), BucketWriter(buckets + SPLIT * buckets, _HOT)
+        held_rows, count = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            r = np.concatenate(held_rows)
+            held_rows.clear()
+            t, at, n = np.unique(r["t"], return_inverse=True, return_counts=True)
+            often = (n > HOT_POSTINGS)[at]
+            if often.any():
+                x = r[often]
+                part = (mix(x["c"][:, 0]) % np.uint64(SPLIT)).astype(np.int64)
+                yield from hot.add(buckets + part * buckets + (x["t"] % np.uint64(buckets)).astype(np.int64), x)
+                sign = np.zeros(int((n > HOT_POSTINGS).sum()), _HOT)  # tells the bucket of the token
+                sign["t"] = t[n > HOT_POSTINGS]
+                r = np.concatenate([r[~often], sign])
+            x = np.empty(len(r), _POST)
+            x["t"], x["c"], x["n"], x["i"] = (r["t"] // np.uint64(buckets)).astype(np.uint32), r["c"], r["n"], r["i"]
+            yield from w.add((r["t"] % np.uint64(buckets)).astype(np.int32), x)
+
         for _, block in blocks(batches, limit=_SCAN_BYTES):
             doc, token = shingles(block)
-            cls, _ = _fingerprints(doc, token, block.n)
+            cls = fingerprints(doc, token, block.n)
             mine = _first_seen(cls, seen)[doc]
             doc, token = doc[mine], token[mine]
-            doc, token, size, place = _prefixes(doc, token, _order_key(token, order), block.n, sim)
-            r = np.empty(len(doc), _POST)
-            r["t"], r["c"], r["n"], r["i"] = token, cls[doc], size, place
-            yield from w.add((token % np.uint64(buckets)).astype(np.int32), r)
+            doc, token, n, place = _prefixes(doc, token, _order_key(token, order), block.n, sim)
+            r = np.empty(len(doc), _HOT)
+            r["t"], r["c"], r["n"], r["i"] = token, cls[doc], n, np.minimum(place, 65535)
+            held_rows.append(r)
+            count += len(r)
+            if count > 400_000:
+                yield from out()
+                count = 0
+        if held_rows:
+            yield from out()
         yield from w.flush()
-
-    def pair(t: pa.Table) -> pa.Table:
-        # classes are compared as signed numbers from here on, as Spark does
-        r = read_payloads(t, _POST)
-        a, b, long = _lists(r, SHORT_LIST, sim)
-        a, b = a.view(np.int64), b.view(np.int64)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        none, kind = len(long), pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64()), ("i", pa.int64())]))
-        joined = np.concatenate(long) if long else np.empty(0, _POST)
-        members = pa.StructArray.from_arrays([pa.array(joined["c"].view(np.int64) if len(joined) else np.zeros(0, np.int64)), pa.array(joined["n"].astype(np.int64)), pa.array(joined["i"].astype(np.int64))], ["cls", "n", "i"])
-        members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in long])]).astype(np.int32)), members)
+        yield from hot.flush()
+
+    def pair(key: tuple, t: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        if bucket < buckets:
+            r = read_payloads(t, _POST)
+            whole = np.empty(len(r), _HOT)
+            whole["t"], whole["c"], whole["n"], whole["i"] = r["t"].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), r["c"], r["n"], r["i"]
+        else:  # the token's low bits: as its bucket has them
+            r = read_payloads(t, _HOT)
+            whole = r.copy()
+            whole["t"] = ((r["t"] // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) + r["t"] % np.uint64(buckets)
+        # a part of a split list is a list of its own, whatever its length
+        a, b, long = _lists(whole, SHORT_LIST if bucket < buckets else 0, sim)
+        pieces = [(int(x["t"][0]), (bucket // buckets << 32) + k, x[k : k + LIST_BLOCK]) for x in long for k in range(0, len(x), LIST_BLOCK)]
+        none, kind = len(pieces), pa.list_(pa.struct([("cls", pa.binary()), ("n", pa.int64()), ("i", pa.int64())]))
+        joined = np.concatenate([x for _, _, x in pieces]) if pieces else np.empty(0, _HOT)
+        members = pa.StructArray.from_arrays([_class_array(joined["c"]), pa.array(joined["n"].astype(np.int64)), pa.array(joined["i"].astype(np.int64))], ["cls", "n", "i"])
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for _, _, x in pieces])]).astype(np.int32)), members)
         return pa.table({
-            "a": pa.concat_arrays([pa.array(a), pa.nulls(none, pa.int64())]), "b": pa.concat_arrays([pa.array(b), pa.nulls(none, pa.int64())]),
-            "list_id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([int(x["t"][0].view(np.int64)) for x in long], pa.int64())]),
+            "a": pa.concat_arrays([_class_array(a), pa.nulls(none, pa.binary())]), "b": pa.concat_arrays([_class_array(b), pa.nulls(none, pa.binary())]),
+            "list_id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([x for x, _, _ in pieces], pa.int64())]),
+            "sub": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([x for _, x, _ in pieces], pa.int64())]),
             "members": pa.concat_arrays([pa.nulls(len(a), kind), members.cast(kind)]),
         })
 
-    return docs.mapInArrow(post, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(pair, "a long, b long, list_id long, members array<struct<cls:long,n:long,i:long>>")
-
-
-def similar(x: np.ndarray, y: np.ndarray, sim: tuple[int, int] = SIM, orders: tuple[int, ...] = ORDERS) -> bool:
-    """Whether two sets (sorted tokens) link: prefix filters under all orders first, then the exact comparison."""
-    m, n = len(x), len(y)
-    if sim[1] * min(m, n) < sim[0] * max(m, n):
-        return False
-    for seed in orders:
-        p, q = prefix_length(m, sim), prefix_length(n, sim)
-        kx, ky = mix(x ^ np.uint64(seed)), mix(y ^ np.uint64(seed))
-        px = np.partition(kx, p - 1)[:p] if p < m else kx
-        py = np.partition(ky, q - 1)[:q] if q < n else ky
-        both = np.sort(np.concatenate([px, py]))
-        if not (both[1:] == both[:-1]).any():
-            return False
+    return docs.mapInArrow(post, BucketWriter.SCHEMA).groupBy("bucket").applyInArrow(pair, _FOUND)
+
+
+def similar(x: np.ndarray, y: np.ndarray, sim: tuple[int, int] = SIM) -> bool:
+    """Whether two sets (sorted tokens) link."""
     both = np.sort(np.concatenate([x, y]))
     common = int((both[1:] == both[:-1]).sum())
-    return sim[1] * common >= sim[0] * (m + n - common)
+    return sim[1] * common >= sim[0] * (len(x) + len(y) - common)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that link."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+def _ids_of(columns: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            for k in columns:
+                yield b.column(k).to_numpy()
+
+    return run
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, columns: tuple[int, ...]) -> DataFrame:
+    """doc_id and text of the documents that the columns of ``ids`` name (and some others)."""
+    wanted = id_filter(ids, _ids_of(columns), len(columns) * ids.count())
+    return in_filter(project(docs, doc_id="long", text="string"), wanted)
+
+
+def _profiles(docs: DataFrame, found: DataFrame, classes: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
+    """cls, n, rep, profile of the classes that candidates and long lists have, out of the text of one document of each."""
+    named = found.select(F.explode(F.when(F.col("a").isNotNull(), F.array("a", "b")).otherwise(F.col("members.cls"))).alias("cls")).distinct()
+    wanted = scratch.save(classes.join(named, "cls").select("cls", "n", "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for _, block in blocks(batches, limit=_SCAN_BYTES):
+            doc, token = shingles(block)
+            cls = fingerprints(doc, token, block.n)
+            mine = pa.array(_first_seen(cls, seen))
+            yield pa.RecordBatch.from_arrays([_class_array(cls).filter(mine), profiles(doc, token, block.n, sim).filter(mine)], names=["cls", "profile"])
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = _texts_of(docs, wanted.select("rep"), (0,)).mapInArrow(run, "cls binary, profile binary")
+    return scratch.save(wanted.join(made.groupBy("cls").agg(F.first("profile").alias("profile")), "cls"))
+
+
+def _in_pairs(pairs: DataFrame, profile: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """a, b, a_rep, b_rep: the candidate pairs that sizes, the further orders and sketches leave."""
+    side = lambda x: profile.select(F.col("cls").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("profile").alias(f"{x}_profile"))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(b.column(6), b.column(7))], np.int64)
-            # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
-            ok = apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (b.column(4).to_numpy() + b.column(5).to_numpy())
+            ok = []
+            for m, n, p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6), b.column(7)):
+                x, y = Profile(p.as_py(), m, sim), Profile(q.as_py(), n, sim)
+                ok.append(agree_in_orders(x, y, sim) and agree_in_sketch(x, y, sim))
             yield b.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(ok, pa.bool_()))
 
     fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") * sim[1] >= F.greatest("a_n", "b_n") * sim[0])
-    near = fit.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(sketch, "a long, b long, a_rep long, b_rep long")
-    return _verify_near(near, docs, scratch, sim)
+    return fit.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_profile", "b_profile").mapInArrow(agree, "a binary, b binary, a_rep long, b_rep long")
 
 
-def _near_in_lists(member: DataFrame, classes: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """a, b, a_rep, b_rep: pairs of one list and different labels that sizes, places and sketches leave.
+def _in_lists(member: DataFrame, profile: DataFrame, sim: tuple[int, int], block: int = LIST_BLOCK) -> DataFrame:
+    """a, b, a_rep, b_rep: pairs of one list and different labels that sizes, places, sketches and the further orders leave.
 
-    A list of k classes (column ``size``) is dealt by class into k / LIST_BLOCK blocks, and each pair of blocks is a group
-    of its own, so no task holds a whole list; pairs that fail are never written.
+    member: list_id, sub, cls, label, n, i, in pieces (list_id, sub) of bounded size. Classes of a list's commonest label
+    are connected already, so pairs have one class of another label at least: those are dealt by class into blocks, and so
+    are the former; each pair of blocks is a group of its own, so no task holds a whole list, and pairs that fail are never
+    written. The work of a list grows with its size times the number of its classes that are not connected to the rest.
     """
-    rows = member.join(classes.select("cls", "rep", "sketch"), "cls")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("list_id", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "label", "n", "i", "rep", "sketch")
+    by_label = member.groupBy("list_id", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists = by_label.groupBy("list_id").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("n_top"), F.sum("c").alias("size")).filter("n_top < size")
+    # to the pieces first: a piece is small, a list may not be
+    pieces = member.select("list_id", "sub").distinct().join(lists, "list_id")
+    rows = member.join(pieces, ["list_id", "sub"]).join(profile.select("cls", "rep", "profile"), "cls")
+    tops, others = F.ceil(F.col("n_top") / block), F.ceil((F.col("size") - F.col("n_top")) / block)
+    is_top = F.col("label") == F.col("top")
+    rows = rows.withColumn("own", F.when(is_top, F.pmod(F.xxhash64("cls"), tops)).otherwise(-1 - F.pmod(F.xxhash64("cls"), others)))
+    rows = rows.withColumn("other", F.explode(F.when(is_top, F.sequence(-others, F.lit(-1).cast("long"))).otherwise(F.sequence(-others, tops - 1))))
+    rows = rows.select("list_id", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "label", "n", "i", "rep", "profile")
 
     def pairs(t: pa.Table) -> pa.Table:
-        cls, label, n, i, rep, own_block = (t.column(c).to_numpy() for c in ("cls", "label", "n", "i", "rep", "own"))
+        n, i, rep, own_block = (t.column(c).to_numpy() for c in ("n", "i", "rep", "own"))
+        cls, label = t.column("cls").to_pylist(), np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
         across = t.column("p")[0] != t.column("q")[0]
-        sketches = [x.as_py() for x in t.column("sketch")]
-        order = np.lexsort((cls, n))
-        out: list[tuple[int, int, int, int]] = []
+        made = [Profile(x.as_py(), m, sim) for x, m in zip(t.column("profile"), n.tolist())]
+        by_size = {}
+        for k, x in enumerate(made):
+            by_size.setdefault(len(x.sketch), []).append(k)
+        sketches = {m: (np.array(ks), np.stack([made[k].sketch for k in ks])) for m, ks in by_size.items()}
+        row_of = {k: r for ks, _ in sketches.values() for r, k in enumerate(ks.tolist())}
+        order = np.lexsort((label, n))
+        out: list[tuple] = []
         for at in range(len(order)):
             x = order[at]
             last = int(np.searchsorted(n[order] * sim[0], n[x] * sim[1], "right"))
@@ -374,35 +540,28 @@ def _near_in_lists(member: DataFrame, classes: DataFrame, sim: tuple[int, int])
             y = y[(label[y] != label[x]) & _enough_left(n[x], i[x], n[y], i[y], sim)]
             if across:
                 y = y[own_block[y] != own_block[x]]
-            if not len(y):
-                continue
-            mine = np.frombuffer(sketches[x], np.uint64)
-            for size in {len(sketches[k]) for k in y.tolist()}:  # longer sketches fold to the length of the shorter
-                part = np.array([k for k in y.tolist() if len(sketches[k]) == size])
-                theirs = np.frombuffer(b"".join(sketches[k] for k in part.tolist()), np.uint64).reshape(len(part), -1)
-                own = mine
+            for size, (_, matrix) in sketches.items():  # longer sketches fold to the length of the shorter
+                part = y[[len(made[k].sketch) == size for k in y.tolist()]] if len(sketches) > 1 else y
+                if not len(part):
+                    continue
+                theirs, own = matrix[[row_of[k] for k in part.tolist()]], made[x].sketch
                 while theirs.shape[1] > len(own):
                     theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
                 while len(own) > theirs.shape[1]:
                     own = own[: len(own) // 2] ^ own[len(own) // 2 :]
                 apart = np.bitwise_count(theirs ^ own).sum(1).astype(np.int64)
                 for k in part[apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (n[x] + n[part])].tolist():
-                    out.append((cls[x], cls[k], rep[x], rep[k]) if cls[x] < cls[k] else (cls[k], cls[x], rep[k], rep[x]))
-        return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("a", "b", "a_rep", "b_rep"))})
+                    if agree_in_orders(made[x], made[k], sim):
+                        out.append((cls[x], cls[k], rep[x], rep[k]) if cls[x] < cls[k] else (cls[k], cls[x], rep[k], rep[x]))
+        return pa.table({c: pa.array([o[k] for o in out], kind) for k, (c, kind) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("a_rep", pa.int64()), ("b_rep", pa.int64())))})
 
-    return rows.groupBy("list_id", "p", "q").applyInArrow(pairs, "a long, b long, a_rep long, b_rep long").distinct()
+    return rows.groupBy("list_id", "p", "q").applyInArrow(pairs, "a binary, b binary, a_rep long, b_rep long").distinct()
 
 
-def _verify_near(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
-    """Of near pairs those that link, by their texts."""
+def _verified(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
+    """Of near pairs (a, b, a_rep, b_rep) those that link, by their texts."""
     near = scratch.save(near)
-
-    def reps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            yield np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])
-
-    wanted = id_filter(near.select("a_rep", "b_rep"), reps, 2 * near.count())
-    found = in_filter(project(docs, doc_id="long", text="string"), wanted).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    found = _texts_of(docs, near.select("a_rep", "b_rep"), (0, 1)).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,31 +573,30 @@ def _verify_near(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[
                 for column in (2, 3):
                     block = TextBlock(*text_buffers(b.column(column)))
                     doc, token = shingles(block)
-                    edge = np.searchsorted(doc, np.arange(block.n + 1))
-                    sides.append((token, edge, _fingerprints(doc, token, block.n)[0].view(np.int64)))
+                    sides.append((token, np.searchsorted(doc, np.arange(block.n + 1)), fingerprints(doc, token, block.n)))
                 (x, i, cx), (y, j, cy) = sides
                 # a row that repeats an id with another text is not the one meant
-                meant = (cx == b.column(0).to_numpy()) & (cy == b.column(1).to_numpy())
+                meant = (cx == _classes(b.column(0))).all(1) & (cy == _classes(b.column(1))).all(1)
                 ok = [bool(m) and similar(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], sim) for k, m in enumerate(meant)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     whole = near.join(found.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("x")), "a_rep").join(found.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("y")), "b_rep")
-    return scratch.save(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    return scratch.save(whole.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct())
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, label: the least node of the component, for every node of an edge (a, b). Nothing is collected."""
+    """node, label: the least node of the component, for every node of an edge (a, b). Nothing is collected, and the rows
+    of a node with very many neighbours are spread over tasks."""
     now = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    spread = lambda df: salted_group_stats(df, ["u"], F.xxhash64("v"), {"m": F.min("v")}, {"m": F.min}, 16)
     before = None
     while True:
         # large star: neighbours above u, and u's least neighbour
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        both = spread(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: neighbours below u, linked to the least of them
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        low = spread(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.save(small)
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
@@ -453,19 +611,19 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Texts without words, null ones included, have empty sets and link with nothing. Rows with one doc_id count as one
-    document, so their classes are linked; a null doc_id comes before all others. Extra columns take no part.
+    document, so their classes are linked; a null doc_id comes before all others. A very long text is shingled whole. Extra
+    columns take no part; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sets = scratch.save(jaccard_sets(docs))
-    base = sets.filter("kind = 0").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n", "cls", "check", F.col("payload").alias("sketch"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt"))
-    one = base.filter("n > 0").groupBy("cls", "_salt").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("s"), F.min("check").alias("low"), F.max("check").alias("high"))
-    classes = one.groupBy("cls").agg(F.min("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("_salt").alias("salts"))
-    classes = scratch.save(classes.select("cls", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch"), (F.col("low") == F.col("high")).alias("sure"), "salts"))
-    if classes.filter("NOT sure").limit(1).count():
-        raise ValueError("two different sets share a 64-bit fingerprint")
-    found = scratch.save(_candidates(docs, _frequent_tokens(sets, docs, scratch), sim))
-    edges = _verify(found.filter("a IS NOT NULL").select("a", "b").distinct(), classes, docs, scratch, sim)
+    size = text_bytes(docs)
+    sets = scratch.save(jaccard_sets(docs).withColumn("row", F.monotonically_increasing_id()))
+    base = sets.filter("kind = 0").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n", "cls", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("_salt"))
+    one = base.filter("n > 0").groupBy("cls", "_salt").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    classes = scratch.save(one.groupBy("cls").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.collect_list("_salt").alias("salts")))
+    found = scratch.save(_candidates(docs, _frequent_tokens(sets, size, scratch), size, sim))
+    profile = _profiles(docs, found, classes, scratch, sim)
+    edges = _verified(_in_pairs(found.filter("a IS NOT NULL").select("a", "b").distinct(), profile, sim), docs, scratch, sim)
     # ids that have several classes, or one and an empty set
     shared = base.groupBy("doc_id").agg(F.min(F.when(F.col("n") > 0, F.col("cls"))).alias("low"), F.max(F.when(F.col("n") > 0, F.col("cls"))).alias("high"), F.min("n").alias("least"))
     shared = scratch.save(shared.filter("low < high OR (low IS NOT NULL AND least = 0)"))
@@ -473,24 +631,22 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     if repeats:
         edges = scratch.save(edges.unionByName(base.filter("n > 0").select("doc_id", F.col("cls").alias("b")).join(shared.select("doc_id", F.col("low").alias("a")), "doc_id").filter("a <> b").select("a", "b").distinct()))
     labels = components(edges, scratch)
-    long = found.filter("members IS NOT NULL").select("list_id", "members")
+    long = found.filter("members IS NOT NULL").select("list_id", "sub", "members")
     if long.limit(1).count():
         # pairs of a long list that are not connected yet
-        member = long.select("list_id", F.explode("members").alias("m")).select("list_id", "m.*").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = member.groupBy("list_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("list_id", "size")
-        member = member.join(mixed, "list_id")
-        more = _verify_near(_near_in_lists(member, classes, sim), docs, scratch, sim)
+        member = long.select("list_id", "sub", F.explode("members").alias("m")).select("list_id", "sub", "m.*")
+        member = scratch.save(member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+        more = _verified(_in_lists(member, profile, sim), docs, scratch, sim)
         if more.limit(1).count():
             labels = components(edges.unionByName(more), scratch)
     # from classes to the smallest doc_id of a component, and to all documents
     known = classes.select("cls", "rep", "salts").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    known = scratch.save(known)
-    least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = known.join(least, "label").select(F.col("cls").alias("_cls"), F.explode("salts").alias("_s"), "component_id")
+    known = scratch.save(salted_group_stats(known, ["label"], F.xxhash64("cls"), {"component_id": F.min("rep")}, {"component_id": F.min}).drop("_salt"))
+    of_class = known.select(F.col("cls").alias("_cls"), F.explode("salts").alias("_s"), "component_id")
     full = base.filter("n > 0").join(of_class, (F.col("cls") == F.col("_cls")) & (F.col("_salt") == F.col("_s"))).select("doc_id", "n", "component_id")
     none = base.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     if repeats:
-        of_id = shared.filter("least = 0").select("doc_id", F.col("low").alias("cls")).join(known, "cls").join(least, "label").select("doc_id", F.col("component_id").alias("_of"))
+        of_id = shared.filter("least = 0").select("doc_id", F.col("low").alias("cls")).join(known, "cls").select("doc_id", F.col("component_id").alias("_of"))
         none = none.join(of_id, "doc_id", "left").select("doc_id", "n", F.coalesce("_of", "component_id").alias("component_id"))
     out = full.unionByName(none)
     null = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
@@ -498,8 +654,12 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns."""
+    """One document of each component, that with the smallest doc_id, with all its columns as they are.
+
+    Rows that repeat the doc_id that stays all stay, with whatever texts; so do rows without a doc_id, and documents without
+    words. An empty table gives an empty one.
+    """
     scratch = Scratch(docs.sparkSession)
     dropped = scratch.save(near_duplicates(docs, sim).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     sure, maybe = split_by_ids(docs, dropped)
-    return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*docs.columns))
+    return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
