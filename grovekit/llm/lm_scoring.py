@@ -1,46 +1,96 @@
 """Language-model scores of documents by deleted interpolation.
 
-A bigram model: the probability of a word after another is a mixture of maximum-likelihood estimates,
+A trigram model: the probability of a word w after u v is a mixture of maximum-likelihood estimates,
 
-    l2[k] * c(u v) / c(u)  +  l1[k] * c(v) / N  +  l0[k] / (V + 1),
+    l3[k] * c(u v w) / c(u v)  +  l2[k] * c(v w) / c(v)  +  l1[k] * c(w) / N  +  l0[k] / (V + 1),
 
-with weights for each bucket k of the context's frequency, ``1 + floor(log2 c(u))``. The weights are learned by
-expectation-maximisation on counts held out (deleted) from the training part; then all training counts are used.
+with weights for each bucket k of the context's frequency: by ``floor(log2 c(u v))``, or by ``floor(log2 c(v))`` where the
+pair u v has not been seen. The weights are learned by expectation-maximisation on counts held out (deleted) from the
+training part, until they stand still; then all training counts are used.
 
-Counts cover the whole training part and are never gathered in one place. Documents are dealt into chunks by a hash.
-Each chunk asks, for its distinct words and bigrams, the bucket of each for its counts; buckets add up what the chunks
-bring and answer in the order of the question, so an answer is a count or two for each key. No table of words or
-bigrams is broadcast. Words are told apart by 64 bits, bigrams by 38 bits beside their bucket.
+Counts cover the whole training part and are never gathered in one place. Texts are packed into chunks, in the tasks that
+read them. Each chunk asks, for its distinct words, bigrams and trigrams, the bucket of each for its counts; buckets add
+up what the chunks bring and answer in the order of the question, so an answer is a count or two for each key. A chunk sends
+one message to a bucket at most, and none without a key: messages are no more than keys, and keys no more than tokens. No
+table of words or bigrams is broadcast. Words are told apart by 64 bits, bigrams and trigrams by 38 bits beside their
+bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, TextBlock, mix, prefix_hash, project, span_hash, text_buffers
+from .common import Scratch, TextBlock, blocks, bucket_count, mix, prefix_hash, project, span_hash, text_buffers
 
 #: Tokens that are no words: the end of a text, and the context of its first token.
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 #: Parts of ten by document: scored only; counts deleted from training for the mixture weights.
 HELD_OUT, DELETED = 0, 1
-#: Buckets of context frequency; steps of the histogram that EM runs on, for each power of two; rounds of EM.
-BUCKETS, STEPS, ROUNDS = 48, 4, 60
+#: Buckets of context frequency: HALF by the word before, as many by the two words before.
+HALF = 24
+BUCKETS = 2 * HALF
+#: Rounds of EM, at most, and the change of a weight from which on it goes on.
+ROUNDS, STILL = 200, 1e-6
 #: Least weight of each component, so that no probability is zero.
 FLOOR = 1e-6
 _KEY_BITS = 38
-#: Bytes of text in a chunk, and share of a bucket in all counts: what one task holds at once. Every chunk asks every
-#: bucket, so their number goes by the size of the texts alone.
-CHUNK_BYTES = 5 << 20
+#: Bytes of text in a chunk: what one task holds at once.
+CHUNK_BYTES = 8 << 20
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """chunk, size, payload: the documents (doc_id, text, part) of a chunk, compressed. Deleted ones have even chunks."""
+    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)).cast("int")
+    docs = project(docs, doc_id="long", text="string").withColumn("part", part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 20, 0
+        held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def close(deleted: bool) -> pa.RecordBatch:
+            nonlocal made
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[deleted][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held[deleted]:
+                    w.write_batch(b)
+            chunk, made = 2 * (first + made) + (not deleted), made + 1
+            out = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size[deleted]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "size", "payload"])
+            held[deleted], size[deleted] = [], 0
+            return out
+
+        for batch, block in blocks(batches, limit=min(1 << 20, chunk_bytes)):
+            gone = pa.compute.equal(batch.column(2), DELETED)
+            for deleted in (False, True):
+                b = batch.filter(gone if deleted else pa.compute.invert(gone))
+                if b.num_rows:
+                    held[deleted].append(b)
+                    size[deleted] += len(text_buffers(b.column(1))[0]) + 16 * b.num_rows
+                    if size[deleted] >= chunk_bytes:
+                        yield close(deleted)
+        for deleted in (False, True):
+            if held[deleted]:
+                yield close(deleted)
+
+    return docs.mapInArrow(run, "chunk long, size long, payload binary")
+
+
+def _opened(payload: pa.Scalar) -> tuple[pa.Table, TextBlock]:
+    table = pa.ipc.open_stream(payload.as_buffer()).read_all()
+    return table, TextBlock(*text_buffers(table.column("text")))
 
 
 def tokens_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, their contexts and their documents: the words of each text (A-Z lowered), then END."""
+    """Token hashes, their places within their documents, and their documents: the words of each text (A-Z lowered), then
+    END."""
     block = block.lowered()
     start, end, doc = block.words()
     h = span_hash(prefix_hash(block.data), start, end)
@@ -50,28 +100,36 @@ def tokens_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_end = np.zeros(len(token), bool)
     is_end[last] = True
     token[is_end], token[~is_end] = END, h
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[last - count] = START
-    return token, context, np.repeat(np.arange(block.n), count + 1)
-
-
-def _keys(token: np.ndarray, context: np.ndarray, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words and for bigrams: distinct keys by bucket, then value; the bucket of each; place of each token's key."""
-    out = []
-    word, at = np.unique(token, return_inverse=True)
-    b = (word % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    out.append((word[order], b[order], place[at]))
-    h = mix(context * np.uint64(0x9E3779B97F4A7C15) + token)
-    code = ((h % np.uint64(buckets)) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS))
-    pair, at = np.unique(code, return_inverse=True)
-    out.append((pair & np.uint64((1 << _KEY_BITS) - 1), (pair >> np.uint64(_KEY_BITS)).astype(np.int64), at))
+    place = np.arange(len(token)) - np.repeat(last - count, count + 1)
+    return token, place, np.repeat(np.arange(block.n), count + 1)
+
+
+def _before(token: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The k-th token before each, START where the text has not begun."""
+    out = np.full_like(token, START)
+    out[k:] = token[: len(token) - k]
+    out[place < k] = START
     return out
 
 
+def _keys(token: np.ndarray, place: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words (kind 0), bigrams and trigrams: distinct keys by bucket, then value; the bucket of each; place of each
+    token's key."""
+    if not kind:
+        word, at = np.unique(token, return_inverse=True)
+        b = (word % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        return word[order], b[order], to[at]
+    h = token.copy()
+    for k in range(1, kind + 1):
+        h = mix(h + _before(token, place, k) * _FACTORS[k - 1])
+    code = ((h % np.uint64(buckets)) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS))
+    code, at = np.unique(code, return_inverse=True)
+    return code & np.uint64((1 << _KEY_BITS) - 1), (code >> np.uint64(_KEY_BITS)).astype(np.int64), at
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes each as the largest needs; the first byte tells how many."""
     top = int(x.max()) if len(x) else 0
@@ -83,54 +141,46 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
 
 
-def _counts_schema() -> str:
-    return "bucket int, kind int, chunk int, keys binary, counts binary"
-
-
-def _chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """doc_id, text, part (of ten), chunk. Deleted documents have the even chunks to themselves."""
-    docs = project(docs, doc_id="long", text="string")
-    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)).cast("int")
-    docs = docs.withColumn("part", part)
-    few = -(-chunks // 8)
-    chunk = F.when(F.col("part") == DELETED, F.pmod(F.xxhash64("doc_id"), F.lit(few)) * 2).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)) * 2 + 1)
-    return docs.withColumn("chunk", chunk.cast("int"))
-
-
-def _block(table: pa.Table) -> TextBlock:
-    return TextBlock(*text_buffers(table.column("text")))
-
-
-def _sorted(table: pa.Table) -> pa.Table:
-    """The documents of a chunk in one order, whatever order they came in."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-
-
-def counts(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
-    """The answers for all chunks, as a written table: chunk, kind, bucket, kept and deleted counts in the order of the
-    chunk's keys; and in chunk -1, by bucket, the totals (tokens and distinct words, kept and all)."""
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = _block(table)
-        token, context, doc = tokens_of(block)
-        trains = (table.column("part").to_numpy() != HELD_OUT)[doc]
-        chunk = table.column("chunk")[0].as_py()
-        rows: dict[str, list] = {k: [] for k in ("bucket", "kind", "chunk", "keys", "counts")}
-        for kind, (key, bucket, place) in enumerate(_keys(token, context, buckets)):
-            n = np.bincount(place, weights=trains, minlength=len(key)).astype(np.uint64)
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                part = key[edge[b] : edge[b + 1]]
-                if kind:  # sorted: differences need fewer bytes
-                    part = np.diff(part, prepend=np.uint64(0))
-                rows["bucket"].append(b), rows["kind"].append(kind), rows["chunk"].append(chunk)
-                rows["keys"].append(_pack(part)), rows["counts"].append(_pack(n[edge[b] : edge[b + 1]]))
-        return pa.table({k: pa.array(v, pa.binary() if k in ("keys", "counts") else pa.int32()) for k, v in rows.items()})
+def asked(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The messages of the chunks: bucket, kind, chunk, keys, counts."""
+    names = ["bucket", "kind", "chunk", "keys", "counts"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(2)):
+                table, block = _opened(payload)
+                token, place, doc = tokens_of(block)
+                trains = (table.column("part").to_numpy() != HELD_OUT)[doc]
+                for kind in range(3):
+                    key, bucket, at = _keys(token, place, kind, buckets)
+                    n = np.bincount(at, weights=trains, minlength=len(key)).astype(np.uint64)
+                    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+                    rows: list[list] = [[], [], []]
+                    for b in np.flatnonzero(np.diff(edge)).tolist():
+                        part = key[edge[b] : edge[b + 1]]
+                        if kind:  # sorted: differences need fewer bytes
+                            part = np.diff(part, prepend=np.uint64(0))
+                        rows[0].append(b), rows[1].append(_pack(part)), rows[2].append(_pack(n[edge[b] : edge[b + 1]]))
+                    columns = [rows[0], [kind] * len(rows[0]), [chunk] * len(rows[0]), rows[1], rows[2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return chunks.mapInArrow(run, "bucket int, kind int, chunk long, keys binary, counts binary")
+
+
+def answered(messages: DataFrame) -> DataFrame:
+    """The answers: chunk, kind, bucket, kept and deleted counts in the order of the chunk's keys; and in chunk -1, by
+    bucket, the totals (tokens and distinct words, kept and all)."""
 
     def answer(table: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in ("chunk", "kind", "bucket", "kept", "deleted")}
         bucket = table.column("bucket")[0].as_py()
-        for kind in (0, 1):
+
+        def put(chunk: int, kind: int, kept: np.ndarray, deleted: np.ndarray) -> None:
+            for name, x in zip(rows, (chunk, kind, bucket, _pack(kept), _pack(deleted))):
+                rows[name].append(x)
+
+        for kind in range(3):
             part = table.filter(pa.compute.equal(table.column("kind"), kind))
             if not part.num_rows:
                 continue
@@ -138,140 +188,161 @@ def counts(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
             keys = [_unpack(x) for x in part.column("keys").to_pylist()]
             if kind:
                 keys = [np.cumsum(x, dtype=np.uint64) for x in keys]
-            n = [_unpack(x) for x in part.column("counts").to_pylist()]
             size = [len(x) for x in keys]
-            deleted = np.repeat(np.array(chunk) % 2 == 0, size)
+            gone = np.repeat(np.array(chunk) % 2 == 0, size)
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.concatenate(n).astype(np.float64)
-            kept_total, deleted_total = (np.bincount(at, weights=np.where(m, n, 0), minlength=len(distinct)).astype(np.uint64) for m in (~deleted, deleted))
-            kept, gone = kept_total[at], deleted_total[at]
+            n = np.concatenate([_unpack(x) for x in part.column("counts").to_pylist()]).astype(np.float64)
+            kept, deleted = (np.bincount(at, weights=np.where(m, n, 0), minlength=len(distinct)).astype(np.uint64) for m in (~gone, gone))
             edge = np.concatenate([[0], np.cumsum(size)])
             for c, a, e in zip(chunk, edge[:-1].tolist(), edge[1:].tolist()):
-                rows["chunk"].append(c), rows["kind"].append(kind), rows["bucket"].append(bucket)
-                rows["kept"].append(_pack(kept[a:e])), rows["deleted"].append(_pack(gone[a:e]))
+                put(c, kind, kept[at[a:e]], deleted[at[a:e]])
             if not kind:
-                both = kept_total + deleted_total
-                rows["chunk"].append(-1), rows["kind"].append(0), rows["bucket"].append(bucket)
-                rows["kept"].append(_pack(np.array([kept_total.sum(), (kept_total > 0).sum()], np.uint64)))
-                rows["deleted"].append(_pack(np.array([both.sum(), (both > 0).sum()], np.uint64)))
-        return pa.table({k: pa.array(v, pa.binary() if k in ("kept", "deleted") else pa.int32()) for k, v in rows.items()})
-
-    asked = docs.groupBy("chunk").applyInArrow(lambda t: ask(_sorted(t)), _counts_schema())
-    return scratch.save(asked.groupBy("bucket").applyInArrow(answer, "chunk int, kind int, bucket int, kept binary, deleted binary"))
-
-
-def _answers(table: pa.Table, all_counts: bool) -> list[np.ndarray]:
-    """Counts of the distinct words and bigrams of a chunk, in the order of its keys."""
-    table = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    kinds = table.column("kind").to_pylist()
-    out = []
-    for kind in (0, 1):
-        rows = [i for i, k in enumerate(kinds) if k == kind]
-        kept = [_unpack(table.column("kept")[i].as_py()) for i in rows]
-        if all_counts:
-            kept = [a + _unpack(table.column("deleted")[i].as_py()) for a, i in zip(kept, rows)]
-        out.append(np.concatenate(kept).astype(np.float64) if kept else np.zeros(0))
-    return out
-
-
-def _features(block: TextBlock, answers: pa.Table, all_counts: bool, buckets: int) -> tuple[np.ndarray, ...]:
-    """For each token: its document, c(v), c(u), c(u v)."""
-    token, context, doc = tokens_of(block)
-    (word, _, at), (pair, _, both) = _keys(token, context, buckets)
-    one, two = _answers(answers, all_counts)
-    if len(one) != len(word) or len(two) != len(pair):
-        raise ValueError("the answers are not those of this chunk")
-    c_v = one[at]
-    c_u = np.empty(len(token))
-    c_u[1:] = c_v[:-1]
-    first = context == START  # as many texts begin as end
-    end = np.flatnonzero(word == END)
-    c_u[first] = one[end[0]] if len(end) else 0
-    return doc, c_v, c_u, two[both]
-
-
-def context_bucket(c_u: np.ndarray) -> np.ndarray:
-    return np.minimum(np.where(c_u > 0, 1 + np.floor(np.log2(np.maximum(c_u, 1))), 0), BUCKETS - 1).astype(np.int64)
-
+                both = kept + deleted
+                put(-1, 0, np.array([kept.sum(), (kept > 0).sum()], np.uint64), np.array([both.sum(), (both > 0).sum()], np.uint64))
+        return pa.table({k: pa.array(v, pa.binary() if k in ("kept", "deleted") else pa.int64() if k == "chunk" else pa.int32()) for k, v in rows.items()})
 
-def _step(p: np.ndarray) -> np.ndarray:
-    """Place of a probability in the histogram; 0 for none."""
-    return np.where(p > 0, np.minimum(1 + np.floor(-np.log2(np.maximum(p, 2.0**-60)) * STEPS), 60 * STEPS), 0).astype(np.int64)
+    return messages.groupBy("bucket").applyInArrow(answer, "chunk long, kind int, bucket int, kept binary, deleted binary")
 
 
-def fit_weights(cells: np.ndarray, p0: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights (bigram, word, uniform) of each context bucket by EM.
-
-    ``cells``: rows of (bucket, tokens, mean bigram estimate, mean word estimate). A bucket without tokens takes the
-    weights of all tokens together.
-    """
-
-    def em(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        w = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            share = p * w
-            share /= share.sum(1, keepdims=True)
-            w = np.maximum((share * n[:, None]).sum(0) / n.sum(), FLOOR)
-            w /= w.sum()
-        return w
-
-    p = np.column_stack([cells[:, 2], cells[:, 3], np.full(len(cells), p0)]) if len(cells) else np.zeros((0, 3))
-    common = em(cells[:, 1], p) if len(cells) else np.full(3, 1 / 3)
-    out = np.tile(common, (BUCKETS, 1))
-    for k in np.unique(cells[:, 0]).astype(int).tolist() if len(cells) else []:
-        rows = cells[:, 0] == k
-        out[k] = em(cells[rows, 1], p[rows])
-    return out
+def _features(block: TextBlock, answers: pa.Table, all_counts: bool, buckets: int) -> tuple[np.ndarray, ...]:
+    """For each token its document, and the counts c(w), c(v), c(v w), c(u v), c(u v w)."""
+    token, place, doc = tokens_of(block)
+    answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    kinds = np.array(answers.column("kind").to_pylist())
+    found, texts = [], 0.0
+    for kind in range(3):
+        key, _, at = _keys(token, place, kind, buckets)
+        rows = np.flatnonzero(kinds == kind).tolist()
+        n = [_unpack(answers.column("kept")[i].as_py()) for i in rows]
+        if all_counts:
+            n = [a + _unpack(answers.column("deleted")[i].as_py()) for a, i in zip(n, rows)]
+        n = np.concatenate(n).astype(np.float64) if n else np.zeros(0)
+        if len(n) != len(key):
+            raise ValueError("the answers are not those of this chunk")
+        if not kind:  # as many texts begin as end
+            texts = float(n[np.flatnonzero(key == END)[0]]) if len(key) else 0.0
+        found.append(n[at])
+    c1, c2, c3 = found
+    c1_before, c2_before = np.empty_like(c1), np.empty_like(c2)
+    for x, y in ((c1_before, c1), (c2_before, c2)):
+        x[1:] = y[:-1]
+        x[place == 0] = texts
+    return doc, c1, c1_before, c2, c2_before, c3
+
+
+def context_bucket(c_v: np.ndarray, c_uv: np.ndarray) -> np.ndarray:
+    step = lambda c: np.minimum(np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0), HALF - 1)
+    return np.where(c_uv > 0, HALF + step(c_uv), step(c_v)).astype(np.int64)
+
+
+def estimates(c1, c1_before, c2, c2_before, c3, n: float, v: float) -> np.ndarray:
+    """The four estimates of each token, as columns."""
+    return np.column_stack([c3 / np.maximum(c2_before, 1), c2 / np.maximum(c1_before, 1), c1 / max(1, n), np.full(len(c1), 1 / (v + 1))])
+
+
+def shares(k: np.ndarray, p: np.ndarray, weights: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step E: by bucket, what of its tokens each estimate accounts for, and the tokens."""
+    part = p * weights[k]
+    part *= (times / part.sum(1))[:, None]
+    return np.column_stack([np.bincount(k, weights=part[:, j], minlength=BUCKETS) for j in range(4)]), np.bincount(k, weights=times, minlength=BUCKETS)
+
+
+def fit_weights(step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weights of each bucket by EM, as ``step`` (E, over all deleted tokens) and the share of each estimate (M) in
+    turn. A bucket without tokens takes the weights of the nearest one of its half that has some; without any, all weigh
+    alike."""
+    w = np.full((BUCKETS, 4), 0.25)
+    for _ in range(ROUNDS):
+        part, n = step(w)
+        some = n > 0
+        new = w.copy()
+        new[some] = np.maximum(part[some] / n[some, None], FLOOR)
+        new /= new.sum(1, keepdims=True)
+        change = np.abs(new - w).max()
+        w = new
+        if change < STILL:
+            break
+    for half in (range(HALF), range(HALF, BUCKETS)):
+        known = [k for k in half if n[k] > 0]
+        for k in half:
+            if known and not n[k] > 0:
+                w[k] = w[min(known, key=lambda x: (abs(x - k), x))]
+    return w
+
+
+def _deleted_counts(chunks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """What EM goes by: the distinct combinations of the five counts of the deleted tokens, and how often each occurs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for payload in left.column("payload"):
+            _, block = _opened(payload)
+            _, *c = _features(block, right, False, buckets)
+            order = np.lexsort(c)
+            c = [x[order].astype(np.uint64) for x in c]
+            new = np.ones(len(order), bool)
+            if len(order):
+                new[1:] = np.any([x[1:] != x[:-1] for x in c], 0)
+            first = np.flatnonzero(new)
+            out.append([*(_pack(x[first]) for x in c), _pack(np.diff(np.append(first, len(order))).astype(np.uint64))])
+        return pa.table({f"c{k}": pa.array([x[k] for x in out], pa.binary()) for k in range(6)})
+
+    return chunks.filter("chunk % 2 = 0").groupBy("chunk").cogroup(answers.filter("chunk >= 0 AND chunk % 2 = 0").groupBy("chunk")).applyInArrow(run, ", ".join(f"c{k} binary" for k in range(6)))
 
 
 def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null text counts as empty: one token, the end. ``base_score`` is that of the additive unigram model, ``score``
-    that of the interpolated bigram model, both as log10 of the text's probability. Documents whose crc32 part is
-    HELD_OUT take no part in the counts; without training documents all counts are 0 and probabilities uniform.
+    A null text counts as empty: one token, the end; a null doc_id is hashed as the empty text. Repeated rows, and those
+    that repeat an id, count and are scored each. ``base_score`` is that of the additive unigram model, ``score`` that of
+    the interpolated trigram model, both as log10 of the text's probability. Documents whose crc32 part is HELD_OUT take
+    no part in the counts; without training documents all counts are 0 and probabilities uniform. A text longer than a
+    chunk is a chunk of its own. Other columns take no part; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    buckets = -(-size // chunk_bytes) or 1
-    dealt = _chunks(docs, buckets)
-    answers = counts(dealt, scratch, buckets)
-    totals = [(_unpack(bytes(r[0])), _unpack(bytes(r[1]))) for r in answers.filter("chunk = -1").select("kept", "deleted").collect()]
+    chunks = scratch.save(packed(docs, chunk_bytes))
+    buckets = bucket_count(spark, 1.25 * (chunks.agg(F.sum("size")).first()[0] or 0))
+    answers = scratch.save(answered(asked(chunks, buckets)))
+    totals = [(_unpack(bytes(r[0])), _unpack(bytes(r[1]))) for r in answers.filter("chunk = -1").select("kept", "deleted").toLocalIterator()]
     kept_n, kept_v = (sum(int(a[i]) for a, _ in totals) for i in (0, 1))
     all_n, all_v = (sum(int(b[i]) for _, b in totals) for i in (0, 1))
-
-    def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            k = t = np.zeros(0)
-            p2 = p1 = k
-            cell = np.zeros(0, np.int64)
-        else:
-            _, c_v, c_u, c_uv = _features(_block(_sorted(left)), right, False, buckets)
-            p2, p1 = c_uv / np.maximum(c_u, 1), c_v / max(1, kept_n)
-            wide = 60 * STEPS + 1
-            cell, t = np.unique((context_bucket(c_u) * wide + _step(p2)) * wide + _step(p1), return_inverse=True)
-            k = cell // (wide * wide)
-        return pa.table({"cell": pa.array(cell), "k": pa.array(k.astype(np.int64)), "n": pa.array(np.bincount(t.astype(np.int64), minlength=len(cell)).astype(np.float64)), "p2": pa.array(np.bincount(t.astype(np.int64), weights=p2, minlength=len(cell))), "p1": pa.array(np.bincount(t.astype(np.int64), weights=p1, minlength=len(cell)))})
-
-    deleted = dealt.filter(F.col("part") == DELETED).groupBy("chunk").cogroup(answers.filter("chunk >= 0 AND chunk % 2 = 0").groupBy("chunk")).applyInArrow(histogram, "cell long, k long, n double, p2 double, p1 double")
-    # at most BUCKETS * (60 * STEPS + 1)**2 cells, and far fewer occur: estimates are ratios of counts
-    rows = deleted.groupBy("cell", "k").agg(F.sum("n"), F.sum("p2"), F.sum("p1")).orderBy("cell").collect()
-    weights = fit_weights(np.array([[k, n, p2 / n, p1 / n] for _, k, n, p2, p1 in rows]).reshape(-1, 4), 1 / (kept_v + 1))
+    deleted = scratch.save(_deleted_counts(chunks, answers, buckets))
+
+    def step(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, tokens = np.zeros((BUCKETS, 4)), np.zeros(BUCKETS)
+            for b in batches:
+                for row in zip(*(b.column(k) for k in range(6))):
+                    *c, times = (_unpack(x.as_py()).astype(np.float64) for x in row)
+                    if len(times):
+                        more, n = shares(context_bucket(c[1], c[3]), estimates(*c, kept_n, kept_v), weights, times)
+                        part += more
+                        tokens += n
+            k = np.flatnonzero(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tokens[k]), *(pa.array(part[k, j]) for j in range(4))], names=["k", "n", "p0", "p1", "p2", "p3"])
+
+        sums = deleted.mapInArrow(run, "k long, n double, p0 double, p1 double, p2 double, p3 double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")))
+        part, tokens = np.zeros((BUCKETS, 4)), np.zeros(BUCKETS)
+        for k, n, *p in sums.collect():  # a row for each bucket of context frequency
+            part[k], tokens[k] = p, n
+        return part, tokens
+
+    weights = fit_weights(step)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        left = _sorted(left)
-        block = _block(left)
-        doc, c_v, c_u, c_uv = _features(block, right, True, buckets)
-        w = weights[context_bucket(c_u)]
-        p = w[:, 0] * (c_uv / np.maximum(c_u, 1)) + w[:, 1] * (c_v / max(1, all_n)) + w[:, 2] / (all_v + 1)
-        base = np.log10((c_v + 0.1) / (all_n + 0.1 * (all_v + 1)))
-        total = lambda x=None: np.bincount(doc, weights=x, minlength=block.n)
-        held = left.column("part").to_numpy() == HELD_OUT
-        return pa.table([left.column("doc_id"), pa.array(held), pa.array(total().astype(np.int64)), pa.array(total(c_v > 0).astype(np.int64)), pa.array(np.full(block.n, all_n, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))], names=names)
-
-    whole = dealt.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk"))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        out = [pa.table([pa.array([], t) for t in kinds], names=names)]
+        for payload in left.column("payload"):
+            table, block = _opened(payload)
+            doc, *c = _features(block, right, True, buckets)
+            p = (estimates(*c, all_n, all_v) * weights[context_bucket(c[1], c[3])]).sum(1)
+            base = np.log10((c[0] + 0.1) / (all_n + 0.1 * (all_v + 1)))
+            total = lambda x=None: np.bincount(doc, weights=x, minlength=block.n)
+            held = table.column("part").to_numpy() == HELD_OUT
+            out.append(pa.table([table.column("doc_id"), pa.array(held), pa.array(total().astype(np.int64)), pa.array(total(c[0] > 0).astype(np.int64)), pa.array(np.full(block.n, all_n, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))], names=names))
+        return pa.concat_tables(out)
+
+    whole = chunks.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk"))
     return whole.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

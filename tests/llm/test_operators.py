@@ -1,7 +1,6 @@
 """The training-data operators against brute force on small fixtures, with nulls, empty and repeated rows."""
 
 import hashlib
-import html
 import math
 import random
 import re
@@ -12,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from grovekit.llm import chat, exact_dedup, html_text, lm_scoring, ngram_join, packing, pieces, quality, sharding, suffix_dedup
+from grovekit.llm import chat, exact_dedup, lm_scoring, ngram_join, packing, pieces, quality, sharding, suffix_dedup
 from grovekit.llm.common import TextBlock, text_buffers
 
 WS = re.compile(r"[\x20\x09-\x0D]")
@@ -264,14 +263,88 @@ def brute_components(rows):
     return [(d, len(sets[i]), None if least[find(i)] == -(10**30) else least[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("short,frequent", [(4, 3), (2, 10**6)])
-def test_near_duplicates(spark, monkeypatch, short, frequent):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
-    monkeypatch.setattr(ngram_join, "FREQUENT_MIN", frequent)
-    rows = documents(160)
+@pytest.mark.parametrize("short,frequent,hot,block", [(4, 3, 256, 2048), (2, 10**6, 3, 5)])
+def test_near_duplicates(spark, monkeypatch, short, frequent, hot, block):
+    """Also with lists that are long from three classes on, split from four postings on, and in pieces of five."""
+    for name, value in (("SHORT_LIST", short), ("FREQUENT_MIN", frequent), ("HOT_POSTINGS", hot), ("LIST_BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "SPLIT", 4)
+    rows = [*documents(160), (920, "far " * 200_000), (921, "very far " * 200_000 + "end")]
     assert order(ngram_join.near_duplicates(frame(spark, rows)).collect()) == order(brute_components(rows))
 
 
+def token_sets(seed=5):
+    """Sets that overlap in many ways: from not at all to nearly equal."""
+    r, out = random.Random(seed), []
+    for _ in range(8):
+        base = r.sample(range(10**6), r.randint(8, 200))
+        for k in (0, 1, 2, 3, 5, len(base) // 8, len(base) // 4, len(base) // 2, len(base) - 3):
+            out.append(np.array(sorted({*base[: len(base) - k], *r.sample(range(10**6, 2 * 10**6), k)}), np.uint64))
+    return out
+
+
+def made_profiles(sets):
+    doc, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    raw = ngram_join.profiles(doc, token, len(sets)).to_pylist()
+    return raw, [ngram_join.Profile(x, len(s), (75, 100)) for x, s in zip(raw, sets)]
+
+
+def test_further_orders_hold_pairs_back():
+    """No pair that links fails the further orders or the sketch; pairs that share a token of the first order's prefixes
+    are held back by the second order, and some that pass it by the third."""
+    sets = token_sets()
+    _, made = made_profiles(sets)
+    first = [set(sorted(s.tolist())[: ngram_join.prefix_length(len(s))]) for s in sets]
+    held_by = Counter()
+    for a in range(len(sets)):
+        for b in range(a):
+            if not first[a] & first[b]:
+                continue
+            x, y = made[a], made[b]
+            alone = []
+            for k in range(len(ngram_join.ORDERS)):
+                one = [ngram_join.Profile.__new__(ngram_join.Profile) for _ in range(2)]
+                for o, p in zip(one, (x, y)):
+                    o.n, o.prefixes, o.sketch = p.n, p.prefixes[k : k + 1], p.sketch
+                alone.append(ngram_join.agree_in_orders(*one))
+            assert ngram_join.agree_in_orders(x, y) == all(alone)
+            if ngram_join.similar(sets[a], sets[b]):
+                assert all(alone) and ngram_join.agree_in_sketch(x, y)
+                held_by["link"] += 1
+            else:
+                held_by["second"] += not alone[0]
+                held_by["third"] += alone[0] and not alone[1]
+                held_by["left"] += all(alone)
+    assert held_by["link"] > 20 and held_by["second"] > 50 and held_by["third"] > 0, held_by
+
+
+def test_orders_come_before_the_texts(spark, monkeypatch):
+    """Candidates of the first order's posting lists that the further orders reject are not among the pairs whose texts
+    are fetched; what is fetched holds all links."""
+    from grovekit.llm.common import Scratch, text_bytes
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts, lead = [], [" ".join(r.sample(words, 7)) for _ in range(12)]
+    for i in range(48):  # a few words in common at the front, or nearly all
+        body = " ".join(r.sample(words, 40))
+        texts += [lead[i % 12] + " " + body] + ([lead[i % 12] + " " + body + " tail"] if i % 4 == 0 else [])
+    rows = list(enumerate(texts))
+    docs, scratch = frame(spark, rows), Scratch(spark)
+    size = text_bytes(docs)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 100)
+    monkeypatch.setattr(ngram_join, "FREQUENT_MIN", 10**6)  # common words are not put last
+    sets = scratch.save(ngram_join.jaccard_sets(docs))
+    found = scratch.save(ngram_join._candidates(docs, ngram_join._frequent_tokens(sets, size, scratch), size, (75, 100)))
+    classes = sets.filter("kind = 0").selectExpr("cls", "doc_id AS rep", "n")
+    profile = ngram_join._profiles(docs, found, classes, scratch, (75, 100))
+    pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
+    near = {(x["a_rep"], x["b_rep"]) for x in ngram_join._in_pairs(pairs, profile, (75, 100)).collect()}
+    near = {(min(p), max(p)) for p in near}
+    linked = {(c, d) for d, _, c in brute_components(rows) if c != d}
+    assert linked <= near and len(linked) == 12 and pairs.count() > len(near) + 10
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of one id with different texts, one of them empty, are one document; one of each group stays."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
@@ -282,22 +355,18 @@ def test_near_duplicates_of_repeated_ids(spark):
 
 
 @pytest.mark.parametrize("block", [10**6, 7, 1])
-def test_long_lists_in_blocks(spark, monkeypatch, block):
+def test_long_lists_in_blocks(spark, block):
     """Every pair of a list that links is left, whatever the blocks; none twice, none of one label."""
-    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
-    r, sets = random.Random(5), []
-    for _ in range(6):
-        seed = r.sample(range(10**6), r.randint(8, 200))
-        sets += [np.array(sorted({*seed[: len(seed) - k], *range(2 * 10**6 + 99 * len(sets), 2 * 10**6 + 99 * len(sets) + k)}), np.uint64) for k in (0, 1, 2, 3, 5)]
-    doc, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
-    data, edge = ngram_join._sketches(doc, token, len(sets))
-    classes = spark.createDataFrame([(c, 1000 + c, bytearray(data[edge[c] : edge[c + 1]])) for c in range(len(sets))], "cls long, rep long, sketch binary")
-    # two lists with all classes; odd labels are shared by two neighbours
-    label = [c - c % 4 if c % 4 == 1 else c for c in range(len(sets))]
-    member = spark.createDataFrame([(t, c, label[c], len(x), 0, len(sets)) for t in (1, 2) for c, x in enumerate(sets)], "list_id long, cls long, label long, n long, i long, size long")
-    got = [tuple(x) for x in ngram_join._near_in_lists(member, classes, (75, 100)).collect()]
+    sets = token_sets()
+    raw, _ = made_profiles(sets)
+    name = lambda c: bytes([0] * 15 + [c])
+    profile = spark.createDataFrame([(name(c), 1000 + c, bytearray(raw[c])) for c in range(len(sets))], "cls binary, rep long, profile binary")
+    # two lists with all classes, in pieces; odd labels are shared by two neighbours, and a third of all is of one label
+    label = [0 if c % 3 == 0 else c - c % 4 if c % 4 == 1 else c for c in range(len(sets))]
+    member = spark.createDataFrame([(t, c % 5, name(c), name(label[c]), len(x), 0) for t in (1, 2) for c, x in enumerate(sets)], "list_id long, sub long, cls binary, label binary, n long, i long")
+    got = [(x["a"][15], x["b"][15], x["a_rep"], x["b_rep"]) for x in ngram_join._in_lists(member, profile, (75, 100), block).collect()]
     pairs = {(a, b) for a, b, _, _ in got}
-    linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if label[a] != label[b] and ngram_join.similar(sets[a], sets[b], orders=())}
+    linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if label[a] != label[b] and ngram_join.similar(sets[a], sets[b])}
     assert len(linked) > 20 and linked <= pairs and len(got) == len(pairs)
     assert all(label[a] != label[b] and (p, q) == (1000 + a, 1000 + b) for a, b, p, q in got)
 
@@ -305,49 +374,107 @@ def test_long_lists_in_blocks(spark, monkeypatch, block):
 def test_components_of_a_chain(spark):
     from grovekit.llm.common import Scratch
 
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)] + [(200, 201 + i) for i in range(60)], "a long, b long")
     got = {r["node"]: r["label"] for r in ngram_join.components(edges, Scratch(spark)).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, **{i: 200 for i in range(200, 261)}}
 
 
 def test_near_dedup_of_nothing(spark):
     assert ngram_join.near_dedup(empty(spark)).count() == 0
 
 
-def test_lm_scores(spark):
-    rows = [x for x in documents(200) if x[0] is not None]
-    rows = list(dict(rows).items())
-    part = {d: zlib.crc32(str(d).encode()) % 10 for d, _ in rows}
-    tokens = {d: WORD.findall((t or "").translate(LOWER)) + [None] for d, t in rows}
+def plain_model(rows):
+    """The trigram model with dictionaries, one token at a time; rows may repeat ids."""
+    part = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 for d, _ in rows]
+    tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t in rows]
+    padded = [["<s>", "<s>", *t] for t in tokens]
 
     def count(parts):
-        u, b = Counter(), Counter()
-        for d, t in tokens.items():
-            if part[d] in parts:
-                u.update(t), b.update(zip(["<s>", *t[:-1]], t))
-        return u, b
+        c = [Counter(), Counter(), Counter()]
+        for p, t in zip(part, padded):
+            if p in parts:
+                for k in range(3):
+                    c[k].update(tuple(t[i - k : i + 1]) for i in range(2, len(t)))
+        return c
+
+    def figures(t, c):
+        ends = c[0][(None,)]
+        for i in range(2, len(t)):
+            u, v, w = t[i - 2 : i + 1]
+            yield c[0][(w,)], ends if v == "<s>" else c[0][(v,)], c[1][v, w], ends if v == "<s>" else c[1][u, v], c[2][u, v, w]
 
     kept, every = count(range(2, 10)), count(range(1, 10))
-    figures = lambda t, c: [((c[0][None] if u == "<s>" else c[0][u]), c[0][v], c[1][u, v]) for u, v in zip(["<s>", *t[:-1]], t)]
-    cells = [(int(lm_scoring.context_bucket(np.array([float(cu)]))[0]), 1, cuv / max(cu, 1), cv / sum(kept[0].values())) for d, t in tokens.items() if part[d] == 1 for cu, cv, cuv in figures(t, kept)]
-    w = lm_scoring.fit_weights(np.array(cells), 1 / (len(kept[0]) + 1))
+    n0, v0 = sum(kept[0].values()), len(kept[0])
+    data = []
+    for p, t in zip(part, padded):
+        if p == 1:
+            for c1, cv, c2, cuv, c3 in figures(t, kept):
+                k = int(lm_scoring.context_bucket(np.array([float(cv)]), np.array([float(cuv)]))[0])
+                data.append((k, (c3 / max(cuv, 1), c2 / max(cv, 1), c1 / n0, 1 / (v0 + 1))))
+    weights = {k: [0.25] * 4 for k in range(lm_scoring.BUCKETS)}
+    seen = {k for k, _ in data}
+    for _ in range(lm_scoring.ROUNDS):  # plain EM
+        sums = {k: [0.0] * 4 for k in seen}
+        for k, p in data:
+            total = sum(x * w for x, w in zip(p, weights[k]))
+            for j in range(4):
+                sums[k][j] += p[j] * weights[k][j] / total
+        change = 0.0
+        for k in seen:
+            new = [max(x / sum(sums[k]), lm_scoring.FLOOR) for x in sums[k]]
+            new = [x / sum(new) for x in new]
+            change = max(change, max(abs(a - b) for a, b in zip(new, weights[k])))
+            weights[k] = new
+        if change < lm_scoring.STILL:
+            break
+    for half in (range(lm_scoring.HALF), range(lm_scoring.HALF, lm_scoring.BUCKETS)):
+        known = sorted(seen & set(half))
+        for k in half:
+            if known and k not in seen:
+                weights[k] = weights[min(known, key=lambda x: (abs(x - k), x))]
     n, v = sum(every[0].values()), len(every[0])
-    got = {r["doc_id"]: r for r in lm_scoring.score(frame(spark, rows), 2000).collect()}
-    assert len(got) == len(rows)
-    for d, t in tokens.items():
-        f = figures(t, every)
-        base = sum(math.log10((cv + 0.1) / (n + 0.1 * (v + 1))) for _, cv, _ in f)
-        score = sum(math.log10(x[0] * cuv / max(cu, 1) + x[1] * cv / n + x[2] / (v + 1)) for cu, cv, cuv in f for x in [w[int(lm_scoring.context_bucket(np.array([float(cu)]))[0])]])
-        r = got[d]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (part[d] == 0, len(t), sum(cv > 0 for _, cv, _ in f), n)
-        assert abs(r["base_score"] - base) < 1e-6 * abs(base) and abs(r["score"] - score) < 1e-2 * abs(score)
+    out = []
+    for (d, _), p, t, raw in zip(rows, part, padded, tokens):
+        base = score = known = 0
+        for c1, cv, c2, cuv, c3 in figures(t, every):
+            w = weights[int(lm_scoring.context_bucket(np.array([float(cv)]), np.array([float(cuv)]))[0])]
+            base += math.log10((c1 + 0.1) / (n + 0.1 * (v + 1)))
+            score += math.log10(w[0] * c3 / max(cuv, 1) + w[1] * c2 / max(cv, 1) + w[2] * c1 / n + w[3] / (v + 1))
+            known += c1 > 0
+        out.append((d, p == 0, len(raw), known, n, round(base, 6), score))
+    return out
+
+
+def test_lm_scores(spark):
+    """Against the plain model, up to a millionth, with null and repeated ids and a text longer than a chunk."""
+    rows = [*documents(200), (None, None), (950, " ".join(f"w{i % 700} and" for i in range(3000))), (951, "and w5 and w6 and w7")]
+    want = plain_model(rows)
+    got = [tuple(x) for x in lm_scoring.score(frame(spark, rows), 2000).collect()]
+    key = lambda x: (repr(x[0]), x[2], round(x[5], 4), round(x[6], 3))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) <= 1e-6 * max(1, abs(b[5])) and abs(a[6] - b[6]) <= 1e-6 * max(1, abs(b[6])), (a, b)
     assert lm_scoring.score(empty(spark)).count() == 0
 
 
+def test_lm_messages(spark):
+    """A chunk sends no more messages than it has keys, nor more than one of a kind to a bucket; four times the text in four
+    times the chunks sends no more than four times as many."""
+    rows = [(i, t) for i, t in documents(120) if t]
+    one = lm_scoring.packed(frame(spark, rows).coalesce(1), 1 << 20).cache()
+    four = lm_scoring.packed(frame(spark, rows * 4).repartition(4), 1 << 20).cache()
+    small, large = lm_scoring.asked(one, 64), lm_scoring.asked(four, 64)
+    assert small.count() <= 3 * 64 * one.count() and large.count() <= 4 * small.count()
+    many = lm_scoring.asked(one, 1 << 20).selectExpr("length(keys) - 1 AS n")
+    assert many.filter("n < 1").count() == 0 and many.count() <= 3 * sum(len((t or "").split()) + 1 for _, t in rows)
+
+
 def test_weights_learn():
-    """Tokens that the bigram explains move its weight up."""
-    w = lm_scoring.fit_weights(np.array([[3, 100, 0.5, 0.01], [0, 50, 0.0, 0.1]]), 1e-4)
-    assert w[3][0] > 0.9 and w[0][1] > 0.9 and np.allclose(w.sum(1), 1) and (w > 0).all()
+    """Tokens that the trigram explains move its weight up; a bucket without tokens takes its neighbour's."""
+    k, p, times = np.array([30, 0]), np.array([[0.5, 0.1, 0.01, 1e-4], [0.0, 0.0, 0.1, 1e-4]]), np.array([100.0, 50.0])
+    w = lm_scoring.fit_weights(lambda x: lm_scoring.shares(k, p, x, times))
+    assert w[30][0] > 0.9 and w[0][2] > 0.9 and np.allclose(w.sum(1), 1) and (w > 0).all() and (w[31] == w[30]).all() and (w[5] == w[0]).all()
+    assert (lm_scoring.fit_weights(lambda x: (np.zeros((lm_scoring.BUCKETS, 4)), np.zeros(lm_scoring.BUCKETS))) == 0.25).all()
 
 
 TEXTS = ["", " ", "a", "Hello world", "  two  spaces ", "é😀 \n\t x", "日本語テキスト", "a" * 400, "tab\there", "mixed ünïcödé words, and punctuation!", "x\x00y"]
@@ -479,38 +606,3 @@ def test_best_fit_is_best_fit():
         else:
             assert 100 - used[b] == min(room)[0]
         used[b] += n
-
-
-def test_html():
-    page = """<html><head><title>no</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>menu</a></nav>
-    <div class="cookie-notice">We use cookies.</div><article><h1>Title &amp; more</h1><p>First <b>bold</b>&nbsp;text,<br>with a <a href="#">link</a>.<p>Second   paragraph &lt;here&gt;.
-    <div class="comments"><p>Great post!</p></div></article><aside>side</aside><form>search</form><footer>foot</footer></body>"""
-    assert html_text.main_text(page) == "Title & more First bold text, with a link. Second paragraph <here>."
-    assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("<p>a<p>b") == "a b"
-    assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
-
-
-def test_html_by_density():
-    """Elements named article decide nothing; blocks that reach the threshold stay, those below it and lists of links go."""
-    p = lambda c, n: f"<p>{c * n}</p>"
-    story = p("a", 500) + p("b", 500) + p("c", 300)
-    want = " ".join(["a" * 500, "b" * 500, "c" * 300])
-    teasers = "".join(f"<article><h2><a href=x>teaser {i}</a></h2><p>Few words. <a href=x>Read more</a></p></article>" for i in range(5))
-    links = "<ul>" + "".join(f"<li><a href=x>link number {i}</a></li>" for i in range(9)) + "</ul>"
-    assert html_text.main_text(f"<body><div id=story>{story}</div>{teasers}</body>") == want
-    assert html_text.main_text(f"<body><main><div id=story>{story}</div>{teasers}</main></body>") == want
-    assert html_text.main_text(f"<body><div>{story}</div><div>{links}</div><div>{p('d', 400)}</div></body>") == want + " " + "d" * 400
-    assert html_text.main_text(f"<body><div>{p('a', 500)}{links}{p('b', 500)}{p('c', 300)}</div></body>") == want
-    assert html_text.main_text(f"<body><article><h1>Title</h1><div>{story}</div></article></body>") == "Title " + want
-    assert html_text.main_text(f"<body>{'d' * 400} <b>e</b> f<div>{story}</div>g</body>") == "d" * 400 + " e f " + want
-    assert html_text.main_text(f"<body><a href=x><div>{p('l', 200) * 2}</div></a><div>{p('a', 150)}{p('b', 150)}</div></body>") == "a" * 150 + " " + "b" * 150
-
-
-def test_html_of_the_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    want = {}
-    for p in pages.collect():
-        a = re.sub(r"</?(p|h1|br)>", "\n", p["html"][p["html"].index("<article>") + 9 : p["html"].index("</article>")])
-        want[p["page_id"]] = re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", a))).strip()
-    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
-    assert got == want
