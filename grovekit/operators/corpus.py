@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import order_key
+from ..sources.scratch import Scratch
 
 
 def drop_copies(df: DataFrame, text: str) -> DataFrame:
@@ -86,18 +87,19 @@ def capped_sample(df: DataFrame, plan: Sequence[tuple[str, int]], bucket: str, v
 
     Buckets follow one another, as what a vault gave to one counts for the next.
     """
-    taken, used = None, None
+    scratch = Scratch(df.sparkSession)
+    names = [name for name, _ in plan]
+    draw = order_key(seed, F.col(bucket), F.col(item))
+    w = Window.partitionBy(vault, bucket).orderBy("_h", item)
+    # no vault gives more than ``cap`` to a bucket, so the rounds run on few rows
+    pool = scratch.save(df.filter(F.col(bucket).isin(*names)).withColumn("_h", draw).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap))
+    taken = None
     for name, quota in plan:
-        pool = df.filter(F.col(bucket) == name).withColumn("_h", order_key(seed, name, F.col(item)))
-        if used is not None:
-            pool = pool.join(used, vault, "left")
-        else:
-            pool = pool.withColumn("_used", F.lit(0))
-        w = Window.partitionBy(vault).orderBy("_h", item)
-        pool = pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.lit(cap) - F.coalesce("_used", F.lit(0)))
-        part = pool.orderBy("_h", item).limit(quota).select(*df.columns)
+        rows = pool.filter(F.col(bucket) == name)
+        if taken is not None:
+            rows = rows.join(taken.groupBy(vault).agg(F.count(F.lit(1)).alias("_used")), vault, "left").filter(F.col("_r") <= F.lit(cap) - F.coalesce("_used", F.lit(0)))
+        part = scratch.save(rows.orderBy("_h", item).limit(quota).select(*df.columns))
         taken = part if taken is None else taken.unionByName(part)
-        used = taken.groupBy(vault).agg(F.count(F.lit(1)).alias("_used"))
     return taken
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -29,19 +31,46 @@ def overlap_pick(short: DataFrame, keys: Sequence[str], folder: str, words: str,
     return _shortlists(short, keys, folder, gold, F.size(F.array_intersect(F.col(words), names)))
 
 
-def with_picker(prompts: DataFrame, pick: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
-    """Adds raw, the replies of ``pick`` to the column prompt, asked in batches. A batch that fails gives null replies."""
-    schema = T.StructType([*prompts.schema.fields, T.StructField("raw", T.StringType())])
+#: What a message says of a failure that may pass.
+TRANSIENT = ("429", "rate_limit", "500", "502", "503", "504", "overloaded", "timeout", "Timeout", "Connection")
+
+
+def back_off(attempt: int) -> float:
+    """Seconds to wait after a failure that may pass: doubled each time up to thirty, and a draw of up to two."""
+    return min(2.0**attempt, 30.0) + random.random() * 2
+
+
+def with_picker(prompts: DataFrame, pick: Callable[[list[str]], list[str]], batch: int = 16, attempts: int = 6, wait: Callable[[int], float] = back_off) -> DataFrame:
+    """Adds raw, the replies of ``pick`` to the column prompt, asked in batches, and picker_error.
+
+    A batch that fails in a way that may pass is asked again, up to ``attempts`` times in all, after ``wait`` (attempt)
+    seconds. One that fails for good gives null replies and says in picker_error what happened.
+    """
+    schema = T.StructType([*prompts.schema.fields, T.StructField("raw", T.StringType()), T.StructField("picker_error", T.StringType())])
+
+    def ask(part: list[str]) -> tuple[list[str | None], str | None]:
+        for attempt in range(attempts):
+            try:
+                out = list(pick(part))
+            except Exception as e:
+                said = f"{type(e).__name__}: {e}"
+                if attempt + 1 == attempts or not any(x in said for x in TRANSIENT):
+                    return [None] * len(part), said
+                time.sleep(wait(attempt))
+            else:
+                if len(out) != len(part):
+                    return [None] * len(part), f"{len(out)} replies to {len(part)} prompts"
+                return out, None
+        raise AssertionError("the last attempt returns")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[str | None] = []
+            errors: list[str | None] = []
             for a in range(0, len(f), batch):
-                part = f["prompt"].iloc[a : a + batch].tolist()
-                try:
-                    out += pick(part)
-                except Exception:
-                    out += [None] * len(part)
-            yield f.assign(raw=out)
+                got, error = ask(f["prompt"].iloc[a : a + batch].tolist())
+                out += got
+                errors += [error] * len(got)
+            yield f.assign(raw=pd.Series(out, index=f.index, dtype=object), picker_error=pd.Series(errors, index=f.index, dtype=object))
 
     return prompts.mapInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def bm25_vote(ranked: DataFrame, k: int = 5) -> DataFrame:
 def ranked_train(it: DataFrame, k: int) -> DataFrame:
     """The k best training notes of each item to place, by BM25, with their folder."""
     train, val = it.filter("split = 'train'"), it.filter("split = 'val'")
-    scores = bm25_scores(train.select("vault", "id", "ord", "text"), val.select("vault", "id", "text"))
+    scores = bm25_scores(train.select("vault", "id", "ord", "text"), val.select("vault", "id", "text"), k=k)
     return top_k(scores, ["vault", "id"], k).join(train.select("vault", F.col("id").alias("doc"), F.col("path_key").alias("doc_key")), ["vault", "doc"])
 
 
@@ -99,3 +99,20 @@ def with_soft(v: DataFrame) -> DataFrame:
 
     rel = soft_relation(parse_key(F.col("gold")), parse_key(F.col("pred")))
     return v.withColumn("exact", F.col("pred") == F.col("gold")).withColumn("bucket", bucket(F.col("support"))).withColumn("relation", rel)
+
+
+def flat_placer(tasks: DataFrame, dirs: DataFrame, ask: Callable[[list[str]], list[str]]) -> DataFrame:
+    """vault, id, gold, pred, parsed, picker_error: a model is shown a note and all folders of its vault, and names one.
+
+    tasks: vault, id, text, path_key; dirs: vault, path_key. A reply that names no path gives no prediction (null), which
+    counts as wrong: ``parsed`` tells. A vault's folders are gathered once and joined to its tasks.
+    """
+    from ..functions.paths import path_key
+    from ..functions.text import parse_path_json
+    from .pickers import with_picker
+
+    listed = dirs.groupBy("vault").agg(F.array_sort(F.collect_set("path_key")).alias("folders"))
+    prompt = F.to_json(F.struct(F.col("id").alias("task"), F.col("text").alias("fact_text"), F.col("folders").alias("existing_dirs")))
+    asked = with_picker(tasks.join(listed, "vault").select("vault", "id", F.col("path_key").alias("gold"), prompt.alias("prompt")), ask)
+    path = parse_path_json(F.col("raw"))
+    return asked.select("vault", "id", "gold", path_key(path).alias("pred"), path.isNotNull().alias("parsed"), "picker_error")

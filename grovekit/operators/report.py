@@ -37,3 +37,31 @@ def sft_rows(tasks: DataFrame, dirs: DataFrame, system: str) -> DataFrame:
     answer = F.to_json(F.struct(F.col("path").alias("path")))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return t.select("vault", "id", F.array(message("system", F.lit(system)), message("user", user), message("assistant", answer)).alias("messages"))
+
+
+def pooled_sft(tasks: DataFrame, dirs: DataFrame, system: str) -> DataFrame:
+    """vault, id, split, messages, meta: training dialogues of all vaults in one table, each rendered with the folders, roots
+    and depth of its own vault.
+
+    tasks: vault, id, split, kind, text, path; dirs: vault, path, and the vault's folders are gathered once. ``system`` may
+    hold {roots} and {max_depth}. meta: id, vault, gold_path, root.
+    """
+    own = dirs.groupBy("vault").agg(F.array_sort(F.collect_set(path_key(F.col("path")))).alias("folders"), F.array_sort(F.collect_set(F.get("path", F.lit(0)))).alias("roots"), F.max(F.size("path")).alias("max_depth"))
+    t = tasks.join(own, "vault")
+    intro = F.replace(F.replace(F.lit(system), F.lit("{roots}"), F.to_json("roots")), F.lit("{max_depth}"), F.col("max_depth").cast("string"))
+    user = F.concat(F.to_json(F.struct(F.col("kind").alias("task"), F.col("text").alias("fact_text"), F.col("folders").alias("existing_dirs"))), F.lit("\n\nChoose the destination path. JSON only."))
+    answer = F.to_json(F.struct(F.col("path").alias("path"), F.lit(0.9).alias("confidence")))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    meta = F.struct("id", "vault", F.col("path").alias("gold_path"), F.get("path", F.lit(0)).alias("root"))
+    return t.select("vault", "id", "split", F.array(message("system", intro), message("user", user), message("assistant", answer)).alias("messages"), meta.alias("meta"))
+
+
+def place_gold(tasks: DataFrame) -> DataFrame:
+    """Operations that put the notes of placement tasks where they belong: the folder is made, then the note added.
+
+    tasks: ord, id, text, gold_path and fact_id, if there is one.
+    """
+    fact = F.coalesce(F.col("fact_id"), F.concat(F.lit("f_"), F.col("id").cast("string"))) if "fact_id" in tasks.columns else F.concat(F.lit("f_"), F.col("id").cast("string"))
+    each = tasks.withColumn("fact_id", fact).withColumn("o", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("MKDIR").alias("op")), F.struct(F.lit(1).alias("k"), F.lit("ADD").alias("op")))))
+    add = F.col("o.op") == "ADD"
+    return each.select((2 * F.col("ord") + F.col("o.k")).alias("seq"), F.col("o.op").alias("op"), F.when(add, F.col("fact_id")).alias("fact_id"), F.when(add, F.col("text")).alias("text"), F.col("gold_path").alias("path"), F.lit(None).cast("string").alias("project"), F.lit(False).alias("hard"))

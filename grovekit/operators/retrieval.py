@@ -1,63 +1,190 @@
 """Retrieval: BM25 and cosine, flat, by project, by subtree and over the path graph. Ties go to the earlier note.
 
-Scores are ranked rounded to nine places, so sums in another order rank alike. Ranks are filtered right after the
-window, so Spark keeps the best k of each query in every partition before the shuffle.
+Scores are ranked rounded to nine places, so sums in another order rank alike. Every query meets every note of its scope
+in blocks: both sides are dealt into blocks of bounded size, a task scores one block of queries against one of notes with
+array operations, and hands on only the best k of each query. So a word that all notes have makes no hot key, and no row is
+written for a pair that cannot be among the results. Ranks are filtered right after the window, so Spark keeps the best k
+of each query in every partition before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import path_prefixes
 from ..functions.text import tokenize
 from ..functions.vectors import dot, unit
 
 K1, B = 1.5, 0.75
+#: Queries, and notes, of one scope that a task scores against one another.
+BLOCK = 2000
+#: Scores this close to the k-th best go along: ranks are of scores rounded to nine places.
+_NEAR = 2e-9
+
+
+def _in_blocks(queries: DataFrame, notes: DataFrame, scope: str, score: Callable[[pa.Table, pa.Table], np.ndarray], keep: Sequence[str], note_keep: Sequence[str], k: int | None, part: str | None, least: float, block: int) -> DataFrame:
+    """scope, ``keep`` of the query, ``note_keep`` of the note, score: pairs with a score over ``least``; with ``k`` the best
+    of each query in each block (and in each value of the note's column ``part``), with all that may tie.
+
+    ``score`` gives the matrix of a block of queries (rows) and one of notes.
+    """
+    sizes = lambda df, name: df.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    n_blocks = sizes(queries, "_nq").join(sizes(notes, "_nd"), scope)
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = queries.join(n_blocks, scope).withColumn("_qb", place("id", "_nq")).withColumn("_db", every("_nd")).drop("_nq", "_nd")
+    d = notes.join(n_blocks, scope).withColumn("_db", place("doc", "_nd")).withColumn("_qb", every("_nq")).drop("_nq", "_nd")
+    fields = [f for f in queries.schema.fields if f.name in (scope, *keep)] + [f for f in notes.schema.fields if f.name in note_keep]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, columns, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            found = score(left, right)
+            groups = [np.arange(found.shape[1])]
+            if part is not None:
+                which = np.unique(np.array(right.column(part).to_pylist(), object).astype(str), return_inverse=True)[1]
+                groups = [np.flatnonzero(which == g) for g in range(which.max() + 1)]
+            picked = []
+            for cols in groups:
+                own = found[:, cols]
+                ok = own > least
+                if k is not None and len(cols) > k:
+                    ok &= own >= np.partition(own, len(cols) - k, axis=1)[:, len(cols) - k, None] - _NEAR
+                r, c = np.nonzero(ok)
+                picked.append((r, cols[c], own[r, c]))
+            rows, columns, values = (np.concatenate(x) for x in zip(*picked))
+        i, j = pa.array(rows), pa.array(columns)
+        return pa.table([*(left.column(f.name).take(i) if f.name in (scope, *keep) else right.column(f.name).take(j) for f in fields), pa.array(values)], names=schema.names)
+
+    by = [scope, "_qb", "_db"]
+    q, d = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (q, d))  # both may come from one table
+    return q.groupBy(*by).cogroup(d.groupBy(*by)).applyInArrow(run, schema)
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     return df.select(*keys, F.explode(tokenize(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, scope: str = "vault") -> DataFrame:
-    """scope, id, doc, doc_ord, score for each query and note of its scope that share a term.
-
-    corpus: scope, id, ord, text. queries: scope, id, text; a term counts as often as the query has it.
+def _bm25_block(queries: pa.Table, notes: pa.Table) -> np.ndarray:
+    """Scores of a block: of each term that both sides have, the product of its weights."""
+    asked, tokens = queries.column("terms").combine_chunks(), notes.column("tokens").combine_chunks()
+    weight = queries.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    words = pa.concat_arrays([asked.flatten(), tokens.flatten()]).dictionary_encode()
+    index, n = words.indices.to_numpy().astype(np.int64), len(weight)
+    per = lambda a: np.repeat(np.arange(len(a)), np.diff(a.offsets.to_numpy()))
+    q_row, q_term, d_row, d_term = per(asked), index[:n], per(tokens), index[n:]
+    length = np.bincount(d_row, minlength=len(tokens))
+    wanted = np.zeros(len(words.dictionary), bool)
+    wanted[q_term] = True
+    use = wanted[d_term]
+    pair, tf = np.unique(d_term[use] * len(tokens) + d_row[use], return_counts=True)
+    d_term, d_row = pair // max(1, len(tokens)), pair % max(1, len(tokens))
+    long = (length / notes.column("avgdl").to_numpy())[d_row]
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long))
+    order = np.argsort(q_term, kind="stable")
+    q_row, q_term, weight = q_row[order], q_term[order], weight[order]
+    out = np.zeros((len(asked), len(tokens)))
+    terms = np.unique(q_term)
+    q_edge, d_edge = np.searchsorted(q_term, np.append(terms, len(wanted))), (np.searchsorted(d_term, terms), np.searchsorted(d_term, terms, "right"))
+    for i in range(len(terms)):
+        a, b = d_edge[0][i], d_edge[1][i]
+        if b > a:
+            q = slice(q_edge[i], q_edge[i + 1])
+            out[np.ix_(q_row[q], d_row[a:b])] += weight[q, None] * value[None, a:b]
+    return out
+
+
+def bm25_scores(corpus: DataFrame, queries: DataFrame, scope: str = "vault", k: int | None = None, part: str | None = None, block: int = BLOCK) -> DataFrame:
+    """scope, id, doc, doc_ord (and ``part``), score for each query and note of its scope that share a term; with ``k`` only
+    those that may be among the best k of the query (in each value of ``part``), to be ranked by ``top_k``.
+
+    corpus: scope, id, ord, text (and ``part``, a column). queries: scope, id, text; a term counts as often as the query
+    has it.
     """
-    tf = term_counts(corpus.withColumnRenamed("id", "doc").withColumnRenamed("ord", "doc_ord"), [scope, "doc", "doc_ord"])
-    length = tf.groupBy(scope, "doc").agg(F.sum("tf").alias("dl"))
-    stats = corpus.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).join(length.groupBy(scope).agg(F.sum("dl").alias("total")), scope, "left")
-    stats = stats.select(scope, "n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"))
-    df = tf.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(stats, scope).select(scope, "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    posting = tf.join(length, [scope, "doc"]).join(idf, [scope, "term"]).select(scope, "term", "doc", "doc_ord", weight.alias("w"))
-    q = term_counts(queries, [scope, "id"]).withColumnRenamed("tf", "qtf")
-    return q.join(posting, [scope, "term"]).groupBy(scope, "id", "doc", "doc_ord").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
-
-
-def top_k(scores: DataFrame, keys: Sequence[str], k: int, score: str = "score", order: str = "doc_ord") -> DataFrame:
-    """The k best rows of each key, with their rank ``rk``."""
-    w = Window.partitionBy(*keys).orderBy(F.round(score, 9).desc(), F.col(order))
+    more = [part] if part else []
+    notes = corpus.select(scope, F.col("id").alias("doc"), F.col("ord").alias("doc_ord"), tokenize(F.col("text")).alias("tokens"), *more)
+    stats = notes.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("tokens")) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
+    df = notes.select(scope, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    asked = term_counts(queries, [scope, "id"]).join(df, [scope, "term"]).join(stats.select(scope, "n"), scope)
+    weight = F.col("tf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.groupBy(scope, "id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("l")).select(scope, "id", F.col("l.term").alias("terms"), F.col("l.w").alias("weights"))
+    notes = notes.join(stats.select(scope, "avgdl"), scope)
+    return _in_blocks(asked, notes, scope, _bm25_block, ["id"], ["doc", "doc_ord", *more], k, part, 0.0, block)
+
+
+def top_k(scores: DataFrame, keys: Sequence[str], k: int, score: str | None = "score", order: str = "doc_ord") -> DataFrame:
+    """The k best rows of each key (without ``score``: the first ones), with their rank ``rk``."""
+    w = Window.partitionBy(*keys).orderBy(*([F.round(score, 9).desc()] if score else []), F.col(order))
     return scores.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
 
-def fill_zeros(scores: DataFrame, corpus: DataFrame, queries: DataFrame, scope: str = "vault") -> DataFrame:
-    """Scores of all notes of the scope: those that share no term have 0 and can fill up a list."""
-    pairs = queries.select(scope, "id").join(corpus.select(scope, F.col("id").alias("doc"), F.col("ord").alias("doc_ord")), scope)
-    return pairs.join(scores.select(scope, "id", "doc", "score"), [scope, "id", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def fill_zeros(scores: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, scope: str = "vault") -> DataFrame:
+    """Scores and, with 0, notes that share no term and can fill up a list of ``k``: of the first k notes of the scope as
+    many are left as a list can lack, so no others are needed."""
+    first = top_k(corpus.select(scope, F.col("id").alias("doc"), F.col("ord").alias("doc_ord")), [scope], k, None).drop("rk")
+    pairs = queries.select(scope, "id").join(first, scope).join(scores.select(scope, "id", "doc"), [scope, "id", "doc"], "left_anti")
+    return scores.select(scope, "id", "doc", "doc_ord", "score").unionByName(pairs.select(scope, "id", "doc", "doc_ord", F.lit(0.0).alias("score")))
 
 
-def cosine_scores(corpus: DataFrame, queries: DataFrame, scope: str | None = "vault") -> DataFrame:
-    """Cosine of each query with each note of its scope; columns of the corpus come with ``doc_`` before them."""
-    c = corpus.withColumn("vector", unit(F.col("vector")))
-    c = c.select(*([scope] if scope else []), *[F.col(x).alias("doc" if x == "id" else f"doc_{x}") for x in corpus.columns if x != scope])
-    q = queries.withColumn("vector", unit(F.col("vector")))
-    pairs = q.join(c, scope) if scope else q.crossJoin(c)
-    return pairs.withColumn("score", dot(F.col("vector"), F.col("doc_vector"))).drop("vector", "doc_vector")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of unit length as rows."""
+    column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+
+
+def cosine_scores(corpus: DataFrame, queries: DataFrame, scope: str | None = "vault", k: int | None = None, part: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Cosine of each query with each note of its scope (without one: with all notes); with ``k`` only of those that may be
+    among the best k. Columns of the corpus come with ``doc_`` before them."""
+    by = scope or "_all"
+    if scope is None:
+        corpus, queries = corpus.withColumn(by, F.lit(0)), queries.withColumn(by, F.lit(0))
+    notes = corpus.select(by, *[F.col(x).alias("doc" if x == "id" else f"doc_{x}") for x in corpus.columns if x != by])
+    keep, note_keep = [c for c in queries.columns if c not in (by, "vector")], [c for c in notes.columns if c not in (by, "doc_vector")]
+    score = lambda q, d: _matrix(q.column("vector")) @ _matrix(d.column("doc_vector")).T
+    out = _in_blocks(queries, notes, by, score, keep, note_keep, k, part, -np.inf, block)
+    return out if scope else out.drop(by)
+
+
+def near_pairs(vectors: DataFrame, least: float, apart: str, block: int = BLOCK) -> DataFrame:
+    """a, b, cos: pairs of vectors (id, ``apart``, vector) with different values of ``apart`` and a cosine, rounded to six
+    places, of ``least`` or more; a before b.
+
+    No index that hashes can promise to find them all, so the vectors are dealt into blocks by their number, and each pair
+    of blocks is one product of matrices.
+    """
+    blocks = vectors.agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    v = vectors.crossJoin(F.broadcast(blocks)).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")))
+    v = v.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    v = v.select(F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "id", apart, "vector")
+    kind = vectors.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cos", T.DoubleType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        own, ids = t.column("_own").to_numpy(), t.column("id").combine_chunks()
+        x, which = _matrix(t.column("vector")), np.unique(np.array(t.column(apart).to_pylist()), return_inverse=True)[1]
+        rank = pa.compute.rank(ids, tiebreaker="first").to_numpy()
+        left, right = (np.flatnonzero(own == t.column(c)[0].as_py()) for c in ("_p", "_q"))
+        cos = np.round(x[left] @ x[right].T, 6)
+        r, c = np.nonzero(cos >= least)
+        value, r, c = cos[r, c], left[r], right[c]
+        ok = which[r] != which[c]
+        if t.column("_p")[0] == t.column("_q")[0]:  # a block against itself: each pair once
+            ok &= rank[r] < rank[c]
+        r, c, value = r[ok], c[ok], value[ok]
+        swap = rank[r] > rank[c]
+        a, b = np.where(swap, c, r), np.where(swap, r, c)
+        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(value)], names=["a", "b", "cos"])
+
+    return v.groupBy("_p", "_q").applyInArrow(run, schema)
 
 
 def hierarchical_top_k(scores: DataFrame, keys: Sequence[str], k: int, global_k: int, is_global: str) -> DataFrame:
@@ -75,23 +202,43 @@ def in_subtree(notes: DataFrame, active: DataFrame, path: str = "path") -> DataF
     return under.join(active.withColumnRenamed("active", "_p"), "_p").withColumnRenamed("_p", "active")
 
 
+def _folders(notes: DataFrame, scope: str) -> DataFrame:
+    """scope, id, path_key and the key of the folder above, one row each."""
+    up = F.when(F.size("path") > 1, F.concat(F.lit("/"), F.array_join(F.slice("path", 1, F.size("path") - 1), "/")))
+    return notes.select(scope, "id", "path_key", up.alias("parent")).distinct()
+
+
 def path_graph(notes: DataFrame, scope: str = "vault") -> DataFrame:
-    """Edges (scope, a, b), both ways: notes of one folder, and notes of a folder with those of the folder above."""
-    n = notes.select(scope, "id", "path_key", F.when(F.size("path") > 1, F.concat(F.lit("/"), F.array_join(F.slice("path", 1, F.size("path") - 1), "/"))).alias("parent"))
+    """Edges (scope, a, b), both ways: notes of one folder, and notes of a folder with those of the folder above.
+
+    All edges of a folder are asked for here; ``hybrid`` goes by folders and needs none of them.
+    """
+    n = _folders(notes, scope)
     a = n.select(scope, F.col("id").alias("a"), "path_key", "parent")
     b = n.select(scope, F.col("id").alias("b"), F.col("path_key").alias("b_key"))
     same = a.join(b.withColumnRenamed("b_key", "path_key"), [scope, "path_key"]).filter("a <> b").select(scope, "a", "b")
     up = a.join(b.withColumnRenamed("b_key", "parent"), [scope, "parent"]).select(scope, "a", "b")
-    return same.unionByName(up).unionByName(up.select(scope, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # a folder is never above itself, so no edge comes twice
+    return same.unionByName(up).unionByName(up.select(scope, F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def hybrid(scores: DataFrame, edges: DataFrame, keys: Sequence[str], k: int, k_seed: int, scope: str = "vault") -> DataFrame:
-    """Seeds by score, their neighbours in the path graph, and the k best of all; with the number of candidates."""
-    seeds = top_k(scores, keys, k_seed)
-    near = seeds.join(edges.withColumnRenamed("a", "doc"), [scope, "doc"]).select(*keys, F.col("b").alias("doc"))
-    cand = seeds.select(*keys, "doc").unionByName(near).distinct()
-    found = scores.join(cand, [*keys, "doc"], "left_semi")
-    return top_k(found.withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy(*keys))), keys, k)
+def hybrid(notes: DataFrame, queries: DataFrame, k: int, k_seed: int, scope: str = "vault") -> DataFrame:
+    """scope, id, doc, score, n_candidates, rk: the nearest notes as seeds, with their neighbours in the path graph, and the k
+    best of all. notes: scope, id, ord, path, path_key, vector; queries: scope, id, vector. A note is no candidate of its own.
+
+    Neighbours are looked up by folder from the seeds, and only they are scored.
+    """
+    keys = [scope, "id"]
+    seeds = cosine_scores(notes.select(scope, "id", "ord", "vector"), queries, scope, k_seed + 1).filter("id <> doc")
+    seeds = top_k(seeds, keys, k_seed).select(*keys, "doc")
+    n = _folders(notes, scope)
+    at = seeds.join(n.withColumnRenamed("id", "doc"), [scope, "doc"]).select(*keys, "path_key", "parent").distinct()
+    there = n.select(scope, F.col("id").alias("doc"), F.col("path_key").alias("_key"), F.col("parent").alias("_up"))
+    near = lambda own, other: at.join(there.withColumnRenamed(other, own), [scope, own]).select(*keys, "doc")
+    cand = seeds.unionByName(near("path_key", "_key")).unionByName(near("parent", "_key")).unionByName(near("path_key", "_up")).distinct().filter("id <> doc")
+    cand = cand.join(queries.select(*keys, unit(F.col("vector")).alias("_q")), keys).join(notes.select(scope, F.col("id").alias("doc"), F.col("ord").alias("doc_ord"), unit(F.col("vector")).alias("_d")), [scope, "doc"])
+    scored = cand.select(*keys, "doc", "doc_ord", dot(F.col("_q"), F.col("_d")).alias("score"))
+    return top_k(scored.withColumn("n_candidates", F.count(F.lit(1)).over(Window.partitionBy(*keys))), keys, k)
 
 
 def folder_candidates(ranked: DataFrame, keys: Sequence[str], folder: str, n: int, over: int) -> DataFrame:

@@ -4,12 +4,14 @@ Operations come in the order of ``seq``. Whether one may run depends on what cam
 exist, is it valid) and, where folders must exist, on folders made before it; both are read off with windows over the
 log, not by running operations one by one. The state after the log is an aggregation over the operations that ran.
 
-ops columns: seq, op, fact_id, text, path (array), project, hard (boolean). facts columns: id, text, path, project, valid,
-revision. dirs columns: path_key, path.
+ops columns: seq, op, fact_id, text, path (array), project, hard (boolean) and, where there are such, kind, t, parent_id,
+episode_id, confidence. facts columns: id, text, path, project, valid, revision and the latter five. dirs columns: path_key,
+path.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,17 +19,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import DEFAULT_ROOTS, MAX_DEPTH, normalize_op, normalize_path, path_error, path_key, path_prefixes
+from ..sources.keyed import Folder, KeyedTable
+from ..sources.scratch import Scratch
 
 PATH = T.ArrayType(T.StringType())
-OPS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("fact_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("path", PATH), T.StructField("project", T.StringType()), T.StructField("hard", T.BooleanType())])
-FACTS = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("path", PATH), T.StructField("project", T.StringType()), T.StructField("valid", T.BooleanType()), T.StructField("revision", T.LongType())])
+#: What an operation may say of a note beside its text and place.
+MORE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("t", T.StringType()), T.StructField("parent_id", T.StringType()), T.StructField("episode_id", T.StringType()), T.StructField("confidence", T.DoubleType())])
+#: The kind of a note that has none given, and entries of a new store's metadata.
+KIND = "claim"
+META = {"CONFLICT_POLICY": "append_only", "ARCHITECTURE": "family_A_hard_tree"}
+OPS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("fact_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("path", PATH), T.StructField("project", T.StringType()), T.StructField("hard", T.BooleanType()), *MORE.fields])
+FACTS = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("path", PATH), T.StructField("project", T.StringType()), T.StructField("valid", T.BooleanType()), T.StructField("revision", T.LongType()), *MORE.fields])
 DIRS = T.StructType([T.StructField("path_key", T.StringType()), T.StructField("path", PATH)])
 #: Roots whose second segment names the project of a note moved there.
 PROJECT_ROOTS = ("project", "work", "personal", "inbox")
 
 
+def with_fields(rows: DataFrame, schema: T.StructType = OPS) -> DataFrame:
+    """Rows of an older or shorter layout with the columns of ``schema`` that they lack, as null (``revision``: 1)."""
+    have = set(rows.columns)
+    return rows.withColumns({f.name: F.lit(1 if f.name == "revision" else None).cast(f.dataType) for f in schema.fields if f.name not in have})
+
+
 def prepare(ops: DataFrame) -> DataFrame:
-    """Operations with their names and paths put right, and default paths for notes to add."""
+    """Operations with their names and paths put right, and default paths and ids for notes to add."""
+    ops = with_fields(ops)
+    made = F.concat(F.lit("f_"), F.substring(F.sha1(F.concat_ws("|", F.col("seq").cast("string"), "text").cast("binary")), 1, 12))
+    ops = ops.withColumn("fact_id", F.when((normalize_op(F.col("op")) == "ADD") & F.col("fact_id").isNull(), made).otherwise(F.col("fact_id")))
     path = F.when(F.col("path").isNotNull(), normalize_path(F.col("path")))
     name = normalize_op(F.col("op"))
     default = F.when(F.col("project").isNull(), F.array(F.lit("global"))).otherwise(F.array(F.lit("project"), F.col("project")))
@@ -53,16 +71,15 @@ def made_dirs(ops: DataFrame, strict: bool) -> DataFrame:
 
 
 def log(ops: DataFrame, facts: DataFrame | None = None, dirs: DataFrame | None = None, roots: Sequence[str] = DEFAULT_ROOTS, max_depth: int = MAX_DEPTH, strict: bool = False) -> DataFrame:
-    """The operations with ``error`` (null if it ran), ``kind`` (Key, Value) of the error, and ``gen``, the life of the note.
+    """The operations with ``error`` (null if it ran), ``kind_of_error`` (Key, Value), and ``gen``, the life of the note.
 
     Wrong operations are passed over. The notes of ``facts`` count as added before.
     """
+    more = [f.name for f in MORE.fields]
     p = prepare(ops).withColumn("static", _static_error(roots, max_depth)).withColumn("before", F.lit(False))
+    p = p.withColumns({"was_valid": F.lit(None).cast("boolean"), "was_revision": F.lit(None).cast("long")})
     if facts is not None:
-        old = facts.select(F.lit(-1).cast("long").alias("seq"), F.lit("ADD").alias("op"), F.col("id").alias("fact_id"), "text", "path", "project", F.lit(False).alias("hard"), F.lit("ADD").alias("raw_op"), F.lit(None).cast("string").alias("static"), F.lit(True).alias("before"), F.col("valid").alias("was_valid"), F.col("revision").alias("was_revision"))
-        p = p.withColumns({"was_valid": F.lit(None).cast("boolean"), "was_revision": F.lit(None).cast("long")}).unionByName(old)
-    else:
-        p = p.withColumns({"was_valid": F.lit(None).cast("boolean"), "was_revision": F.lit(None).cast("long")})
+        p = p.unionByName(with_fields(facts, FACTS).select(F.lit(-1).cast("long").alias("seq"), F.lit("ADD").alias("op"), F.col("id").alias("fact_id"), "text", "path", "project", F.lit(False).alias("hard"), F.lit("ADD").alias("raw_op"), F.lit(None).cast("string").alias("static"), F.lit(True).alias("before"), F.col("valid").alias("was_valid"), F.col("revision").alias("was_revision"), *more), allowMissingColumns=True)
     if strict:
         known = made_dirs(p.filter("NOT before AND static IS NULL"), True).select("path_key", "made")
         if dirs is not None:
@@ -71,6 +88,9 @@ def log(ops: DataFrame, facts: DataFrame | None = None, dirs: DataFrame | None =
         p = p.withColumn("_k", path_key(F.col("path"))).join(known.withColumnRenamed("path_key", "_k"), "_k", "left")
         lost = F.col("op").isin("ADD", "MOVE", "UPDATE") & F.col("path").isNotNull() & ~F.col("before") & (F.col("made").isNull() | (F.col("made") > F.col("seq")))
         p = p.withColumn("static", F.coalesce("static", F.when(lost, F.concat(F.col("_k"), F.lit(" does not exist"))))).drop("_k", "made")
+    # operations on no note (a third of a log may be such) need no look back, and no task of their own
+    loose = p.filter("fact_id IS NULL").withColumns({"exists": F.lit(False), "valid_before": F.lit(False), "gen": F.lit(0).cast("long")})
+    p = p.filter("fact_id IS NOT NULL")
     # a note exists if the last ADD or hard DELETE before was an ADD, whether that ran or found the note there already
     w = Window.partitionBy("fact_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     ok = F.col("static").isNull()
@@ -80,12 +100,14 @@ def log(ops: DataFrame, facts: DataFrame | None = None, dirs: DataFrame | None =
     alive = F.when(added, F.coalesce("was_valid", F.lit(True))).when(ok & (F.col("op") == "DELETE") & F.col("exists"), F.lit(False))
     p = p.withColumn("valid_before", F.coalesce(F.last(alive, True).over(w), F.lit(False)))
     p = p.withColumn("gen", F.sum(added.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.unionByName(loose)
+    keyed = F.col("fact_id").isNotNull()
     dynamic = (
-        F.when((F.col("op") == "ADD") & F.col("exists"), F.lit("duplicate fact id"))
+        F.when(keyed & (F.col("op") == "ADD") & F.col("exists"), F.lit("duplicate fact id"))
         .when(F.col("op").isin("UPDATE", "MOVE", "DELETE") & ~F.col("exists"), F.lit("fact not found"))
         .when((F.col("op") == "MOVE") & ~F.col("valid_before"), F.lit("cannot move a deleted fact"))
     )
-    return p.withColumn("error", F.coalesce("static", dynamic)).withColumn("kind", F.when(F.col("error").isNotNull(), F.when(F.col("error") == "fact not found", F.lit("Key")).otherwise(F.lit("Value"))))
+    return p.withColumn("error", F.coalesce("static", dynamic)).withColumn("kind_of_error", F.when(F.col("error").isNotNull(), F.when(F.col("error") == "fact not found", F.lit("Key")).otherwise(F.lit("Value"))))
 
 
 def state(logged: DataFrame) -> DataFrame:
@@ -98,13 +120,41 @@ def state(logged: DataFrame) -> DataFrame:
     to_project = is_mv & F.get("path", F.lit(0)).isin(*PROJECT_ROOTS) & (F.size("path") > 1)
     project = is_add | (is_up & (F.col("project").isNotNull() | (F.col("path") == F.array(F.lit("global"))))) | to_project
     value = F.when(to_project, F.get("path", F.lit(1))).otherwise(F.col("project"))
+    own = [F.max_by(F.coalesce("kind", F.lit(KIND)), when(is_add)).alias("kind"), F.max_by("t", when(is_add)).alias("t")]
+    own += [F.max_by(c, when((is_add | is_up) & F.col(c).isNotNull())).alias(c) for c in ("parent_id", "episode_id", "confidence")]
     last = ran.groupBy("fact_id", "gen").agg(
-        F.max_by("text", when(text)).alias("text"), F.max_by("path", when(path)).alias("path"), F.max_by(value, when(project)).alias("project"),
+        F.max_by("text", when(text)).alias("text"), F.max_by("path", when(path)).alias("path"), F.max_by(value, when(project)).alias("project"), *own,
         F.max(when((F.col("op") == "DELETE") & F.col("hard"))).alias("gone"), F.max(when(F.col("op") == "DELETE")).alias("deleted"),
         (F.coalesce(F.max("was_revision"), F.lit(1)) + F.count_if(is_up | is_mv)).alias("revision"), F.bool_and(F.coalesce("was_valid", F.lit(True))).alias("was_valid"),
     )
     now = last.groupBy("fact_id").agg(F.max_by(F.struct(*[c for c in last.columns if c != "fact_id"]), "gen").alias("s")).filter("s.gone IS NULL")
-    return now.select(F.col("fact_id").alias("id"), "s.text", "s.path", "s.project", (F.col("s.deleted").isNull() & F.col("s.was_valid")).alias("valid"), F.col("s.revision").cast("long").alias("revision"))
+    more = [f"s.{f.name}" for f in MORE.fields]
+    return now.select(F.col("fact_id").alias("id"), "s.text", "s.path", "s.project", (F.col("s.deleted").isNull() & F.col("s.was_valid")).alias("valid"), F.col("s.revision").cast("long").alias("revision"), *more)
+
+
+#: The fields of a note that ``update_fields`` may set.
+SETTABLE = ("text", "path", "project", "kind", "t", "parent_id", "episode_id", "confidence")
+
+
+def update_fields(facts: DataFrame, changes: DataFrame, roots: Sequence[str] = DEFAULT_ROOTS, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """All notes, each with ``error`` of its change (null if it was made, or if there is none), and, with their error, the
+    changes of notes that are not there.
+
+    changes: id, fields (names of SETTABLE that are given; a field that is given may be null), and those columns. Unlike the
+    operation of that name a change is refused where the note is deleted. It counts as one revision.
+    """
+    given = lambda f: F.array_contains("c.fields", f)
+    path = normalize_path(F.col("c.path"))
+    error = (
+        F.when(F.col("c.id").isNull(), F.lit(None))
+        .when(F.col("f.id").isNull(), F.lit("fact not found"))
+        .when(~F.col("f.valid"), F.lit("cannot update a deleted fact"))
+        .when(given("path"), path_error(path, tuple(roots), max_depth))
+    )
+    both = facts.alias("f").join(changes.alias("c"), F.col("f.id") == F.col("c.id"), "full_outer").withColumn("error", error)
+    made = F.col("c.id").isNotNull() & F.col("error").isNull()
+    new = lambda n: F.when(made & given(n), path if n == "path" else F.col(f"c.{n}")).otherwise(F.col(f"f.{n}")).alias(n)
+    return both.select(F.coalesce("f.id", "c.id").alias("id"), *[new(n) for n in SETTABLE], "f.valid", (F.col("f.revision") + made.cast("int")).alias("revision"), "error", (made & given("text") & ~F.col("c.text").eqNullSafe(F.col("f.text"))).alias("text_changed"))
 
 
 def changed_texts(logged: DataFrame) -> DataFrame:
@@ -118,34 +168,118 @@ def keep_latest(vectors: DataFrame, keys: Sequence[str], order: str) -> DataFram
     return vectors.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def delete_vectors(vectors: DataFrame, ids: DataFrame, model: str | None = None) -> DataFrame:
+    """The vectors (id, model, ...) without those of the given ids: of one model, or of all."""
+    gone = ids.select("id").distinct()
+    if model is not None:
+        gone = gone.withColumn("model", F.lit(model))
+    return vectors.join(gone, gone.columns, "left_anti")
+
+
+def aligned_vectors(facts: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """All notes with their vector of a model; null where they have none."""
+    return facts.join(vectors.filter(F.col("model") == model).select("id", "vector"), "id", "left")
+
+
 class Store:
-    """Notes and folders, changed by whole batches of operations: all of a batch or nothing."""
+    """Notes and folders, changed by whole batches of operations: all of a batch or nothing.
 
-    def __init__(self, spark: SparkSession, roots: Sequence[str] = DEFAULT_ROOTS, max_depth: int = MAX_DEPTH, strict: bool = False):
-        if not roots:
-            raise ValueError("roots must not be empty")
-        self.spark, self.roots, self.max_depth, self.strict = spark, tuple(roots), max_depth, strict
-        self.facts = spark.createDataFrame([], FACTS)
-        self.dirs = spark.createDataFrame([(f"/{r}", [r]) for r in self.roots], DIRS)
+    Both are tables in buckets under ``root`` (without one: for the life of the program), of which a batch reads and writes
+    the buckets that it touches; nothing but the batch itself passes through the driver. Opened again, a store has its last
+    version, its roots and its own greatest depth, whatever is asked for then.
+    """
+
+    def __init__(self, spark: SparkSession, roots: Sequence[str] | None = None, max_depth: int = MAX_DEPTH, strict: bool = False, root: str | None = None, buckets: int = 16):
+        self.spark, self.strict = spark, strict
+        root = (root or Scratch(spark).root).rstrip("/")
+        self._files = Folder(spark, root)
+        self._facts = KeyedTable(spark, f"{root}/facts", FACTS, "id", buckets)
+        self._dirs = KeyedTable(spark, f"{root}/dirs", DIRS, "path_key", buckets)
+        self.meta: dict[str, str] = {**META, "MAX_DEPTH": str(max_depth), **json.loads(self._files.read("meta.json") or "{}")}
+        self.max_depth = int(self.meta["MAX_DEPTH"])
         self.logged: list = []
+        if roots is not None or "FIXED_ROOTS" not in self.meta:
+            self.set_roots(DEFAULT_ROOTS if roots is None else roots)
+
+    def set_meta(self, key: str, value: str) -> None:
+        self.meta[key] = value
+        self._files.write("meta.json", json.dumps(self.meta))
+
+    def get_meta(self, key: str) -> str | None:
+        return self.meta.get(key)
+
+    def conflict_policy(self) -> str:
+        return self.meta["CONFLICT_POLICY"]
+
+    @property
+    def roots(self) -> tuple[str, ...]:
+        return tuple(json.loads(self.meta["FIXED_ROOTS"]))
+
+    def set_roots(self, roots: Sequence[str]) -> None:
+        """The roots from now on; their folders are made."""
+        names = [r.strip().strip("/") for r in roots]
+        if not names or any(n in ("", ".", "..") for n in names):
+            raise ValueError("roots must not be empty")
+        self.set_meta("FIXED_ROOTS", json.dumps(names))
+        self._make_dirs(self.spark.createDataFrame([(f"/{r}", [r]) for r in names], DIRS))
+
+    @property
+    def facts(self) -> DataFrame:
+        return self._facts.read()
+
+    @property
+    def dirs(self) -> DataFrame:
+        return self._dirs.read()
+
+    def _make_dirs(self, new: DataFrame) -> None:
+        touched = self._dirs.touched(new.select("path_key"))
+        old = self._dirs.read(touched)
+        if touched and new.join(old, "path_key", "left_anti").limit(1).count():
+            self._dirs.write(old.unionByName(new).dropDuplicates(["path_key"]), touched, self._dirs.version + 1)
 
     def apply_ops(self, ops: Sequence[dict]) -> list[dict]:
         """Runs a batch; the first wrong operation raises (KeyError for a missing note, else ValueError) and nothing changes."""
         fields = [f.name for f in OPS]
-        rows = [tuple({**o, "seq": i}.get(f) for f in fields) for i, o in enumerate(ops)]
-        done = log(self.spark.createDataFrame(rows, OPS), self.facts, self.dirs, self.roots, self.max_depth, self.strict).cache()
-        bad = done.filter("error IS NOT NULL AND NOT before").orderBy("seq").limit(1).collect()
-        if bad:
-            raise (KeyError if bad[0]["kind"] == "Key" else ValueError)(bad[0]["error"])
-        # a batch is small against the store; its result is kept as rows, not as an ever longer plan
-        self.facts = self.spark.createDataFrame(state(done).collect(), FACTS)
-        new = made_dirs(done.filter("NOT before"), self.strict).select("path_key", "path")
-        self.dirs = self.spark.createDataFrame(self.dirs.unionByName(new).dropDuplicates(["path_key"]).collect(), DIRS)
-        out = [r.asDict() for r in done.filter("NOT before").orderBy("seq").select("seq", "op", "fact_id").collect()]
+        batch = prepare(self.spark.createDataFrame([tuple({**o, "seq": i}.get(f) for f in fields) for i, o in enumerate(ops)], OPS))
+        batch = batch.withColumn("op", F.col("raw_op")).drop("raw_op")
+        keys = batch.filter("fact_id IS NOT NULL").select(F.col("fact_id").alias("id")).distinct()
+        touched = self._facts.touched(keys)
+        old = self._facts.read(touched)
+        scratch = Scratch(self.spark)
+        try:
+            done = scratch.save(log(batch, old.join(keys, "id", "left_semi"), self.dirs if self.strict else None, self.roots, self.max_depth, self.strict))
+            bad = done.filter("error IS NOT NULL AND NOT before").orderBy("seq").limit(1).collect()
+            if bad:
+                raise (KeyError if bad[0]["kind_of_error"] == "Key" else ValueError)(bad[0]["error"])
+            self._make_dirs(made_dirs(done.filter("NOT before"), self.strict).select("path_key", "path"))
+            if touched:
+                self._facts.write(old.join(keys, "id", "left_anti").unionByName(state(done)), touched, self._facts.version + 1)
+            out = [r.asDict() for r in done.filter("NOT before").orderBy("seq").select("seq", "op", "fact_id").collect()]
+        finally:
+            scratch.close()
         self.logged += out
-        done.unpersist()
         return out
 
+    def update(self, fact_id: str, **fields) -> None:
+        """Sets fields of a note, also to nothing; a note that is not there or deleted is an error."""
+        if set(fields) - set(SETTABLE):
+            raise ValueError(f"no fields of a note: {sorted(set(fields) - set(SETTABLE))}")
+        names = [f.name for f in FACTS if f.name in SETTABLE]
+        schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("fields", PATH), *[f for f in FACTS if f.name in SETTABLE]])
+        change = self.spark.createDataFrame([(fact_id, list(fields), *[fields.get(n) for n in names])], schema)
+        touched = self._facts.touched(change.select("id"))
+        scratch = Scratch(self.spark)
+        try:
+            done = scratch.save(update_fields(self._facts.read(touched), change, self.roots, self.max_depth))
+            bad = done.filter("error IS NOT NULL").limit(1).collect()
+            if bad:
+                raise (KeyError if bad[0]["error"] == "fact not found" else ValueError)(bad[0]["error"])
+            if "path" in fields:
+                self._make_dirs(done.filter(F.col("id") == fact_id).select(F.explode(path_prefixes(F.col("path"))).alias("path")).select(path_key(F.col("path")).alias("path_key"), "path"))
+            self._facts.write(done, touched, self._facts.version + 1)
+        finally:
+            scratch.close()
+
     def read_all(self, valid_only: bool = True) -> DataFrame:
         return self.facts.filter("valid") if valid_only else self.facts
 

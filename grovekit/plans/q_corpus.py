@@ -18,7 +18,7 @@ def b6_ingest(spark, sf):
     d = table(spark, sf, "documents")
     content = F.when(F.col("doc_id") % 11 == 0, F.unhex(F.lit("fffe41"))).when(F.col("doc_id") % 13 == 0, F.lit("  \n ").cast("binary")).when(F.col("doc_id") % 17 == 0, F.lit(None).cast("binary")).otherwise(F.col("text").cast("binary"))
     files = d.select(F.col("source").alias("root"), F.col("lang").alias("source"), F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), content.alias("content"))
-    out = ingest(files, max_bytes=8000, max_per_root=30)
+    out = ingest(files)
     return out.select("root", "path", "ok", "reason", "id", F.length("body").alias("body_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), path_key(F.col("folder")).alias("folder"))
 
 
@@ -76,20 +76,11 @@ def d8_cross_vault(spark, sf):
 
 
 def d8b_cross_vault_near(spark, sf):
-    """Vectors of different vaults with a cosine of 0.45 or more.
-
-    Random hyperplanes cannot promise to find them all, so the pairs are scored in blocks: both sides are dealt into
-    blocks and every pair of blocks is one partition's work.
-    """
-    from ..functions.vectors import dot, unit
+    """Vectors of different vaults with a cosine of 0.45 or more."""
+    from ..operators.retrieval import near_pairs
     from .views import vecs
 
-    v = vecs(spark, sf).select("id", "vault", unit(F.col("vector")).alias("u"), (F.col("id") % 16).alias("blk"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    a = v.select(F.col("id").alias("a"), F.col("vault").alias("va"), F.col("u").alias("ua"), F.col("blk").alias("ba")).withColumn("bb", every)
-    b = v.select(F.col("id").alias("b"), F.col("vault").alias("vb"), F.col("u").alias("ub"), F.col("blk").alias("bb")).withColumn("ba", every)
-    pairs = a.join(b, ["ba", "bb"]).filter("a < b AND va <> vb")
-    return pairs.withColumn("cos", F.round(dot(F.col("ua"), F.col("ub")), 6)).filter("cos >= 0.45").select("a", "b", "cos")
+    return near_pairs(vecs(spark, sf).select("id", "vault", "vector"), 0.45, "vault")
 
 
 def d9_classify(spark, sf):
@@ -168,9 +159,9 @@ def d17_collisions(spark, sf):
 
 
 _INGEST = """f AS (SELECT source AS root, lang AS source, 'notes/' || lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path, text, doc_id,
-  CASE WHEN doc_id % 11 = 0 THEN 'not_utf8' WHEN doc_id % 13 = 0 THEN 'empty' WHEN doc_id % 17 = 0 THEN 'unreadable' WHEN strlen(text) > 8000 THEN 'too_large' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty' END AS r FROM documents),
+  CASE WHEN doc_id % 11 = 0 THEN 'not_utf8' WHEN doc_id % 13 = 0 THEN 'empty' WHEN doc_id % 17 = 0 THEN 'unreadable' WHEN strlen(text) > 80000 THEN 'too_large' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty' END AS r FROM documents),
 g AS (SELECT *, coalesce(sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
-h AS (SELECT root, path, source, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, CASE WHEN before >= 30 THEN 'cap' ELSE r END AS reason FROM g),
+h AS (SELECT root, path, source, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, CASE WHEN before >= 80 THEN 'cap' ELSE r END AS reason FROM g),
 ing AS (SELECT root, path, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN root || '_' || substr(sha1(source || '/' || path), 1, 10) END AS id,
   CASE WHEN reason IS NULL THEN least(length(body), 2001)::INT END AS body_chars, CASE WHEN reason IS NULL THEN md5(substr(body, 1, 500)) END AS text_md5, CASE WHEN reason IS NULL THEN '/' || root || '/' || source || '/notes' END AS folder FROM h)"""
 _PROBES = """pb AS (SELECT CASE WHEN m % 5 = 0 THEN host || '-template' ELSE host END AS name, n_notes, m % 3 = 0 AS software, m % 4 <> 0 AS marker FROM (SELECT host, count(*) AS n_notes, max(id) AS m FROM trees GROUP BY host)),

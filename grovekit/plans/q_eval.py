@@ -8,9 +8,10 @@ from ..functions.paths import branch_ok, lcp_len, parse_key, soft_hit
 from ..operators import agreement, metrics, placers, report, resampling, retrieval
 from .q_retrieval import SQL as RETRIEVAL_SQL
 from .q_retrieval import _VR, KEYS, _note_ranks, _vec_scores, f3_knn_grid, f8_cascade, f9_project
-from .views import arms, items, notes, table, vec_items, with_views
+from .views import arms, held, items, notes, table, vec_items, with_views
 
-REPS = 200
+#: Replicates of the resampling queries.
+REPS = 10_000
 
 
 def _v(spark, sf):
@@ -60,7 +61,7 @@ def i7_pooled(spark, sf):
 
 def i8_retrieval_quality(spark, sf):
     """Of the five nearest: the share of the gold folder's notes that are found, and whether a note of the next folder intrudes."""
-    top = retrieval.top_k(_vec_scores(spark, sf), KEYS, 5)
+    top = retrieval.top_k(_vec_scores(spark, sf, 5), KEYS, 5)
     it = vec_items(spark, sf)
     gold = it.filter("split = 'train'").groupBy("vault", "folder").agg(F.count(F.lit(1)).alias("n_gold"))
     q = it.filter("split = 'val'").select(*KEYS, "folder").join(gold, ["vault", "folder"], "left")
@@ -104,7 +105,7 @@ def _buckets(v):
 
 def m1_bootstrap(spark, sf):
     h = _buckets(metrics.vault_hits(_v(spark, sf), "bucket").select("vault", "arm", "bucket", "h", "n")).groupBy("bucket", "vault", "arm").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
-    r = resampling.bootstrap(h, REPS)
+    r = resampling.bootstrap(held(h), REPS)
     return r.select("bucket", "arm", *[F.round(c, 6).alias(c) for c in ("acc", "low", "high")])
 
 
@@ -115,7 +116,7 @@ def _paired(spark, sf):
 
 
 def m2_paired(spark, sf):
-    return resampling.paired_bootstrap(_paired(spark, sf), REPS).select("bucket", "n_vaults", *[F.round(c, 6).alias(c) for c in ("diff", "low", "high")])
+    return resampling.paired_bootstrap(held(_paired(spark, sf)), REPS).select("bucket", "n_vaults", *[F.round(c, 6).alias(c) for c in ("diff", "low", "high")])
 
 
 def m3_crossing(spark, sf):
@@ -134,33 +135,38 @@ def m5_exclusion(spark, sf):
     return metrics.occupancy_table(metrics.exclude(_v(spark, sf), metrics.OUTLIERS))
 
 
-def _descriptors(spark, sf):
-    n = items(spark, sf)
+def _descriptors(n):
     sizes = n.groupBy("vault", "path_key").agg(F.count(F.lit(1)).alias("c"), F.max(F.size("path")).alias("depth"))
     d = sizes.groupBy("vault").agg(F.log(F.count(F.lit(1))).alias("ln_dirs"), F.max("depth").cast("double").alias("max_depth"), F.avg("c").alias("mean_notes"), (F.max("c") / F.sum("c")).alias("top_share"))
     return d.join(agreement.gini(sizes, "vault", "c"), "vault")
 
 
 def n2_descriptors(spark, sf):
-    return _descriptors(spark, sf).select("vault", *[F.round(c, 6).alias(c) for c in ("ln_dirs", "max_depth", "mean_notes", "top_share", "gini")])
+    return _descriptors(items(spark, sf)).select("vault", *[F.round(c, 6).alias(c) for c in ("ln_dirs", "max_depth", "mean_notes", "top_share", "gini")])
 
 
-def _margins(spark, sf):
+def _margins(v):
     acc = lambda a: metrics.share(F.when(F.col("arm") == a, F.col("exact")))
-    return _v(spark, sf).groupBy("vault").agg((acc("bm25") - acc("majority")).alias("vote_majority"), (acc("first") - acc("bm25")).alias("first_vote"), (acc("first") - acc("majority")).alias("first_majority"))
+    return v.groupBy("vault").agg((acc("bm25") - acc("majority")).alias("vote_majority"), (acc("first") - acc("bm25")).alias("first_vote"), (acc("first") - acc("majority")).alias("first_majority"))
+
+
+def _structure(spark, sf):
+    """Descriptors and margins of each vault; a written table of a row each."""
+    it = items(spark, sf)
+    return held(_descriptors(it).join(_margins(placers.with_soft(arms(spark, sf, it))), "vault"))
 
 
 def n1_spearman(spark, sf):
-    d = _descriptors(spark, sf).join(_margins(spark, sf), "vault").select("vault", F.round("ln_dirs", 9).alias("x"), F.round("vote_majority", 9).alias("y"), F.lit("ln_dirs").alias("descriptor"))
-    return resampling.rank_correlation(d, ("descriptor",), "x", "y", REPS).select("descriptor", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+    d = _structure(spark, sf).select("vault", F.round("ln_dirs", 9).alias("x"), F.round("vote_majority", 9).alias("y"), F.lit("ln_dirs").alias("descriptor"))
+    return resampling.rank_correlation(held(d), ("descriptor",), "x", "y", REPS).select("descriptor", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
 
 
 def n3_structure(spark, sf):
     """Every margin against every descriptor."""
-    d = _descriptors(spark, sf).join(_margins(spark, sf), "vault")
+    d = _structure(spark, sf)
     long = d.unpivot(["vault", "vote_majority", "first_vote", "first_majority"], ["ln_dirs", "max_depth", "mean_notes", "top_share", "gini"], "descriptor", "x")
     long = long.unpivot(["vault", "descriptor", "x"], ["vote_majority", "first_vote", "first_majority"], "margin", "y").withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
-    return resampling.rank_correlation(long, ("margin", "descriptor"), "x", "y", REPS).select("margin", "descriptor", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+    return resampling.rank_correlation(held(long), ("margin", "descriptor"), "x", "y", REPS).select("margin", "descriptor", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
 
 
 def n4_kappa(spark, sf):
@@ -180,7 +186,7 @@ def n6_agreement(spark, sf):
 
 
 def n7_lenient(spark, sf):
-    v = _v(spark, sf)
+    v = held(_v(spark, sf))
     acc = v.groupBy("arm").agg(metrics.share(F.col("exact")).alias("acc"))
     wrong = v.filter("NOT exact").groupBy("arm", "bucket").agg(F.count(F.lit(1)).alias("wrong"))
     judged = v.filter("NOT exact AND arm = 'bm25'").join(table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality"), "id")
@@ -205,7 +211,7 @@ def n10_pabak(spark, sf):
 
 
 def n11_win_tie_loss(spark, sf):
-    m = _margins(spark, sf)
+    m = _margins(_v(spark, sf))
     d = F.round("first_vote", 9)
     return m.agg(F.count_if(d > 0).alias("win"), F.count_if(d == 0).alias("tie"), F.count_if(d < 0).alias("loss"))
 
@@ -220,8 +226,9 @@ def n12_valid_rate(spark, sf):
 
 def h1_h2_predictions(spark, sf):
     """Items to place with their predictions: missing arms stay, as null."""
-    val = items(spark, sf).filter("split = 'val'").select("vault", "id")
-    arm = _v(spark, sf).filter("arm = 'first' AND pred IS NOT NULL").select("vault", "id", "exact")
+    it = items(spark, sf)
+    val = it.filter("split = 'val'").select("vault", "id")
+    arm = placers.with_soft(arms(spark, sf, it)).filter("arm = 'first' AND pred IS NOT NULL").select("vault", "id", "exact")
     inner = val.join(arm, KEYS).agg(F.count(F.lit(1)).alias("n_inner"))
     return inner.crossJoin(val.join(arm, KEYS, "left").agg(F.count(F.lit(1)).alias("n_left"), F.count_if(F.col("exact").isNull()).alias("n_missing")))
 

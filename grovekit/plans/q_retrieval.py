@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_key, path_text
 from ..functions.vectors import cosine, norm, unit
 from ..operators import placers, retrieval
-from .views import items, notes, table, vec_items, vecs, with_views
+from .views import held, items, notes, table, vec_items, vecs, with_views
 
 KEYS = ["vault", "id"]
 
@@ -17,18 +17,21 @@ def e1_normalise(spark, sf):
     return v.select("id", F.round(norm(F.col("vector")), 6).alias("length"), F.round(F.element_at(unit(F.col("vector")), 1), 6).alias("first"), F.round(F.element_at(unit(F.col("vector"), 0.0, 1e-9), 64), 6).alias("last"), F.round(cosine(F.col("vector"), F.transform("vector", lambda x: x * 0)), 6).alias("with_zero"))
 
 
-def _vec_scores(spark, sf):
+def _vec_scores(spark, sf, k=None, part=None):
     it = vec_items(spark, sf)
-    return retrieval.cosine_scores(it.filter("split = 'train'").select("id", "ord", "vault", "vector", "folder"), it.filter("split = 'val'").select("id", "vault", "vector"))
+    train = it.filter("split = 'train'").select("id", "ord", "vault", "vector", "folder")
+    if part is not None:
+        train = train.withColumn("is_global", part)
+    return retrieval.cosine_scores(train, it.filter("split = 'val'").select("id", "vault", "vector"), k=k, part=None if part is None else "doc_is_global")
 
 
 def e2_flat(spark, sf):
-    return retrieval.top_k(_vec_scores(spark, sf), KEYS, 5).select("vault", "id", "doc", F.round("score", 6).alias("score"), "rk")
+    return retrieval.top_k(_vec_scores(spark, sf, 5), KEYS, 5).select("vault", "id", "doc", F.round("score", 6).alias("score"), "rk")
 
 
 def e3_hier(spark, sf):
     """Folders of even number are global, the others belong to projects."""
-    s = _vec_scores(spark, sf).withColumn("is_global", F.substring("doc_folder", 3, 1).cast("int") % 2 == 0)
+    s = _vec_scores(spark, sf, 6, F.substring("folder", 3, 1).cast("int") % 2 == 0).withColumnRenamed("doc_is_global", "is_global")
     return retrieval.hierarchical_top_k(s, KEYS, 6, 2, "is_global").select("vault", "id", "doc", "is_global", F.round("score", 6).alias("score"), "rk")
 
 
@@ -39,24 +42,25 @@ def e4_subtree(spark, sf):
     return retrieval.in_subtree(n, active).groupBy(path_key(F.col("active")).alias("active")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-def _bm(spark, sf):
-    it = items(spark, sf)
-    return retrieval.bm25_scores(it.filter("split = 'train'").select("vault", "id", "ord", "text"), it.filter("split = 'val'").select("vault", "id", "text"))
+def _bm(it, k=None, part=None):
+    train = it.filter("split = 'train'").select("vault", "id", "ord", "text", *([part.alias("is_global")] if part is not None else []))
+    return retrieval.bm25_scores(train, it.filter("split = 'val'").select("vault", "id", "text"), k=k, part=None if part is None else "is_global")
 
 
 def e5_bm25(spark, sf):
-    return _bm(spark, sf).select("vault", "id", "doc", F.round("score", 6).alias("score"))
+    return _bm(items(spark, sf)).select("vault", "id", "doc", F.round("score", 6).alias("score"))
 
 
 def e6_bm25_topk(spark, sf):
     """With notes that share no term to fill up."""
     it = items(spark, sf)
-    full = retrieval.fill_zeros(_bm(spark, sf), it.filter("split = 'train'"), it.filter("split = 'val'"))
+    best = retrieval.top_k(_bm(it, 10), KEYS, 10)
+    full = retrieval.fill_zeros(best, it.filter("split = 'train'"), it.filter("split = 'val'"), 10)
     return retrieval.top_k(full, KEYS, 10).select("vault", "id", "doc", F.round("score", 6).alias("score"), "rk")
 
 
 def e7_bm25_hier(spark, sf):
-    s = _bm(spark, sf).withColumn("is_global", F.col("doc") % 3 == 0)
+    s = _bm(items(spark, sf), 6, F.col("id") % 3 == 0)
     return retrieval.hierarchical_top_k(s, KEYS, 6, 2, "is_global").select("vault", "id", "doc", "is_global", F.round("score", 6).alias("score"), "rk")
 
 
@@ -64,7 +68,7 @@ def e5b_benchmark_search(spark, sf):
     """Benchmark items as queries over all documents."""
     d = table(spark, sf, "documents").select(F.lit("all").alias("vault"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), "text")
     q = table(spark, sf, "benchmark").select(F.lit("all").alias("vault"), F.col("item_id").alias("id"), "text")
-    return retrieval.top_k(retrieval.bm25_scores(d, q), ["id"], 5).select("id", "doc", F.round("score", 6).alias("score"), "rk")
+    return retrieval.top_k(retrieval.bm25_scores(d, q, k=5), ["id"], 5).select("id", "doc", F.round("score", 6).alias("score"), "rk")
 
 
 def e8_path_graph(spark, sf):
@@ -78,31 +82,29 @@ def _joined(spark, sf):
 
 
 def e9_hybrid(spark, sf):
-    j = _joined(spark, sf)
-    scores = retrieval.cosine_scores(j.select("id", "ord", "vault", "vector"), j.select("id", "vault", "vector")).filter("id <> doc")
-    out = retrieval.hybrid(scores, retrieval.path_graph(j), KEYS, 5, 3)
-    return out.select("vault", "id", "doc", F.round("score", 6).alias("score"), "n_candidates", "rk")
+    j = held(_joined(spark, sf))
+    return retrieval.hybrid(j, j.select("id", "vault", "vector"), 5, 3).select("vault", "id", "doc", F.round("score", 6).alias("score"), "n_candidates", "rk")
 
 
 def e10_scoped(spark, sf):
-    """Candidates of each project: its own notes and the global ones (language en)."""
-    n = notes(spark, sf).select("id", F.when(F.col("lang") != "en", F.col("vault")).alias("project"))
-    p = n.filter("project IS NOT NULL").select(F.col("project").alias("p")).distinct()
-    own = n.filter("project IS NOT NULL").select(F.col("project").alias("p"), "id")
-    both = own.unionByName(p.join(n.filter("project IS NULL").select("id")))
-    return both.distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    """Candidates of each project: its own notes and the global ones (language en), which are counted once."""
+    n = notes(spark, sf).select("id", F.when(F.col("lang") != "en", F.col("vault")).alias("p"))
+    figures = (F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    both = n.groupBy("p").agg(*figures)
+    common = both.filter("p IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gn"), F.min("first").alias("gf"), F.max("last").alias("gl"))
+    own = both.filter("p IS NOT NULL").crossJoin(F.broadcast(common))  # one row
+    return own.select("p", (F.col("n") + F.col("gn")).alias("n"), F.least("first", "gf").alias("first"), F.greatest("last", "gl").alias("last"))
 
 
 def e11_rank_by_embed(spark, sf):
     """Notes without a vector take no part."""
-    j = notes(spark, sf).select("id", "ord", "vault").join(vecs(spark, sf).select("id", "vector"), "id")
-    q = vecs(spark, sf).select("id", "vector")
-    s = retrieval.cosine_scores(j.select("id", "ord", "vector"), q, None)
-    return retrieval.top_k(s, ["id"], 3).select("id", "doc", F.round("score", 6).alias("score"), "rk")
+    v = vecs(spark, sf)
+    j = v.select("id", "ord", "vector").join(notes(spark, sf).select("id"), "id", "left_semi")
+    return retrieval.top_k(retrieval.cosine_scores(j, v.select("id", "vector"), None, 3), ["id"], 3).select("id", "doc", F.round("score", 6).alias("score"), "rk")
 
 
 def _note_ranks(spark, sf, k):
-    return retrieval.top_k(_vec_scores(spark, sf), KEYS, k)
+    return retrieval.top_k(_vec_scores(spark, sf, k), KEYS, k)
 
 
 def _note_cands(spark, sf, n=3):
@@ -113,31 +115,34 @@ def e12_note_cands(spark, sf):
     return _note_cands(spark, sf)
 
 
-def _path_ranks(spark, sf, k):
+def _path_ranks(it, k):
     """Folders by the hashed text of their paths against hashed texts of notes."""
-    it = items(spark, sf)
     dirs = it.select("vault", "path_key", "path").distinct()
     f = dirs.select("vault", F.col("path_key").alias("id"), F.col("path_key").alias("ord"), retrieval.hash_vector(path_text(F.col("path"))).alias("vector"))
     q = it.filter("split = 'val'").select("id", "vault", retrieval.hash_vector(F.col("text")).alias("vector"))
-    return retrieval.top_k(retrieval.cosine_scores(f, q), KEYS, k).withColumnRenamed("doc", "doc_folder")
+    return retrieval.top_k(retrieval.cosine_scores(f, q, k=k), KEYS, k).withColumnRenamed("doc", "doc_folder")
+
+
+def _path_cands(it):
+    return retrieval.folder_candidates(_path_ranks(it, 6), KEYS, "doc_folder", 3, 2)
 
 
 def e13_path_cands(spark, sf):
-    return retrieval.folder_candidates(_path_ranks(spark, sf, 6), KEYS, "doc_folder", 3, 2)
+    return _path_cands(items(spark, sf))
 
 
-def _bm_cands(spark, sf, n=3):
-    it = items(spark, sf)
+def _bm_cands(it, n=3):
     return retrieval.folder_candidates(placers.ranked_train(it, 8 * n), KEYS, "doc_key", n, 8).withColumnRenamed("doc_key", "doc_folder")
 
 
 def e14_union(spark, sf):
-    return retrieval.union_candidates(_bm_cands(spark, sf), e13_path_cands(spark, sf), KEYS, "doc_folder", 4)
+    it = items(spark, sf)
+    return retrieval.union_candidates(_bm_cands(it), _path_cands(it), KEYS, "doc_folder", 4)
 
 
 def e15_snippets(spark, sf):
     it = items(spark, sf)
-    r = placers.ranked_train(it, 24).join(it.select("vault", F.col("id").alias("doc"), "text"), ["vault", "doc"])
+    r = held(placers.ranked_train(it, 24)).join(it.select("vault", F.col("id").alias("doc"), "text"), ["vault", "doc"])
     short = retrieval.folder_candidates(r, KEYS, "doc_key", 3, 8)
     out = retrieval.snippets(r, short, KEYS, "doc_key", "text", 2, 30)
     return out.select("vault", "id", "doc_key", "pos", F.md5(F.concat_ws("|", "snippets").cast("binary")).alias("snippets"), F.size("snippets").alias("n_snippets"))
@@ -177,7 +182,7 @@ def f4_centroid(spark, sf):
 
 
 def f5_path_top1(spark, sf):
-    return _path_ranks(spark, sf, 1).select("vault", "id", F.col("doc_folder").alias("pred"))
+    return _path_ranks(items(spark, sf), 1).select("vault", "id", F.col("doc_folder").alias("pred"))
 
 
 def f6_description_top1(spark, sf):
@@ -194,7 +199,7 @@ def f8_cascade(spark, sf):
     from ..operators.pickers import overlap_pick
 
     it = items(spark, sf)
-    short = _bm_cands(spark, sf).join(it.select("vault", "id", F.col("path_key").alias("gold"), tokenize(F.col("text")).alias("words")), KEYS)
+    short = _bm_cands(it).join(it.select("vault", "id", F.col("path_key").alias("gold"), tokenize(F.col("text")).alias("words")), KEYS)
     return overlap_pick(short, KEYS, "doc_folder", "words", "gold")
 
 

@@ -72,19 +72,20 @@ def c8_path_text(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Folders of a vault against the folders of another."""
-    d = notes(spark, sf).select("path_key", "path").distinct()
-    return d.select(F.col("path_key").alias("a_key"), F.col("path").alias("a")).crossJoin(d.select(F.col("path_key").alias("b_key"), F.col("path").alias("b")))
+    """Folders of a vault against one another."""
+    d = notes(spark, sf).select("vault", "path_key", "path").distinct()
+    return d.select("vault", F.col("path_key").alias("a_key"), F.col("path").alias("a")).join(d.select("vault", F.col("path_key").alias("b_key"), F.col("path").alias("b")), "vault")
 
 
 def c9_lcp(spark, sf):
-    return _pairs(spark, sf).select("a_key", "b_key", P.lcp_len(F.col("a"), F.col("b")).alias("lcp"), (P.lcp_len(F.col("a"), F.col("b")) / F.greatest(F.size("a"), F.size("b"), F.lit(1))).alias("lcp_ratio"))
+    lcp = P.lcp_len(F.col("a"), F.col("b"))
+    return _pairs(spark, sf).select("vault", "a_key", "b_key", lcp.alias("lcp"), (lcp / F.greatest(F.size("a"), F.size("b"), F.lit(1))).alias("lcp_ratio"))
 
 
 def c10_soft_score(spark, sf):
     pred = F.when(F.col("b_key").contains("L0"), F.slice("b", 1, 1)).otherwise(F.col("b"))
     rel = P.soft_relation(F.col("a"), pred, "strict")
-    return _pairs(spark, sf).select("a_key", "b_key", rel.alias("relation"), P.soft_hit(rel).alias("soft_hit"), P.branch_ok(F.col("a"), pred).alias("branch_ok"))
+    return _pairs(spark, sf).select("vault", "a_key", "b_key", rel.alias("relation"), P.soft_hit(rel).alias("soft_hit"), P.branch_ok(F.col("a"), pred).alias("branch_ok"))
 
 
 def c10b_empty_prediction(spark, sf):
@@ -165,7 +166,7 @@ def b14_token_cost(spark, sf):
     return n.select("vault", "tokens", F.round(F.col("tokens") * 3 * price / 1e6, 9).alias("cost"))
 
 
-_PAIRS = "d AS (SELECT DISTINCT path_key, path FROM notes), pr AS (SELECT x.path_key AS a_key, x.path AS a, y.path_key AS b_key, y.path AS b FROM d x CROSS JOIN d y)"
+_PAIRS = "d AS (SELECT DISTINCT vault, path_key, path FROM notes), pr AS (SELECT x.vault, x.path_key AS a_key, x.path AS a, y.path_key AS b_key, y.path AS b FROM d x JOIN d y ON x.vault = y.vault)"
 _SLUG = "CASE WHEN {0} = '' THEN 'x' ELSE {0} END"
 _S = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
 _SLUGGED = _SLUG.format(_S)
@@ -190,8 +191,8 @@ SQL = {
     "c6_natural_depth": with_views("SELECT id, CASE WHEN starts_with(host, 'blog.') THEN greatest(len(path) - 1, 0)::INT END AS depth FROM trees", "trees"),
     "c7_parse_key": with_views("SELECT id, len(path)::INT AS n, array_to_string(path, '>') AS joined FROM trees", "trees"),
     "c8_path_text": with_views("SELECT DISTINCT 'folder: ' || array_to_string(path, ' / ') || ' (topic: ' || translate(path[-1], '-_', '  ') || ')' AS path_text FROM notes", "notes"),
-    "c9_lcp": with_views(f"WITH {_PAIRS} SELECT a_key, b_key, l::INT AS lcp, l / greatest(len(a), len(b), 1) AS lcp_ratio FROM (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS l FROM pr)", "notes"),
-    "c10_soft_score": with_views(f"WITH {_PAIRS} SELECT a_key, b_key, {_RELATION} AS relation, ({_RELATION}) IN ('exact', 'gold_prefix', 'pred_prefix') AS soft_hit, a[1] = pred[1] AS branch_ok FROM (SELECT *, CASE WHEN contains(b_key, 'L0') THEN b[1:1] ELSE b END AS pred FROM pr)", "notes"),
+    "c9_lcp": with_views(f"WITH {_PAIRS} SELECT vault, a_key, b_key, l::INT AS lcp, l / greatest(len(a), len(b), 1) AS lcp_ratio FROM (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS l FROM pr)", "notes"),
+    "c10_soft_score": with_views(f"WITH {_PAIRS} SELECT vault, a_key, b_key, {_RELATION} AS relation, ({_RELATION}) IN ('exact', 'gold_prefix', 'pred_prefix') AS soft_hit, a[1] = pred[1] AS branch_ok FROM (SELECT *, CASE WHEN contains(b_key, 'L0') THEN b[1:1] ELSE b END AS pred FROM pr)", "notes"),
     "c10b_empty_prediction": with_views("SELECT DISTINCT path_key, 'pred_prefix' AS knn, true AS knn_hit, 'empty' AS strict, false AS strict_hit FROM notes", "notes"),
     "c11_gold_class": "SELECT CASE doc_id % 5 WHEN 0 THEN 'depth1' WHEN 1 THEN 'ends_results' ELSE 'other' END AS gold_class, count(*) AS n FROM documents GROUP BY 1",
     "c12_bucket": with_views("SELECT vault, path_key, CASE WHEN count(*) <= 1 THEN '0' WHEN count(*) <= 3 THEN '1-2' WHEN count(*) <= 10 THEN '3-9' ELSE '10+' END AS bucket, CASE WHEN count(*) <= 3 THEN '1-2' WHEN count(*) <= 10 THEN '3-9' ELSE '10+' END AS annotation_bucket FROM notes GROUP BY vault, path_key", "notes"),

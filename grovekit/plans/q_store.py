@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paths import path_key, path_prefixes
+from ..functions.paths import DEFAULT_ROOTS, path_key, path_prefixes
 from ..operators import policies, store
 from .views import notes, table, trees, vecs, with_views
 
-ROOTS = ("work", "personal", "inbox", "project", "global")
-
 
 def ops(spark, sf):
     """Events as operations on the note of their user."""
     e = table(spark, sf, "events")
     name = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "ADD"), ("click", "UPDATE"), ("view", "NOOP"), ("error", "DELETE"), ("purchase", "MOVE")) for x in p]), F.col("event_type"))
-    root = F.element_at(F.array(*map(F.lit, ROOTS)), (F.col("event_id") % 5 + 1).cast("int"))
+    root = F.element_at(F.array(*map(F.lit, DEFAULT_ROOTS)), (F.col("event_id") % 5 + 1).cast("int"))
     path = F.when(F.col("event_type").isin("signup", "purchase"), F.array(root, F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string"))))
     text = F.when(F.col("event_type").isin("signup", "click"), F.concat(F.lit("note "), F.col("event_id").cast("string")))
     return e.select(F.col("event_id").alias("seq"), name.alias("op"), F.col("user_id").cast("string").alias("fact_id"), text.alias("text"), path.alias("path"), F.lit(None).cast("string").alias("project"), (F.col("event_id") % 3 == 0).alias("hard"))
@@ -53,22 +51,10 @@ def b4_reads(spark, sf):
     return s.groupBy(F.coalesce("project", F.lit("(global)")).alias("project")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-def _best(spark, sf):
-    """Claims (notes of odd id) with the note before them as the best candidate, and a made-up similarity."""
-    n = notes(spark, sf)
-    old = n.select((F.col("id") + 1).alias("id"), F.col("id").alias("best_id"), F.col("text").alias("best_text"))
-    c = n.select("id", F.when(F.col("id") % 4 == 1, F.concat(F.lit("It is not "), F.col("text"))).otherwise(F.col("text")).alias("text"))
-    return c.join(old, "id", "left").withColumn("sim", 0.75 + (F.col("id") % 26) / 100)
-
-
 def g1_always_add(spark, sf):
     return policies.always_add(notes(spark, sf)).select("id", F.array_join("ops", ",").alias("ops"))
 
 
-def g2_rule_v0(spark, sf):
-    return policies.rule_v0(_best(spark, sf)).select("id", F.array_join("ops", ",").alias("ops"))
-
-
 _OPS = """ops AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'click' THEN 'UPDATE' WHEN 'view' THEN 'NOOP' WHEN 'error' THEN 'DELETE' WHEN 'purchase' THEN 'MOVE' END AS op, user_id::VARCHAR AS fact_id,
   CASE WHEN event_type IN ('signup', 'click') THEN 'note ' || event_id END AS text, CASE WHEN event_type IN ('signup', 'purchase') THEN '/' || ['work', 'personal', 'inbox', 'project', 'global'][event_id % 5 + 1] || '/p' || (event_id % 7) END AS path_key,
   ['work', 'personal', 'inbox', 'project', 'global'][event_id % 5 + 1] AS root, 'p' || (event_id % 7) AS leaf, event_id % 3 = 0 AS hard FROM events),
@@ -80,8 +66,6 @@ st AS (SELECT fact_id, gen, arg_max(text, seq) FILTER (WHERE text IS NOT NULL) A
   arg_max(leaf, seq) FILTER (WHERE op = 'MOVE' AND root <> 'global') AS project, bool_or(op = 'DELETE' AND hard) AS gone, NOT bool_or(op = 'DELETE') AS valid, 1 + count(*) FILTER (WHERE op IN ('UPDATE', 'MOVE')) AS revision
   FROM lg WHERE error IS NULL AND op <> 'NOOP' GROUP BY ALL),
 fs AS (SELECT fact_id AS id, text, path_key, project, valid, revision FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY gen DESC) AS r FROM st) WHERE r = 1 AND NOT gone)"""
-_NORM = r"trim(regexp_replace(regexp_replace(trim(lower({0})), '[^a-z0-9.\s=+-]+', ' ', 'g'), '\s+', ' ', 'g'))"
-_NEG = r"regexp_matches({0}, '(?i)\b(not|never|no longer|doesn''t|does not|isn''t|is not|wasn''t|was not|moved (away )?from|left|quit|stopped|false|incorrect)\b')"
 
 SQL = {
     "a6_mkdir": with_views("SELECT DISTINCT '/' || array_to_string(path[1:i], '/') AS path_key, i::INT AS depth FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM trees) WHERE i > 1", "trees"),
@@ -91,6 +75,5 @@ SQL = {
     "a17_latest_vector": with_views(f"WITH {_OPS} SELECT (id % 300)::VARCHAR AS id, max(id) AS at, arg_max(round(vector[1], 6), id) AS x FROM vecs WHERE (id % 300)::VARCHAR NOT IN (SELECT fact_id FROM lg WHERE error IS NULL AND op = 'UPDATE') GROUP BY 1", "vecs"),
     "b4_reads": f"WITH {_OPS} SELECT coalesce(project, '(global)') AS project, count(*) AS n, min(id) AS first_id FROM fs WHERE valid GROUP BY 1",
     "g1_always_add": "SELECT doc_id AS id, 'ADD' AS ops FROM documents",
-    "g2_rule_v0": f"WITH c AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'It is not ' || text ELSE text END AS text, 0.75::DOUBLE + (doc_id % 26) / 100 AS sim FROM documents), b AS (SELECT c.*, d.doc_id AS best_id, d.text AS best FROM c LEFT JOIN documents d ON d.doc_id + 1 = c.id), n AS (SELECT *, {_NEG.format('text')} OR {_NEG.format('best')} AS cue, {_NORM.format('text')} = {_NORM.format('best')} AS same FROM b) SELECT id, CASE WHEN best_id IS NULL THEN 'ADD' WHEN same OR (sim >= 0.97::DOUBLE AND NOT cue) THEN 'NOOP' WHEN cue AND sim >= 0.88::DOUBLE - 0.08::DOUBLE THEN 'DELETE,ADD' WHEN sim >= 0.88::DOUBLE THEN 'UPDATE' ELSE 'ADD' END AS ops FROM n",
 }
 QUERIES = {k: f for k, f in globals().items() if k in SQL}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_corpus, q_eval, q_retrieval, q_scalars, q_store
+from . import q_corpus, q_eval, q_models, q_retrieval, q_scalars, q_store
 
-_MODULES = (q_scalars, q_store, q_corpus, q_retrieval, q_eval)
+_MODULES = (q_scalars, q_store, q_corpus, q_retrieval, q_eval, q_models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

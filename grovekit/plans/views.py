@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import path_key
 from ..operators import corpus, placers
+from ..sources.scratch import Scratch
 
 VAL_FRACTION, SEED = 0.4, 7
 
@@ -26,9 +27,14 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.col("source").alias("vault"), "text", "lang", level.alias("path")).withColumn("path_key", path_key(F.col("path")))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A table that a query goes back to more than once, written once."""
+    return Scratch(df.sparkSession).save(df)
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes without copied texts, split item by item within each folder."""
-    return corpus.item_split(corpus.drop_copies(notes(spark, sf), "text"), ["vault", "path_key"], "id", VAL_FRACTION, SEED)
+    """Notes without copied texts, split item by item within each folder; a written table."""
+    return held(corpus.item_split(corpus.drop_copies(notes(spark, sf), "text"), ["vault", "path_key"], "id", VAL_FRACTION, SEED))
 
 
 def vecs(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +43,8 @@ def vecs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vec_items(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.item_split(vecs(spark, sf), ["vault", "folder"], "id", VAL_FRACTION, SEED)
+    """Vectors, split within each folder; a written table."""
+    return held(corpus.item_split(vecs(spark, sf), ["vault", "folder"], "id", VAL_FRACTION, SEED))
 
 
 def trees(spark: SparkSession, sf: str) -> DataFrame:

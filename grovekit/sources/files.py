@@ -40,9 +40,12 @@ def ingest(files: DataFrame, max_bytes: int = MAX_BYTES, max_per_root: int = MAX
         .when(~path_is_valid(folder), F.lit("bad_path"))
     )
     seen = files.withColumn("reason", reason).withColumn("body", body).withColumn("folder", folder)
-    # a file is past the cap when the root has accepted that many before it
-    before = F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(Window.partitionBy("root").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = seen.withColumn("reason", F.when(before >= max_per_root, F.lit("cap")).otherwise(F.col("reason")))
+    # a file is past the cap when its root has accepted that many before it: those after the last one accepted. Only the
+    # paths of the first accepted files are ranked, and contents are not moved
+    place = F.row_number().over(Window.partitionBy("root").orderBy("path"))
+    last = seen.filter("reason IS NULL").select("root", "path").withColumn("_r", place).filter(F.col("_r") <= max_per_root).groupBy("root").agg(F.max("path").alias("_last"), F.max("_r").alias("_n"))
+    seen = seen.join(last, "root", "left")
+    seen = seen.withColumn("reason", F.when((F.col("_n") >= max_per_root) & (F.col("path") > F.col("_last")), F.lit("cap")).otherwise(F.col("reason")))
     ok = F.col("reason").isNull()
     cut = F.when(F.length("body") > BODY_CHARS, F.concat(F.substring("body", 1, BODY_CHARS), F.lit("…"))).otherwise(F.col("body"))
     return seen.select(

@@ -1,0 +1,102 @@
+"""Tables of rows with a key each, kept in buckets: a change writes the buckets that it touches, and no others.
+
+A version is a set of bucket folders, named by a manifest. The data of a version are written first and the manifest last,
+under another name that is then changed, so what a reader or a restarted writer finds is always a complete version.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+class Folder:
+    """Small files in a folder of whatever file system Spark writes to."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root = root.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        p = self._path(self.root)
+        return [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def read(self, name: str) -> str | None:
+        p = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(p):
+            return None
+        size = self._fs.getFileStatus(p).getLen()
+        stream = self._fs.open(p)
+        try:
+            return bytes(stream.readNBytes(int(size))).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """The whole file or none of it."""
+        self._fs.mkdirs(self._path(self.root))
+        part, whole = self._path(f"{self.root}/.{name}.part"), self._path(f"{self.root}/{name}")
+        stream = self._fs.create(part, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(whole):
+            self._fs.delete(whole, False)
+        self._fs.rename(part, whole)
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
+class KeyedTable:
+    """Rows of ``schema``, one for each value of ``key``, under ``root``; opened again it has its last complete version."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 64):
+        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
+        self.folder = Folder(spark, self.root)
+        found = sorted(int(n[9:-5]) for n in self.folder.names() if n.startswith("manifest-") and n.endswith(".json"))
+        state = json.loads(self.folder.read(f"manifest-{found[-1]}.json")) if found else {"version": -1, "n": buckets, "buckets": {}}
+        self.version, self.n = state["version"], state["n"]
+        self.where: dict[int, int] = {int(b): v for b, v in state["buckets"].items()}
+        self._kept = found[-2:]
+
+    def bucket(self, key: Column | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key) if key is None else key), F.lit(self.n)).cast("int")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Buckets of the keys (the first column); there are no more than the table has."""
+        return sorted(r[0] for r in keys.select(self.bucket(F.col(keys.columns[0]))).distinct().collect())
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/data-{v}/_bucket={b}" for b, v in sorted(self.where.items()) if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def write(self, rows: DataFrame, touched: list[int], version: int) -> None:
+        """``rows`` are from now on all rows of the buckets ``touched``. Writing a version again gives the same table."""
+        names = [f.name for f in self.schema.fields]
+        dealt = rows.select(*names).withColumn("_bucket", self.bucket())
+        dealt.repartition(max(1, min(len(touched), self.n)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/data-{version}")
+        made = {int(n[8:]) for n in Folder(self.spark, f"{self.root}/data-{version}").names() if n.startswith("_bucket=")}
+        before = dict(self.where)
+        self.where = {b: v for b, v in self.where.items() if b not in touched} | {b: version for b in touched if b in made}
+        self.folder.write(f"manifest-{version}.json", json.dumps({"version": version, "n": self.n, "buckets": self.where}))
+        self.version = version
+        self._forget(before)
+
+    def _forget(self, before: dict[int, int]) -> None:
+        """Buckets that neither this version nor the one before it names; a reader may still have that one open."""
+        self._kept.append(self.version)
+        while len(self._kept) > 2:
+            old = f"manifest-{self._kept.pop(0)}.json"
+            text = self.folder.read(old)
+            for b, v in (json.loads(text)["buckets"] if text else {}).items():
+                if self.where.get(int(b)) != v and before.get(int(b)) != v:
+                    self.folder.delete(f"data-{v}/_bucket={b}")
+            self.folder.delete(old)

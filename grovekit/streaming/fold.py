@@ -1,7 +1,8 @@
 """The operation log as a stream: notes are kept up to date as batches of operations arrive.
 
-Each micro-batch is folded into the state of the notes that it touches; the state is a table written anew beside the
-old one, so a batch that fails leaves the old one whole and a batch that is run again gives the same result.
+Each micro-batch is folded into the notes that it touches, and the buckets that hold them are written anew beside the old
+ones (``sources.keyed``). A batch that fails leaves the last version whole; one that is run again, also by a new process on
+the same folder, finds its version there and is passed over.
 """
 
 from __future__ import annotations
@@ -9,27 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import FACTS, log, state
+from ..operators.store import FACTS, log, state, with_fields
+from ..sources.keyed import KeyedTable
 
 
 class StreamFold:
-    """Folds a stream of operations (columns as in ``operators.store``) into Parquet tables under ``root``."""
+    """Folds a stream of operations (columns as in ``operators.store``) into a table of notes under ``root``.
 
-    def __init__(self, spark: SparkSession, root: str, **rules):
-        self.spark, self.root, self.rules, self.version = spark, root.rstrip("/"), rules, -1
+    Operations of one note come in the order of batches, and within a batch of ``seq``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, **rules):
+        self.spark, self.root, self.rules = spark, root.rstrip("/"), rules
+        self.table = KeyedTable(spark, f"{self.root}/facts", FACTS, "id", buckets)
 
     def facts(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], FACTS)
-        return self.spark.read.schema(FACTS).parquet(f"{self.root}/facts-{self.version}")
+        return self.table.read()
 
     def on_batch(self, ops: DataFrame, batch: int) -> None:
-        old = self.facts()
-        touched = ops.select(F.col("fact_id").alias("id")).distinct()
-        changed = state(log(ops, old.join(touched, "id", "left_semi"), **self.rules))
-        rest = old.join(touched, "id", "left_anti")
-        rest.unionByName(changed.select(*[f.name for f in FACTS])).write.mode("overwrite").parquet(f"{self.root}/facts-{batch}")
-        self.version = batch
+        if batch <= self.table.version:
+            return
+        ops = with_fields(ops)
+        keys = ops.filter("fact_id IS NOT NULL").select(F.col("fact_id").alias("id")).distinct()
+        touched = self.table.touched(keys)
+        if not touched:
+            return
+        old = self.table.read(touched)
+        changed = state(log(ops, old.join(keys, "id", "left_semi"), **self.rules))
+        self.table.write(old.join(keys, "id", "left_anti").unionByName(changed), touched, batch)
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Takes all that the stream has now, and returns the notes."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekit.operators import agreement, corpus, pickers, placers, resampling, retrieval
 from grovekit.plans import views
-from grovekit.sources import files, tables
+from grovekit.sources import artifacts, files, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,10 +88,111 @@ def test_scan_and_ingest(spark, tmp_path):
 
 
 def test_picker_that_fails(spark):
-    p = spark.createDataFrame([(1, "x")], "id long, prompt string")
+    p = spark.createDataFrame([(i, f"x{i}") for i in range(5)], "id long, prompt string").coalesce(1)
 
     def broken(prompts):
-        raise RuntimeError
-
-    assert pickers.with_picker(p, broken).first()["raw"] is None
-    assert pickers.with_picker(p, lambda ps: [t + "!" for t in ps]).first()["raw"] == "x!"
+        raise RuntimeError("wrong key")
+
+    r = pickers.with_picker(p, broken).first()
+    assert r["raw"] is None and r["picker_error"] == "RuntimeError: wrong key"
+    assert pickers.with_picker(p, lambda ps: [t + "!" for t in ps], 2).filter("raw = concat(prompt, '!') AND picker_error IS NULL").count() == 5
+    assert pickers.with_picker(p, lambda ps: ps[1:]).first()["picker_error"] == "4 replies to 5 prompts"
+
+
+def test_picker_asks_again(spark):
+    """What may pass is asked again, with longer and longer waits; the last failure is told."""
+    p = spark.createDataFrame([(1, "x")], "id long, prompt string").coalesce(1)
+
+    def busy(times):
+        said = []
+
+        def pick(prompts):
+            said.append(1)
+            if len(said) <= times:
+                raise RuntimeError("429 slow down")
+            return [f"after {len(said)}"] * len(prompts)
+
+        return pick
+
+    assert pickers.with_picker(p, busy(3), wait=lambda a: 0.0).first()["raw"] == "after 4"
+    assert pickers.with_picker(p, busy(9), attempts=2, wait=lambda a: 0.0).first()["picker_error"] == "RuntimeError: 429 slow down"
+    assert 1 <= pickers.back_off(0) < 3 and 30 <= pickers.back_off(9) < 32
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_scores_in_blocks(spark, block):
+    """Whatever the blocks, the best of each query are those of all pairs; also by a part of the notes."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: r.choice("abcdefghij")
+    notes = [(f"v{i % 2}", i, i, " ".join(word() for _ in range(r.randint(0, 6))), [r.random() for _ in range(3)], i % 3 == 0) for i in range(30)]
+    asked = [(f"v{i % 2}", 100 + i, " ".join(word() for _ in range(4)), [r.random() for _ in range(3)]) for i in range(9)]
+    d = spark.createDataFrame(notes, "vault string, id long, ord long, text string, vector array<double>, g boolean")
+    q = spark.createDataFrame(asked, "vault string, id long, text string, vector array<double>")
+    idf, size = {}, {}
+    for v in ("v0", "v1"):
+        own = [n[3].split() for n in notes if n[0] == v]
+        size[v] = (len(own), sum(map(len, own)) / len(own))
+        for w in "abcdefghij":
+            df = sum(w in t for t in own)
+            idf[v, w] = math.log(1 + (len(own) - df + 0.5) / (df + 0.5))
+    bm = {(a[1], n[1]): s for a in asked for n in notes if a[0] == n[0] for t in [n[3].split()] for s in [sum(idf[a[0], w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / size[a[0]][1])) for w in a[2].split() if w in t)] if s > 0}
+    cos = {(a[1], n[1]): sum(x * y for x, y in zip(a[3], n[4])) / math.sqrt(sum(x * x for x in a[3]) * sum(x * x for x in n[4])) for a in asked for n in notes if a[0] == n[0]}
+    corpus, queries = d.select("vault", "id", "ord", "text", "g"), q.select("vault", "id", "text")
+    near = lambda got, want: got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert near({(x["id"], x["doc"]): x["score"] for x in retrieval.bm25_scores(corpus, queries, block=block).collect()}, bm)
+    vectors = (d.select("vault", "id", "ord", "vector"), q.select("vault", "id", "vector"))
+    assert near({(x["id"], x["doc"]): x["score"] for x in retrieval.cosine_scores(*vectors, block=block).collect()}, cos)
+    for scores, frame in ((bm, lambda **k: retrieval.bm25_scores(corpus, queries, block=block, **k)), (cos, lambda **k: retrieval.cosine_scores(*vectors, block=block, **k))):
+        best = {(x["id"], x["doc"]) for x in retrieval.top_k(frame(k=4), ["id"], 4).collect()}
+        for a in asked:
+            ranked = sorted((k for k in scores if k[0] == a[1]), key=lambda k: (-round(scores[k], 9), k[1]))[:4]
+            assert set(ranked) == {k for k in best if k[0] == a[1]}
+    parts = {(x["id"], x["doc"]) for x in retrieval.top_k(retrieval.bm25_scores(corpus, queries, k=2, part="g", block=block), ["id", "g"], 2).collect()}
+    for a in asked:
+        for g in (True, False):
+            ranked = sorted((k for k in bm if k[0] == a[1] and (k[1] % 3 == 0) == g), key=lambda k: (-round(bm[k], 9), k[1]))[:2]
+            assert set(ranked) == {k for k in parts if k[0] == a[1] and (k[1] % 3 == 0) == g}
+
+
+@pytest.mark.parametrize("block", [2000, 4])
+def test_near_pairs(spark, block):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, f"v{i % 3}", [r.choice([-1.0, 1.0]) for _ in range(4)]) for i in range(25)]
+    df = spark.createDataFrame(rows, "id long, vault string, vector array<double>")
+    want = {(a[0], b[0], sum(x * y for x, y in zip(a[2], b[2])) / 4) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and sum(x * y for x, y in zip(a[2], b[2])) >= 2}
+    assert {tuple(x) for x in retrieval.near_pairs(df, 0.5, "vault", block).collect()} == want
+
+
+def test_kept_results(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert [artifacts.kept(spark, str(tmp_path), "a", make).count() for _ in range(2)] == [3, 3] and made == [1]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    """Tables of a step go at its end; a folder must be named where the master is no local one."""
+    import os
+
+    from grovekit.sources import scratch
+
+    with scratch.released():
+        s = scratch.Scratch(spark)
+        assert s.save(spark.range(3)).count() == 3 and os.path.isdir(s.root)
+    assert not os.path.exists(s.root) and s not in scratch._OPEN
+
+    class Conf:
+        get = staticmethod(lambda key, default: None)
+
+    class Elsewhere:
+        conf, sparkContext = Conf, type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch.shared_folder(Elsewhere)

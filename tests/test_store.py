@@ -1,16 +1,17 @@
-"""The store: batches, errors, folders, and the replayed cases."""
+"""The store: batches, errors, folders, versions, and the log as a stream."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from grovekit.operators import policies
-from grovekit.operators.store import OPS, Store, changed_texts, log
+from grovekit.operators import policies, report
+from grovekit.operators.store import FACTS, OPS, Store, aligned_vectors, changed_texts, delete_vectors, log, state, with_fields
+from grovekit.sources.keyed import KeyedTable
 
-ROOTS = ("work", "personal", "inbox")
+ROOTS = ("attic", "cellar", "inbox")
 
 
-def op(name, fact_id=None, text=None, path=None, project=None, hard=None):
-    return {"op": name, "fact_id": fact_id, "text": text, "path": path, "project": project, "hard": hard}
+def op(name, fact_id=None, text=None, path=None, project=None, hard=None, **more):
+    return {"op": name, "fact_id": fact_id, "text": text, "path": path, "project": project, "hard": hard, **more}
 
 
 def facts(store):
@@ -21,102 +22,200 @@ def dirs(store):
     return {r["path_key"] for r in store.dirs.collect()}
 
 
-def test_add_defaults_and_reads(spark):
-    s = Store(spark)
-    s.apply_ops([op("ADD", "g1", "prefers TS"), op("ADD", "p1", "local", project="alpha")])
+def test_new_notes_get_a_place_and_a_kind(spark):
+    s = Store(spark, buckets=2)
+    s.apply_ops([op("ADD", "k1", "the kettle is blue"), op("ADD", "k2", "the lamp hums", project="house", kind="idea", t="2024-05-01T00:00:00Z", parent_id="k1", confidence=0.25)])
     f = facts(s)
-    assert f["g1"]["path"] == ["global"] and f["p1"]["path"] == ["project", "alpha"] and f["p1"]["revision"] == 1
-    assert s.read_by_project(None).count() == 1 and s.read_by_project("alpha").count() == 1
+    assert f["k1"]["path"] == ["global"] and f["k2"]["path"] == ["project", "house"] and f["k1"]["revision"] == 1 and f["k1"]["kind"] == "claim"
+    assert (f["k2"]["kind"], f["k2"]["t"], f["k2"]["parent_id"], f["k2"]["confidence"]) == ("idea", "2024-05-01T00:00:00Z", "k1", 0.25)
+    assert s.read_by_project(None).count() == 1 and s.read_by_project("house").count() == 1
     with pytest.raises(ValueError, match="duplicate"):
-        s.apply_ops([op("ADD", "g1", "again")])
+        s.apply_ops([op("ADD", "k1", "the kettle is red")])
+    s.apply_ops([op("ADD", None, "a note without a name")])
+    assert len([i for i in facts(s) if i.startswith("f_")]) == 1
 
 
-def test_batch_log_update_noop_delete(spark):
-    s = Store(spark)
-    done = s.apply_ops([op("ADD", "a", "one", project="p"), op("ADD", "b", "two", project="p"), op("update", "a", "one-v2"), op("NO_OPERATION", "b"), op("DELETE", "b")])
+def test_a_batch_of_all_kinds(spark):
+    s = Store(spark, buckets=2)
+    done = s.apply_ops([op("ADD", "x", "rain", project="garden"), op("ADD", "y", "sun", project="garden"), op("update", "x", "rain and wind", confidence=0.5), op("NO_OPERATION", "y"), op("DELETE", "y")])
     assert [d["op"] for d in done] == ["ADD", "ADD", "UPDATE", "NOOP", "DELETE"]
     f = facts(s)
-    assert f["a"]["text"] == "one-v2" and f["a"]["revision"] == 2 and not f["b"]["valid"] and f["b"]["revision"] == 1
+    assert f["x"]["text"] == "rain and wind" and f["x"]["revision"] == 2 and f["x"]["confidence"] == 0.5 and not f["y"]["valid"] and f["y"]["revision"] == 1
     assert s.read_all().count() == 1 and s.read_all(False).count() == 2
     with pytest.raises(ValueError, match="deleted"):
-        s.apply_ops([op("MOVE", "b", path=["inbox"])])
-    s.apply_ops([op("UPDATE", "b", "still may change")])
-    assert facts(s)["b"]["text"] == "still may change" and not facts(s)["b"]["valid"]
-
-
-def test_rollback(spark):
-    s = Store(spark)
-    s.apply_ops([op("ADD", "a", "x", project="p")])
+        s.apply_ops([op("MOVE", "y", path=["inbox"])])
+    s.apply_ops([op("UPDATE", "y", "sun after all")])
+    assert facts(s)["y"]["text"] == "sun after all" and not facts(s)["y"]["valid"]
+
+
+def test_fields_are_set_by_name(spark):
+    """Also to nothing; and not on a deleted note, unlike the operation."""
+    s = Store(spark, ROOTS, buckets=2)
+    s.apply_ops([op("ADD", "x", "rain", ["attic"], project="p", kind="idea"), op("ADD", "y", "sun", ["attic"]), op("DELETE", "y")])
+    s.update("x", text="hail", project=None, parent_id="y", t=None)
+    x = facts(s)["x"]
+    assert (x["text"], x["project"], x["parent_id"], x["kind"], x["revision"], x["path"]) == ("hail", None, "y", "idea", 2, ["attic"])
+    s.update("x", path=["cellar", "wine"])
+    assert facts(s)["x"]["path"] == ["cellar", "wine"] and {"/cellar", "/cellar/wine"} <= dirs(s)
+    for wrong, error in ((lambda: s.update("y", text="z"), ValueError), (lambda: s.update("none", text="z"), KeyError), (lambda: s.update("x", path=["roof"]), ValueError), (lambda: s.update("x", colour="red"), ValueError)):
+        with pytest.raises(error):
+            wrong()
+    assert facts(s)["y"]["text"] == "sun" and facts(s)["x"]["revision"] == 3
+
+
+def test_nothing_of_a_wrong_batch_stays(spark):
+    s = Store(spark, buckets=2)
+    s.apply_ops([op("ADD", "x", "rain", project="garden")])
+    version = s._facts.version
     with pytest.raises(KeyError):
-        s.apply_ops([op("UPDATE", "a", "y"), op("UPDATE", "missing", "z")])
-    assert facts(s)["a"]["text"] == "x"
+        s.apply_ops([op("UPDATE", "x", "snow"), op("UPDATE", "nobody", "snow")])
+    assert facts(s)["x"]["text"] == "rain" and s._facts.version == version
+
+
+def test_opened_again(spark, tmp_path):
+    """Notes, folders, roots and the greatest depth are those of the store, whatever is asked for."""
+    root = str(tmp_path / "store")
+    s = Store(spark, ROOTS, max_depth=2, root=root, buckets=2)
+    s.apply_ops([op("ADD", "x", "rain", ["attic", "box"])])
+    s.set_meta("OWNER", "ann")
+    t = Store(spark, max_depth=9, root=root)
+    assert facts(t).keys() == {"x"} and t.roots == ROOTS and t.max_depth == 2 and t.get_meta("OWNER") == "ann" and t.conflict_policy() == "append_only"
+    with pytest.raises(ValueError, match="path depth"):
+        t.apply_ops([op("MKDIR", path=["attic", "b", "c"])])
+    t.set_roots(["roof"])
+    assert Store(spark, root=root).roots == ("roof",) and "/roof" in dirs(t) and "/attic/box" in dirs(t)
+    with pytest.raises(ValueError):
+        t.set_roots([])
+
+
+def test_versions_of_a_keyed_table(spark, tmp_path):
+    """A change writes its buckets alone, old versions go, and data without a manifest are no version."""
+    t = KeyedTable(spark, str(tmp_path / "t"), FACTS, "id", 4)
+    rows = lambda ids, text: with_fields(spark.createDataFrame([(i, text) for i in ids], "id string, text string"), FACTS)
+    t.write(rows("abcdefgh", "one"), [0, 1, 2, 3], 0)
+    for v in range(1, 6):
+        touched = t.touched(rows("a", "x"))
+        assert len(touched) == 1
+        keep = t.read(touched).filter("id <> 'a'")
+        t.write(keep.unionByName(rows("a", f"v{v}")), touched, v)
+    assert {r["id"]: r["text"] for r in t.read().collect()} == {**dict.fromkeys("bcdefgh", "one"), "a": "v5"}
+    names = {n for n in t.folder.names() if not n.startswith(".")}
+    assert {n for n in names if n.startswith("manifest")} == {"manifest-4.json", "manifest-5.json"}
+    rows("zz", "lost").write.parquet(str(tmp_path / "t" / "data-6" / "_bucket=0"))
+    again = KeyedTable(spark, str(tmp_path / "t"), FACTS, "id")
+    assert again.version == 5 and again.n == 4 and again.read().count() == 8
 
 
 def test_changed_texts_void_vectors(spark):
-    rows = [(0, "ADD", "a", "x", None, None, None), (1, "ADD", "b", "x", None, None, None), (2, "UPDATE", "a", "y", None, None, None), (3, "MOVE", "b", None, ["inbox"], None, None)]
-    assert [r[0] for r in changed_texts(log(spark.createDataFrame(rows, OPS))).collect()] == ["a"]
+    rows = [(0, "ADD", "x", "rain", None, None, None), (1, "ADD", "y", "rain", None, None, None), (2, "UPDATE", "x", "hail", None, None, None), (3, "MOVE", "y", None, ["inbox"], None, None)]
+    df = spark.createDataFrame(rows, "seq long, op string, fact_id string, text string, path array<string>, project string, hard boolean")
+    assert [r[0] for r in changed_texts(log(df)).collect()] == ["x"]
+    v = spark.createDataFrame([("x", "m", [1.0]), ("x", "n", [2.0]), ("y", "m", [3.0])], "id string, model string, vector array<double>")
+    ids = spark.createDataFrame([("x",)], "id string")
+    assert delete_vectors(v, ids).count() == 1 and delete_vectors(v, ids, "m").count() == 2
+    got = {r["id"]: r["vector"] for r in aligned_vectors(spark.createDataFrame([("x",), ("y",), ("z",)], "id string"), v, "n").collect()}
+    assert got == {"x": [2.0], "y": None, "z": None}
 
 
 CASES = [
-    ("mkdir, add, move", False, [op("MKDIR", path=["work", "lab"]), op("ADD", "f", "t", ["work", "lab"]), op("MKDIR", path=["personal", "pets"]), op("MOVE", "f", path=["personal", "pets"])], {"f": ("/personal/pets", True)}, {"/work", "/work/lab", "/personal", "/personal/pets", "/inbox"}),
-    ("inbox, then move", False, [op("ADD", "u", "t", ["inbox"]), op("MKDIR", path=["work", "infra"]), op("MOVE", "u", path=["work", "infra"])], {"u": ("/work/infra", True)}, {"/inbox", "/work/infra"}),
-    ("soft delete", False, [op("MKDIR", path=["work", "a"]), op("ADD", "k", "t", ["work", "a"]), op("ADD", "d", "t", ["work", "a"]), op("DELETE", "d")], {"k": ("/work/a", True), "d": ("/work/a", False)}, set()),
-    ("hard delete", False, [op("ADD", "g", "t", ["work", "x"]), op("DELETE", "g", hard=True)], {}, {"/work/x"}),
-    ("noop and two", False, [op("MKDIR", path=["work", "z"]), op("ADD", "a", "t", ["work", "z"]), op("NOOP"), op("ADD", "b", "t", ["work", "z"])], {"a": ("/work/z", True), "b": ("/work/z", True)}, set()),
-    ("strict", True, [op("MKDIR", path=["work", "z"]), op("ADD", "a", "t", ["work", "z"])], {"a": ("/work/z", True)}, set()),
+    ("made, put, moved", False, [op("MKDIR", path=["attic", "toys"]), op("ADD", "bear", "t", ["attic", "toys"]), op("MKDIR", path=["cellar", "wine"]), op("MOVE", "bear", path=["cellar", "wine"])], {"bear": ("/cellar/wine", True)}, {"/attic", "/attic/toys", "/cellar", "/cellar/wine", "/inbox"}),
+    ("from the inbox", False, [op("ADD", "key", "t", ["inbox"]), op("MOVE", "key", path=["attic", "hooks"])], {"key": ("/attic/hooks", True)}, {"/inbox", "/attic/hooks"}),
+    ("one of two is deleted", False, [op("ADD", "hat", "t", ["attic", "a"]), op("ADD", "coat", "t", ["attic", "a"]), op("DELETE", "coat")], {"hat": ("/attic/a", True), "coat": ("/attic/a", False)}, set()),
+    ("deleted for good, and new", False, [op("ADD", "cup", "t", ["attic", "x"]), op("DELETE", "cup", hard=True), op("ADD", "cup", "u", ["cellar"])], {"cup": ("/cellar", True)}, {"/attic/x"}),
+    ("folders first", True, [op("MKDIR", path=["attic", "z"]), op("NOOP"), op("ADD", "jar", "t", ["attic", "z"])], {"jar": ("/attic/z", True)}, set()),
 ]
 
 
 @pytest.mark.parametrize("name,strict,ops,want,folders", CASES, ids=[c[0] for c in CASES])
 def test_replayed(spark, name, strict, ops, want, folders):
-    s = Store(spark, ROOTS, strict=strict)
+    s = Store(spark, ROOTS, strict=strict, buckets=2)
     s.apply_ops(ops)
     assert {k: ("/" + "/".join(r["path"]), r["valid"]) for k, r in facts(s).items()} == want
     assert folders <= dirs(s)
 
 
-@pytest.mark.parametrize("strict,ops,error", [(True, [op("MKDIR", path=["work", *"abcde"])], "path depth"), (True, [op("MKDIR", path=["misc", "x"])], "not in fixed roots"), (True, [op("ADD", "f", "o", ["work", "nope"])], "does not exist"), (True, [op("ADD", "f", "o", ["work", "late"]), op("MKDIR", path=["work", "late"])], "does not exist"), (False, [op("ADD", "f", "")], "text is needed"), (False, [op("HOP", "f")], "unknown op"), (False, [op("MOVE", "f")], "path is needed"), (False, [op("MKDIR", path=["work", ".."])], "invalid path segment")])
-def test_errors(spark, strict, ops, error):
-    with pytest.raises(ValueError, match=error):
-        Store(spark, ROOTS, strict=strict).apply_ops(ops)
+WRONG = [(True, [op("MKDIR", path=["attic", *"abcde"])], "path depth"), (True, [op("MKDIR", path=["roof", "x"])], "not in fixed roots"), (True, [op("ADD", "f", "o", ["attic", "nope"])], "does not exist"), (True, [op("ADD", "f", "o", ["attic", "late"]), op("MKDIR", path=["attic", "late"])], "does not exist"), (False, [op("ADD", "f", "")], "text is needed"), (False, [op("HOP", "f")], "unknown op"), (False, [op("MOVE", "f")], "path is needed"), (False, [op("MKDIR", path=["attic", ".."])], "invalid path segment"), (False, [op("DELETE")], "fact_id is needed")]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_errors(spark, strict):
+    s = Store(spark, ROOTS, strict=strict, buckets=2)
+    for _, ops, error in (w for w in WRONG if w[0] == strict):
+        with pytest.raises(ValueError, match=error):
+            s.apply_ops(ops)
 
 
 def test_subtree_and_project_of_moved(spark):
-    s = Store(spark, ROOTS)
-    s.apply_ops([op("ADD", "a", "t", ["work", "p1", "results"]), op("ADD", "b", "t", ["work", "p1"]), op("ADD", "c", "t", ["work", "p2"]), op("ADD", "d", "t", ["inbox"]), op("MOVE", "d", path=["work", "p9"])])
-    assert {r["id"] for r in s.read_subtree(["work", "p1"]).collect()} == {"a", "b"}
-    assert facts(s)["d"]["project"] == "p9"
+    s = Store(spark, (*ROOTS, "work"), buckets=2)
+    s.apply_ops([op("ADD", "a", "t", ["work", "mill", "plans"]), op("ADD", "b", "t", ["work", "mill"]), op("ADD", "c", "t", ["work", "barn"]), op("ADD", "d", "t", ["inbox"]), op("MOVE", "d", path=["work", "yard"])])
+    assert {r["id"] for r in s.read_subtree(["work", "mill"]).collect()} == {"a", "b"}
+    assert facts(s)["d"]["project"] == "yard"
 
 
 def test_rule_v0(spark):
-    rows = [("Andrew adopted a dog.", "s", "Andrew adopted a  DOG!", 0.1), ("same", "s", "like", 0.98), ("She no longer lives here.", "s", "She lives here.", 0.81), ("also a cat", "s", "a dog", 0.9), ("far", "s", "off", 0.5), ("first", None, None, None)]
+    rows = [("The oven is  HOT!", "s", "the oven is hot.", 0.1), ("same", "s", "like", 0.98), ("It no longer rains.", "s", "It rains.", 0.81), ("and a bench", "s", "a table", 0.9), ("far", "s", "off", 0.5), ("first", None, None, None), ("equal!", "s", "EQUAL", 0.2)]
     out = policies.rule_v0(spark.createDataFrame(rows, "text string, best_id string, best_text string, sim double")).collect()
-    assert [r["ops"] for r in out] == [["ADD"] if r[1] is None else x for r, x in zip(rows, [["ADD"], ["NOOP"], ["DELETE", "ADD"], ["UPDATE"], ["ADD"], ["ADD"]])]
-    assert out[0]["ops"] == ["ADD"]  # "dog." and "dog!" differ by the point
+    assert [r["ops"] for r in out] == [["ADD"], ["NOOP"], ["DELETE", "ADD"], ["UPDATE"], ["ADD"], ["ADD"], ["NOOP"]]  # "hot!" and "hot." differ by the point
+    assert out[2]["reasons"] == ["sim=0.810_supersede", "sim=0.810_supersede_add"] and all(len(r["ops"]) == len(r["reasons"]) for r in out)
+
+
+def test_retrieval_of_a_claim(spark):
+    """A project's own notes and those of no project; a claim without a project sees the latter alone."""
+    bank = spark.createDataFrame([(1, 1, "a", "p", [1.0, 0.0]), (2, 2, "b", None, [1.0, 0.0]), (3, 3, "c", "q", [1.0, 0.0]), (4, 4, "d", None, [0.0, 1.0])], "id long, ord long, text string, project string, vector array<double>")
+    claims = spark.createDataFrame([(11, "x", "p", [1.0, 0.1]), (12, "y", None, [1.0, 0.1]), (13, "z", "new", [0.1, 1.0])], "id long, text string, project string, vector array<double>")
+    got = {r["id"]: r for r in policies.retrieve(claims, bank, 2).collect()}
+    assert got[11]["retrieve_ids"] == ["1", "2"] and got[12]["retrieve_ids"] == ["2", "4"] and got[13]["retrieve_ids"] == ["4", "2"] and got[13]["best_text"] == "d"
+    none = policies.rule_v0(policies.retrieve(claims, bank.filter("false")))
+    assert all(r["ops"] == ["ADD"] and r["retrieve_ids"] == [] for r in none.collect())
+
+
+def test_a_model_that_fails(spark):
+    """No reply at all: asked again, then added; the figures say so."""
+    claims = spark.createDataFrame([(1, "x", None)], "id long, text string, project string").withColumn("related", F.lit(None).cast("array<struct<id:string,text:string,sim:double>>"))
+
+    def broken(prompts):
+        raise RuntimeError("no such model")
+
+    out = policies.decide_by_model(claims, broken)
+    r = out.first()
+    assert r["ops"] == ["ADD"] and r["invalid"] and r["n_asked"] == 2 and r["reasons"] == ["llm_invalid_fallback_add:no_reply"]
+    assert policies.model_stats(out).first()["invalid_rate"] == 1.0
+    assert policies.policy("Rule_V0") is policies.rule_v0 and policies.policy("append_only") is policies.always_add
+    with pytest.raises(ValueError):
+        policies.policy("none")
 
 
 def test_parse_reply(spark):
-    rel = F.array(F.struct(F.lit("s1").alias("id"), F.lit("Andrew adopted Buddy.").alias("text")))
-    raws = ['[{"event":"UPDATE","id":"s1","text":"two dogs"}]', '```json\n[{"op":"update","old_memory":"andrew adopted buddy.","new_memory":"x"}]\n```', '[{"event":"NO_OPERATION"}]', "not json", '[{"event":"DELETE","id":"zz"}]', '{"ops":[{"operation":"add","memory":"m"}]}', '[{"text":"x"}]', '[{"event":"hop"}]', '[{"event":"ADD"}]']
+    rel = F.array(F.struct(F.lit("n7").alias("id"), F.lit("The mill stands still.").alias("text")))
+    raws = ['[{"event":"UPDATE","id":"n7","text":"it turns"}]', '```json\n[{"op":"update","old_memory":"the MILL stands still.","new_memory":"y"}]\n```', '[{"event":"NO_OPERATION"}]', "hm", '[{"event":"DELETE","id":"q"}]', '{"ops":[{"operation":"add","memory":"m"}]}', '[{"text":"y"}]', '[{"event":"jump"}]', '[{"event":"ADD"}]']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").withColumn("o", policies.parse_reply(F.col("raw"), rel)).orderBy("i")
     got = [[(x["op"], x["id"], x["error"]) for x in r["o"]] for r in df.collect()]
-    assert got == [[("UPDATE", "s1", None)], [("UPDATE", "s1", None)], [("NOOP", None, None)], [], [("DELETE", None, "delete_bad_id")], [("ADD", None, None)], [(None, None, "missing_event")], [("HOP", None, "bad_event")], [("ADD", None, "add_missing_text")]]
+    assert got == [[("UPDATE", "n7", None)], [("UPDATE", "n7", None)], [("NOOP", None, None)], [], [("DELETE", None, "delete_bad_id")], [("ADD", None, None)], [(None, None, "missing_event")], [("JUMP", None, "bad_event")], [("ADD", None, "add_missing_text")]]
+
+
+def test_gold_of_tasks(spark):
+    t = spark.createDataFrame([(0, "t1", "a", ["attic", "x"], None), (1, "t2", "b", ["cellar"], "own")], "ord long, id string, text string, gold_path array<string>, fact_id string")
+    got = {r["id"]: r["path"] for r in state(log(report.place_gold(t), roots=ROOTS)).collect()}
+    assert got == {"f_t1": ["attic", "x"], "own": ["cellar"]}
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from grovekit.operators.store import state
+    """Batch by batch, by a stream, and by one process after another on the same folder."""
     from grovekit.plans.q_store import ops
     from grovekit.streaming.fold import StreamFold
 
-    all_ops = ops(spark, "/root/testdata/sf0.001").select(*[f.name for f in OPS])
+    all_ops = with_fields(ops(spark, "/root/testdata/sf0.001")).select(*[f.name for f in OPS])
     for i in range(3):  # three files, in order of time
         all_ops.filter((F.col("seq") >= i * 334) & (F.col("seq") < (i + 1) * 334)).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
-    fold = StreamFold(spark, str(tmp_path / "state"))
-    for i in range(3):
-        fold.on_batch(spark.read.schema(OPS).parquet(str(tmp_path / "in" / f"b{i}")), i)
+    part = lambda i: spark.read.schema(OPS).parquet(str(tmp_path / "in" / f"b{i}"))
     key = lambda df: sorted(map(repr, df.select("id", "text", "path", "project", "valid", "revision").collect()))
     want = key(state(log(all_ops)))
-    assert key(fold.facts()) == want
-    one = StreamFold(spark, str(tmp_path / "state2"))
+    for i in range(3):  # a new process for each batch; the second one is run twice
+        fold = StreamFold(spark, str(tmp_path / "state"), buckets=4)
+        fold.on_batch(part(i), i)
+        if i == 1:
+            StreamFold(spark, str(tmp_path / "state")).on_batch(part(i), i)
+    assert key(StreamFold(spark, str(tmp_path / "state")).facts()) == want
+    one = StreamFold(spark, str(tmp_path / "state2"), buckets=4)
     stream = spark.readStream.schema(OPS).parquet(str(tmp_path / "in" / "*"))
     assert key(one.run(stream)) == want
