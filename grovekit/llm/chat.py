@@ -73,7 +73,9 @@ def render(role: str, text: str) -> str:
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, formatted: the rendered turns; those of a conversation, by ``turn``, are its formatted text.
 
-    Null roles and texts count as empty. Rows with equal turn numbers follow by role, then text.
+    Null roles and texts count as empty. Rows with equal turn numbers (a null one comes first) follow by role, then text;
+    repeated rows are turns of their own; rows without a conv_id are one conversation. A very long turn is rendered whole.
+    Other columns take no part; an empty table gives an empty one.
     """
     rows = project(conversations, conv_id="long", turn="long", role="string", text="string").fillna("", ["role", "text"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, fresh, prefix_hash, project, salted_group_stats, span_hash, split_by_ids
+from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, fresh, prefix_hash, project, released, salted_group_stats, span_hash, split_by_ids
 
 #: Bytes that decide on a cut, bits of the mask (chunks of 2**bits bytes on average), most bytes of a chunk.
 WINDOW, MASK_BITS, MAX_CHUNK = 24, 10, 16384
@@ -137,7 +137,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     some dropped row has are moved.
     """
     scratch = Scratch(docs.sparkSession)
-    report = scratch.save(exact_groups(docs))
+    with released():
+        report = scratch.save(exact_groups(docs))
     sure, maybe = split_by_ids(docs, report.filter("NOT kept"))
     text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
     row, one = fresh(docs.columns, "row"), "struct(*)"

@@ -355,7 +355,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (the ids decode to the very text).
 
     Null and empty texts have no ids. A text that itself holds U+2581 decodes to a space there, and says so in
-    ``round_trip``. The vocabulary, read once by the driver, has a fixed size and travels with the function.
+    ``round_trip``. Rows are encoded one by one, each with its whole text: repeated rows repeat, null ids stay null. Other
+    columns take no part; an empty table gives an empty one. The vocabulary, read once by the driver, has a fixed size and
+    travels with the function. A vocabulary with a white space mark after another character within a piece is refused.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(load(model))
 
@@ -378,7 +380,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids; bytes that are no UTF-8 become U+FFFD. Null ids give an empty text."""
+    """doc_id and text of rows with doc_id and ids; bytes that are no UTF-8 become U+FFFD. Null ids give an empty text; repeated
+    rows repeat, other columns take no part, an empty table gives an empty one."""
     vocab = rows.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

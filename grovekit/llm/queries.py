@@ -62,7 +62,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    """The sequences, with the ids of their documents."""
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("doc_ids", F.col("pieces.doc.doc_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
