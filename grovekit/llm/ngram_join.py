@@ -22,6 +22,7 @@ large-star and small-star rounds over written tables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, salted_group_stats, span_hash, split_by_ids, text_buffers, text_bytes
+from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, released, salted_group_stats, span_hash, split_by_ids, text_buffers, text_bytes
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, SIM = 5, (75, 100)
@@ -45,6 +46,8 @@ LIST_BLOCK = 2048
 #: A token with more postings than this in what a task writes at once is split: its postings are dealt by class into
 #: SPLIT lists, so no task holds the list of a token that a large part of the corpus has.
 HOT_POSTINGS, SPLIT = 256, 64
+#: Pairs, at most, that are broadcast (about 50 bytes each).
+FEW_PAIRS = 200_000
 #: Least bits of a parity sketch, a power of two; a sketch has four bits or more for each token.
 SKETCH = 256
 _SCAN_BYTES = 1 << 20
@@ -169,42 +172,39 @@ def _enough_left(n, i, m, j, sim: tuple[int, int]):
     return sim[0] * (n + m) <= (sim[0] + sim[1]) * np.minimum(n - i, m - j)
 
 
-def profiles(doc: np.ndarray, token: np.ndarray, n: int, sim: tuple[int, int] = SIM) -> pa.Array:
-    """For each set its prefixes under the further orders (32 bits of each key, rising) and its parity sketch."""
+def prefixes(doc: np.ndarray, token: np.ndarray, n: int, sim: tuple[int, int] = SIM) -> pa.Array:
+    """For each set its prefixes under the further orders, one after another: the first 16 bits of each key, rising."""
     size = np.bincount(doc, minlength=n)
     p = np.where(size > 0, prefix_length(size, sim), 0)
-    sketch, edge = _sketches(doc, token, n)
-    words = np.diff(edge) // 4
-    offs = np.concatenate([[0], np.cumsum(len(ORDERS) * p + words)])
-    out = np.empty(offs[-1], "<u4")
+    offs = np.concatenate([[0], np.cumsum(len(ORDERS) * p)])
+    out = np.empty(offs[-1], "<u2")
     first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    place = np.arange(len(doc)) - first[doc]
+    head = place < p[doc]
     for k, seed in enumerate(ORDERS):
         key = mix(token ^ np.uint64(seed))
         key = key[np.lexsort((key, doc))]
-        place = np.arange(len(doc)) - first[doc]
-        head = place < p[doc]
-        out[(offs[:-1] + k * p)[doc[head]] + place[head]] = (key[head] >> np.uint64(32)).astype(np.uint32)
-    at = np.arange(len(sketch) // 4) + np.repeat(offs[:-1] + len(ORDERS) * p - edge[:-1] // 4, words)
-    out[at] = sketch.view("<u4")
-    return binary_array(out.view(np.uint8), 4 * offs)
+        out[(offs[:-1] + k * p)[doc[head]] + place[head]] = (key[head] >> np.uint64(48)).astype(np.uint16)
+    return binary_array(out.view(np.uint8), 2 * offs)
 
 
 class Profile:
-    """A profile as read back."""
+    """What is known of a class without its text: the size of its set, the prefixes, the parity sketch."""
 
     __slots__ = ("n", "prefixes", "sketch")
 
-    def __init__(self, raw: bytes, n: int, sim: tuple[int, int]):
-        p = prefix_length(n, sim)
-        a = np.frombuffer(raw, "<u4")
-        self.n, self.prefixes, self.sketch = n, [a[k * p : (k + 1) * p] for k in range(len(ORDERS))], a[len(ORDERS) * p :].view("<u8")
+    def __init__(self, n: int, raw: bytes, sketch: bytes):
+        a = np.frombuffer(raw, "<u2")
+        p = len(a) // len(ORDERS)
+        self.n, self.prefixes, self.sketch = n, [a[k * p : (k + 1) * p] for k in range(len(ORDERS))], np.frombuffer(sketch, "<u8")
 
 
 def agree_in_orders(x: Profile, y: Profile, sim: tuple[int, int] = SIM) -> bool:
     """Whether two sets may be similar by their prefixes under each further order.
 
     They must have a prefix token in common. Below the lower end of the two prefixes all tokens of both sets are known;
-    those in common there and what either set has beside them must make up the overlap that the similarity needs.
+    those in common there and what either set has beside them must make up the overlap that the similarity needs. Keys are
+    known by some bits, so tokens may seem to be in common that are not, and never the other way round.
     """
     need = sim[0] * (x.n + y.n)  # the overlap, times sim[0] + sim[1]
     for p, q in zip(x.prefixes, y.prefixes):
@@ -370,11 +370,12 @@ def _lists(r: np.ndarray, short: int, sim: tuple[int, int]) -> tuple[np.ndarray,
     return x[keep], y[keep], long
 
 
-_FOUND = "a binary, b binary, list_id long, sub long, members array<struct<cls:binary,n:long,i:long>>"
+_FOUND = "a binary, b binary, list_id long, sub long, same binary, places long, members array<struct<cls:binary,n:long,i:long>>"
 
 
 def _candidates(docs: DataFrame, known: tuple, size: int, sim: tuple[int, int]) -> DataFrame:
-    """Rows a, b (candidate classes, a before b), or list_id, sub and members: up to LIST_BLOCK classes of a long list."""
+    """Rows a, b (candidate classes, a before b), or list_id, sub and members: up to LIST_BLOCK classes of a long list, with
+    a digest of them, if they are the whole list, and the sum of their places."""
     spark = docs.sparkSession
     buckets = bucket_count(spark, size, 4)
     held, table = known[0], spark.sparkContext.broadcast(known[1:])
@@ -435,12 +436,17 @@ def _candidates(docs: DataFrame, known: tuple, size: int, sim: tuple[int, int])
         pieces = [(int(x["t"][0]), (bucket // buckets << 32) + k, x[k : k + LIST_BLOCK]) for x in long for k in range(0, len(x), LIST_BLOCK)]
         none, kind = len(pieces), pa.list_(pa.struct([("cls", pa.binary()), ("n", pa.int64()), ("i", pa.int64())]))
         joined = np.concatenate([x for _, _, x in pieces]) if pieces else np.empty(0, _HOT)
+        split = set(whole["t"][whole["n"] == 0].tolist())
+        whole_list = {t for x in long for t in [int(x["t"][0])] if len(x) <= LIST_BLOCK and t not in split} if bucket < buckets else set()
+        digest = [hashlib.md5(np.ascontiguousarray(x["c"]).tobytes() if t in whole_list else b"%d %d" % (t, sub)).digest() for t, sub, x in pieces]
         members = pa.StructArray.from_arrays([_class_array(joined["c"]), pa.array(joined["n"].astype(np.int64)), pa.array(joined["i"].astype(np.int64))], ["cls", "n", "i"])
         members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for _, _, x in pieces])]).astype(np.int32)), members)
         return pa.table({
             "a": pa.concat_arrays([_class_array(a), pa.nulls(none, pa.binary())]), "b": pa.concat_arrays([_class_array(b), pa.nulls(none, pa.binary())]),
             "list_id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([x for x, _, _ in pieces], pa.int64())]),
             "sub": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([x for _, x, _ in pieces], pa.int64())]),
+            "same": pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array(digest, pa.binary())]),
+            "places": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([int(x["i"].astype(np.int64).sum()) for _, _, x in pieces], pa.int64())]),
             "members": pa.concat_arrays([pa.nulls(len(a), kind), members.cast(kind)]),
         })
 
@@ -470,7 +476,8 @@ def _texts_of(docs: DataFrame, ids: DataFrame, columns: tuple[int, ...]) -> Data
 
 
 def _profiles(docs: DataFrame, found: DataFrame, classes: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
-    """cls, n, rep, profile of the classes that candidates and long lists have, out of the text of one document of each."""
+    """cls, n, rep, prefixes, sketch of the classes that candidates and long lists have, out of the text of one document of
+    each."""
     named = found.select(F.explode(F.when(F.col("a").isNotNull(), F.array("a", "b")).otherwise(F.col("members.cls"))).alias("cls")).distinct()
     wanted = scratch.save(classes.join(named, "cls").select("cls", "n", "rep"))
 
@@ -480,30 +487,36 @@ def _profiles(docs: DataFrame, found: DataFrame, classes: DataFrame, scratch: Sc
             doc, token = shingles(block)
             cls = fingerprints(doc, token, block.n)
             mine = pa.array(_first_seen(cls, seen))
-            yield pa.RecordBatch.from_arrays([_class_array(cls).filter(mine), profiles(doc, token, block.n, sim).filter(mine)], names=["cls", "profile"])
+            sketch = binary_array(*_sketches(doc, token, block.n))
+            yield pa.RecordBatch.from_arrays([x.filter(mine) for x in (_class_array(cls), prefixes(doc, token, block.n, sim), sketch)], names=["cls", "prefixes", "sketch"])
 
-    made = _texts_of(docs, wanted.select("rep"), (0,)).mapInArrow(run, "cls binary, profile binary")
-    return scratch.save(wanted.join(made.groupBy("cls").agg(F.first("profile").alias("profile")), "cls"))
+    made = _texts_of(docs, wanted.select("rep"), (0,)).mapInArrow(run, "cls binary, prefixes binary, sketch binary")
+    made = made.groupBy("cls").agg(F.first(F.struct("prefixes", "sketch")).alias("s")).select("cls", "s.*")
+    return scratch.save(wanted.join(made, "cls"))
 
 
 def _in_pairs(pairs: DataFrame, profile: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """a, b, a_rep, b_rep: the candidate pairs that sizes, the further orders and sketches leave."""
-    side = lambda x: profile.select(F.col("cls").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("profile").alias(f"{x}_profile"))
+    """a, b, a_rep, b_rep: the candidate pairs (a, b) that sizes, the further orders and sketches leave."""
+    side = lambda x: profile.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "prefixes", "sketch")])
+    names = [f"{x}_{c}" for c in ("n", "prefixes", "sketch") for x in "ab"]
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for m, n, p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6), b.column(7)):
-                x, y = Profile(p.as_py(), m, sim), Profile(q.as_py(), n, sim)
+            for m, n, p, q, r, s in zip(*(b.column(4 + k).to_pylist() for k in range(6))):
+                x, y = Profile(m, p, r), Profile(n, q, s)
                 ok.append(agree_in_orders(x, y, sim) and agree_in_sketch(x, y, sim))
             yield b.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(ok, pa.bool_()))
 
-    fit = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") * sim[1] >= F.greatest("a_n", "b_n") * sim[0])
-    return fit.select("a", "b", "a_rep", "b_rep", "a_n", "b_n", "a_profile", "b_profile").mapInArrow(agree, "a binary, b binary, a_rep long, b_rep long")
+    # the parts of both sides that pairs need are brought together by pair; few pairs go to where the classes are
+    few = pairs.count() <= FEW_PAIRS
+    near = F.broadcast(pairs) if few else pairs
+    fit = near.join(side("a"), "a").join(near.join(side("b"), "b"), ["a", "b"]).filter(F.least("a_n", "b_n") * sim[1] >= F.greatest("a_n", "b_n") * sim[0])
+    return fit.select("a", "b", "a_rep", "b_rep", *names).mapInArrow(agree, "a binary, b binary, a_rep long, b_rep long")
 
 
 def _in_lists(member: DataFrame, profile: DataFrame, sim: tuple[int, int], block: int = LIST_BLOCK) -> DataFrame:
-    """a, b, a_rep, b_rep: pairs of one list and different labels that sizes, places, sketches and the further orders leave.
+    """a, b: pairs of one list and different labels that sizes, places and sketches leave.
 
     member: list_id, sub, cls, label, n, i, in pieces (list_id, sub) of bounded size. Classes of a list's commonest label
     are connected already, so pairs have one class of another label at least: those are dealt by class into blocks, and so
@@ -514,23 +527,23 @@ def _in_lists(member: DataFrame, profile: DataFrame, sim: tuple[int, int], block
     lists = by_label.groupBy("list_id").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("n_top"), F.sum("c").alias("size")).filter("n_top < size")
     # to the pieces first: a piece is small, a list may not be
     pieces = member.select("list_id", "sub").distinct().join(lists, "list_id")
-    rows = member.join(pieces, ["list_id", "sub"]).join(profile.select("cls", "rep", "profile"), "cls")
+    rows = member.join(pieces, ["list_id", "sub"]).join(profile.select("cls", "sketch"), "cls")
     tops, others = F.ceil(F.col("n_top") / block), F.ceil((F.col("size") - F.col("n_top")) / block)
     is_top = F.col("label") == F.col("top")
     rows = rows.withColumn("own", F.when(is_top, F.pmod(F.xxhash64("cls"), tops)).otherwise(-1 - F.pmod(F.xxhash64("cls"), others)))
     rows = rows.withColumn("other", F.explode(F.when(is_top, F.sequence(-others, F.lit(-1).cast("long"))).otherwise(F.sequence(-others, tops - 1))))
-    rows = rows.select("list_id", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "label", "n", "i", "rep", "profile")
+    rows = rows.select("list_id", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "label", "n", "i", "sketch")
 
     def pairs(t: pa.Table) -> pa.Table:
-        n, i, rep, own_block = (t.column(c).to_numpy() for c in ("n", "i", "rep", "own"))
+        n, i, own_block = (t.column(c).to_numpy() for c in ("n", "i", "own"))
         cls, label = t.column("cls").to_pylist(), np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
         across = t.column("p")[0] != t.column("q")[0]
-        made = [Profile(x.as_py(), m, sim) for x, m in zip(t.column("profile"), n.tolist())]
-        by_size = {}
-        for k, x in enumerate(made):
-            by_size.setdefault(len(x.sketch), []).append(k)
-        sketches = {m: (np.array(ks), np.stack([made[k].sketch for k in ks])) for m, ks in by_size.items()}
-        row_of = {k: r for ks, _ in sketches.values() for r, k in enumerate(ks.tolist())}
+        sketch = [np.frombuffer(x.as_py(), "<u8") for x in t.column("sketch")]
+        words = np.array([len(x) for x in sketch])
+        row, matrix = np.zeros(len(words), np.int64), {}
+        for w in np.unique(words).tolist():
+            of = np.flatnonzero(words == w)
+            row[of], matrix[w] = np.arange(len(of)), np.stack([sketch[k] for k in of.tolist()])
         order = np.lexsort((label, n))
         out: list[tuple] = []
         for at in range(len(order)):
@@ -540,22 +553,21 @@ def _in_lists(member: DataFrame, profile: DataFrame, sim: tuple[int, int], block
             y = y[(label[y] != label[x]) & _enough_left(n[x], i[x], n[y], i[y], sim)]
             if across:
                 y = y[own_block[y] != own_block[x]]
-            for size, (_, matrix) in sketches.items():  # longer sketches fold to the length of the shorter
-                part = y[[len(made[k].sketch) == size for k in y.tolist()]] if len(sketches) > 1 else y
+            for w, m in matrix.items():  # longer sketches fold to the length of the shorter
+                part = y[words[y] == w]
                 if not len(part):
                     continue
-                theirs, own = matrix[[row_of[k] for k in part.tolist()]], made[x].sketch
+                theirs, own = m[row[part]], sketch[x]
                 while theirs.shape[1] > len(own):
                     theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
                 while len(own) > theirs.shape[1]:
                     own = own[: len(own) // 2] ^ own[len(own) // 2 :]
                 apart = np.bitwise_count(theirs ^ own).sum(1).astype(np.int64)
                 for k in part[apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (n[x] + n[part])].tolist():
-                    if agree_in_orders(made[x], made[k], sim):
-                        out.append((cls[x], cls[k], rep[x], rep[k]) if cls[x] < cls[k] else (cls[k], cls[x], rep[k], rep[x]))
-        return pa.table({c: pa.array([o[k] for o in out], kind) for k, (c, kind) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("a_rep", pa.int64()), ("b_rep", pa.int64())))})
+                    out.append((cls[x], cls[k]) if cls[x] < cls[k] else (cls[k], cls[x]))
+        return pa.table({c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate("ab")})
 
-    return rows.groupBy("list_id", "p", "q").applyInArrow(pairs, "a binary, b binary, a_rep long, b_rep long").distinct()
+    return rows.groupBy("list_id", "p", "q").applyInArrow(pairs, "a binary, b binary").distinct()
 
 
 def _verified(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int, int]) -> DataFrame:
@@ -623,7 +635,7 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     classes = scratch.save(one.groupBy("cls").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.collect_list("_salt").alias("salts")))
     found = scratch.save(_candidates(docs, _frequent_tokens(sets, size, scratch), size, sim))
     profile = _profiles(docs, found, classes, scratch, sim)
-    edges = _verified(_in_pairs(found.filter("a IS NOT NULL").select("a", "b").distinct(), profile, sim), docs, scratch, sim)
+    edges = _verified(_in_pairs(scratch.save(found.filter("a IS NOT NULL").select("a", "b").distinct()), profile, sim), docs, scratch, sim)
     # ids that have several classes, or one and an empty set
     shared = base.groupBy("doc_id").agg(F.min(F.when(F.col("n") > 0, F.col("cls"))).alias("low"), F.max(F.when(F.col("n") > 0, F.col("cls"))).alias("high"), F.min("n").alias("least"))
     shared = scratch.save(shared.filter("low < high OR (low IS NOT NULL AND least = 0)"))
@@ -631,12 +643,15 @@ def near_duplicates(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     if repeats:
         edges = scratch.save(edges.unionByName(base.filter("n > 0").select("doc_id", F.col("cls").alias("b")).join(shared.select("doc_id", F.col("low").alias("a")), "doc_id").filter("a <> b").select("a", "b").distinct()))
     labels = components(edges, scratch)
-    long = found.filter("members IS NOT NULL").select("list_id", "sub", "members")
+    long = found.filter("members IS NOT NULL")
+    # of lists with the same classes the one of the first token in the order will do: places are the least in it
+    first = long.groupBy("same").agg(F.min_by(F.struct("list_id", "sub"), F.struct("places", "list_id", "sub")).alias("f")).select("f.*")
+    long = long.join(first, ["list_id", "sub"], "left_semi").select("list_id", "sub", "members")
     if long.limit(1).count():
         # pairs of a long list that are not connected yet
         member = long.select("list_id", "sub", F.explode("members").alias("m")).select("list_id", "sub", "m.*")
         member = scratch.save(member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-        more = _verified(_in_lists(member, profile, sim), docs, scratch, sim)
+        more = _verified(_in_pairs(scratch.save(_in_lists(member, profile, sim)), profile, sim), docs, scratch, sim)
         if more.limit(1).count():
             labels = components(edges.unionByName(more), scratch)
     # from classes to the smallest doc_id of a component, and to all documents
@@ -660,6 +675,7 @@ def near_dedup(docs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     words. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession)
-    dropped = scratch.save(near_duplicates(docs, sim).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    with released():
+        dropped = scratch.save(near_duplicates(docs, sim).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     sure, maybe = split_by_ids(docs, dropped)
     return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
