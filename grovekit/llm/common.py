@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,14 @@ from ..sources.scratch import Scratch, released  # noqa: F401
 
 # Python workers live on from stage to stage: freed memory should go back to the system at once.
 pa.set_memory_pool(pa.system_memory_pool())
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns memory that was freed to the system, where the C library can."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
 
 #: Bytes of text that are turned into arrays at once in a Python worker; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20

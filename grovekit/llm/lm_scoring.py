@@ -6,7 +6,7 @@ A trigram model: the probability of a word w after u v is a mixture of maximum-l
 
 with weights for each bucket k of the context's frequency: by ``floor(log2 c(u v))``, or by ``floor(log2 c(v))`` where the
 pair u v has not been seen. The weights are learned by expectation-maximisation on counts held out (deleted) from the
-training part, until they stand still; then all training counts are used.
+training part, until their likelihood stands still; then all training counts are used.
 
 Counts cover the whole training part and are never gathered in one place. Texts are packed into chunks, in the tasks that
 read them. Each chunk asks, for its distinct words, bigrams and trigrams, the bucket of each for its counts; buckets add
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, TextBlock, blocks, bucket_count, mix, prefix_hash, project, span_hash, text_buffers
+from .common import Scratch, TextBlock, blocks, bucket_count, give_back, mix, prefix_hash, project, span_hash, text_buffers
 
 #: Tokens that are no words: the end of a text, and the context of its first token.
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
@@ -36,13 +36,13 @@ HELD_OUT, DELETED = 0, 1
 #: Buckets of context frequency: HALF by the word before, as many by the two words before.
 HALF = 24
 BUCKETS = 2 * HALF
-#: Rounds of EM, at most, and the change of a weight from which on it goes on.
-ROUNDS, STILL = 200, 1e-6
+#: Rounds of EM, at most, and the gain in the deleted tokens' mean log-likelihood below which it stands still.
+ROUNDS, STILL = 200, 1e-7
 #: Least weight of each component, so that no probability is zero.
 FLOOR = 1e-6
 _KEY_BITS = 38
 #: Bytes of text in a chunk: what one task holds at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -79,6 +79,7 @@ def packed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         for deleted in (False, True):
             if held[deleted]:
                 yield close(deleted)
+        give_back()
 
     return docs.mapInArrow(run, "chunk long, size long, payload binary")
 
@@ -141,6 +142,22 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Counts, of which most are small, in a byte each, the large ones on the side; compressed."""
+    large = np.flatnonzero(x >= 255)
+    raw = b"".join([len(large).to_bytes(4, "little"), np.minimum(x, 255).astype(np.uint8).tobytes(), large.astype("<u4").tobytes(), x[large].astype("<u8").tobytes()])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    raw = pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+    large = int.from_bytes(raw[:4], "little")
+    n = len(raw) - 4 - 12 * large
+    out = np.frombuffer(raw, np.uint8, n, 4).astype(np.uint64)
+    out[np.frombuffer(raw, "<u4", large, 4 + n)] = np.frombuffer(raw, "<u8", large, 4 + n + 4 * large)
+    return out
+
+
 def asked(chunks: DataFrame, buckets: int) -> DataFrame:
     """The messages of the chunks: bucket, kind, chunk, keys, counts."""
     names = ["bucket", "kind", "chunk", "keys", "counts"]
@@ -161,9 +178,11 @@ def asked(chunks: DataFrame, buckets: int) -> DataFrame:
                         part = key[edge[b] : edge[b + 1]]
                         if kind:  # sorted: differences need fewer bytes
                             part = np.diff(part, prepend=np.uint64(0))
-                        rows[0].append(b), rows[1].append(_pack(part)), rows[2].append(_pack(n[edge[b] : edge[b + 1]]))
+                        rows[0].append(b), rows[1].append(_pack(part)), rows[2].append(_pack_counts(n[edge[b] : edge[b + 1]]))
                     columns = [rows[0], [kind] * len(rows[0]), [chunk] * len(rows[0]), rows[1], rows[2]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                del table, block, token, place, doc, trains, key, bucket, at, n, rows, columns
+                give_back()
 
     return chunks.mapInArrow(run, "bucket int, kind int, chunk long, keys binary, counts binary")
 
@@ -177,7 +196,7 @@ def answered(messages: DataFrame) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
 
         def put(chunk: int, kind: int, kept: np.ndarray, deleted: np.ndarray) -> None:
-            for name, x in zip(rows, (chunk, kind, bucket, _pack(kept), _pack(deleted))):
+            for name, x in zip(rows, (chunk, kind, bucket, _pack_counts(kept), _pack_counts(deleted))):
                 rows[name].append(x)
 
         for kind in range(3):
@@ -191,7 +210,7 @@ def answered(messages: DataFrame) -> DataFrame:
             size = [len(x) for x in keys]
             gone = np.repeat(np.array(chunk) % 2 == 0, size)
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.concatenate([_unpack(x) for x in part.column("counts").to_pylist()]).astype(np.float64)
+            n = np.concatenate([_unpack_counts(x) for x in part.column("counts").to_pylist()]).astype(np.float64)
             kept, deleted = (np.bincount(at, weights=np.where(m, n, 0), minlength=len(distinct)).astype(np.uint64) for m in (~gone, gone))
             edge = np.concatenate([[0], np.cumsum(size)])
             for c, a, e in zip(chunk, edge[:-1].tolist(), edge[1:].tolist()):
@@ -213,9 +232,9 @@ def _features(block: TextBlock, answers: pa.Table, all_counts: bool, buckets: in
     for kind in range(3):
         key, _, at = _keys(token, place, kind, buckets)
         rows = np.flatnonzero(kinds == kind).tolist()
-        n = [_unpack(answers.column("kept")[i].as_py()) for i in rows]
+        n = [_unpack_counts(answers.column("kept")[i].as_py()) for i in rows]
         if all_counts:
-            n = [a + _unpack(answers.column("deleted")[i].as_py()) for a, i in zip(n, rows)]
+            n = [a + _unpack_counts(answers.column("deleted")[i].as_py()) for a, i in zip(n, rows)]
         n = np.concatenate(n).astype(np.float64) if n else np.zeros(0)
         if len(n) != len(key):
             raise ValueError("the answers are not those of this chunk")
@@ -240,28 +259,32 @@ def estimates(c1, c1_before, c2, c2_before, c3, n: float, v: float) -> np.ndarra
     return np.column_stack([c3 / np.maximum(c2_before, 1), c2 / np.maximum(c1_before, 1), c1 / max(1, n), np.full(len(c1), 1 / (v + 1))])
 
 
-def shares(k: np.ndarray, p: np.ndarray, weights: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The step E: by bucket, what of its tokens each estimate accounts for, and the tokens."""
+def shares(k: np.ndarray, p: np.ndarray, weights: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The step E, by bucket: what of its tokens each of the four estimates accounts for, the tokens, and the sum of the
+    logarithms of their probabilities."""
     part = p * weights[k]
-    part *= (times / part.sum(1))[:, None]
-    return np.column_stack([np.bincount(k, weights=part[:, j], minlength=BUCKETS) for j in range(4)]), np.bincount(k, weights=times, minlength=BUCKETS)
+    total = part.sum(1)
+    part *= (times / total)[:, None]
+    columns = [*part.T, times, times * np.log(total)]
+    return np.column_stack([np.bincount(k, weights=x, minlength=BUCKETS) for x in columns])
 
 
-def fit_weights(step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The weights of each bucket by EM, as ``step`` (E, over all deleted tokens) and the share of each estimate (M) in
-    turn. A bucket without tokens takes the weights of the nearest one of its half that has some; without any, all weigh
-    alike."""
-    w = np.full((BUCKETS, 4), 0.25)
+def fit_weights(step: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The weights of each bucket by EM: ``step`` (E, over all deleted tokens) and the share of each estimate (M) in turn. A
+    bucket without tokens takes the weights of the nearest one of its half that has some; without any, all weigh alike."""
+    w, before = np.full((BUCKETS, 4), 0.25), -np.inf
     for _ in range(ROUNDS):
-        part, n = step(w)
+        sums = step(w)
+        n = sums[:, 4]
+        if not n.any():
+            break
         some = n > 0
-        new = w.copy()
-        new[some] = np.maximum(part[some] / n[some, None], FLOOR)
-        new /= new.sum(1, keepdims=True)
-        change = np.abs(new - w).max()
-        w = new
-        if change < STILL:
+        w[some] = np.maximum(sums[some, :4] / n[some, None], FLOOR)
+        w /= w.sum(1, keepdims=True)
+        now = sums[:, 5].sum() / n.sum()
+        if now - before < STILL:
             break
+        before = now
     for half in (range(HALF), range(HALF, BUCKETS)):
         known = [k for k in half if n[k] > 0]
         for k in half:
@@ -284,7 +307,7 @@ def _deleted_counts(chunks: DataFrame, answers: DataFrame, buckets: int) -> Data
             if len(order):
                 new[1:] = np.any([x[1:] != x[:-1] for x in c], 0)
             first = np.flatnonzero(new)
-            out.append([*(_pack(x[first]) for x in c), _pack(np.diff(np.append(first, len(order))).astype(np.uint64))])
+            out.append([*(_pack_counts(x[first]) for x in c), _pack_counts(np.diff(np.append(first, len(order))).astype(np.uint64))])
         return pa.table({f"c{k}": pa.array([x[k] for x in out], pa.binary()) for k in range(6)})
 
     return chunks.filter("chunk % 2 = 0").groupBy("chunk").cogroup(answers.filter("chunk >= 0 AND chunk % 2 = 0").groupBy("chunk")).applyInArrow(run, ", ".join(f"c{k} binary" for k in range(6)))
@@ -304,29 +327,27 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     chunks = scratch.save(packed(docs, chunk_bytes))
     buckets = bucket_count(spark, 1.25 * (chunks.agg(F.sum("size")).first()[0] or 0))
     answers = scratch.save(answered(asked(chunks, buckets)))
-    totals = [(_unpack(bytes(r[0])), _unpack(bytes(r[1]))) for r in answers.filter("chunk = -1").select("kept", "deleted").toLocalIterator()]
+    totals = [(_unpack_counts(bytes(r[0])), _unpack_counts(bytes(r[1]))) for r in answers.filter("chunk = -1").select("kept", "deleted").toLocalIterator()]
     kept_n, kept_v = (sum(int(a[i]) for a, _ in totals) for i in (0, 1))
     all_n, all_v = (sum(int(b[i]) for _, b in totals) for i in (0, 1))
     deleted = scratch.save(_deleted_counts(chunks, answers, buckets))
 
-    def step(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def step(weights: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, tokens = np.zeros((BUCKETS, 4)), np.zeros(BUCKETS)
+            part = np.zeros((BUCKETS, 6))
             for b in batches:
                 for row in zip(*(b.column(k) for k in range(6))):
-                    *c, times = (_unpack(x.as_py()).astype(np.float64) for x in row)
+                    *c, times = (_unpack_counts(x.as_py()).astype(np.float64) for x in row)
                     if len(times):
-                        more, n = shares(context_bucket(c[1], c[3]), estimates(*c, kept_n, kept_v), weights, times)
-                        part += more
-                        tokens += n
-            k = np.flatnonzero(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tokens[k]), *(pa.array(part[k, j]) for j in range(4))], names=["k", "n", "p0", "p1", "p2", "p3"])
-
-        sums = deleted.mapInArrow(run, "k long, n double, p0 double, p1 double, p2 double, p3 double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")))
-        part, tokens = np.zeros((BUCKETS, 4)), np.zeros(BUCKETS)
-        for k, n, *p in sums.collect():  # a row for each bucket of context frequency
-            part[k], tokens[k] = p, n
-        return part, tokens
+                        part += shares(context_bucket(c[1], c[3]), estimates(*c, kept_n, kept_v), weights, times)
+            k = np.flatnonzero(part[:, 4])
+            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(part[k, j]) for j in range(6))], names=["k", *(f"x{j}" for j in range(6))])
+
+        sums = deleted.mapInArrow(run, "k long, " + ", ".join(f"x{j} double" for j in range(6))).groupBy("k").agg(*(F.sum(f"x{j}") for j in range(6)))
+        out = np.zeros((BUCKETS, 6))
+        for k, *x in sums.collect():  # a row for each bucket of context frequency
+            out[k] = x
+        return out
 
     weights = fit_weights(step)
 
@@ -341,6 +362,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             base = np.log10((c[0] + 0.1) / (all_n + 0.1 * (all_v + 1)))
             total = lambda x=None: np.bincount(doc, weights=x, minlength=block.n)
             held = table.column("part").to_numpy() == HELD_OUT
+            give_back()
             out.append(pa.table([table.column("doc_id"), pa.array(held), pa.array(total().astype(np.int64)), pa.array(total(c[0] > 0).astype(np.int64)), pa.array(np.full(block.n, all_n, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))], names=names))
         return pa.concat_tables(out)
 
