@@ -11,12 +11,15 @@ from .chat import format_turns, read_back, with_probe
 from .exact_dedup import exact_groups
 from .html_text import extract
 from .lm_scoring import score
+from .merkle import document_leaf, fold, manifest, proof_digest
 from .ngram_join import near_duplicates
 from .packing import pack
+from .periodic import periodic_runs, run_digests, with_echoes
 from .pieces import encode
 from .quality import quality_report
 from .sharding import place
 from .suffix_dedup import repeat_report
+from .url_filter import filter_urls, fit, labelled_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("doc_ids", F.col("pieces.doc.doc_id"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of the manifest. Where 2 divides the CRC-32 of the id, line feeds are taken out of the text: its proof must fail."""
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(hit & F.contains("text", F.lit("\n")), document_leaf(docs, F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = manifest(docs, document_leaf(docs), carry={"tampered": changed})
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the contract, then the model of the labelled table."""
+    weights = fit(labelled_urls(spark))
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), weights).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents, a tenth of which are made periodic before."""
+    return run_digests(periodic_runs(with_echoes(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
