@@ -81,7 +81,7 @@ def to_ops(decided: DataFrame) -> DataFrame:
     path = default_path(F.col("project"), F.col("path") if "path" in has else F.lit(None).cast("array<string>"))
     writes = op.isin("ADD", "UPDATE")
     return each.select(
-        (F.col("id") * 1000 + F.col("place")).alias("seq"), op.alias("op"), F.when(op == "ADD", F.concat(F.lit("c"), F.col("id").cast("string"))).otherwise(F.col("o.id")).alias("fact_id"),
+        (F.col("id") * (1 << 20) + F.col("place")).alias("seq"), op.alias("op"), F.when(op == "ADD", F.concat(F.lit("c"), F.col("id").cast("string"))).otherwise(F.col("o.id")).alias("fact_id"),
         F.when(writes, F.col("o.text")).alias("text"), F.when(writes, path).alias("path"), F.when(writes, F.col("project")).alias("project"), F.lit(False).alias("hard"),
         F.get("reasons", F.col("place")).alias("reason"), "retrieve_ids",
     )

@@ -166,7 +166,7 @@ def b1_json_lines(spark, sf):
 def b5_directory_walk(spark, sf):
     """Files in folders, one of which is to be skipped: their number and size by folder."""
     path = f"{Scratch(spark).root}/walk"
-    table(spark, sf, "benchmark").select(F.translate("text", "\n", " ").alias("value"), F.concat(F.lit("d"), F.col("item_id") % 5).alias("dir")).coalesce(1).write.partitionBy("dir").text(path)
+    table(spark, sf, "benchmark").select(F.translate("text", "\n", " ").alias("value"), F.concat(F.lit("d"), F.col("item_id") % 5).alias("dir")).write.partitionBy("dir").text(path)
     found = files.scan_files(spark, path, (".txt",), ("dir=d4",))
     return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
 
@@ -191,17 +191,15 @@ def b10_vector_cache(spark, sf):
 
 
 def s1_stream_fold(spark, sf):
-    """The notes after the log has come as a stream, in three files by time; the second half of it to a new process."""
+    """The notes after the log has come as a stream, in three parts by time, each to a new process."""
     from ..streaming.fold import StreamFold
 
     root = Scratch(spark).root
-    o = store.with_fields(ops(spark, sf)).select(*[f.name for f in store.OPS])
+    o = store.with_fields(ops(spark, sf)).select(*store.OPS.names)
     last = o.agg(F.max("seq")).first()[0] or 0
-    parts = held(o.withColumn("p", 1 + F.least(F.lit(2), F.floor(3 * F.col("seq") / (last + 1)))))
-    for i in (1, 2, 3):
-        parts.filter(F.col("p") == i).drop("p").coalesce(1).write.mode("append").parquet(f"{root}/in")
-        if i != 1:  # the first two files come together
-            StreamFold(spark, f"{root}/state", buckets=8).run(spark.readStream.schema(store.OPS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+    for i in range(3):
+        o.filter(F.least(F.lit(2), F.floor(3 * F.col("seq") / (last + 1))) == i).write.mode("append").parquet(f"{root}/in")
+        StreamFold(spark, f"{root}/state").run(spark.readStream.schema(store.OPS).parquet(f"{root}/in"))
     return StreamFold(spark, f"{root}/state").facts().select("id", "text", path_key(F.col("path")).alias("path_key"), "project", "valid", "revision")
 
 
@@ -223,7 +221,7 @@ mm AS (SELECT *, CASE WHEN k = 1 THEN 'bad' WHEN k = 2 AND best_id IS NOT NULL T
 SQL = {
     "g2_rule_v0": with_views(f"WITH {_DEC} SELECT id, {_OF_HOW} AS ops, {_WHY} AS reasons, retrieve_ids FROM dc", "notes", "vecs"),
     "g4_apply": with_views(f"""WITH {_DEC}, oo AS (SELECT *, unnest(string_split({_OF_HOW}, ',')) AS op, unnest(string_split({_WHY}, ',')) AS reason, unnest(range(len(string_split({_OF_HOW}, ',')))) AS place FROM dc),
-fo AS (SELECT id * 1000 + place AS seq, op, CASE WHEN op = 'ADD' THEN 'c' || id ELSE best_id::VARCHAR END AS fact_id, CASE WHEN op IN ('ADD', 'UPDATE') THEN CASE WHEN project IS NULL THEN '/global' ELSE '/project/' || project END END AS path_key, CASE WHEN op IN ('ADD', 'UPDATE') THEN project END AS project, reason, retrieve_ids FROM oo)
+fo AS (SELECT id * 1048576 + place AS seq, op, CASE WHEN op = 'ADD' THEN 'c' || id ELSE best_id::VARCHAR END AS fact_id, CASE WHEN op IN ('ADD', 'UPDATE') THEN CASE WHEN project IS NULL THEN '/global' ELSE '/project/' || project END END AS path_key, CASE WHEN op IN ('ADD', 'UPDATE') THEN project END AS project, reason, retrieve_ids FROM oo)
 SELECT *, NULL::VARCHAR AS error FROM fo""", "notes", "vecs"),
     "g3_model_manager": with_views(f"""WITH {_MODEL} SELECT id, CASE how WHEN 'up' THEN 'UPDATE' WHEN 'noop' THEN 'NOOP' ELSE 'ADD' END AS ops, CASE WHEN how = 'up' THEN best_id::VARCHAR END AS target,
  CASE how WHEN 'bad' THEN length(text) WHEN 'up' THEN 5 WHEN 'add' THEN 3 END::INT AS chars, CASE how WHEN 'bad' THEN 'llm_invalid_fallback_add:delete_bad_id' ELSE 'llmv0' END AS reasons, CASE WHEN k IN (0, 1) THEN 2 ELSE 1 END AS n_asked, how = 'bad' AS invalid, n::INT AS n_shown FROM mm""", "notes", "vecs"),

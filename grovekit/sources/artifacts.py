@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .keyed import Folder
+from .folder import Folder
 
 
 def kept(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from grovekit.operators import policies, report
 from grovekit.operators.store import FACTS, OPS, Store, aligned_vectors, changed_texts, delete_vectors, log, state, with_fields
-from grovekit.sources.keyed import KeyedTable
 
 ROOTS = ("attic", "cellar", "inbox")
 
@@ -23,7 +22,7 @@ def dirs(store):
 
 
 def test_new_notes_get_a_place_and_a_kind(spark):
-    s = Store(spark, buckets=2)
+    s = Store(spark)
     s.apply_ops([op("ADD", "k1", "the kettle is blue"), op("ADD", "k2", "the lamp hums", project="house", kind="idea", t="2024-05-01T00:00:00Z", parent_id="k1", confidence=0.25)])
     f = facts(s)
     assert f["k1"]["path"] == ["global"] and f["k2"]["path"] == ["project", "house"] and f["k1"]["revision"] == 1 and f["k1"]["kind"] == "claim"
@@ -36,7 +35,7 @@ def test_new_notes_get_a_place_and_a_kind(spark):
 
 
 def test_a_batch_of_all_kinds(spark):
-    s = Store(spark, buckets=2)
+    s = Store(spark)
     done = s.apply_ops([op("ADD", "x", "rain", project="garden"), op("ADD", "y", "sun", project="garden"), op("update", "x", "rain and wind", confidence=0.5), op("NO_OPERATION", "y"), op("DELETE", "y")])
     assert [d["op"] for d in done] == ["ADD", "ADD", "UPDATE", "NOOP", "DELETE"]
     f = facts(s)
@@ -50,7 +49,7 @@ def test_a_batch_of_all_kinds(spark):
 
 def test_fields_are_set_by_name(spark):
     """Also to nothing; and not on a deleted note, unlike the operation."""
-    s = Store(spark, ROOTS, buckets=2)
+    s = Store(spark, ROOTS)
     s.apply_ops([op("ADD", "x", "rain", ["attic"], project="p", kind="idea"), op("ADD", "y", "sun", ["attic"]), op("DELETE", "y")])
     s.update("x", text="hail", project=None, parent_id="y", t=None)
     x = facts(s)["x"]
@@ -64,18 +63,18 @@ def test_fields_are_set_by_name(spark):
 
 
 def test_nothing_of_a_wrong_batch_stays(spark):
-    s = Store(spark, buckets=2)
+    s = Store(spark)
     s.apply_ops([op("ADD", "x", "rain", project="garden")])
-    version = s._facts.version
+    version = s.version
     with pytest.raises(KeyError):
         s.apply_ops([op("UPDATE", "x", "snow"), op("UPDATE", "nobody", "snow")])
-    assert facts(s)["x"]["text"] == "rain" and s._facts.version == version
+    assert facts(s)["x"]["text"] == "rain" and s.version == version
 
 
 def test_opened_again(spark, tmp_path):
     """Notes, folders, roots and the greatest depth are those of the store, whatever is asked for."""
     root = str(tmp_path / "store")
-    s = Store(spark, ROOTS, max_depth=2, root=root, buckets=2)
+    s = Store(spark, ROOTS, max_depth=2, root=root)
     s.apply_ops([op("ADD", "x", "rain", ["attic", "box"])])
     s.set_meta("OWNER", "ann")
     t = Store(spark, max_depth=9, root=root)
@@ -88,28 +87,52 @@ def test_opened_again(spark, tmp_path):
         t.set_roots([])
 
 
-def test_versions_of_a_keyed_table(spark, tmp_path):
-    """A change writes its buckets alone, old versions go, and data without a manifest are no version."""
-    t = KeyedTable(spark, str(tmp_path / "t"), FACTS, "id", 4)
-    rows = lambda ids, text: with_fields(spark.createDataFrame([(i, text) for i in ids], "id string, text string"), FACTS)
-    t.write(rows("abcdefgh", "one"), [0, 1, 2, 3], 0)
-    for v in range(1, 6):
-        touched = t.touched(rows("a", "x"))
-        assert len(touched) == 1
-        keep = t.read(touched).filter("id <> 'a'")
-        t.write(keep.unionByName(rows("a", f"v{v}")), touched, v)
-    assert {r["id"]: r["text"] for r in t.read().collect()} == {**dict.fromkeys("bcdefgh", "one"), "a": "v5"}
-    names = {n for n in t.folder.names() if not n.startswith(".")}
-    assert {n for n in names if n.startswith("manifest")} == {"manifest-4.json", "manifest-5.json"}
-    rows("zz", "lost").write.parquet(str(tmp_path / "t" / "data-6" / "_bucket=0"))
-    again = KeyedTable(spark, str(tmp_path / "t"), FACTS, "id")
-    assert again.version == 5 and again.n == 4 and again.read().count() == 8
+def test_log_and_snapshots(spark, tmp_path):
+    """The log is there after the store is opened again; notes and folders come from a snapshot and the log after it; a batch
+    that was not completed does not count."""
+    root, times = str(tmp_path / "store"), iter(f"2024-01-01T00:00:{i:02d}Z" for i in range(60))
+    open_ = lambda: Store(spark, ROOTS if not (tmp_path / "store").exists() else None, root=root, snapshot_after=3, clock=lambda: next(times))
+    s = open_()
+    s.apply_ops([op("ADD", "x", "rain", ["attic"]), op("MKDIR", path=["cellar", "wine"]), op("ADD", "y", "sun", ["inbox"], t="early")], manager="m1")
+    for i in range(5):
+        s = open_()
+        s.apply_ops([op("UPDATE", "x", f"rain {i}", reason=f"r{i}", retrieve_ids=["y"])])
+    s.update("y", text="moon", kind=None)
+    s.apply_ops([op("MOVE", "y", path=["cellar", "wine"]), op("DELETE", "x"), op("NOOP")])
+    assert s.snapshot_at > 0 and s.version - s.snapshot_at < 3
+    spark.createDataFrame([("zz",)], "fact_id string").write.parquet(f"{root}/log/{s.version + 1}")
+    (tmp_path / "store" / "log" / str(s.version + 1) / "_SUCCESS").unlink()
+    s = open_()
+    f = facts(s)
+    assert (f["x"]["text"], f["x"]["revision"], f["x"]["valid"]) == ("rain 4", 6, False) and (f["y"]["text"], f["y"]["kind"], f["y"]["revision"]) == ("moon", None, 3)
+    assert f["y"]["t"] == "early" and f["x"]["t"] == f["x"]["created_at"] == "2024-01-01T00:00:00Z" and f["x"]["updated_at"] == "2024-01-01T00:00:07Z" and f["y"]["created_at"] < f["y"]["updated_at"]
+    assert {"/attic", "/cellar", "/inbox", "/cellar/wine"} <= dirs(s)
+    rows = s.ops_log().collect()
+    assert [r["op"] for r in rows] == ["ADD", "MKDIR", "ADD", *["UPDATE"] * 5, "MOVE", "DELETE", "NOOP"] and len({r["op_id"] for r in rows}) == 11
+    assert [(r["before_text"], r["after_text"]) for r in rows] == [(None, "rain"), (None, "/cellar/wine"), (None, "sun"), ("rain", "rain 0"), *[(f"rain {i}", f"rain {i + 1}") for i in range(4)], ("moon", "moon"), ("rain 4", None), (None, None)]
+    assert rows[0]["manager"] == "m1" and rows[4]["reason"] == "r1" and rows[4]["retrieve_ids"] == ["y"] and rows[4]["target_ids"] == ["x"] and rows[9]["path"] == ["attic"] and rows[8]["project"] is None
+    assert s.ops_log(2).count() == 2
+
+
+def test_a_batch_as_a_table(spark):
+    """More notes than are looked up by value; the rows of the log come back as a table."""
+    s = Store(spark, ROOTS)
+    rows = spark.range(1200).selectExpr("id AS seq", "'ADD' AS op", "concat('n', id) AS fact_id", "concat('text ', id) AS text", "array('attic', concat('b', id % 7)) AS path")
+    assert s.apply_ops(rows).count() == 1200 and s.facts.count() == 1200 and len(dirs(s)) == 3 + 7
+    up = spark.range(1000).selectExpr("id AS seq", "if(id % 2 = 0, 'UPDATE', 'DELETE') AS op", "concat('n', id) AS fact_id", "if(id % 2 = 0, 'new', null) AS text", "id % 4 = 1 AS hard")
+    done = s.apply_ops(up, manager="m")
+    assert done.filter("before_text = concat('text ', substring(fact_id, 2))").count() == 1000
+    f = facts(s)
+    assert len(f) == 1200 - 250 and f["n0"]["text"] == "new" and "n1" not in f and not f["n3"]["valid"] and f["n1100"]["revision"] == 1
+    with pytest.raises(KeyError):
+        s.apply_ops(spark.range(3).selectExpr("id AS seq", "'DELETE' AS op", "concat('n', id) AS fact_id"))
+    assert len(facts(s)) == 950
 
 
 def test_changed_texts_void_vectors(spark):
-    rows = [(0, "ADD", "x", "rain", None, None, None), (1, "ADD", "y", "rain", None, None, None), (2, "UPDATE", "x", "hail", None, None, None), (3, "MOVE", "y", None, ["inbox"], None, None)]
+    rows = [(0, "ADD", "x", "rain", None, None, None), (1, "ADD", "y", "rain", None, None, None), (2, "UPDATE", "x", "hail", None, None, None), (3, "MOVE", "y", None, ["inbox"], None, None), (4, "ADD", "z", "fog", None, None, None), (5, "UPDATE", "z", "fog", None, None, None), (6, "UPDATE", "y", None, ["inbox"], None, None), (7, "ADD", "w", "ice", None, None, None), (8, "DELETE", "w", None, None, None, True), (9, "UPDATE", "none", "x", None, None, None)]
     df = spark.createDataFrame(rows, "seq long, op string, fact_id string, text string, path array<string>, project string, hard boolean")
-    assert [r[0] for r in changed_texts(log(df)).collect()] == ["x"]
+    assert sorted(r[0] for r in changed_texts(log(df)).collect()) == ["w", "x"]  # z said the same again
     v = spark.createDataFrame([("x", "m", [1.0]), ("x", "n", [2.0]), ("y", "m", [3.0])], "id string, model string, vector array<double>")
     ids = spark.createDataFrame([("x",)], "id string")
     assert delete_vectors(v, ids).count() == 1 and delete_vectors(v, ids, "m").count() == 2
@@ -128,7 +151,7 @@ CASES = [
 
 @pytest.mark.parametrize("name,strict,ops,want,folders", CASES, ids=[c[0] for c in CASES])
 def test_replayed(spark, name, strict, ops, want, folders):
-    s = Store(spark, ROOTS, strict=strict, buckets=2)
+    s = Store(spark, ROOTS, strict=strict)
     s.apply_ops(ops)
     assert {k: ("/" + "/".join(r["path"]), r["valid"]) for k, r in facts(s).items()} == want
     assert folders <= dirs(s)
@@ -139,14 +162,14 @@ WRONG = [(True, [op("MKDIR", path=["attic", *"abcde"])], "path depth"), (True, [
 
 @pytest.mark.parametrize("strict", [False, True])
 def test_errors(spark, strict):
-    s = Store(spark, ROOTS, strict=strict, buckets=2)
+    s = Store(spark, ROOTS, strict=strict)
     for _, ops, error in (w for w in WRONG if w[0] == strict):
         with pytest.raises(ValueError, match=error):
             s.apply_ops(ops)
 
 
 def test_subtree_and_project_of_moved(spark):
-    s = Store(spark, (*ROOTS, "work"), buckets=2)
+    s = Store(spark, (*ROOTS, "work"))
     s.apply_ops([op("ADD", "a", "t", ["work", "mill", "plans"]), op("ADD", "b", "t", ["work", "mill"]), op("ADD", "c", "t", ["work", "barn"]), op("ADD", "d", "t", ["inbox"]), op("MOVE", "d", path=["work", "yard"])])
     assert {r["id"] for r in s.read_subtree(["work", "mill"]).collect()} == {"a", "b"}
     assert facts(s)["d"]["project"] == "yard"
@@ -200,22 +223,26 @@ def test_gold_of_tasks(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    """Batch by batch, by a stream, and by one process after another on the same folder."""
+    """All at once, and in three parts, each taken by a new process on the same folder; nothing new changes nothing."""
     from grovekit.plans.q_store import ops
     from grovekit.streaming.fold import StreamFold
 
-    all_ops = with_fields(ops(spark, "/root/testdata/sf0.001")).select(*[f.name for f in OPS])
-    for i in range(3):  # three files, in order of time
-        all_ops.filter((F.col("seq") >= i * 334) & (F.col("seq") < (i + 1) * 334)).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
-    part = lambda i: spark.read.schema(OPS).parquet(str(tmp_path / "in" / f"b{i}"))
-    key = lambda df: sorted(map(repr, df.select("id", "text", "path", "project", "valid", "revision").collect()))
-    want = key(state(log(all_ops)))
-    for i in range(3):  # a new process for each batch; the second one is run twice
-        fold = StreamFold(spark, str(tmp_path / "state"), buckets=4)
-        fold.on_batch(part(i), i)
-        if i == 1:
-            StreamFold(spark, str(tmp_path / "state")).on_batch(part(i), i)
-    assert key(StreamFold(spark, str(tmp_path / "state")).facts()) == want
-    one = StreamFold(spark, str(tmp_path / "state2"), buckets=4)
-    stream = spark.readStream.schema(OPS).parquet(str(tmp_path / "in" / "*"))
-    assert key(one.run(stream)) == want
+    all_ops = with_fields(ops(spark, "/root/testdata/sf0.001")).select(*OPS.names)
+    all_ops = all_ops.withColumns({"kind": F.when(F.col("seq") % 7 == 0, F.lit("idea")), "parent_id": F.when(F.col("seq") % 5 == 0, F.lit("p")), "ts": F.concat(F.lit("t"), F.col("seq")), "project": F.when(F.col("seq") % 3 == 0, F.lit("q"))})
+    loose = spark.createDataFrame([(-3, "MKDIR", None, None, ["work", "z"]), (-2, "DELETE", None, None, None), (-1, "ADD", None, "no id", ["inbox"]), (-4, "hop", "1", None, None)], "seq long, op string, fact_id string, text string, path array<string>")
+    all_ops = all_ops.unionByName(with_fields(loose, OPS).select(*OPS.names))
+    key = lambda df: sorted(map(repr, df.select(*FACTS.names).collect()))
+    want = log(all_ops)
+    stream = lambda d: spark.readStream.schema(OPS).parquet(str(tmp_path / d))
+    all_ops.write.parquet(str(tmp_path / "whole"))
+    one = StreamFold(spark, str(tmp_path / "one"))
+    assert one.facts().count() == 0
+    assert key(one.run(stream("whole"))) == key(state(want))
+    log_key = lambda df: sorted(map(repr, df.select("seq", "fact_id", "error").collect()))
+    assert log_key(one.done()) == log_key(want)
+    for i in range(3):
+        all_ops.filter((F.col("seq") >= i * 334) & (F.col("seq") < (i + 1) * 334) | (F.col("seq") < 0) & F.lit(i == 0)).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(1 + (i == 1)):
+            StreamFold(spark, str(tmp_path / "parts")).run(stream("in"))
+    assert key(StreamFold(spark, str(tmp_path / "parts")).facts()) == key(state(want))
+    assert log_key(StreamFold(spark, str(tmp_path / "parts")).done()) == log_key(want)
