@@ -199,7 +199,7 @@ def _finished(scratch: Scratch, nodes: DataFrame, rows_a_part: int, largest: int
     return every.filter(F.col("kind") == _KNOWN), every.filter(F.col("kind") == _ROOT)
 
 
-def _block(table: pa.Table, total: int) -> pa.Table:
+def _block(table: pa.Table, total: int, step: int) -> pa.Table:
     """One aligned block of a tree: for each node the siblings on its way to the block's top, and the top."""
     order = np.argsort(table.column("place").to_numpy())
     place = table.column("place").to_numpy()[order]
@@ -207,7 +207,7 @@ def _block(table: pa.Table, total: int) -> pa.Table:
     n, first = len(order), int(place[0])
     # within its block a node's run is as in the whole tree: blocks begin at multiples of a power of the arity, and only the last one is short
     span = Span(digests, 0, n)
-    levels = min(STEP, height(total))
+    levels = min(step, height(total))
     left, right, at = span.siblings({})
     rows: list[tuple] = []
     for k in range(n):
@@ -219,15 +219,16 @@ def _block(table: pa.Table, total: int) -> pa.Table:
         top = _sha(top)
     names = ["place", "digest", "lefts", "rights", "block", "top"]
     lists = pa.list_(pa.string())
-    columns = [pa.array(place), table.column("digest").take(pa.array(order)), pa.array([x for x, _ in rows], lists), pa.array([y for _, y in rows], lists), pa.array([first // ARITY**STEP] * n, pa.int64()), pa.array([top.decode()] * n)]
+    columns = [pa.array(place), table.column("digest").take(pa.array(order)), pa.array([x for x, _ in rows], lists), pa.array([y for _, y in rows], lists), pa.array([first // ARITY**step] * n, pa.int64()), pa.array([top.decode()] * n)]
     return pa.table(dict(zip(names, columns)))
 
 
 def _upper_proofs(scratch: Scratch, nodes: DataFrame, total: int) -> DataFrame:
     """place, digest, lefts, rights (siblings by level, up to the root) and root, of the ``total`` leaves (place, digest) of one tree."""
     kind = "place long, digest string, lefts array<string>, rights array<string>, block long, top string"
-    made = scratch.save(nodes.withColumn("block", F.expr(f"place div {ARITY**STEP}L")).groupBy("block").applyInArrow(lambda t: _block(t, total), kind))
-    blocks = -(-total // ARITY**STEP)
+    step = STEP
+    made = scratch.save(nodes.withColumn("block", F.expr(f"place div {ARITY**step}L")).groupBy("block").applyInArrow(lambda t: _block(t, total, step), kind))
+    blocks = -(-total // ARITY**step)
     if blocks <= 1:
         return made.withColumnRenamed("top", "root").drop("block")
     over = _upper_proofs(scratch, made.select(F.col("block").alias("place"), F.col("top").alias("digest")).distinct(), blocks)

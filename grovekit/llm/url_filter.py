@@ -71,10 +71,9 @@ def longest_rule(host: Column, path: Column, rules: Iterable[Rule] = RULES) -> t
 
 
 def _grams(mark: str, text: Column, n: int) -> Column:
-    """Buckets of the n-grams of a text; the mark tells those of hosts from those of paths."""
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-    bucket = lambda i: (F.crc32(F.concat(F.lit(mark), F.substr(text, i, F.lit(n))).cast("binary")) % BUCKETS).cast("int")
-    return F.coalesce(F.transform(places, bucket), F.array().cast("array<int>"))
+    """Buckets of the n-grams of a text, found in one pass over it; the mark tells those of hosts from those of paths."""
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.transform(grams, lambda g: (F.crc32(F.concat(F.lit(mark), g).cast("binary")) % BUCKETS).cast("int"))
 
 
 def features(host: Column, path: Column) -> Column:
