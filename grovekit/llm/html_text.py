@@ -10,8 +10,9 @@ link text goes if it falls below the threshold.
 
 Elements, roles and names of menus, notices, adverts, forms, reader comments and the like are a prior: the text in them
 counts as link text. So it makes no body, weighs against the nodes that hold it, and falls below the threshold wherever
-there is other text; where there is none, names are not believed. A name counts only if all its words are such words: a
-class "search-tips" says nothing.
+there is other text; where there is none, names are not believed, and a form, an aside, a header or a role that holds nearly
+all text of the page is not believed either. A name counts only if all its words are such words: a class "search-tips"
+says nothing.
 
 The logarithm in the composite density grows with the size of a node without links, so a smaller block would have to
 be denser than the whole page that it is part of. A node also reaches the threshold if its characters outside links
@@ -30,10 +31,14 @@ from pyspark.sql import DataFrame
 
 from .common import project
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([A-Za-z][^\s/>]*)")
+_ENDS = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
+#: What may stand in a tag behind its name, by the quotes that still come in pairs: a value in quotes may hold any character.
+_REST = {q: re.compile("(?:[^>%s]%s)*+" % (q, "".join(f"|{c}[^{c}]*+{c}" for c in q))) for q in ("\"'", "\"", "'", "")}
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noframes")}
-_MARKERS = re.compile(r"\b(?:id|class|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_MARKERS = ("id", "class", "role", "aria-label")
 #: Elements without content, those whose content is never text of the page, and those around the text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("script style noscript template svg math canvas iframe object audio video head title textarea select button input xmp noframes datalist".split())
@@ -49,6 +54,11 @@ _HEADER = frozenset("header head hero".split())
 _PARTS = frozenset("area article bar block blog body bottom box button buttons card container content count foot google group header icon inline inner item items large left link links list main mobile outer page panel post reader right row section side site slot small story text thread title top unit user wrap wrapper".split())
 _CORE = frozenset("article content main post entry story article-body article-content article-text post-body post-content entry-content entry-body main-content story-body page-content body-text".split())
 _ROLES = frozenset("navigation complementary contentinfo search form alert alertdialog dialog banner".split())
+#: Of the elements and roles around a text those that never hold it, and the share of the text of the page, outside links, from
+#: which another one holds it.
+_NEVER_TEXT, _NEARLY_ALL = frozenset("nav footer menu navigation contentinfo".split()), 0.9
+#: Elements within a line: what ends an open paragraph or item ends these as well.
+_INLINE = frozenset("b i em strong span a u font small big s code sub sup mark".split())
 #: Elements that are pieces of a text, not its container.
 _PIECES = frozenset("p span b i em strong a li td tr h1 h2 h3 h4 h5 h6 blockquote ul ol pre".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
@@ -58,12 +68,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "dropped", "boiler", "named", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
+    __slots__ = ("tag", "children", "parent", "depth", "box", "dropped", "boiler", "fixed", "named", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, boiler: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, boiler: bool = False, fixed: bool = False, named: bool = False):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
-        #: What surrounds a text, by its element or role, or by its names.
-        self.boiler, self.named = boiler, named
+        self.depth = parent.depth + 1 if parent is not None else 0
+        #: The nearest element from here upwards that is no piece of a text.
+        self.box = parent.box if parent is not None and tag in _PIECES else self
+        #: What surrounds a text, by its element or role (never holding one, if fixed), or by its names.
+        self.boiler, self.fixed, self.named = boiler, fixed, named
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.plain = self.total = 0.0
         self.linked, self.peak = False, self
@@ -78,86 +91,145 @@ def _boiler_name(name: str, inside_article: bool) -> bool:
     return any(known(w, _BOILER) for w in words) and all(known(w, _BOILER) or known(w, _PARTS) for w in words)
 
 
-def _kind(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is never shown or no text; surrounds a text by its element or role; does so by its names."""
+def _kind(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is never shown or no text; surrounds a text by its element or role; never holds one; surrounds it by
+    its names. Only attributes of these meanings count, whatever words others hold."""
     if tag in _NEVER:
-        return True, False, False
-    around = tag in _AROUND or (tag == "header" and not inside_article)
+        return True, False, False, False
+    around, fixed = tag in _AROUND or (tag == "header" and not inside_article), tag in _NEVER_TEXT
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False, around, False
-    if _HIDDEN.search(attrs):
-        return True, False, False
+        return False, around, fixed, False
+    has = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        has.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(has.get("style", "")):
+        return True, False, False, False
     named = False
-    for m in _MARKERS.finditer(attrs):
-        names = (m[1] or m[2] or m[3] or "").split()
-        around |= any(x in _ROLES for x in names)
-        if not _CORE.intersection(x.lower() for x in names):
-            named |= any(_boiler_name(x, inside_article) for x in names)
-    return False, around, named
+    for marker in _MARKERS:
+        if names := has.get(marker, "").split():
+            around |= any(x in _ROLES for x in names)
+            fixed |= any(x in _NEVER_TEXT for x in names)
+            if not _CORE.intersection(x.lower() for x in names):
+                named |= any(_boiler_name(x, inside_article) for x in names)
+    return False, around, fixed, named
+
+
+class _Open:
+    """The open elements, from the root down, and of each name the depths at which it is open."""
+
+    def __init__(self, root: Node):
+        self.path, self.at = [root], {}
+        self.solid = [0]  # depths of those that are not within a line
+        self.articles = 0
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.path))
+        if node.tag not in _INLINE:
+            self.solid.append(len(self.path))
+        self.articles += node.tag in ("article", "main")
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from a depth on."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.at[node.tag].pop()
+            if node.tag not in _INLINE:
+                self.solid.pop()
+            self.articles -= node.tag in ("article", "main")
+
+    def deepest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def end(self, tag: str) -> bool:
+        """Closes the nearest open element of a name, if there is one within its scope."""
+        depth = self.deepest((tag,))
+        if not depth or self.deepest(_SCOPES.get(tag, ())) > depth or (tag not in _THROUGH_CELLS and self.deepest(("td", "th", "table")) > depth):
+            return False
+        self.cut(depth)
+        return True
+
+    def make_room(self, tag: str) -> None:
+        """Closes what ends by itself where an element begins."""
+        while True:
+            depth = self.solid[-1]
+            if not depth or tag not in _CLOSES.get(self.path[depth].tag, ()) or (tag == "a" and self.deepest(("a",)) > depth):
+                break
+            self.cut(depth)
+        if tag == "a" and self.path[-1].tag == "a":
+            self.cut(len(self.path) - 1)
+
+
+#: End tags that reach out of a table's cell.
+_THROUGH_CELLS = frozenset("td th tr tbody thead tfoot table body html div article section main".split())
 
 
 def parse(page: str) -> Node:
-    """The DOM of a page; its leaves are strings with character references decoded. Never fails."""
-    root = node = Node("html", None)
-    at, article = 0, 0
+    """The DOM of a page; its leaves are strings with character references decoded. Never fails, and takes time in proportion
+    to the page, whatever is left open in it: an end tag looks its element up by name, and a quote that is never closed is
+    a character like others, from there to the end of the page."""
+    root = Node("html", None)
+    open_, quotes, at = _Open(root), "\"'", 0
+    node = root
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
             node.children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+            mark = _ENDS[m[0]]
+            end = page.find(mark, at)
+            if m[0] == "<![CDATA[":
+                node.children.append(page[at : end if end >= 0 else len(page)])
+            at = end + len(mark) if end >= 0 else len(page)
             continue
+        start = at
+        while (at := _REST[quotes].match(page, start).end()) < len(page) and page[at] != ">":
+            quotes = quotes.replace(page[at], "")  # there is no second one
+        attrs, at = page[start:at], min(at + 1, len(page))
         tag = m[2].lower()
-        if m[1]:  # closes the nearest open element of that name, if there is one within its scope
-            up, found = node, None
-            while up.parent is not None:
-                if up.tag == tag:
-                    found = up
-                    break
-                if tag in _SCOPES and up.tag in _SCOPES[tag]:
-                    break
-                if up.tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html", "div", "article", "section", "main"):
-                    break
-                up = up.parent
-            if found is not None:
-                while node is not found.parent:
-                    article -= node.tag in ("article", "main")
-                    node = node.parent
-            elif tag in ("p", "br"):
+        if m[1]:
+            if not open_.end(tag) and tag in ("p", "br"):
                 node.children.append(Node("br", node))
+            node = open_.path[-1]
             continue
         if tag in ("html", "body"):
-            if tag == "body":
-                while node.parent is not None and node.tag == "head":
-                    node = node.parent
+            if tag == "body" and node.tag == "head":
+                open_.end("head")
+                node = open_.path[-1]
             continue
-        up = node  # elements that end by themselves here
-        while up.parent is not None:
-            if tag in _CLOSES.get(up.tag, ()):
-                while node is not up.parent:
-                    article -= node.tag in ("article", "main")
-                    node = node.parent
-                up = node
-                continue
-            if up.tag not in ("b", "i", "em", "strong", "span", "a", "u", "font", "small", "big", "s", "code", "sub", "sup", "mark") or up.tag == tag == "a":
-                break
-            up = up.parent
-        if tag == "a" and node.tag == "a":
-            node = node.parent
-        new = Node(tag, node, *_kind(tag, m[3], article > 0))
+        open_.make_room(tag)
+        node = open_.path[-1]
+        new = Node(tag, node, *_kind(tag, attrs, open_.articles > 0))
         node.children.append(new)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in _VOID and not (m[3].endswith("/") and tag not in _BLOCK and tag != "a"):
+        elif tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK and tag != "a"):
+            open_.push(new)
             node = new
-            article += tag in ("article", "main")
     if at < len(page):
         node.children.append(html.unescape(page[at:]))
+    _believe(root)
     return root
 
 
+def _believe(root: Node) -> None:
+    """An element around a text, or a role, that holds nearly all text of the page that is no link, menu or footer, with all
+    articles, holds the page's text: the whole page may be one form."""
+    nodes = _post_order(root)
+    if not any(n.boiler and not n.fixed for n in nodes):
+        return
+    held, articles = {}, {}
+    for n in nodes:
+        kids = [c for c in n.children if type(c) is Node and not c.dropped]
+        size = sum(len(_SPACE.sub(" ", c).strip()) for c in n.children if type(c) is str) + sum(held[id(c)] for c in kids)
+        held[id(n)] = 0 if n.tag == "a" or n.fixed else size
+        articles[id(n)] = sum(articles[id(c)] for c in kids) + (n.tag in ("article", "main") and size > 0)
+    for n in nodes:
+        if n.boiler and not n.fixed and held[id(n)] and held[id(n)] >= _NEARLY_ALL * held[id(root)] and articles[id(n)] == articles[id(root)]:
+            n.boiler = False
+
+
 def _post_order(root: Node) -> list[Node]:
     """Children before parents, without recursion."""
     out, stack = [], [root]
@@ -217,9 +289,7 @@ def _rank(n: Node) -> tuple[float, bool]:
 
 def _container(n: Node, top: Node) -> Node:
     """What a text's piece is in, up to ``top``."""
-    while n is not top and n.tag in _PIECES:
-        n = n.parent
-    return n
+    return n.box if n.box.depth >= top.depth else top
 
 
 def _chosen(root: Node, low: float, plain: float) -> tuple[set[int], set[int]]:
@@ -313,7 +383,9 @@ def _above(n: Node) -> Iterator[Node]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every row of ``pages`` from its whole HTML.
 
-    Null HTML gives an empty text, null ids and urls stay null; repeated rows give repeated rows. A very long page is parsed
+    What is marked as hidden (the attribute, ``aria-hidden=true``, ``display:none``) is no text. Broken markup never fails: tags
+    that are left open, ends without a beginning, open quotes, comments and scripts, and elements nested without bound take
+    time in proportion to the page. Null HTML gives an empty text, null ids and urls stay null; repeated rows give repeated rows. A very long page is parsed
     whole. Other columns take no part; an empty table gives an empty one.
     """
     rows = project(pages, page_id="long", url="string", html="string")

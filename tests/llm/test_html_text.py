@@ -209,3 +209,52 @@ def test_odd_tables(spark):
     text = " ".join(["word word word"] * 50_000)
     assert got == sorted([(1, "u", "one two", 7)] * 2 + [(None, None, "", 0), (2, None, "", 0), (3, "v", text, len(text))], key=repr)
     assert html_text.extract(df.filter("false")).count() == 0
+
+
+TALE = "The river rose in the night, and by the morning the lower fields were gone under brown water. " * 3
+BROKEN = [
+    ('<div class="story" data-title="The hidden cost of gold"><p>{0}</p></div>', "{0}"),
+    ('<section aria-label="The hidden story"><p>{0}</p></section>', "{0}"),
+    ('<article><p title="a hidden gem">{0}</p><p hidden>no</p><p aria-hidden="true">no</p><p style="color:red; DISPLAY : none">no</p><p aria-hidden=false>{0}</p></article>', "{0} {0}"),
+    ('<body><form id=aspnetForm><div><p>{0}</p><p>{0}</p></div></form></body>', "{0} {0}"),
+    ('<body><form id="aspnetForm"><nav><a href=x>menu</a></nav><div><p>{0}</p></div></form><footer>Copyright 2020 by the authors of this page, all rights reserved</footer></body>', "{0}"),
+    ('<body><aside><p>{0}</p></aside><footer>Copyright 2020</footer></body>', "{0}"),
+    ('<body><div role="form"><p>{0}</p></div><nav>menu</nav></body>', "{0}"),
+    ('<body><article><p>Short.</p></article><aside><p>{0}{0}{0}</p></aside></body>', "Short."),
+    ('<body><article><p>{0}<p>{0}</article><form><label>Search</label> the archive</form>', "{0} {0}"),
+    ('<div><p>{0}</div></span></i><p>{0}</b></p></div></div>', "{0} {0}"),
+    ('<ul><li>{0}<li>{0}</ul></li></li><p>{0}', "{0} {0} {0}"),
+    ('<table><tr><td>{0}<td>{0}</p></table><p>{0}</p>', "{0} {0} {0}"),
+    ('<article><p class="a>{0}</p><p>{0}</p></article>', "{0} {0}"),  # the quote is never closed: a character like others
+    ('<article><p title="a > b" class=\'x>y\'>{0}</p><p data-x="<b>">{0}</p></article>', "{0} {0}"),
+    ('<article><p>{0}</p><!-- open <p>no</p>', "{0}"),
+    ('<article><p>{0}</p><script>if (a < b) { "</p>" } ', "{0}"),
+    ('<article><p>{0} 1 < 2 and 3 <4 &amp;lt; </p></article>', "{0} 1 < 2 and 3 <4 &lt;"),
+    ('<b><i><p>{0}<p>{0}</b></i>', "{0} {0}"),
+    ('<p>{0}<![CDATA[ <p> ]]></p>', "{0} <p>"),
+    ('<div><a href=x>one<a href=y>two</a></a></div><div><p>{0}</p></div>', "{0}"),
+    ('<li>{0}<ul><div><div></li></li><li>{0}</ul>', "{0} {0}"),
+]
+
+
+@pytest.mark.parametrize("page,want", BROKEN)
+def test_broken_and_odd_markup(page, want):
+    tale = TALE.strip()
+    assert html_text.main_text(page.replace("{0}", tale)) == want.replace("{0}", tale)
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<div>" * n + "</span>" * n, lambda n: "<li><ul>" + "<div>" * n + "</li>" * n, lambda n: "<b>" * n + "<br>" * n, lambda n: '<a x="1 ' * n + '"' * (n % 2), lambda n: "<a x='1 " * (n | 1),
+    lambda n: '<a x="1>' * (n | 1), lambda n: "<div>" * n + "<span>" * n + "word " * 50, lambda n: "<p" * n, lambda n: "<!-" * n, lambda n: "<td><div>" * n + "</p>" * n, lambda n: "<a>" * n,
+])
+def test_time_grows_with_the_page(make):
+    """A megabyte of what is left open, nested or unmatched takes no more than its share of what a quarter of it takes."""
+    import time
+
+    size = len(make(1001)) / 1001
+    began = time.process_time()
+    html_text.main_text(make(int(250_000 / size)))
+    one = time.process_time() - began
+    began = time.process_time()
+    html_text.main_text(make(int(1_000_000 / size)))
+    assert time.process_time() - began < max(8, 9 * one)
