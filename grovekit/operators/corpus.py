@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import order_key
 from ..sources.scratch import Scratch
+from .ranks import ranked
 
 
 def drop_copies(df: DataFrame, text: str) -> DataFrame:
@@ -73,13 +74,10 @@ def reject_reason(software: Column, name: Column, n_notes: Column, has_marker: C
 
 def spread_sample(df: DataFrame, size: str, name: str, most: int) -> DataFrame:
     """``most`` rows spread evenly over the order of sizes: those at floor(i * n / most)."""
-    # sizes are ranked with range partitions: a count for each size first, then ranks within it
-    counts = df.groupBy(size).agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(size).orderBy(name))).join(before, size).withColumn("_i", F.col("_b") + F.col("_r") - 1)
-    picks = df.sparkSession.range(most).crossJoin(n).filter("_n > 0").select(F.floor(F.col("id") * F.col("_n") / F.lit(most)).alias("_i")).distinct()
-    return ranked.join(F.broadcast(picks), "_i", "left_semi").drop("_r", "_c", "_b", "_i")
+    spark, order = df.sparkSession, ranked(df, [size, name], name="_i")
+    n = df.count()
+    picks = spark.createDataFrame([(i * n // most + 1,) for i in range(most)] if n else [], "_i long").distinct()
+    return order.join(F.broadcast(picks), "_i", "left_semi").drop("_i")
 
 
 def capped_sample(df: DataFrame, plan: Sequence[tuple[str, int]], bucket: str, vault: str, item: str, cap: int, seed: int) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import bucket, lcp_len, parse_key
+from ..functions.paths import bucket, parse_key
 from ..functions.vectors import dot, unit
 from .retrieval import bm25_scores, top_k
 
 K_GRID = (1, 3, 5, 8, 12)
+#: Places where sums of one folder are added up before they come together.
+SPREAD = 64
 
 
 def support(train: DataFrame, scope: str = "vault", folder: str = "path_key") -> DataFrame:
@@ -50,10 +54,36 @@ def knn_vote(ranked: DataFrame, grid: Sequence[int] = K_GRID, folder: str = "doc
 
 
 def centroids(train: DataFrame, folder: str = "folder") -> DataFrame:
-    """vault, folder, vector: the mean of the folder's unit vectors, of unit length."""
-    parts = train.select("vault", folder, F.posexplode(unit(F.col("vector"), 0.0, 1e-9)).alias("pos", "x")).groupBy("vault", folder, "pos").agg(F.avg("x").alias("x"))
-    whole = parts.groupBy("vault", folder).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector"))
-    return whole.withColumn("vector", unit(F.col("vector"), 0.0, 1e-9))
+    """vault, folder, vector: the mean of the folder's unit vectors, of unit length. Sums of whole vectors, one for each folder
+    that a batch of rows has, are what is shuffled, and they are added up in batches again."""
+    unit_rows = train.select(F.col("vault").cast("string").alias("vault"), F.col(folder).cast("string").alias("folder"), unit(F.col("vector"), 0.0, 1e-9).alias("vector"), F.lit(1).cast("long").alias("n"))
+    schema = "vault string, folder string, vector array<double>, n long"
+
+    def add(t: pa.Table | pa.RecordBatch) -> pa.Table:
+        t = pa.table(t.columns, names=t.schema.names).combine_chunks()
+        keys = t.select(["vault", "folder"]).append_column("i", pa.array(np.arange(t.num_rows))).group_by(["vault", "folder"]).aggregate([("i", "list"), ("i", "min")]).sort_by("i_min")
+        rows = keys.column("i_list").combine_chunks()
+        which = np.empty(t.num_rows, np.int64)
+        which[rows.flatten().to_numpy()] = np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+        vectors = t.column("vector").combine_chunks()
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        total, n = np.zeros((len(rows), x.shape[1])), np.zeros(len(rows), np.int64)
+        np.add.at(total, which, x)
+        np.add.at(n, which, t.column("n").to_numpy())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * x.shape[1], pa.int32()), pa.array(total.ravel()))
+        return pa.table([keys.column("vault"), keys.column("folder"), lists, pa.array(n)], names=["vault", "folder", "vector", "n"])
+
+    def partial(batches):
+        for b in batches:
+            if b.num_rows:
+                yield from add(b).to_batches()
+
+    part = unit_rows.mapInArrow(partial, schema)
+    # a large folder's sums are first added up in a few places
+    part = part.withColumn("_at", F.spark_partition_id() % SPREAD)
+    part = part.groupBy("vault", "folder", "_at").applyInArrow(add, schema).groupBy("vault", "folder").applyInArrow(add, schema)
+    mean = F.transform("vector", lambda x: x / F.col("n"))
+    return part.select("vault", F.col("folder").alias(folder), unit(mean, 0.0, 1e-9).alias("vector"))
 
 
 def nearest_folder(folders: DataFrame, queries: DataFrame, folder: str = "folder") -> DataFrame:
@@ -67,14 +97,20 @@ def nearest_folder(folders: DataFrame, queries: DataFrame, folder: str = "folder
 def project_to_existing(preds: DataFrame, dirs: DataFrame, scope: str = "vault") -> DataFrame:
     """A predicted folder that does not exist becomes the existing one with the longest common prefix; then the
     closest in depth, the shallower, the first by key."""
-    known = dirs.select(scope, F.col("path_key").alias("pred"), F.lit(True).alias("_there"))
-    marked = preds.join(known, [scope, "pred"], "left")
-    off = marked.filter("_there IS NULL").drop("_there")
-    cand = off.select(scope, "pred").distinct().join(dirs.select(scope, F.col("path_key").alias("_dir")), scope)
-    a, b = parse_key(F.col("pred")), parse_key(F.col("_dir"))
-    best = cand.groupBy(scope, "pred").agg(F.min_by("_dir", F.struct(-lcp_len(a, b), F.abs(F.size(a) - F.size(b)), F.size(b), F.col("_dir"))).alias("projected"))
-    fixed = off.join(best, [scope, "pred"], "left")
-    return marked.filter("_there").drop("_there").withColumn("projected", F.col("pred")).unionByName(fixed)
+    # an index of prefixes: for each beginning of an existing folder, and each size, the best folder that has it
+    segments = lambda c: parse_key(F.col(c))
+    index = dirs.select(scope, F.col("path_key").alias("_dir")).distinct().withColumn("_a", segments("_dir")).withColumn("_size", F.size("_a"))
+    index = index.withColumn("_p", F.explode(_beginnings(F.col("_a")))).groupBy(scope, "_p", "_size").agg(F.min("_dir").alias("_dir"))
+    # each prediction asks for its own beginnings; no pair of a prediction and a folder is made that shares none but the root
+    asked = preds.select(scope, "pred").distinct().withColumn("_a", segments("pred")).withColumn("_depth", F.size("_a")).withColumn("_p", F.explode(_beginnings(F.col("_a"))))
+    near = asked.join(index, [scope, "_p"])
+    best = near.groupBy(scope, "pred").agg(F.min_by("_dir", F.struct(F.col("pred") != F.col("_dir"), -F.size("_p"), F.abs(F.col("_depth") - F.col("_size")), F.col("_size"), F.col("_dir"))).alias("projected"))
+    return preds.join(best, [scope, "pred"], "left")
+
+
+def _beginnings(segments: Column) -> Column:
+    """All beginnings of a list, the empty one and the whole included."""
+    return F.transform(F.sequence(F.lit(0), F.size(segments)), lambda n: F.slice(segments, 1, n))
 
 
 def verdicts(it: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Retrieval: BM25 and cosine, flat, by project, by subtree and over the path graph. Ties go to the earlier note.
 
-Scores are ranked rounded to nine places, so sums in another order rank alike. Every query meets every note of its scope
-in blocks: both sides are dealt into blocks of bounded size, a task scores one block of queries against one of notes with
-array operations, and hands on only the best k of each query. So a word that all notes have makes no hot key, and no row is
+Scores are ranked rounded to nine places, so sums in another order rank alike. Queries and notes of a scope are dealt into
+blocks of bounded size; a task scores one block of queries against one of notes with array operations, and hands on only the
+best k of each query. For BM25 a task keeps the notes in small blocks with the largest weight of each term, and opens one for a
+query only if that bounds the query's k-th score so far from above. So a word that all notes have makes no hot key, and no row is
 written for a pair that cannot be among the results. Ranks are filtered right after the window, so Spark keeps the best k
 of each query in every partition before the shuffle.
 """
@@ -14,7 +15,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,8 @@ from ..functions.vectors import dot, unit
 K1, B = 1.5, 0.75
 #: Queries, and notes, of one scope that a task scores against one another.
 BLOCK = 2000
+#: Notes of a block within these that is opened for a query or passed over as a whole.
+SMALL = 32
 #: Scores this close to the k-th best go along: ranks are of scores rounded to nine places.
 _NEAR = 2e-9
 
@@ -73,36 +76,107 @@ def term_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataF
     return df.select(*keys, F.explode(tokenize(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _bm25_block(queries: pa.Table, notes: pa.Table) -> np.ndarray:
-    """Scores of a block: of each term that both sides have, the product of its weights."""
+def _spans(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of some rows of a ragged array, and for each entry the row's place in ``rows``."""
+    size = offsets[rows + 1] - offsets[rows]
+    row = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[rows], size), row
+
+
+def _bm25_block(queries: pa.Table, notes: pa.Table, k: int | None = None, part: str | None = None, counts: Counts | None = None) -> np.ndarray:
+    """Scores of a block: of each term that both sides have, the product of its weights. With ``k``, scores that cannot be among
+    the k best of a query (in each value of ``part``) may be left at minus infinity.
+
+    Notes that begin alike (by their commonest term) are put into small blocks, each with the largest weight of every term
+    in it. These bound the scores of a query in the block; blocks are opened by falling bound, until it is below the k-th
+    score so far.
+    """
     asked, tokens = queries.column("terms").combine_chunks(), notes.column("tokens").combine_chunks()
     weight = queries.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     words = pa.concat_arrays([asked.flatten(), tokens.flatten()]).dictionary_encode()
-    index, n = words.indices.to_numpy().astype(np.int64), len(weight)
-    per = lambda a: np.repeat(np.arange(len(a)), np.diff(a.offsets.to_numpy()))
-    q_row, q_term, d_row, d_term = per(asked), index[:n], per(tokens), index[n:]
-    length = np.bincount(d_row, minlength=len(tokens))
-    wanted = np.zeros(len(words.dictionary), bool)
+    index, n, n_notes = words.indices.to_numpy().astype(np.int64), len(weight), len(tokens)
+    edges = lambda a: a.offsets.to_numpy().astype(np.int64) - a.offsets[0].as_py()
+    q_edge, d_edge = edges(asked), edges(tokens)
+    q_row, q_term = np.repeat(np.arange(len(asked)), np.diff(q_edge)), index[:n]
+    d_row, d_term = np.repeat(np.arange(n_notes), np.diff(d_edge)), index[n:]
+    length, n_terms = np.diff(d_edge), len(words.dictionary)
+    wanted = np.zeros(n_terms, bool)
     wanted[q_term] = True
     use = wanted[d_term]
-    pair, tf = np.unique(d_term[use] * len(tokens) + d_row[use], return_counts=True)
-    d_term, d_row = pair // max(1, len(tokens)), pair % max(1, len(tokens))
-    long = (length / notes.column("avgdl").to_numpy())[d_row]
-    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long))
-    order = np.argsort(q_term, kind="stable")
-    q_row, q_term, weight = q_row[order], q_term[order], weight[order]
-    out = np.zeros((len(asked), len(tokens)))
-    terms = np.unique(q_term)
-    q_edge, d_edge = np.searchsorted(q_term, np.append(terms, len(wanted))), (np.searchsorted(d_term, terms), np.searchsorted(d_term, terms, "right"))
-    for i in range(len(terms)):
-        a, b = d_edge[0][i], d_edge[1][i]
-        if b > a:
-            q = slice(q_edge[i], q_edge[i + 1])
-            out[np.ix_(q_row[q], d_row[a:b])] += weight[q, None] * value[None, a:b]
+    pair, tf = np.unique(d_row[use] * n_terms + d_term[use], return_counts=True)
+    d_row, d_term = pair // max(1, n_terms), pair % max(1, n_terms)
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / notes.column("avgdl").to_numpy())[d_row]))
+    # small blocks of notes with the same commonest term, each of one part
+    lead = np.full(n_notes, -1)
+    by = np.lexsort((tf, d_row))
+    lead[d_row[by]] = d_term[by]
+    which = np.zeros(n_notes, np.int64) if part is None else np.unique(np.array(notes.column(part).to_pylist(), object).astype(str), return_inverse=True)[1]
+    order = np.lexsort((length, lead, which))
+    begins = np.flatnonzero(np.diff(which[order], prepend=-1))
+    place = np.empty(n_notes, np.int64)
+    place[order] = np.arange(n_notes) - begins[which[order]]
+    sizes = -(-np.bincount(which) // SMALL)
+    small = (np.cumsum(sizes) - sizes)[which] + place // SMALL
+    n_small, d_edge = int(sizes.sum()), np.searchsorted(d_row, np.arange(n_notes + 1))
+    members = [np.flatnonzero(small == b) for b in range(n_small)]
+    held = [_spans(d_edge, m) for m in members]
+    out = np.full((len(asked), n_notes), 0.0 if k is None else -np.inf)
+    bound = np.empty((len(asked), n_small))
+    for b, (at, _) in enumerate(held):
+        top = np.zeros(n_terms)
+        np.maximum.at(top, d_term[at], value[at])
+        bound[:, b] = np.bincount(q_row, weight * top[q_term], len(asked))
+
+    def open_block(b: int, rows: np.ndarray) -> None:
+        at, column = held[b]
+        terms, term = np.unique(d_term[at], return_inverse=True)
+        note = np.zeros((len(terms), len(members[b])))
+        note[term, column] = value[at]
+        where = np.full(n_terms, -1)
+        where[terms] = np.arange(len(terms))
+        for some in np.array_split(rows, max(1, len(rows) * len(terms) >> 20)):
+            entry, row = _spans(q_edge, some)
+            known = where[q_term[entry]] >= 0
+            query = np.zeros((len(some), len(terms)))
+            query[row[known], where[q_term[entry[known]]]] = weight[entry[known]]
+            out[np.ix_(some, members[b])] = query @ note
+
+    opened = 0
+    for g in range(len(sizes)):
+        own = np.flatnonzero(which[[m[0] for m in members]] == g) if n_small else np.zeros(0, np.int64)
+        falling = np.argsort(-bound[:, own], axis=1, kind="stable")
+        least = np.full(len(asked), 0.0 if k is None else 1e-300)  # a note without a shared term has no score
+        best = np.full((len(asked), k or 1), -np.inf)
+        sorted_bound = np.take_along_axis(bound[:, own], falling, axis=1)
+        r = 0
+        while r < len(own):  # one small block for each query, then two, then four
+            row, rank = np.nonzero(sorted_bound[:, r : 2 * r + 1] >= least[:, None])
+            if not len(row):
+                break
+            b = own[falling[row, r + rank]]
+            for x in np.unique(b):
+                mine = row[b == x]
+                open_block(x, mine)
+                if k is not None:
+                    best[mine] = -np.partition(-np.concatenate([best[mine], out[np.ix_(mine, members[x])]], axis=1), k - 1, axis=1)[:, :k]
+            opened += len(row)
+            if k is not None:
+                least = np.maximum(least, best[:, k - 1] - _NEAR)
+            r = 2 * r + 1
+    if counts is not None:
+        counts.opened.add(opened)
+        counts.all.add(len(asked) * n_small)
     return out
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, scope: str = "vault", k: int | None = None, part: str | None = None, block: int = BLOCK) -> DataFrame:
+class Counts:
+    """How many small blocks were opened, for one query each, and how many there were."""
+
+    def __init__(self, spark: SparkSession):
+        self.opened, self.all = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+
+def bm25_scores(corpus: DataFrame, queries: DataFrame, scope: str = "vault", k: int | None = None, part: str | None = None, block: int = BLOCK, counts: Counts | None = None) -> DataFrame:
     """scope, id, doc, doc_ord (and ``part``), score for each query and note of its scope that share a term; with ``k`` only
     those that may be among the best k of the query (in each value of ``part``), to be ranked by ``top_k``.
 
@@ -117,7 +191,7 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, scope: str = "vault", k:
     weight = F.col("tf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.groupBy(scope, "id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("l")).select(scope, "id", F.col("l.term").alias("terms"), F.col("l.w").alias("weights"))
     notes = notes.join(stats.select(scope, "avgdl"), scope)
-    return _in_blocks(asked, notes, scope, _bm25_block, ["id"], ["doc", "doc_ord", *more], k, part, 0.0, block)
+    return _in_blocks(asked, notes, scope, lambda q, d: _bm25_block(q, d, k, part, counts), ["id"], ["doc", "doc_ord", *more], k, part, 0.0, block)
 
 
 def top_k(scores: DataFrame, keys: Sequence[str], k: int, score: str | None = "score", order: str = "doc_ord") -> DataFrame:

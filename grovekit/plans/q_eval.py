@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.paths import branch_ok, lcp_len, parse_key, soft_hit
-from ..operators import agreement, metrics, placers, report, resampling, retrieval
+from ..operators import agreement, metrics, placers, ranks, report, resampling, retrieval
 from .q_retrieval import SQL as RETRIEVAL_SQL
 from .q_retrieval import _VR, KEYS, _note_ranks, _vec_scores, f3_knn_grid, f8_cascade, f9_project
 from .views import arms, held, items, notes, table, vec_items, with_views
@@ -71,7 +71,9 @@ def i8_retrieval_quality(spark, sf):
 
 
 def i9_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 3).alias("total"))
+    e = table(spark, sf, "events")
+    p = ranks.percentiles(e, "event_type", "value", (0.5, 0.95)).groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 6).alias(n) for s, n in ((0.5, "p50"), (0.95, "p95"))])
+    return p.join(e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 3).alias("total")), "event_type")
 
 
 def i10_per_vault(spark, sf):
@@ -290,10 +292,10 @@ def j2_running_total(spark, sf):
 
 
 def j3_ordinal_rank(spark, sf):
-    from pyspark.sql import Window
-
-    c = table(spark, sf, "customer")
-    return c.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_mktsegment", "c_custkey")).alias("rank"))
+    """Customers by segment: within their nation, and over all."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    within = ranks.ranked(c, ["c_mktsegment", "c_custkey"], ["c_nationkey"])
+    return ranks.ranked(within, ["c_mktsegment", "c_custkey"], name="overall").select("c_custkey", "rank", "overall")
 
 
 def k1_sort_limit(spark, sf):
@@ -404,7 +406,7 @@ SQL = {
     "h11_paired": with_views(f"WITH {_PAIR} SELECT * FROM pa", "verdicts"),
     "h12_full_outer": "SELECT coalesce(a.v, b.v) AS v, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT quality AS v, count(*) AS na FROM labels GROUP BY 1) a FULL JOIN (SELECT toxic * 2 AS v, count(*) AS nb FROM labels GROUP BY 1) b ON a.v = b.v",
     "j2_running_total": with_views("SELECT vault, path_key, n, coalesce(sum(n) OVER (PARTITION BY vault ORDER BY path_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT vault, path_key, count(*) AS n FROM notes GROUP BY ALL)", "notes"),
-    "j3_ordinal_rank": "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS rank FROM customer",
+    "j3_ordinal_rank": "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS rank, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS overall FROM customer",
     "k1_sort_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "l1_set_ops": "WITH c AS (SELECT c_nationkey AS k FROM customer), s AS (SELECT s_nationkey AS k FROM supplier) SELECT 'union' AS op, count(*) AS n FROM (SELECT k FROM c UNION SELECT k FROM s) UNION ALL SELECT 'intersect', count(*) FROM (SELECT k FROM c INTERSECT SELECT k FROM s) UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM c EXCEPT SELECT k FROM s) UNION ALL SELECT 'except_all', count(*) FROM (SELECT k FROM c EXCEPT ALL SELECT k FROM s)",
     "l2_ordered_dedup": "SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY ALL",

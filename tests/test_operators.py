@@ -196,3 +196,94 @@ def test_scratch_tables_go(spark, tmp_path):
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         scratch.shared_folder(Elsewhere)
+
+
+def test_bm25_blocks_that_cannot_matter(spark):
+    """The best of each query are those of all scores; more than half of the blocks stay closed."""
+    import random
+
+    r = random.Random(3)
+    words = {x: [f"{x}{i}" for i in range(60)] for x in "abcd"}
+    text = lambda x: " ".join([f"the{x}"] * r.randint(5, 9) + [r.choice(words[x]) for _ in range(r.randint(3, 40))])
+    docs = [("v" if i % 9 else "w", i, i, text("abcd"[i * 7 % 4]), i % 3 == 0) for i in range(900)] + [("v", 2000, 2000, "", False), ("v", 2001, 2001, None, True)]
+    corpus = spark.createDataFrame(docs, "vault string, id long, ord long, text string, g boolean")
+    q = spark.createDataFrame([(r.choice("vw"), 5000 + i, text(r.choice("abcd"))) for i in range(60)] + [("v", 9000, "nothing known"), ("v", 9001, None)], "vault string, id long, text string")
+    every = retrieval.bm25_scores(corpus, q, part="g")
+    counts = retrieval.Counts(spark)
+    for part in (None, "g"):
+        keys = ["vault", "id", *([part] if part else [])]
+        want = {(x.vault, x.id, x.doc, x.rk) for x in retrieval.top_k(every, keys, 4).collect()}
+        got = {(x.vault, x.id, x.doc, x.rk) for x in retrieval.top_k(retrieval.bm25_scores(corpus, q, k=4, part=part, block=500, counts=counts), keys, 4).collect()}
+        assert got == want and want
+    assert 0 < counts.opened.value < counts.all.value / 2
+
+
+def test_ranks_and_percentiles(spark):
+    """Against sorted lists: ties, nulls, one value, one row, very different sizes and values."""
+    from grovekit.operators import ranks
+
+    rows = [("a", float(i * 7919 % 1000)) for i in range(2000)] + [("b", 5.0)] * 40 + [("c", None), ("d", -1.5), (None, 2.0), (None, 4.0), ("e", 1e-300), ("e", 1e300), ("e", 3.0), ("f", None), ("f", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {(r.g, r.share): r.x for r in ranks.percentiles(df, "g", "x", (0.0, 0.3, 0.5, 0.95, 1.0), buckets=8).collect()}
+    for g in {g for g, x in rows if x is not None}:
+        own = sorted(x for h, x in rows if h == g and x is not None)
+        for s in (0.0, 0.3, 0.5, 0.95, 1.0):
+            at = s * (len(own) - 1)
+            low, high = own[math.floor(at)], own[math.ceil(at)]
+            assert math.isclose(got[g, s], low + (high - low) * (at - math.floor(at)), rel_tol=1e-12), (g, s)
+    assert len(got) == 5 * 6 and ranks.percentiles(df.filter("false"), "g", "x", (0.5,)).count() == 0
+    for keys in ([], ["g"]):
+        out = ranks.ranked(df, [F.col("x").desc_nulls_last()], keys).collect()
+        by = {}
+        for r in out:
+            by.setdefault(r.g if keys else 0, []).append((r["rank"], r.x))
+        for own in by.values():
+            own.sort()
+            assert [k for k, _ in own] == list(range(1, len(own) + 1))
+            values = [x for _, x in own]
+            assert values == sorted((x for x in values if x is not None), reverse=True) + [None] * values.count(None)
+    plan = ranks.ranked(df, ["x"])._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and ranks.ranked(df.filter("false"), ["x"]).count() == 0
+
+
+def test_resampling_by_hand(spark):
+    """Every draw and every permutation anew, one by one."""
+    import hashlib
+
+    md5 = lambda *p: hashlib.md5("|".join(map(str, p)).encode()).hexdigest()
+    rows = [("all", f"v{i}", arm, (i * 3 + len(arm)) % 7, 7 + i % 2) for i in range(6) for arm in ("x", "yy") if not (i == 2 and arm == "x")] + [("one", "v0", "x", 1, 2)]
+    reps = 60
+    got = {(r.bucket, r.arm): (r.acc, r.low, r.high) for r in resampling.bootstrap(spark.createDataFrame(rows, "bucket string, vault string, arm string, h long, n long"), reps, 4).collect()}
+    for bucket, arm in {(r[0], r[2]) for r in rows}:
+        own = sorted({r[1] for r in rows if r[0] == bucket})
+        stats = []
+        for rep in range(reps):
+            drawn = [own[int(md5(4, rep, j)[:15], 16) % len(own)] for j in range(len(own))]
+            hit = [r for v in drawn for r in rows if r[:3] == (bucket, v, arm)]
+            if hit:
+                stats.append(sum(r[3] for r in hit) / max(1, sum(r[4] for r in hit)))
+        stats.sort()
+        q = lambda s: stats[math.floor(s * (len(stats) - 1))] + (stats[math.ceil(s * (len(stats) - 1))] - stats[math.floor(s * (len(stats) - 1))]) * (s * (len(stats) - 1) % 1)
+        assert math.isclose(got[bucket, arm][1], q(0.025), abs_tol=1e-12) and math.isclose(got[bucket, arm][2], q(0.975), abs_tol=1e-12)
+    data = [("k", f"v{i}", x, y) for i, (x, y) in enumerate([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (4.0, 4.0), (4.0, 9.0)])] + [("lone", "v0", 1.0, 1.0)]
+    out = {r.key: r for r in resampling.rank_correlation(spark.createDataFrame(data, "key string, vault string, x double, y double"), ("key",), "x", "y", 200, 1).collect()}
+    pairs = [(1, 2), (2, 1), (3, 4), (4, 3), (5, 5)]
+    corr = lambda ps: sum((a - 3) * (b - 3) for a, b in ps) / 10
+    null = [corr([(pairs[i][0], k + 1) for k, i in enumerate(sorted(range(5), key=lambda i: (md5(1, rep, f"v{i}"), f"v{i}")))]) for rep in range(200)]
+    assert math.isclose(out["k"].rho, corr(pairs)) and math.isclose(out["k"].p, sum(abs(c) >= abs(corr(pairs)) - 1e-9 for c in null) / 200) and out["lone"].rho is None and out["lone"].p is None
+
+
+def test_projection_against_all_folders(spark):
+    """The folder of the longest common beginning among all of the vault, by comparing with each."""
+    import random
+
+    r = random.Random(5)
+    key = lambda: "/" + "/".join(r.choice("abc") for _ in range(r.randint(0, 4)))
+    dirs = {("v", key()) for _ in range(25)} | {("w", "/a/b")}
+    preds = [(s, i, key()) for s in "vwz" for i in range(40)]
+    got = {(x.vault, x.id): x.projected for x in placers.project_to_existing(spark.createDataFrame(preds, "vault string, id long, pred string"), spark.createDataFrame(sorted(dirs), "vault string, path_key string")).collect()}
+    parts = lambda k: [x for x in k.split("/") if x]
+    for s, i, p in preds:
+        a = parts(p)
+        known = [(d != p, -next((k for k in range(len(a) + 1) if k == len(a) or k >= len(parts(d)) or a[k] != parts(d)[k])), abs(len(a) - len(parts(d))), len(parts(d)), d) for v, d in dirs if v == s]
+        assert got[s, i] == (min(known)[-1] if known else None), (s, p)
