@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.paths import path_prefixes
 from ..functions.text import tokenize
 from ..functions.vectors import dot, unit
+from ..sources.scratch import Scratch
 
 K1, B = 1.5, 0.75
 #: Queries, and notes, of one scope that a task scores against one another.
@@ -141,13 +142,21 @@ def _bm25_block(queries: pa.Table, notes: pa.Table, k: int | None = None, part:
             query[row[known], where[q_term[entry[known]]]] = weight[entry[known]]
             out[np.ix_(some, members[b])] = query @ note
 
-    opened = 0
-    for g in range(len(sizes)):
-        own = np.flatnonzero(which[[m[0] for m in members]] == g) if n_small else np.zeros(0, np.int64)
+    _open_by_bounds(out, bound, members, which, k, open_block, 1e-300, counts)  # a note without a shared term has no score
+    return out
+
+
+def _open_by_bounds(out: np.ndarray, bound: np.ndarray, members: list[np.ndarray], which: np.ndarray, k: int | None, open_block: Callable[[int, np.ndarray], None], floor: float, counts: Counts | None) -> None:
+    """Opens small blocks of notes for queries (``open_block``, which fills ``out``) by falling bound, until the bound is below the
+    query's k-th score so far among the notes of the same part (``which``, of each note), or below ``floor``."""
+    n, opened = len(out), 0
+    part = which[[m[0] for m in members]] if members else np.zeros(0, np.int64)
+    for g in np.unique(part):
+        own = np.flatnonzero(part == g)
         falling = np.argsort(-bound[:, own], axis=1, kind="stable")
-        least = np.full(len(asked), 0.0 if k is None else 1e-300)  # a note without a shared term has no score
-        best = np.full((len(asked), k or 1), -np.inf)
         sorted_bound = np.take_along_axis(bound[:, own], falling, axis=1)
+        least = np.full(n, -np.inf if k is None else floor)
+        best = np.full((n, k or 1), -np.inf)
         r = 0
         while r < len(own):  # one small block for each query, then two, then four
             row, rank = np.nonzero(sorted_bound[:, r : 2 * r + 1] >= least[:, None])
@@ -165,8 +174,7 @@ def _bm25_block(queries: pa.Table, notes: pa.Table, k: int | None = None, part:
             r = 2 * r + 1
     if counts is not None:
         counts.opened.add(opened)
-        counts.all.add(len(asked) * n_small)
-    return out
+        counts.all.add(n * len(members))
 
 
 class Counts:
@@ -215,7 +223,43 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
 
 
-def cosine_scores(corpus: DataFrame, queries: DataFrame, scope: str | None = "vault", k: int | None = None, part: str | None = None, block: int = BLOCK) -> DataFrame:
+def _angle(cos: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cos, -1.0, 1.0))
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of unit length the nearest pivot, and the angle to it."""
+    cos = x @ pivots.T
+    cell = cos.argmax(1)
+    return cell, _angle(cos[np.arange(len(x)), cell])
+
+
+def _cosine_block(queries: pa.Table, notes: pa.Table, k: int | None, part: str | None, counts: Counts | None) -> np.ndarray:
+    """Cosines of a block. With ``k``, those that cannot be among the k best may be left at minus infinity: notes are put into
+    cells around some of them, and no note of a cell is nearer to a query than the angle to its pivot less the cell's radius."""
+    q, d = _matrix(queries.column("vector")), _matrix(notes.column("doc_vector"))
+    if k is None or len(d) <= 2 * SMALL:
+        return q @ d.T
+    which = np.zeros(len(d), np.int64) if part is None else np.unique(np.array(notes.column(part).to_pylist(), object).astype(str), return_inverse=True)[1]
+    pivots = d[:: max(1, len(d) // max(2, int(len(d) ** 0.5)))]
+    cell, angle = _cells(d, pivots)
+    members = [m for g in range(which.max() + 1) for c in range(len(pivots)) if len(m := np.flatnonzero((cell == c) & (which == g)))]
+    radius = np.array([angle[m].max() for m in members])
+    # a little more than the bound, as angles of nearly equal vectors are not exact
+    bound = np.cos(np.maximum(0.0, _angle(q @ pivots[[cell[m[0]] for m in members]].T) - radius - 1e-7)) + _NEAR
+    zero = ~q.any(1)
+    bound[zero] = 1.0
+    bound[:, [not d[m].any(1).all() for m in members]] = 1.0  # vectors of no length have no angle
+    out = np.full((len(q), len(d)), -np.inf)
+
+    def open_block(b: int, rows: np.ndarray) -> None:
+        out[np.ix_(rows, members[b])] = q[rows] @ d[members[b]].T
+
+    _open_by_bounds(out, bound, members, which, k, open_block, -np.inf, counts)
+    return out
+
+
+def cosine_scores(corpus: DataFrame, queries: DataFrame, scope: str | None = "vault", k: int | None = None, part: str | None = None, block: int = BLOCK, counts: Counts | None = None) -> DataFrame:
     """Cosine of each query with each note of its scope (without one: with all notes); with ``k`` only of those that may be
     among the best k. Columns of the corpus come with ``doc_`` before them."""
     by = scope or "_all"
@@ -223,42 +267,70 @@ def cosine_scores(corpus: DataFrame, queries: DataFrame, scope: str | None = "va
         corpus, queries = corpus.withColumn(by, F.lit(0)), queries.withColumn(by, F.lit(0))
     notes = corpus.select(by, *[F.col(x).alias("doc" if x == "id" else f"doc_{x}") for x in corpus.columns if x != by])
     keep, note_keep = [c for c in queries.columns if c not in (by, "vector")], [c for c in notes.columns if c not in (by, "doc_vector")]
-    score = lambda q, d: _matrix(q.column("vector")) @ _matrix(d.column("doc_vector")).T
-    out = _in_blocks(queries, notes, by, score, keep, note_keep, k, part, -np.inf, block)
+    out = _in_blocks(queries, notes, by, lambda q, d: _cosine_block(q, d, k, part, counts), keep, note_keep, k, part, -np.inf, block)
     return out if scope else out.drop(by)
 
 
-def near_pairs(vectors: DataFrame, least: float, apart: str, block: int = BLOCK) -> DataFrame:
+#: Pivots of ``near_pairs``, at most: they go to every task, and pairs of their cells through the driver.
+PIVOTS = 256
+
+
+def near_pairs(vectors: DataFrame, least: float, apart: str, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """a, b, cos: pairs of vectors (id, ``apart``, vector) with different values of ``apart`` and a cosine, rounded to six
-    places, of ``least`` or more; a before b.
+    places, of ``least`` or more; a before b. Vectors of no length are near to none (``least`` over 0).
 
-    No index that hashes can promise to find them all, so the vectors are dealt into blocks by their number, and each pair
-    of blocks is one product of matrices.
+    No index that hashes can promise to find them all. Vectors are put into cells around pivots, which are some of them,
+    drawn by hash. By the triangle inequality of angles two cells can hold a pair only if their pivots are no farther apart than
+    the angle asked for and both radii; only such pairs of cells meet. Cells are dealt into blocks of bounded size.
     """
-    blocks = vectors.agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
-    v = vectors.crossJoin(F.broadcast(blocks)).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")))
-    v = v.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    v = v.select(F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "id", apart, "vector")
-    kind = vectors.schema["id"].dataType
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    kind, n = vectors.schema["id"].dataType, vectors.count()
+    rows = vectors.select(F.col("id"), F.col(apart).cast("string").alias("_apart"), F.col("vector").cast("array<double>").alias("vector"))
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(pivots, -(-4 * n // block)))).select("vector").collect()
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cos", T.DoubleType())])
+    if not drawn:
+        return spark.createDataFrame([], schema)
+    centre = np.array([r.vector for r in drawn])
+    centre = centre / np.maximum(np.sqrt((centre * centre).sum(1)), 1e-12)[:, None]
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                cell, angle = _cells(_matrix(pa.chunked_array([b.column(b.schema.get_field_index("vector"))])), centre)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle)], names=[*b.schema.names, "_cell", "_angle"])
+
+    placed = scratch.save(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])))
+    size = {r["_cell"]: r for r in placed.groupBy("_cell").agg(F.max("_angle").alias("r"), F.ceil(F.count(F.lit(1)) / block).alias("blocks")).collect()}
+    far = float(_angle(np.array(least - 1e-6))) + 1e-6
+    between = _angle(centre @ centre.T)
+    meet = [(a, b, size[a]["blocks"], size[b]["blocks"]) for a in size for b in size if a <= b and between[a, b] - size[a]["r"] - size[b]["r"] <= far]
+    pairs = spark.createDataFrame(meet, "_ca int, _cb int, _na long, _nb long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = pairs.withColumn("_ba", every("_na")).withColumn("_bb", every("_nb")).filter("_ca < _cb OR _ba <= _bb").select("_ca", "_cb", "_ba", "_bb")
+    blocks = spark.createDataFrame([(c, r["blocks"]) for c, r in size.items()], "_cell int, _n long")
+    placed = placed.join(blocks, "_cell").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n"))).drop("_n", "_angle")
+    side = lambda c, b, name: placed.join(pairs.withColumnsRenamed({c: "_cell", b: "_b"}).withColumns({c: F.col("_cell"), b: F.col("_b")}), ["_cell", "_b"]).select("_ca", "_ba", "_cb", "_bb", F.lit(name).alias("_left"), "id", "_apart", "vector")
+    own = (F.col("_ca") == F.col("_cb")) & (F.col("_ba") == F.col("_bb"))
+    both = side("_ca", "_ba", True).unionByName(side("_cb", "_bb", False).filter(~own))
 
     def run(t: pa.Table) -> pa.Table:
-        own, ids = t.column("_own").to_numpy(), t.column("id").combine_chunks()
-        x, which = _matrix(t.column("vector")), np.unique(np.array(t.column(apart).to_pylist()), return_inverse=True)[1]
+        left, ids = np.array(t.column("_left").to_pylist()), t.column("id").combine_chunks()
+        x, which = _matrix(t.column("vector")), np.unique(np.array(t.column("_apart").to_pylist(), object).astype(str), return_inverse=True)[1]
         rank = pa.compute.rank(ids, tiebreaker="first").to_numpy()
-        left, right = (np.flatnonzero(own == t.column(c)[0].as_py()) for c in ("_p", "_q"))
+        same = left.all()  # a block against itself: each pair once
+        left, right = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
         cos = np.round(x[left] @ x[right].T, 6)
         r, c = np.nonzero(cos >= least)
         value, r, c = cos[r, c], left[r], right[c]
         ok = which[r] != which[c]
-        if t.column("_p")[0] == t.column("_q")[0]:  # a block against itself: each pair once
+        if same:
             ok &= rank[r] < rank[c]
         r, c, value = r[ok], c[ok], value[ok]
         swap = rank[r] > rank[c]
         a, b = np.where(swap, c, r), np.where(swap, r, c)
         return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(value)], names=["a", "b", "cos"])
 
-    return v.groupBy("_p", "_q").applyInArrow(run, schema)
+    return both.groupBy("_ca", "_ba", "_cb", "_bb").applyInArrow(run, schema)
 
 
 def hierarchical_top_k(scores: DataFrame, keys: Sequence[str], k: int, global_k: int, is_global: str) -> DataFrame:
@@ -296,6 +368,35 @@ def path_graph(notes: DataFrame, scope: str = "vault") -> DataFrame:
     return same.unionByName(up).unionByName(up.select(scope, F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def folder_hubs(notes: DataFrame, scope: str = "vault") -> DataFrame:
+    """The path graph without its edges: scope, path_key, parent, members, above (members of the folder above), below (of the
+    folders right below) and links (edges, both ways, of the members among themselves and with the folder above).
+
+    All notes of a folder have the same neighbours but for themselves, so a row for each folder stands for the square of
+    its members. ``expand`` makes the edges of chosen notes.
+    """
+    hub = _folders(notes, scope).groupBy(scope, "path_key", "parent").agg(F.count(F.lit(1)).alias("members"))
+    up = hub.select(scope, F.col("path_key").alias("parent"), F.col("members").alias("above"))
+    down = hub.filter("parent IS NOT NULL").groupBy(scope, F.col("parent").alias("path_key")).agg(F.sum("members").alias("below"))
+    out = hub.join(up, [scope, "parent"], "left").join(down, [scope, "path_key"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("above", "below")})
+    return out.select(scope, "path_key", "parent", "members", "above", "below", (F.col("members") * (F.col("members") - 1) + 2 * F.col("members") * F.col("above")).alias("links"))
+
+
+def degrees(notes: DataFrame, scope: str = "vault") -> DataFrame:
+    """scope, id, degree: neighbours of each note in the path graph, from the hubs."""
+    hubs = folder_hubs(notes, scope).select(scope, "path_key", (F.col("members") - 1 + F.col("above") + F.col("below")).alias("_d"))
+    return _folders(notes, scope).join(hubs, [scope, "path_key"]).groupBy(scope, "id").agg(F.sum("_d").alias("degree"))
+
+
+def expand(notes: DataFrame, seeds: DataFrame, scope: str = "vault") -> DataFrame:
+    """scope, a, b: the edges of the path graph that start at the seeds (scope, id), looked up by folder."""
+    n = _folders(notes, scope)
+    at = n.join(seeds.select(scope, "id").distinct(), [scope, "id"]).select(scope, F.col("id").alias("a"), "path_key", "parent")
+    there = n.select(scope, F.col("id").alias("b"), F.col("path_key").alias("_key"), F.col("parent").alias("_up"))
+    near = lambda own, other: at.join(there.withColumnRenamed(other, own), [scope, own]).select(scope, "a", "b")
+    return near("path_key", "_key").filter("a <> b").unionByName(near("parent", "_key")).unionByName(near("path_key", "_up"))
+
+
 def hybrid(notes: DataFrame, queries: DataFrame, k: int, k_seed: int, scope: str = "vault") -> DataFrame:
     """scope, id, doc, score, n_candidates, rk: the nearest notes as seeds, with their neighbours in the path graph, and the k
     best of all. notes: scope, id, ord, path, path_key, vector; queries: scope, id, vector. A note is no candidate of its own.

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import path_key
 from ..operators import placers, policies, report, store
-from ..sources import files, tables
+from ..sources import artifacts, files, tables
 from ..sources.scratch import Scratch
+from ..sources.vector_store import VectorStore
 from .q_store import _OPS, ops
 from .views import held, items, notes, table, trees, vecs, with_views
 
@@ -183,11 +184,47 @@ def _embed(texts):
     return [[float(len(t)), 3.0, 4.0] for t in texts]
 
 
-def b10_vector_cache(spark, sf):
-    """Texts of even number are in the cache, the others are embedded."""
+def _seeded(spark, sf):
+    """A store that has the texts of benchmark items of even number."""
     b = table(spark, sf, "benchmark").select("item_id", "text")
-    cache = b.filter("item_id % 2 = 0").groupBy("text").agg(F.array(F.min("item_id").cast("double"), F.lit(1.0), F.lit(0.0)).alias("vector"))
-    return tables.VectorCache(cache, _embed).lookup(b).select("item_id", F.round(F.element_at("vector", 1), 6).alias("x"), F.round(F.element_at("vector", 2), 6).alias("y"))
+    s = VectorStore(spark, Scratch(spark).root, _embed)
+    s.put(b.filter("item_id % 2 = 0").groupBy("text").agg(F.array(F.min("item_id").cast("double"), F.lit(1.0), F.lit(0.0)).alias("vector")))
+    return b, s
+
+
+def b10_vector_cache(spark, sf):
+    """Texts of even number are in the store, the others are embedded."""
+    b, s = _seeded(spark, sf)
+    return s.lookup(b).select("item_id", F.round(F.element_at("vector", 1), 6).alias("x"), F.round(F.element_at("vector", 2), 6).alias("y"))
+
+
+def b10b_kept_vectors(spark, sf):
+    """What was embedded is there for a store that cannot embed; texts set anew have their new vector."""
+    b, s = _seeded(spark, sf)
+    s.lookup(b)
+    s.put(b.filter("item_id % 10 = 3").groupBy("text").agg(F.array(F.lit(0.0), F.lit(2.0), F.lit(0.0)).alias("vector")))
+    again = VectorStore(spark, s.root)
+    held_texts = again.entries().select("text").distinct().count()
+    return again.lookup(b).select("item_id", F.round(F.element_at("vector", 1), 6).alias("x"), F.round(F.element_at("vector", 2), 6).alias("y"), F.lit(held_texts).alias("n_texts"), F.lit(len(again.versions())).alias("n_versions"))
+
+
+def b15_artifacts(spark, sf):
+    """A run's summary is made once; a later run reads it, whatever it would make itself."""
+    root, e = Scratch(spark).root, table(spark, sf, "events")
+    for rows in (e, e.filter("event_id % 2 = 0")):
+        out = artifacts.kept(spark, root, "summary", lambda rows=rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")))
+    return out
+
+
+def g5_registry(spark, sf):
+    """What the policies decide that go by these names."""
+    bank, claims = _bank_and_claims(spark, sf)
+    near = held(policies.retrieve(claims.drop("ord"), bank))
+    out = None
+    for name, more in (("AlwaysADD", ()), ("append_only", ()), ("Rule_V0", (UPDATE_AT, NOOP_AT)), ("rule", (0.99, 0.999))):
+        d = policies.policy(name)(near, *more).select(F.explode("ops").alias("op")).groupBy(F.lit(name).alias("name"), "op").agg(F.count(F.lit(1)).alias("n"))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def s1_stream_fold(spark, sf):
@@ -240,6 +277,11 @@ SELECT vault, id, split, 'Roots ' || r || ', depth ' || d || '.' AS system, md5(
     "b5_directory_walk": "SELECT 'dir=d' || (item_id % 5) AS folder, 1::BIGINT AS n, sum(strlen(text) + 1)::BIGINT AS bytes FROM benchmark WHERE item_id % 5 <> 4 GROUP BY 1",
     "b8_sheet": "SELECT doc_id::VARCHAR AS item, 'say \"' || doc_id || '\",' || chr(10) || 'then stop' AS comment, CASE WHEN quality = 1 THEN 'ok' ELSE 'bad' END AS verdict FROM labels WHERE quality = 1 OR toxic = 1",
     "b10_vector_cache": "WITH c AS (SELECT text, min(item_id)::DOUBLE AS x FROM benchmark WHERE item_id % 2 = 0 GROUP BY text) SELECT item_id, round(CASE WHEN c.x IS NOT NULL THEN c.x / (sqrt(c.x * c.x + 1) + 1e-9) ELSE length(b.text) / (sqrt(length(b.text) * length(b.text) + 25) + 1e-9) END, 6) AS x, round(CASE WHEN c.x IS NOT NULL THEN 1 / (sqrt(c.x * c.x + 1) + 1e-9) ELSE 3 / (sqrt(length(b.text) * length(b.text) + 25) + 1e-9) END, 6) AS y FROM benchmark b LEFT JOIN c USING (text)",
+    "b10b_kept_vectors": "WITH c AS (SELECT text, min(item_id) FILTER (WHERE item_id % 2 = 0)::DOUBLE AS x, bool_or(item_id % 10 = 3) AS anew FROM benchmark GROUP BY text) SELECT item_id, round(CASE WHEN anew THEN 0 WHEN c.x IS NOT NULL THEN c.x / (sqrt(c.x * c.x + 1) + 1e-9) ELSE length(b.text) / (sqrt(length(b.text) * length(b.text) + 25) + 1e-9) END, 6) AS x, round(CASE WHEN anew THEN 2 / (2 + 1e-9) WHEN c.x IS NOT NULL THEN 1 / (sqrt(c.x * c.x + 1) + 1e-9) ELSE 3 / (sqrt(length(b.text) * length(b.text) + 25) + 1e-9) END, 6) AS y, (SELECT count(*) FROM c) AS n_texts, 3 AS n_versions FROM benchmark b JOIN c USING (text)",
+    "b15_artifacts": "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type",
+    "g5_registry": with_views(f"""WITH {_DEC}, ru AS (SELECT unnest(string_split({_OF_HOW}, ',')) AS op FROM dc), dd AS (SELECT *, CASE WHEN best_id IS NULL THEN 'none' WHEN same OR (sim >= 0.999::DOUBLE AND NOT cue) THEN 'noop' WHEN cue AND sim >= 0.99::DOUBLE - 0.08::DOUBLE THEN 'supersede' WHEN sim >= 0.99::DOUBLE THEN 'update' ELSE 'add' END AS how2 FROM cu),
+ r2 AS (SELECT unnest(string_split({_OF_HOW.replace('CASE how', 'CASE how2')}, ',')) AS op FROM dd), every AS (SELECT 'AlwaysADD' AS name, 'ADD' AS op FROM cl UNION ALL SELECT 'append_only', 'ADD' FROM cl UNION ALL SELECT 'Rule_V0', op FROM ru UNION ALL SELECT 'rule', op FROM r2)
+SELECT name, op, count(*) AS n FROM every GROUP BY ALL""", "notes", "vecs"),
     "s1_stream_fold": f"WITH {_OPS} SELECT * FROM fs",
 }
 QUERIES = {k: f for k, f in globals().items() if k in SQL}

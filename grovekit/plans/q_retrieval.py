@@ -75,6 +75,18 @@ def e8_path_graph(spark, sf):
     return retrieval.path_graph(notes(spark, sf))
 
 
+def e8b_degrees(spark, sf):
+    """Neighbours of each note in the path graph, counted without its edges."""
+    return retrieval.degrees(notes(spark, sf))
+
+
+def e8c_expand(spark, sf):
+    """The neighbours of a few seeds, the first note of each vault."""
+    n = notes(spark, sf)
+    seeds = n.groupBy("vault").agg(F.min("id").alias("id"))
+    return retrieval.expand(n, seeds)
+
+
 def _joined(spark, sf):
     """Vectors that are notes as well: text, path and vector."""
     n = notes(spark, sf).select("id", "ord", "vault", "text", "path", "path_key")
@@ -286,6 +298,8 @@ l AS (SELECT doc, sum(tf) AS dl FROM t GROUP BY doc), n AS (SELECT count(*) AS n
 s AS (SELECT id, t.doc, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN t USING (term) JOIN f USING (term) JOIN l ON l.doc = t.doc CROSS JOIN n GROUP BY id, t.doc)
 SELECT id, doc, round(score, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, doc) AS rk FROM s) WHERE rk <= 5""",
     "e8_path_graph": with_views(f"WITH {_GRAPH.format('notes')} SELECT vault, a, b FROM g", "notes"),
+    "e8b_degrees": with_views(f"WITH {_GRAPH.format('notes')} SELECT n.vault, n.id, count(g.b) AS degree FROM notes n LEFT JOIN g ON g.vault = n.vault AND g.a = n.id GROUP BY ALL", "notes"),
+    "e8c_expand": with_views(f"WITH {_GRAPH.format('notes')} SELECT vault, a, b FROM g WHERE (vault, a) IN (SELECT (vault, min(id)) FROM notes GROUP BY vault)", "notes"),
     "e9_hybrid": with_views(f"""WITH j AS (SELECT n.id, n.ord, n.vault, n.path, n.path_key, v.vector FROM notes n JOIN vecs v ON n.id = v.id), {_GRAPH.format("j")},
 s AS (SELECT q.vault, q.id, d.id AS doc, d.ord AS doc_ord, list_inner_product(q.vector, d.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * sqrt(list_inner_product(d.vector, d.vector))) AS score FROM j q JOIN j d ON q.vault = d.vault AND q.id <> d.id),
 seed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vault, id ORDER BY round(score, 9) DESC, doc_ord) AS r FROM s) WHERE r <= 3),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -42,5 +45,20 @@ class Folder:
             self._fs.delete(whole, False)
         self._fs.rename(part, whole)
 
+    def claim(self, name: str) -> bool:
+        """Makes an empty file, if there is none of that name; whether it did."""
+        self._fs.mkdirs(self._path(self.root))
+        try:
+            return self._fs.createNewFile(self._path(f"{self.root}/{name}"))
+        except Py4JJavaError as e:  # another one was quicker
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+
+    def age(self, name: str) -> float:
+        """Seconds since a file was written; 0 if there is none."""
+        p = self._path(f"{self.root}/{name}")
+        return time.time() - self._fs.getFileStatus(p).getModificationTime() / 1000 if self._fs.exists(p) else 0.0
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)

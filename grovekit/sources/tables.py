@@ -1,15 +1,13 @@
-"""JSON lines, CSV sheets and the text-keyed vector cache."""
+"""JSON lines and CSV sheets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import unit
-
 PATH = T.ArrayType(T.StringType())
 #: The fields of placement tasks, all versions together; what a file lacks is null.
 TASK = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("kind", T.StringType()), ("text", T.StringType()), ("gold_path", PATH), ("roots", PATH), ("source_file", T.StringType()), ("frozen", T.BooleanType()), ("tree_id", T.StringType()), ("existing_dirs", T.ArrayType(PATH)), ("intent", T.StringType()), ("twin_key", T.StringType()), ("from_path", PATH), ("cue", T.StringType()), ("fact_id", T.StringType()))])
@@ -42,30 +40,3 @@ def check_values(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFram
     if bad:
         raise ValueError(f"unknown values in {column}: {[r[0] for r in bad]}")
     return filled
-
-
-class VectorCache:
-    """Vectors by exact text. Texts without one are embedded once each, in batches, by ``embed``; without ``embed`` a
-    missing text is an error."""
-
-    def __init__(self, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 64):
-        self.cache, self.embed, self.batch = cache, embed, batch
-
-    def lookup(self, df: DataFrame, text: str = "text") -> DataFrame:
-        missing = df.select(F.col(text).alias("text")).distinct().join(self.cache, "text", "left_anti")
-        found = self.cache
-        if self.embed is None:
-            n = missing.count()
-            if n:
-                raise KeyError(f"{n} texts have no vector")
-        else:
-            embed, size = self.embed, self.batch
-
-            def run(frames):
-                for f in frames:
-                    for a in range(0, len(f), size):
-                        part = f.iloc[a : a + size]
-                        yield part.assign(vector=embed(part["text"].tolist()))
-
-            found = found.unionByName(missing.mapInPandas(run, "text string, vector array<double>"))
-        return df.join(found.select(F.col("text").alias(text), unit(F.col("vector"), 0.0, 1e-9).alias("vector")), text, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grovekit.operators import agreement, corpus, pickers, placers, resampling, retrieval
 from grovekit.plans import views
 from grovekit.sources import artifacts, files, tables
+from grovekit.sources.vector_store import VectorStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,13 +66,30 @@ def test_sheets_and_json(spark, tmp_path):
     assert rows["a"]["gold_path"] == ["x"] and rows["b"]["gold_path"] is None and len(rows) == 2
 
 
-def test_vector_cache(spark):
-    cache = spark.createDataFrame([("a", [3.0, 4.0])], "text string, vector array<double>")
-    docs = spark.createDataFrame([("a",), ("b",), ("b",)], "text string")
+def test_vector_store(spark, tmp_path):
+    """Missing texts are embedded once each and kept, also by two lookups at a time; a text set anew has its new vector."""
+    import threading
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None), (5, "")], "id long, text string")
     with pytest.raises(KeyError):
-        tables.VectorCache(cache).lookup(docs)
-    got = tables.VectorCache(cache, lambda ts: [[1.0, 0.0] for _ in ts]).lookup(docs).collect()
-    assert len(got) == 3 and all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-6 for r in got)
+        VectorStore(spark, str(tmp_path / "s")).lookup(docs)
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return [[3.0 + len(t), 4.0] for t in texts]
+
+    open_ = lambda f=embed: VectorStore(spark, str(tmp_path / "s"), f)
+    open_().put(spark.createDataFrame([("a", [0.0, 2.0])], "text string, vector array<double>"))
+    got = []
+    runs = [threading.Thread(target=lambda: got.append({r["id"]: r["vector"] for r in open_().lookup(docs).collect()})) for _ in range(2)]
+    [t.start() for t in runs], [t.join() for t in runs]
+    assert got[0] == got[1] and calls.value == 2 and got[0][4] is None
+    assert [round(x, 6) for x in got[0][1]] == [0.0, 1.0] and abs(sum(x * x for x in got[0][2]) - 1) < 1e-6 and [round(x, 6) for x in got[0][5]] == [0.6, 0.8]
+    open_().put(spark.createDataFrame([("b", [1.0, 0.0])], "text string, vector array<double>"))
+    assert [round(x, 6) for x in {r["id"]: r["vector"] for r in open_(None).lookup(docs).collect()}[3]] == [1.0, 0.0]
+    (tmp_path / "s" / "lock").touch()  # left by a program that died
+    assert VectorStore(spark, str(tmp_path / "s"), embed, stale=0.0).lookup(spark.createDataFrame([("c",)], "text string")).count() == 1
 
 
 def test_scan_and_ingest(spark, tmp_path):
@@ -287,3 +305,33 @@ def test_projection_against_all_folders(spark):
         a = parts(p)
         known = [(d != p, -next((k for k in range(len(a) + 1) if k == len(a) or k >= len(parts(d)) or a[k] != parts(d)[k])), abs(len(a) - len(parts(d))), len(parts(d)), d) for v, d in dirs if v == s]
         assert got[s, i] == (min(known)[-1] if known else None), (s, p)
+
+
+def test_cosines_behind_pivots(spark):
+    """Cells that are too far stay closed, and no result is lost; vectors of no length, and equal ones, included."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(12, 8))
+    x = centres[r.integers(0, 12, 900)] + 0.15 * r.normal(size=(900, 8))
+    x[5], x[6] = 0, x[7]
+    rows = [(i, i, f"s{i % 2}", v.tolist(), i % 5 == 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, ord long, scope string, vector array<double>, g boolean")
+    q = df.filter("id % 3 = 0").select("id", "scope", "vector")
+    unit = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+    cos = unit @ unit.T
+    for scope, part in ((None, None), ("scope", None), ("scope", "doc_g")):
+        counts = retrieval.Counts(spark)
+        keys = ["id", *([part] if part else [])]
+        got = {(a.id, a.doc, a.rk) for a in retrieval.top_k(retrieval.cosine_scores(df, q, scope, 3, part, counts=counts), keys, 3).collect()}
+        want = set()
+        for i in range(0, 900, 3):
+            for g in ((True, False) if part else (None,)):
+                near = sorted((-round(cos[i, j], 9), j) for j in range(900) if (scope is None or j % 2 == i % 2) and (g is None or (j % 5 == 0) == g))[:3]
+                want |= {(i, j, k + 1) for k, (_, j) in enumerate(near)}
+        assert got == want
+        assert 0 < counts.opened.value < 0.6 * counts.all.value
+    for least, block in ((0.95, 100), (0.9, 2000), (0.3, 150)):
+        pairs = {(a.a, a.b) for a in retrieval.near_pairs(df.select("id", "scope", "vector"), least, "scope", block).collect()}
+        assert pairs == {(i, j) for i in range(900) for j in range(i + 1, 900) if i % 2 != j % 2 and round(cos[i, j], 6) >= least}
+    assert retrieval.near_pairs(df.filter("false").select("id", "scope", "vector"), 0.9, "scope").count() == 0
