@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule rejects or passes a document on its own text. On a sample each rule's cost (seconds per byte) and
-rejection share are measured; rules then run in falling order of rejection per cost, and a document that one rule
-rejects is not given to the next. A verdict is a conjunction, so the order changes the cost, never the result.
+Every rule rejects or passes a document on its own text, by figures that it shares with others. On a sample the cost of each
+figure (seconds per byte) and the rejection share of each rule are measured; rules then run in falling order of rejection per
+cost, a rule costing what is not computed yet, and a document that one rule rejects is not given to the next. A verdict is a
+conjunction, so the order changes the cost, never the result.
 """
 
 from __future__ import annotations
@@ -38,17 +39,61 @@ def _copies(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, same[:-1], same[1:]
 
 
+#: Figures that are places in the text, not a number for each document.
+_PIECES = ("words", "lines")
+
+
 class Measures:
-    """Figures of the documents of a block; each is computed when first asked for."""
+    """Figures of the documents of a block; each is computed when first asked for, from others that it uses.
 
-    def __init__(self, block: TextBlock):
-        self.block, self.n, self._kept = block, block.n, {}
+    ``only`` gives those of some documents: figures that are there already are taken over, others are computed on their texts
+    alone. ``spent`` has the seconds that each figure took, without those it uses; ``uses`` which ones these are.
+    """
+
+    def __init__(self, block: TextBlock | None, n: int | None = None):
+        self._block, self.n, self._kept = block, block.n if n is None else n, {}
+        self._from: tuple[Measures, np.ndarray] | None = None
+        self._stack, self._inner, self.spent, self.uses = [""], 0.0, {}, {}
+
+    @property
+    def block(self) -> TextBlock:
+        if self._block is None:
+            whole, rows = self._from[0].block, self._from[1]
+            spans = list(zip(whole.offs[rows].tolist(), whole.offs[rows + 1].tolist()))
+            data = np.concatenate([whole.data[a:b] for a, b in spans]) if spans else whole.data[:0]
+            self._block = TextBlock(data, np.concatenate([[0], np.cumsum([b - a for a, b in spans])]).astype(np.int64))
+        return self._block
+
+    def only(self, rows: np.ndarray) -> Measures:
+        """The figures of these documents."""
+        out = Measures(None, len(rows))
+        out._from = self, rows
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        for name, value in self._kept.items():
+            if name in _PIECES:  # starts, ends and documents of words or lines
+                start, end, doc = value
+                mine = place[doc] >= 0
+                moved = np.cumsum(self.block.offs[rows + 1] - self.block.offs[rows]) - self.block.offs[rows + 1]
+                new = place[doc[mine]]
+                out._kept[name] = start[mine] + moved[new], end[mine] + moved[new], new
+            elif name == "word_hash":
+                out._kept[name] = value[place[self._kept["words"][2]] >= 0]
+            elif name != "prefix":
+                out._kept[name] = value[rows]
+        return out
 
     def __getattr__(self, name: str):
         if name.startswith("_") or not hasattr(Measures, f"_get_{name}"):
             raise AttributeError(name)
+        self.uses.setdefault(self._stack[-1], set()).add(name)
         if name not in self._kept:
+            began, outer, self._inner = time.perf_counter(), self._inner, 0.0
+            self._stack.append(name)
             self._kept[name] = getattr(self, f"_get_{name}")()
+            self._stack.pop()
+            took = time.perf_counter() - began
+            self.spent[name], self._inner = took - self._inner, outer + took
         return self._kept[name]
 
     def _get_words(self):
@@ -134,48 +179,77 @@ VERDICT_RULES = (
 RULES = BASE_RULES + VERDICT_RULES
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[float, float]]:
-    """Cost (seconds per byte) and rejected share of each rule on a sample of about ``sample_docs`` documents.
-
-    Each rule is timed alone, with nothing computed before it. Without rows every rule has cost and share 0.
-    """
+@dataclass(frozen=True)
+class Figures:
+    """Of a sample: the rejected share of each rule, the cost (seconds a byte) of each figure by itself, and what each rule and
+    each figure uses."""
+
+    share: dict[str, float]
+    cost: dict[str, float]
+    uses: dict[str, frozenset[str]]
+
+    def all_of(self, name: str) -> set[str]:
+        """Every figure that a rule or a figure needs."""
+        out: set[str] = set()
+        stack = [name]
+        while stack:
+            for f in self.uses.get(stack.pop(), ()):
+                if f not in out:
+                    out.add(f)
+                    stack.append(f)
+        return out
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS) -> Figures:
+    """Costs and rejected shares on a sample of about ``sample_docs`` documents. Without rows all are 0."""
+
+    def tried(block: TextBlock) -> tuple[Measures, list[int]]:
+        m, bad = Measures(block), []
+        for r in rules:
+            m._stack = [r.name]
+            bad.append(int(r.rejects(m).sum()))
+        return m, bad
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in blocks(batches):
-            names, took, out = [], [], []
-            for r in rules:
-                began = time.perf_counter()
-                bad = r.rejects(Measures(block))
-                names.append(r.name), took.append(time.perf_counter() - began), out.append(int(bad.sum()))
-            n = len(rules)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(took), pa.array(out, pa.int64()), pa.array([len(block.data)] * n, pa.int64()), pa.array([block.n] * n, pa.int64())], names=["rule", "took", "bad", "bytes", "docs"])
+            m, bad = tried(block)
+            names, values = [f"f {k}" for k in m.spent] + [f"r {r.name}" for r in rules], [*m.spent.values(), *map(float, bad)]
+            k = len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values, pa.float64()), pa.array([len(block.data)] * k, pa.int64()), pa.array([block.n] * k, pa.int64())], names=["name", "value", "bytes", "docs"])
 
+    uses = {k: frozenset(v) for k, v in tried(TextBlock(np.frombuffer(b"a", np.uint8), np.array([0, 1])))[0].uses.items()}
     n = docs.count()  # of a Parquet table: read from its footers
     sample = project(docs, text="string").sample(min(1.0, sample_docs / max(1, n)), 7)
-    # each part of the table tries its own few documents; only sums by rule are brought together
-    tried = sample.mapInArrow(trial, "rule string, took double, bad long, bytes long, docs long")
-    total = {r[0]: r[1:] for r in tried.groupBy("rule").agg(F.sum("took"), F.sum("bad"), F.sum("bytes"), F.sum("docs")).collect()}
-    return {r.name: (took / max(1, size), bad / max(1, n)) for r in rules for took, bad, size, n in [total.get(r.name, (0.0, 0, 0, 0))]}
-
-
-def plan(figures: dict[str, tuple[float, float]], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by falling rejection per cost; ties by their place in ``rules``."""
-    return sorted(rules, key=lambda r: -figures[r.name][1] / max(figures[r.name][0], 1e-12))
+    # each part of the table tries its own few documents; only sums by name are brought together
+    total = {r[0]: r[1:] for r in sample.mapInArrow(trial, "name string, value double, bytes long, docs long").groupBy("name").agg(F.sum("value"), F.sum("bytes"), F.sum("docs")).collect()}
+    share = {r.name: bad / max(1, seen) for r in rules for bad, _, seen in [total.get(f"r {r.name}", (0.0, 0, 0))]}
+    return Figures(share, {k[2:]: value / max(1, size) for k, (value, size, _) in total.items() if k[0] == "f"}, uses)
+
+
+def plan(figures: Figures, rules: tuple[Rule, ...] = RULES, given: tuple[Rule, ...] = ()) -> list[Rule]:
+    """Rules by falling rejection per cost; ties by their place in ``rules``. A rule costs what it needs beyond what the rules
+    before it, and those of ``given``, have computed: one that needs nothing more comes at once."""
+    done = {f for r in given for f in figures.all_of(r.name)}
+    left, out = list(rules), []
+    while left:
+        price = {r.name: sum(figures.cost.get(f, 0.0) for f in figures.all_of(r.name) - done) for r in left}
+        best = max(left, key=lambda r: figures.share[r.name] / max(price[r.name], 1e-15))
+        left.remove(best)
+        out.append(best)
+        done |= figures.all_of(best.name)
+    return out
 
 
-def cascade(block: TextBlock, order: list[Rule], shared: Measures | None = None) -> np.ndarray:
-    """Which documents pass all rules. A document is given to a rule only if it passed those before."""
-    alive = held = np.arange(block.n)  # documents not rejected yet, and those that ``now`` holds
-    now = shared or Measures(block)
+def cascade(m: Measures, order: list[Rule], alive: np.ndarray) -> np.ndarray:
+    """Which of the documents ``alive`` (their places) pass all rules. A rule is given those only that passed the ones before."""
+    now, out = m, np.zeros(m.n, bool)
+    places = np.arange(m.n)  # of the documents that ``now`` has
     for rule in order:
         if not len(alive):
             break
-        if len(alive) < 0.8 * now.n:  # worth copying the texts that are left
-            spans = list(zip(block.offs[alive].tolist(), block.offs[alive + 1].tolist()))
-            data = np.concatenate([block.data[a:b] for a, b in spans])
-            now, held = Measures(TextBlock(data, np.concatenate([[0], np.cumsum([b - a for a, b in spans])]).astype(np.int64))), alive
-        alive = alive[~rule.rejects(now)[np.searchsorted(held, alive)]]
-    out = np.zeros(block.n, bool)
+        if len(alive) < now.n:
+            now, places = now.only(np.searchsorted(places, alive)), alive
+        alive = alive[~rule.rejects(now)]
     out[alive] = True
     return out
 
@@ -191,7 +265,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches):
-            good = cascade(block, order)
+            good = cascade(Measures(block), order, np.arange(block.n))
             if good.any():
                 yield batch.filter(pa.array(good))
 
@@ -203,12 +277,13 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base figures, base_failed and kept.
 
-    The base figures are asked for of every document; the cascade of the other rules sees only those that the base
-    rules leave. Null and empty texts have no word and fail. Rows are judged one by one, each on its whole text: repeated
+    The base figures are asked for of every document; the cascade of the other rules is given only those that the base rules
+    leave, and each of its rules only those that the ones before it leave. What a rule needs beyond the base figures is what it
+    costs. Null and empty texts have no word and fail. Rows are judged one by one, each on its whole text: repeated
     rows repeat, null ids stay null. Other columns take no part; an empty table gives an empty report.
     """
     docs = project(docs, doc_id="long", text="string")
-    order = plan(estimate(docs, VERDICT_RULES), VERDICT_RULES)
+    order = plan(estimate(docs, BASE_RULES + VERDICT_RULES), VERDICT_RULES, given=BASE_RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches):
@@ -216,7 +291,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
             failed = np.zeros(block.n, bool)
             for r in BASE_RULES:
                 failed |= r.rejects(m)
-            kept = ~failed & cascade(block, order, m)
+            kept = cascade(m, order, np.flatnonzero(~failed))
             columns = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(np.int64)) for c in columns], pa.array(failed), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 

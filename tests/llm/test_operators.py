@@ -74,9 +74,44 @@ def test_quality_report(spark):
 
 
 def test_rule_order():
-    rules = quality.RULES[:3]
-    figures = {rules[0].name: (1.0, 0.1), rules[1].name: (4.0, 0.8), rules[2].name: (0.1, 0.0)}
-    assert [r.name for r in quality.plan(figures, rules)] == [rules[1].name, rules[0].name, rules[2].name]
+    """By rejection per cost, where a rule costs what is not computed yet."""
+    rule = lambda n: quality.Rule(n, None)
+    uses = {"a": frozenset({"x"}), "b": frozenset({"y"}), "c": frozenset({"x", "z"}), "x": frozenset({"w"}), "z": frozenset({"w"})}
+    figures = quality.Figures({"a": 0.1, "b": 0.8, "c": 0.09}, {"w": 1.0, "x": 1.0, "y": 4.0, "z": 0.5}, uses)
+    names = lambda given=(): [r.name for r in quality.plan(figures, tuple(map(rule, "abc")), given)]
+    assert figures.all_of("c") == {"w", "x", "z"} and names() == ["b", "a", "c"] and names((rule("a"),)) == ["a", "b", "c"]
+
+
+def test_rules_see_what_is_left(spark):
+    """In a report each rule is given fewer documents than the one before it, the first those that the base rules leave; figures
+    of some documents are those of a block that has them alone."""
+    texts = [t or "" for _, t in documents(300, 7)] + [" ".join(f"w{i}#" for i in range(40)), " ".join(str(10**6 + i * 7919) for i in range(40)), " ".join(f"v{i} v{i}" for i in range(30)), "word " * 3]
+    block = TextBlock(*text_buffers(pa.array(texts)))
+    m = quality.Measures(block)
+    failed = np.zeros(block.n, bool)
+    for r in quality.BASE_RULES:
+        failed |= r.rejects(m)
+    seen = []
+    counted = [quality.Rule(r.name, lambda x, r=r: (seen.append(x.n), r.rejects(x))[1]) for r in quality.VERDICT_RULES]
+    alive = np.flatnonzero(~failed)
+    kept = quality.cascade(m, counted, alive)
+    assert seen[0] == len(alive) < block.n and seen == sorted(seen, reverse=True) and seen[-1] < seen[0]
+    bad = np.zeros(block.n, bool)
+    for r in quality.VERDICT_RULES:
+        bad |= r.rejects(quality.Measures(block))
+    assert (kept == ~failed & ~bad).all()
+    names = [n[5:] for n in dir(quality.Measures) if n.startswith("_get_n_")] + ["word_chars"]
+    for ready in ([], ["words"], ["word_hash", "lines"], ["n_digits", "n_stutter"]):
+        whole = quality.Measures(block)
+        [getattr(whole, x) for x in ready]
+        rows = np.flatnonzero(np.arange(block.n) % 3 != 1)
+        part, alone = whole.only(rows), quality.Measures(TextBlock(*text_buffers(pa.array([texts[i] for i in rows]))))
+        for n in names:
+            assert (getattr(part, n) == getattr(alone, n)).all(), (ready, n)
+    f = quality.estimate(frame(spark, list(enumerate(texts))))
+    assert set(f.share) == {r.name for r in quality.RULES} and f.all_of("stutter") >= {"n_stutter", "n_words", "words", "word_hash", "prefix"} and f.cost["n_digits"] > 0
+    first = quality.plan(f, quality.VERDICT_RULES, quality.BASE_RULES)
+    assert {r.name for r in first} == {r.name for r in quality.VERDICT_RULES} and first[-1].name in ("stutter", "digits", "duplicate_lines", "symbols")
 
 
 @pytest.mark.parametrize("id_bytes", [16, 1])
