@@ -1,11 +1,11 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text, without its white space, is cut where a rolling hash of the last bytes meets a mask, so equal passages are
-cut alike wherever they lie. Each chunk gets an identifier. All chunks of one identifier are compared byte by byte:
-the least and the greatest of them, of each part and then of all, must be the same. Were two different chunks to share an
-identifier, longer identifiers are taken and verified in turn, and in the end the chunk itself, so identifiers are
-verified whatever their length. A document is then its recipe, the ordered list of chunk identifiers, and documents are
-equal when recipes are. Long texts are never moved again: the recipe is about a sixtieth of the text.
+cut alike wherever they lie. Each chunk gets an identifier. Chunks whose identifier occurs more than once are compared byte by
+byte: of equal ones one is left, and no two with one identifier may be. Were two different chunks to share an identifier,
+longer identifiers are taken and verified in turn, and in the end the chunk itself, so identifiers are verified whatever
+their length. A document is then its recipe, the ordered list of chunk identifiers, and documents are equal when recipes are.
+The recipe is about a sixtieth of the text; beside recipes only chunks that recur are moved, once for each part that has them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, fresh, prefix_hash, project, released, salted_group_stats, span_hash, split_by_ids
+from .common import IS_SPACE, Scratch, TextBlock, binary_array, blocks, fresh, held_ids, id_filter, prefix_hash, project, released, salted_group_stats, span_hash, split_by_ids, text_buffers
 
 #: Bytes that decide on a cut, bits of the mask (chunks of 2**bits bytes on average), most bytes of a chunk.
 WINDOW, MASK_BITS, MAX_CHUNK = 24, 10, 16384
@@ -63,35 +63,8 @@ def identify(chunk: bytes, size: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest() if size else chunk
 
 
-def _distinct_contents(docs: DataFrame, size: int) -> bool:
-    """Whether each identifier of so many bytes stands for one content."""
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk once for each block of text: copies within a block are compared here already."""
-        for _, block in blocks(batches):
-            block = normalised(block)
-            start, end, _ = cut(block)
-            raw = block.data.tobytes()
-            seen = dict.fromkeys((identify(c, size), c) for a, b in zip(start.tolist(), end.tolist()) for c in (raw[a:b],))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.binary())], names=["id", "chunk"])
-
-    # a popular chunk shrinks to one row in every part before it is moved; groups stream through, sorted
-    ends = docs.select("text").mapInArrow(cut_up, "id binary, chunk binary").groupBy("id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    return ends.filter("low <> high").limit(1).count() == 0
-
-
-def _verified_size(docs: DataFrame, size: int) -> int:
-    """The shortest length of identifiers, from ``size`` on by doubling, that tells all chunks apart; 0 if none does."""
-    while size <= MOST_ID_BYTES and not _distinct_contents(docs, size):
-        size *= 2
-    return size if size <= MOST_ID_BYTES else 0
-
-
-def recipes(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
-    """doc_id, n_points (code points of the text), text_sha256 (of the normalised text), recipe (verified identifiers)."""
-    docs = project(docs, doc_id="long", text="string")
-    size = _verified_size(docs, id_bytes)
+def _cook(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_points, text_sha256, and the recipe of identifiers of so many bytes."""
 
     def cook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in blocks(batches):
@@ -111,6 +84,73 @@ def recipes(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     return docs.mapInArrow(cook, "doc_id long, n_points long, text_sha256 string, recipe binary")
 
 
+def _numbered(docs: DataFrame, size: int) -> DataFrame:
+    return _cook(docs, size).withColumn("row", F.monotonically_increasing_id())
+
+
+def _repeated_ids(cooked: DataFrame, size: int) -> DataFrame:
+    """The identifiers that occur more than once in the recipes, whether in one document or in several."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, _ = text_buffers(b.column(0))
+            ids, n = np.unique(np.frombuffer(data.tobytes(), f"V{size}"), return_counts=True) if len(data) else (np.zeros(0, f"V{size}"), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([binary_array(np.frombuffer(ids.tobytes(), np.uint8), np.arange(len(ids) + 1) * size), pa.array(n.astype(np.int64))], names=["id", "n"])
+
+    return cooked.select("recipe").mapInArrow(count, "id binary, n long").groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id")
+
+
+def _id_numbers(ids: list[bytes]) -> np.ndarray:
+    """The first eight bytes of identifiers as numbers."""
+    return np.frombuffer(b"".join(x[:8].ljust(8, b"\0") for x in ids), np.uint64)
+
+
+def shipped_chunks(docs: DataFrame, cooked: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """id, chunk: of the chunks whose identifier occurs more than once, each content once for each block of text. A chunk of which
+    there is one needs no comparison, and stays where it is (but for the few that the filter of ids cannot tell)."""
+    repeated = scratch.save(_repeated_ids(cooked, size))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield _id_numbers(b.column(0).to_pylist())
+
+    held = id_filter(repeated, numbers, repeated.count())
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in blocks(batches):
+            block = normalised(block)
+            start, end, _ = cut(block)
+            raw = block.data.tobytes()
+            ids = [identify(raw[a:b], size) for a, b in zip(start.tolist(), end.tolist())]
+            again = np.flatnonzero(held_ids(held.value, _id_numbers(ids))).tolist() if ids else []
+            seen = dict.fromkeys((ids[i], raw[start[i] : end[i]]) for i in again)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.binary())], names=["id", "chunk"])
+
+    return docs.select("text").mapInArrow(cut_up, "id binary, chunk binary")
+
+
+def _distinct_contents(docs: DataFrame, cooked: DataFrame, size: int, scratch: Scratch) -> bool:
+    """Whether each identifier of so many bytes stands for one content: of equal chunks one stays, in every part before it is
+    moved, and then no identifier may be left twice."""
+    one = shipped_chunks(docs, cooked, size, scratch).distinct()
+    return one.groupBy("id").count().filter("count > 1").limit(1).count() == 0
+
+
+def recipes(docs: DataFrame, id_bytes: int = ID_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_points (code points of the text), text_sha256 (of the normalised text), recipe, row (a number of its own for each
+    row): a written table, with identifiers of the shortest length, from ``id_bytes`` on by doubling, that tells all chunks apart; the chunks themselves if none does."""
+    docs, scratch = project(docs, doc_id="long", text="string"), scratch or Scratch(docs.sparkSession)
+    size = id_bytes
+    while size <= MOST_ID_BYTES:
+        cooked = scratch.save(_numbered(docs, size))
+        if _distinct_contents(docs, cooked, size, scratch):
+            return cooked
+        scratch.drop(cooked)
+        size *= 2
+    return scratch.save(_numbered(docs, 0))
+
+
 def exact_groups(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     """One row per document with the group of equal texts that it belongs to.
 
@@ -121,7 +161,7 @@ def exact_groups(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     Returns doc_id, keep_id, group_size, kept, text_sha256, n_points.
     """
     scratch = Scratch(docs.sparkSession)
-    base = scratch.save(recipes(docs, id_bytes).withColumn("row", F.monotonically_increasing_id()))
+    base = recipes(docs, id_bytes, scratch)
     # null ids first, then the smallest; ``row`` tells rows apart that are alike, and spreads them
     best = F.struct(F.col("n_points"), F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"), (-F.col("row")).alias("at"))
     grouped = salted_group_stats(base, ["recipe"], F.xxhash64("row"), {"group_size": F.count(F.lit(1)), "_best": F.max(best)}, {"group_size": F.sum, "_best": F.max})

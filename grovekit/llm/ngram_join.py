@@ -263,17 +263,6 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "kind int, doc_id long, n long, cls binary, payload binary")
 
 
-def _order_key(token: np.ndarray, known: tuple) -> np.ndarray:
-    """The first order: tokens that recur in no part by hash, then those of the filter, then the table by rising count."""
-    held, frequent, rank = known
-    low = token >> np.uint64(1)
-    key = np.where(held_ids(held, token), low + np.uint64(1 << 62), low)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-        key = np.where(frequent[at] == token, np.uint64(1 << 63) + rank[at], key)
-    return key
-
-
 def _frequent_tokens(sets: DataFrame, size: int, scratch: Scratch) -> tuple:
     """What the first order goes by: a filter of the tokens that recur, and the most frequent ones with their ranks by
     count. Both are of bounded size."""

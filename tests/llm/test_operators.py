@@ -137,13 +137,28 @@ def test_exact_groups(spark, id_bytes):
         assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+def test_only_repeated_chunks_are_moved(spark):
+    """Bytes that are compared follow the chunks that recur, in one document or in several."""
+    r = random.Random(11)
+    text = lambda k: " ".join("%016x" % r.getrandbits(64) for _ in range(k))
+    alone, twice = [text(2000) for _ in range(30)], text(3000)
+    moved = {}
+    for name, texts in {"none": alone, "some": [*alone, twice, twice], "within": [*alone[:5], twice + " " + twice], "all": [*alone, *alone]}.items():
+        scratch = exact_dedup.Scratch(spark)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        cooked = scratch.save(exact_dedup._cook(df, 16))
+        moved[name] = exact_dedup.shipped_chunks(df, cooked, 16, scratch).selectExpr("sum(length(chunk)) AS n").first().n or 0
+    size = len(alone[0].replace(" ", "")) * 30
+    assert moved["none"] < 0.02 * size and 0.8 * 48_000 < moved["within"] < 60_000 and 0.8 * 48_000 < moved["some"] < 2 * 48_000 + 0.02 * size and moved["all"] > 0.9 * size
+
+
 @pytest.mark.parametrize("size,most", [(1, 64), (1, 1)])
 def test_identifiers_are_verified(spark, monkeypatch, size, most):
     """Colliding identifiers are made longer until they tell all chunks apart; at last the chunks themselves do."""
     monkeypatch.setattr(exact_dedup, "MOST_ID_BYTES", most)
     df = frame(spark, documents()).select("doc_id", "text")
-    got = exact_dedup._verified_size(df, size)
-    assert got == 0 if most == 1 else 1 < got <= most
+    sizes = {len(r.recipe) for r in exact_dedup.recipes(df, size).collect() if r.recipe}
+    assert min(sizes) > 5 if most == 1 else any(g in sizes and all(s % g == 0 for s in sizes) for g in (2, 4, 8))
     texts = {WS.sub("", t or "") for _, t in documents()}
     assert exact_dedup.recipes(df, size).select("recipe").distinct().count() == len(texts)
 
