@@ -158,6 +158,16 @@ def d17_collisions(spark, sf):
     return q.groupBy(F.col("q.project").alias("project"), "t").agg(F.max(F.when(F.col("q.project") == F.col("o.project"), F.col("o.fact"))).alias("gold"), F.count_if(F.col("q.project") != F.col("o.project")).alias("n_distractors"))
 
 
+def d16b_trees(spark, sf):
+    """Whole synthetic trees, one for each supplier: folders, notes, tasks and queries."""
+    return corpus.synthetic_trees(table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("tree")), "tree")
+
+
+def d17b_confusable(spark, sf):
+    """Corpora of confusable projects, one for each supplier, with gold and misleading notes of each query."""
+    return corpus.confusable_corpora(table(spark, sf, "supplier"), "s_suppkey")
+
+
 _INGEST = """f AS (SELECT source AS root, lang AS source, 'notes/' || lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path, text, doc_id,
   CASE WHEN doc_id % 11 = 0 THEN 'not_utf8' WHEN doc_id % 13 = 0 THEN 'empty' WHEN doc_id % 17 = 0 THEN 'unreadable' WHEN strlen(text) > 80000 THEN 'too_large' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty' END AS r FROM documents),
 g AS (SELECT *, coalesce(sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
@@ -205,6 +215,24 @@ SELECT count(*) AS n_leaked FROM (SELECT text FROM s WHERE split = 'train' INTER
     "d14_wrong_pool": with_views("SELECT vault, id, count(*) AS n_wrong, arg_min(coalesce(pred, 'none'), md5('7|' || id || '|' || arm)) AS shown FROM soft WHERE NOT coalesce(exact, false) GROUP BY vault, id", "verdicts"),
     "d15_annotator_order": "SELECT item_id, annotator, row_number() OVER (PARTITION BY annotator ORDER BY md5('7/' || annotator || '/gold/' || item_id)) AS place FROM benchmark CROSS JOIN (VALUES ('ann'), ('bob')) a(annotator)",
     "d16_synthetic": "SELECT 'task_' || substr(sha1(lower(n_name) || '/' || t), 1, 10) AS id, '/work/' || replace(lower(n_name), ' ', '-') || '/' || topic AS gold, 'Note ' || t || ' on ' || topic || ' of ' || lower(n_name) AS text, t >= 8 AS twin FROM nation CROSS JOIN (SELECT t, ['budget', 'results', 'meeting', 'ideas'][t % 4 + 1] AS topic FROM range(12) r(t))",
+    "d16b_trees": """WITH tr AS (SELECT DISTINCT 's' || s_suppkey AS tree FROM supplier), tp AS (SELECT ['budget', 'results', 'meeting', 'ideas', 'plans'] AS tp),
+f AS (SELECT *, t - CASE WHEN t < 3 THEN 0 WHEN t < 18 THEN 3 WHEN t < 30 THEN 18 ELSE 30 END AS i FROM tr, tp, range(34) r(t)),
+facts AS (SELECT tree, 'fact' AS kind, tree || ':' || t AS id, t, CASE WHEN t = 0 THEN '/personal/health' WHEN t = 1 THEN '/personal/family' WHEN t = 2 THEN '/inbox' WHEN t < 30 THEN '/work/' || tree || '/' || tp[i % 5 + 1] ELSE '/work/' || tree || '/' || tp[(i + 1) % 5 + 1] END AS path_key,
+  CASE WHEN t = 0 THEN 'My health' WHEN t = 1 THEN 'My family' WHEN t = 2 THEN 'Unsorted of ' || tree WHEN t < 18 THEN 'Only here: ' || i || ' of ' || tree ELSE 'Point ' || i || ' on ' || tp[i % 5 + 1] || ' of ' || tree END AS text, CASE WHEN t >= 18 THEN 'twin' || i END AS twin_key FROM f),
+d AS (SELECT tree, CASE WHEN t < 5 THEN ['/personal', '/personal/health', '/personal/family', '/inbox', '/work'][t + 1] WHEN t = 5 THEN '/work/' || tree ELSE '/work/' || tree || '/' || tp[t - 5] END AS p FROM tr, tp, range(11) r(t)),
+q AS (SELECT *, t % 12 AS i FROM tr, tp, range(16) r(t))
+SELECT tree, kind, id, path_key, text, twin_key, NULL AS gold, NULL::BIGINT AS n_distractors FROM facts
+UNION ALL SELECT tree, 'task', 'task_' || substr(sha1(id), 1, 10), path_key, text, twin_key, path_key, NULL FROM facts WHERE t < 30
+UNION ALL SELECT tree, 'dir', tree || p, p, NULL, NULL, NULL, NULL FROM d
+UNION ALL SELECT tree, 'query', tree || '?' || t, NULL, 'What of ' || lower('Point ' || i || ' on ' || tp[i % 5 + 1] || ' of ' || tree) || '?', 'twin' || i, tree || ':' || (i + 18) || CASE WHEN i < 4 THEN ',' || tree || ':' || (i + 30) ELSE '' END, CASE WHEN t < 12 THEN (SELECT count(*) FROM tr) - 1 ELSE 0 END FROM q""",
+    "d17b_confusable": """WITH co AS (SELECT DISTINCT s_suppkey::VARCHAR AS c FROM supplier),
+f AS (SELECT c, t, (t - 8) // 12 AS p, (t - 8) % 12 AS k FROM co, range(104) r(t)),
+q AS (SELECT c, t, CASE WHEN t < 64 THEN 'project' WHEN t < 69 THEN 'global' WHEN t < 75 THEN 'mixed' WHEN t < 78 THEN 'adversarial' ELSE 'identity' END AS kind, t - CASE WHEN t < 64 THEN 0 WHEN t < 69 THEN 64 WHEN t < 75 THEN 69 WHEN t < 78 THEN 75 ELSE 78 END AS i FROM co, range(79) r(t)),
+w AS (SELECT *, CASE kind WHEN 'project' THEN i // 8 WHEN 'mixed' THEN i WHEN 'adversarial' THEN i WHEN 'identity' THEN 0 END AS p, CASE kind WHEN 'project' THEN i % 8 WHEN 'mixed' THEN 8 WHEN 'adversarial' THEN 9 WHEN 'identity' THEN 11 ELSE i END AS k FROM q),
+x AS (SELECT w.c, w.t, string_agg(w.c || ':' || o.o || ':' || k, ',' ORDER BY o.o) AS distractors FROM w, range(8) o(o) WHERE CASE kind WHEN 'global' THEN true WHEN 'adversarial' THEN o.o > p AND o.o <= p + 2 WHEN 'identity' THEN o.o = 1 ELSE o.o <> p END GROUP BY ALL)
+SELECT c AS corpus, 'fact' AS kind, CASE WHEN t < 8 THEN c || ':g:' || t ELSE c || ':' || p || ':' || k END AS id, CASE WHEN t >= 8 THEN 'p' || p END AS project, CASE WHEN t < 8 THEN 'Rule ' || t ELSE 'Setting ' || k || ' is ' || CASE WHEN k = 11 THEN 0 ELSE (p * 13 + k * 7) % 10 END END AS text, NULL AS gold, NULL AS distractors FROM f
+UNION ALL SELECT c, kind, c || '?' || t, 'p' || p, CASE WHEN kind = 'global' THEN 'Which is rule ' || i || '?' WHEN kind = 'adversarial' THEN 'It is not so elsewhere: what is setting ' || k || '?' ELSE 'What is setting ' || k || '?' END,
+  CASE kind WHEN 'global' THEN c || ':g:' || i WHEN 'mixed' THEN c || ':' || p || ':' || k || ',' || c || ':g:' || i ELSE c || ':' || p || ':' || k END, distractors FROM w JOIN x USING (c, t)""",
     "d17_collisions": "SELECT lower(r_name) AS project, t, lower(r_name) || ':' || t AS gold, (SELECT count(*) FROM region) - 1 AS n_distractors FROM region CROSS JOIN range(6) r(t)",
 }
 QUERIES = {k: f for k, f in globals().items() if k in SQL}

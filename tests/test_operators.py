@@ -335,3 +335,24 @@ def test_cosines_behind_pivots(spark):
         pairs = {(a.a, a.b) for a in retrieval.near_pairs(df.select("id", "scope", "vector"), least, "scope", block).collect()}
         assert pairs == {(i, j) for i in range(900) for j in range(i + 1, 900) if i % 2 != j % 2 and round(cos[i, j], 6) >= least}
     assert retrieval.near_pairs(df.filter("false").select("id", "scope", "vector"), 0.9, "scope").count() == 0
+
+
+def test_synthetic_corpora_are_whole(spark):
+    """The numbers of rows of a kind, and gold and misleading notes that are there and apart."""
+    t = corpus.synthetic_trees(spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "tree string"), "tree").collect()
+    count = lambda rows, kind, **of: sum(r.kind == kind and all(r[k] == v for k, v in of.items()) for r in rows)
+    assert [count(t, k, tree="b") for k in ("dir", "fact", "task", "query")] == [11, 34, 30, 16]
+    notes = {r.id: r for r in t if r.kind == "fact"}
+    assert len(notes) == 3 * 34 and {r.path_key for r in notes.values()} <= {r.path_key for r in t if r.kind == "dir"}
+    for r in t:
+        if r.kind == "query":
+            assert all(notes[g].tree == r.tree and notes[g].twin_key == r.twin_key for g in r.gold.split(",")) and r.n_distractors in (0, 2)
+    c = corpus.confusable_corpora(spark.createDataFrame([(1,), (2,)], "k int"), "k").collect()
+    assert [count(c, k, corpus="2") for k in ("fact", "project", "global", "mixed", "adversarial", "identity")] == [104, 64, 5, 6, 3, 1]
+    ids = {r.id: r for r in c if r.kind == "fact"}
+    for r in c:
+        if r.kind != "fact":
+            gold, wrong = set(r.gold.split(",")), set(r.distractors.split(","))
+            assert gold | wrong <= set(ids) and not gold & wrong and all(ids[x].corpus == r.corpus for x in gold | wrong)
+            if r.kind == "identity":
+                assert {ids[x].text for x in gold | wrong} == {ids[r.gold].text}
