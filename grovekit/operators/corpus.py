@@ -104,10 +104,9 @@ def capped_sample(df: DataFrame, plan: Sequence[tuple[str, int]], bucket: str, v
 def pinned_sample(df: DataFrame, pinned: DataFrame, item: str, n: int, seed: int) -> DataFrame:
     """The pinned items and others in hash order, n together (or all pinned ones, if more)."""
     marked = df.join(pinned.select(item).distinct().withColumn("_p", F.lit(True)), item, "left").withColumn("_p", F.coalesce("_p", F.lit(False)))
-    first = marked.filter("_p")
-    rest = marked.filter("NOT _p").orderBy(order_key(seed, F.col(item)), item).limit(n)
-    both = first.unionByName(rest).withColumn("_r", F.row_number().over(Window.orderBy(F.col("_p").desc(), order_key(seed, F.col(item)), item)))
-    return both.filter((F.col("_r") <= n) | F.col("_p")).drop("_p", "_r")
+    first = marked.filter("_p").drop("_p")
+    rest = marked.filter("NOT _p").drop("_p").orderBy(order_key(seed, F.col(item)), item)
+    return first.unionByName(rest.limit(max(0, n - first.count())))
 
 
 def class_sample(df: DataFrame, label: str, item: str, n: int, seed: int) -> DataFrame:
