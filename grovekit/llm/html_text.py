@@ -68,11 +68,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "depth", "box", "dropped", "boiler", "fixed", "named", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
+    __slots__ = ("tag", "children", "parent", "depth", "box", "own", "dropped", "boiler", "fixed", "named", "chars", "links", "tags", "link_tags", "linked", "density", "plain", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, boiler: bool = False, fixed: bool = False, named: bool = False):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
-        self.depth = parent.depth + 1 if parent is not None else 0
+        self.depth, self.own = parent.depth + 1 if parent is not None else 0, -1
         #: The nearest element from here upwards that is no piece of a text.
         self.box = parent.box if parent is not None and tag in _PIECES else self
         #: What surrounds a text, by its element or role (never holding one, if fixed), or by its names.
@@ -139,12 +139,12 @@ class _Open:
             self.articles -= node.tag in ("article", "main")
 
     def deepest(self, tags) -> int:
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+        return max([self.at[t][-1] for t in tags if self.at.get(t)], default=0)
 
     def end(self, tag: str) -> bool:
         """Closes the nearest open element of a name, if there is one within its scope."""
-        depth = self.deepest((tag,))
-        if not depth or self.deepest(_SCOPES.get(tag, ())) > depth or (tag not in _THROUGH_CELLS and self.deepest(("td", "th", "table")) > depth):
+        depth = self.at[tag][-1] if self.at.get(tag) else 0
+        if not depth or (tag in _SCOPES and self.deepest(_SCOPES[tag]) > depth) or (tag not in _THROUGH_CELLS and self.deepest(("td", "th", "table")) > depth):
             return False
         self.cut(depth)
         return True
@@ -222,14 +222,21 @@ def _believe(root: Node) -> None:
     held, articles = {}, {}
     for n in nodes:
         kids = [c for c in n.children if type(c) is Node and not c.dropped]
-        size = sum(len(_SPACE.sub(" ", c).strip()) for c in n.children if type(c) is str) + sum(held[id(c)] for c in kids)
+        size = _own(n) + sum([held[id(c)] for c in kids])
         held[id(n)] = 0 if n.tag == "a" or n.fixed else size
-        articles[id(n)] = sum(articles[id(c)] for c in kids) + (n.tag in ("article", "main") and size > 0)
+        articles[id(n)] = sum([articles[id(c)] for c in kids]) + (n.tag in ("article", "main") and size > 0)
     for n in nodes:
         if n.boiler and not n.fixed and held[id(n)] and held[id(n)] >= _NEARLY_ALL * held[id(root)] and articles[id(n)] == articles[id(root)]:
             n.boiler = False
 
 
+def _own(n: Node) -> int:
+    """Characters of a node's own text, white space as one space each."""
+    if n.own < 0:
+        n.own = sum([len(_SPACE.sub(" ", c).strip()) for c in n.children if type(c) is str])
+    return n.own
+
+
 def _post_order(root: Node) -> list[Node]:
     """Children before parents, without recursion."""
     out, stack = [], [root]
@@ -254,12 +261,8 @@ def measure(root: Node, names: bool = True) -> list[Node]:
         n.chars = n.links = n.tags = n.link_tags = 0
         n.density = n.plain = n.total = 0.0
         n.peak = n
-    own = []
     for n in nodes:
-        for c in n.children:
-            if type(c) is str:
-                n.chars += len(_SPACE.sub(" ", c).strip())
-        own.append(n.chars)
+        n.chars = _own(n)
         for c in n.children:
             if type(c) is Node and not c.dropped:
                 n.chars += c.chars
@@ -269,9 +272,10 @@ def measure(root: Node, names: bool = True) -> list[Node]:
         if n.linked:
             n.links = n.chars
     whole = root.links / root.chars if root.chars else 0.0
-    for n, chars in zip(nodes, own):
+    for n in nodes:
         if not n.chars:
             continue
+        chars = n.own
         n.density = 0.0 if n.linked else _composite(n.chars, n.links, n.tags, n.link_tags, whole)
         n.plain = (n.chars - n.links) / max(1, n.tags)
         below = [c for c in n.children if type(c) is Node and not c.dropped]
