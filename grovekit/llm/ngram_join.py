@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, released, salted_group_stats, span_hash, split_by_ids, text_buffers, text_bytes
+from .common import SALTS, BucketWriter, Scratch, TextBlock, binary_array, blocks, bucket_count, give_back, held_ids, id_filter, in_filter, mix, prefix_hash, project, read_payloads, released, salted_group_stats, span_hash, split_by_ids, text_buffers, text_bytes
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, SIM = 5, (75, 100)
@@ -254,11 +254,13 @@ def jaccard_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n, np.int32)), batch.column(0), pa.array(count.astype(np.int64)), _class_array(cls), pa.nulls(block.n, pa.binary())], names=names)
             held.append(token[_first_seen(cls, seen)[doc]])
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from frequent()
                 held, size = [], 0
         if size:
             yield from frequent()
+        held.clear(), seen.clear()
+        give_back()
 
     return docs.mapInArrow(scan, "kind int, doc_id long, n long, cls binary, payload binary")
 
@@ -409,6 +411,8 @@ def _candidates(docs: DataFrame, known: tuple, size: int, sim: tuple[int, int])
             yield from out()
         yield from w.flush()
         yield from hot.flush()
+        held_rows.clear(), seen.clear()
+        give_back()
 
     def pair(key: tuple, t: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -430,6 +434,8 @@ def _candidates(docs: DataFrame, known: tuple, size: int, sim: tuple[int, int])
         digest = [hashlib.md5(np.ascontiguousarray(x["c"]).tobytes() if t in whole_list else b"%d %d" % (t, sub)).digest() for t, sub, x in pieces]
         members = pa.StructArray.from_arrays([_class_array(joined["c"]), pa.array(joined["n"].astype(np.int64)), pa.array(joined["i"].astype(np.int64))], ["cls", "n", "i"])
         members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for _, _, x in pieces])]).astype(np.int32)), members)
+        del r, whole, long, joined
+        give_back()
         return pa.table({
             "a": pa.concat_arrays([_class_array(a), pa.nulls(none, pa.binary())]), "b": pa.concat_arrays([_class_array(b), pa.nulls(none, pa.binary())]),
             "list_id": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array([x for x, _, _ in pieces], pa.int64())]),
@@ -478,6 +484,8 @@ def _profiles(docs: DataFrame, found: DataFrame, classes: DataFrame, scratch: Sc
             mine = pa.array(_first_seen(cls, seen))
             sketch = binary_array(*_sketches(doc, token, block.n))
             yield pa.RecordBatch.from_arrays([x.filter(mine) for x in (_class_array(cls), prefixes(doc, token, block.n, sim), sketch)], names=["cls", "prefixes", "sketch"])
+        seen.clear()
+        give_back()
 
     made = _texts_of(docs, wanted.select("rep"), (0,)).mapInArrow(run, "cls binary, prefixes binary, sketch binary")
     made = made.groupBy("cls").agg(F.first(F.struct("prefixes", "sketch")).alias("s")).select("cls", "s.*")
@@ -496,6 +504,7 @@ def _in_pairs(pairs: DataFrame, profile: DataFrame, sim: tuple[int, int]) -> Dat
                 x, y = Profile(m, p, r), Profile(n, q, s)
                 ok.append(agree_in_orders(x, y, sim) and agree_in_sketch(x, y, sim))
             yield b.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     # the parts of both sides that pairs need are brought together by pair; few pairs go to where the classes are
     few = pairs.count() <= FEW_PAIRS
@@ -554,6 +563,8 @@ def _in_lists(member: DataFrame, profile: DataFrame, sim: tuple[int, int], block
                 apart = np.bitwise_count(theirs ^ own).sum(1).astype(np.int64)
                 for k in part[apart * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (n[x] + n[part])].tolist():
                     out.append((cls[x], cls[k]) if cls[x] < cls[k] else (cls[k], cls[x]))
+        matrix.clear()
+        give_back()
         return pa.table({c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate("ab")})
 
     return rows.groupBy("list_id", "p", "q").applyInArrow(pairs, "a binary, b binary").distinct()
@@ -580,6 +591,7 @@ def _verified(near: DataFrame, docs: DataFrame, scratch: Scratch, sim: tuple[int
                 meant = (cx == _classes(b.column(0))).all(1) & (cy == _classes(b.column(1))).all(1)
                 ok = [bool(m) and similar(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], sim) for k, m in enumerate(meant)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     whole = near.join(found.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("x")), "a_rep").join(found.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("y")), "b_rep")
     return scratch.save(whole.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct())
