@@ -23,6 +23,9 @@ from ..sources.scratch import Scratch, released  # noqa: F401
 # Python workers live on from stage to stage: freed memory should go back to the system at once.
 pa.set_memory_pool(pa.system_memory_pool())
 _LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):  # large arrays are mapped by themselves, so they go back when they are freed, wherever they lie
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would grow with use
+    _LIBC.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
 
 
 def give_back() -> None:
@@ -178,6 +181,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), TextBlock(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
             at = to
+    give_back()
 
 
 def binary_array(data: np.ndarray, offs: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
