@@ -192,7 +192,8 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, scope: str = "vault", k:
     has it.
     """
     more = [part] if part else []
-    notes = corpus.select(scope, F.col("id").alias("doc"), F.col("ord").alias("doc_ord"), tokenize(F.col("text")).alias("tokens"), *more)
+    # texts are cut into tokens once; statistics and blocks read what was written
+    notes = Scratch(corpus.sparkSession).save(corpus.select(scope, F.col("id").alias("doc"), F.col("ord").alias("doc_ord"), tokenize(F.col("text")).alias("tokens"), *more))
     stats = notes.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("tokens")) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
     df = notes.select(scope, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     asked = term_counts(queries, [scope, "id"]).join(df, [scope, "term"]).join(stats.select(scope, "n"), scope)
