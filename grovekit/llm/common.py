@@ -56,7 +56,7 @@ _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand and kept by the worker."""
+    """Powers of the hash base and of its inverse; the worker keeps those that blocks of the usual size need."""
 
     up = np.ones(1, U64)
     down = np.ones(1, U64)
@@ -64,15 +64,22 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, BLOCK_BYTES + 1024)
+            size = -(-n // _STEP) * _STEP
             base = np.full(size, _PRIME & _MASK64, U64)
             base[0] = 1
             inv = np.full(size, _INVERSE, U64)
             inv[0] = 1
-            cls.up, cls.down = np.cumprod(base, dtype=U64), np.cumprod(inv, dtype=U64)
+            up, down = np.cumprod(base, dtype=U64), np.cumprod(inv, dtype=U64)
+            if size > BLOCK_BYTES + _STEP:  # a very long text: not kept
+                return up[:n], down[:n]
+            cls.up, cls.down = up, down
         return cls.up[:n], cls.down[:n]
 
 
+#: Powers are made so many at a time.
+_STEP = 1 << 18
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two multiply-xorshift rounds)."""
     x = x ^ (x >> U64(30))
