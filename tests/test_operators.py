@@ -356,3 +356,29 @@ def test_synthetic_corpora_are_whole(spark):
             assert gold | wrong <= set(ids) and not gold & wrong and all(ids[x].corpus == r.corpus for x in gold | wrong)
             if r.kind == "identity":
                 assert {ids[x].text for x in gold | wrong} == {ids[r.gold].text}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_scores_are_made_once():
+    """What goes back to the scores reads a written table: a plan that scores would do so for each time."""
+    from pyspark.sql import SparkSession
+
+    from grovekit.plans import q_corpus, q_retrieval
+
+    s = SparkSession.getActiveSession()
+    for query in (q_corpus.d12b_pinned_sample, q_retrieval.e6_bm25_topk, q_retrieval.e15_snippets):
+        assert "InArrow" not in _plan(query(s, SF))
+    assert "substring(text" in _plan(q_retrieval.e15_snippets(s, SF)).split("Optimized Logical Plan")[1].split("Join", 1)[1].split("collect_list")[-1]
+
+
+def test_bm25_moves_blocks(spark):
+    """Blocks of texts meet as one row each, whatever is in them; a scope of all notes is no single task's join."""
+    docs = spark.createDataFrame([("v", i, i, f"w{i % 7} w{i % 11} the") for i in range(90)], "vault string, id long, ord long, text string")
+    words = docs.select("vault", F.col("id").alias("doc"), F.col("text").alias("words"), F.lit(9).alias("size"))
+    blocks = retrieval._token_blocks(words, "vault", ["doc"], 30).collect()
+    assert len(blocks) == 3 and sum(b.n for b in blocks) == 90 and sum(b.tokens for b in blocks) == 270
+    plan = _plan(retrieval.bm25_scores(docs, docs.select("vault", "id", "text"), k=2, block=30))
+    assert "FlatMapCoGroupsInArrow" not in plan and "BroadcastHashJoin" in plan
