@@ -10,7 +10,7 @@ from ..operators import corpus
 from ..operators.placers import with_soft
 from ..sources.files import ingest
 from .q_scalars import _FILES, _IS_CODE, _IS_MANIFEST, _files
-from .views import arms, items, notes, table, trees, with_views
+from .views import arms, held, items, notes, table, trees, with_views
 
 
 def b6_ingest(spark, sf):
@@ -119,7 +119,7 @@ def d12_stratified_sample(spark, sf):
 
 
 def d12b_pinned_sample(spark, sf):
-    w = _wrong(spark, sf).select("vault", "id")
+    w = held(_wrong(spark, sf).select("vault", "id"))
     return corpus.pinned_sample(w, w.filter(F.col("id") < 60), "id", 30, 7)
 
 
