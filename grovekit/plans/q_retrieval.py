@@ -154,7 +154,8 @@ def e14_union(spark, sf):
 
 def e15_snippets(spark, sf):
     it = items(spark, sf)
-    r = held(placers.ranked_train(it, 24)).join(it.select("vault", F.col("id").alias("doc"), "text"), ["vault", "doc"])
+    # only what a snippet shows of a text goes along
+    r = held(placers.ranked_train(it, 24)).join(it.select("vault", F.col("id").alias("doc"), F.substring("text", 1, 30).alias("text")), ["vault", "doc"])
     short = retrieval.folder_candidates(r, KEYS, "doc_key", 3, 8)
     out = retrieval.snippets(r, short, KEYS, "doc_key", "text", 2, 30)
     return out.select("vault", "id", "doc_key", "pos", F.md5(F.concat_ws("|", "snippets").cast("binary")).alias("snippets"), F.size("snippets").alias("n_snippets"))
