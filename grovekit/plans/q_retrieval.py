@@ -54,7 +54,7 @@ def e5_bm25(spark, sf):
 def e6_bm25_topk(spark, sf):
     """With notes that share no term to fill up."""
     it = items(spark, sf)
-    best = retrieval.top_k(_bm(it, 10), KEYS, 10)
+    best = held(retrieval.top_k(_bm(it, 10), KEYS, 10))
     full = retrieval.fill_zeros(best, it.filter("split = 'train'"), it.filter("split = 'val'"), 10)
     return retrieval.top_k(full, KEYS, 10).select("vault", "id", "doc", F.round("score", 6).alias("score"), "rk")
 
