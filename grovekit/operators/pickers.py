@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,22 @@ def back_off(attempt: int) -> float:
     return min(2.0**attempt, 30.0) + random.random() * 2
 
 
+#: Prompts that a Python worker holds at a time: each has whole texts of notes.
+PROMPTS = 256
+
+
+@contextmanager
+def few_prompts(spark: SparkSession, rows: int = PROMPTS) -> Iterator[None]:
+    """What is written inside goes to Python workers in batches of at most so many rows (of 10,000, by Spark's default)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_picker(prompts: DataFrame, pick: Callable[[list[str]], list[str]], batch: int = 16, attempts: int = 6, wait: Callable[[int], float] = back_off) -> DataFrame:
     """Adds raw, the replies of ``pick`` to the column prompt, asked in batches, and picker_error.
 

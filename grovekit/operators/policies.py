@@ -138,7 +138,7 @@ def decide_by_model(claims: DataFrame, ask: Callable[[list[str]], list[str]], re
     A model is asked for a list of operations; a reply that cannot be read, or with a wrong operation in it, is asked for
     again up to ``retries`` times, and at last the claim is added. Only claims without a valid reply are asked for again.
     """
-    from .pickers import with_picker
+    from .pickers import few_prompts, with_picker
 
     scratch = Scratch(claims.sparkSession)
     related = F.transform(F.coalesce("related", F.array().cast("array<struct<id:string,text:string,sim:double>>")), lambda x: F.struct(x["id"].cast("string").alias("id"), x["text"].alias("text")))
@@ -148,7 +148,8 @@ def decide_by_model(claims: DataFrame, ask: Callable[[list[str]], list[str]], re
         wrong = F.get(F.filter("given", lambda x: x["error"].isNotNull()), F.lit(0))["error"]
         error = F.when(F.col("raw").isNull(), F.lit("no_reply")).when(F.size("given") == 0, F.lit("parse_fail")).otherwise(wrong)
         asked = asked.withColumns({"parse_error": error, "n_asked": F.lit(attempt + 1)})
-        asked = scratch.save(asked.withColumn("prompt", F.regexp_replace("prompt", r"\nattempt \d+$", "")))
+        with few_prompts(claims.sparkSession):
+            asked = scratch.save(asked.withColumn("prompt", F.regexp_replace("prompt", r"\nattempt \d+$", "")))
         good = asked.filter("parse_error IS NULL")
         done = good if done is None else done.unionByName(good)
         left = asked.filter("parse_error IS NOT NULL").select(*left.columns)

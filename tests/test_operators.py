@@ -402,3 +402,18 @@ def test_hybrid_has_no_row_for_a_neighbour(spark):
         want |= {(q[1], x[1], len(cand), k + 1) for k, x in enumerate(order(cand)[:4])}
     assert {(x.id, x.doc, x.n_candidates, x.rk) for x in out.collect()} == want
     assert "zip_with" not in _plan(out)
+
+
+def test_prompts_come_in_small_batches(spark, monkeypatch):
+    """A worker holds a few hundred claims with the texts shown, whatever the size of its part; the setting is as before after it."""
+    from grovekit.operators import policies
+
+    name, seen, save = "spark.sql.execution.arrow.maxRecordsPerBatch", [], policies.Scratch.save
+    before = spark.conf.get(name)
+    monkeypatch.setattr(policies.Scratch, "save", lambda self, df: (seen.append(int(spark.conf.get(name))), save(self, df))[1])
+    claims = spark.sql("SELECT id, 'a claim' AS text, CAST(NULL AS string) AS project, CAST(NULL AS array<struct<id:bigint,text:string,sim:double>>) AS related FROM range(3)")
+    assert policies.decide_by_model(claims, lambda prompts: ['[{"event": "ADD", "text": "x"}]'] * len(prompts)).filter("NOT invalid").count() == 3
+    assert seen and max(seen) <= pickers.PROMPTS and spark.conf.get(name) == before
+    with pickers.few_prompts(spark):
+        sizes = spark.range(1000, numPartitions=1).mapInPandas(lambda frames: (f.assign(id=len(f)) for f in frames), "id long")
+        assert sizes.agg(F.max("id")).first()[0] == pickers.PROMPTS
