@@ -362,16 +362,13 @@ def _plan(df):
     return df._jdf.queryExecution().toString()
 
 
-def test_scores_are_made_once():
+def test_scores_are_made_once(spark):
     """What goes back to the scores reads a written table: a plan that scores would do so for each time."""
-    from pyspark.sql import SparkSession
-
     from grovekit.plans import q_corpus, q_retrieval
 
-    s = SparkSession.getActiveSession()
     for query in (q_corpus.d12b_pinned_sample, q_retrieval.e6_bm25_topk, q_retrieval.e15_snippets):
-        assert "InArrow" not in _plan(query(s, SF))
-    assert "substring(text" in _plan(q_retrieval.e15_snippets(s, SF)).split("Optimized Logical Plan")[1].split("Join", 1)[1].split("collect_list")[-1]
+        assert "InArrow" not in _plan(query(spark, SF))
+    assert "substring(text" in _plan(q_retrieval.e15_snippets(spark, SF)).split("Optimized Logical Plan")[1].split("Join", 1)[1].split("collect_list")[-1]
 
 
 def test_bm25_moves_blocks(spark):
