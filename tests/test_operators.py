@@ -414,3 +414,37 @@ def test_prompts_come_in_small_batches(spark, monkeypatch):
     with pickers.few_prompts(spark):
         sizes = spark.range(1000, numPartitions=1).mapInPandas(lambda frames: (f.assign(id=len(f)) for f in frames), "id long")
         assert sizes.agg(F.max("id")).first()[0] == pickers.PROMPTS
+
+
+def test_single_precision_tells_only_who_may_be_best():
+    """Of scores that are off by a share, all that are among the best or tie with them are still there, and few others."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, k in ((40, 3), (5000, 24), (5000, 5)):
+        for exact in (r.random(n) * 90, np.repeat(r.random(n // 20) * 90, 20), 50 + r.random(n) * 1e-4):
+            exact[:7] = 0
+            off = 1e-5
+            at = retrieval._may_be_best(exact * (1 + off * r.uniform(-1, 1, n)), k, off)
+            best = np.flatnonzero(exact >= np.sort(exact)[-k] - 1e-9)
+            assert set(best) <= set(at) and not set(range(7)) & set(at)
+    assert len(retrieval._may_be_best(np.arange(1.0, 9001.0), 24, 1e-6)) == 24
+
+
+def test_bm25_of_notes_that_differ_little(spark):
+    """Scores that single precision takes for one are ranked as a sort of all pairs ranks them."""
+    docs = [("v", i, i, " ".join(["a b c d"] * 60 + [f"e{i % 3}"] * (1 + i // 3 % 2) + ["f"] * (400 + i // 6))) for i in range(120)]
+    corpus = spark.createDataFrame(docs, "vault string, id long, ord long, text string")
+    q = spark.createDataFrame([("v", 1000 + i, "a a a b c d f e0 " + "f " * i) for i in range(5)], "vault string, id long, text string")
+    every = retrieval.top_k(retrieval.bm25_scores(corpus, q), ["id"], 6).collect()
+    best = retrieval.top_k(retrieval.bm25_scores(corpus, q, k=6), ["id"], 6).collect()
+    assert {(x.id, x.rk, x.doc) for x in best} == {(x.id, x.rk, x.doc) for x in every} and len(best) == 30
+
+
+def test_cascade_moves_no_lists_of_words(spark):
+    """To the shortlists go the distinct words of the items to place as one string, not all words of all items as lists."""
+    from grovekit.plans import q_retrieval
+
+    plan = _plan(q_retrieval.f8_cascade(spark, SF)).split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    made = [x for x in plan.split("\n") if "regexp_extract_all" in x and "gold" in x]
+    assert made and all("array_join(array_distinct(" in x for x in made)
