@@ -448,3 +448,10 @@ def test_cascade_moves_no_lists_of_words(spark):
     plan = _plan(q_retrieval.f8_cascade(spark, SF)).split("Optimized Logical Plan")[1].split("Physical Plan")[0]
     made = [x for x in plan.split("\n") if "regexp_extract_all" in x and "gold" in x]
     assert made and all("array_join(array_distinct(" in x for x in made)
+
+
+def test_all_pairs_come_in_small_blocks(spark):
+    """A task makes a million pairs at most at a time where all are asked for."""
+    df = spark.createDataFrame([("v", i, [1.0, float(i)]) for i in range(3)], "vault string, id long, vector array<double>")
+    assert f"{retrieval.PAIR_BLOCK}.0" in _plan(retrieval.cosine_scores(df, df)) and retrieval.PAIR_BLOCK**2 <= 1_000_000
+    assert retrieval.cosine_scores(df, df).count() == 9
