@@ -104,6 +104,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def span_raw(prefix: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from each position on, not mixed: its upper bits depend on all of them."""
+    n = len(prefix) - width
+    _, down = _Powers.get(len(prefix))
+    return (prefix[width:] - prefix[:n]) * down[:n]
+
+
 # ---------------------------------------------------------------------------------------------- texts
 
 

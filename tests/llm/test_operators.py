@@ -212,6 +212,23 @@ def test_suffix_dedup_with_a_weak_hash(monkeypatch, spread):
     assert dict(zip(ids.tolist(), block.per_doc(gone).tolist())) == want and sum(want.values()) > 1000
 
 
+def test_surroundings_that_parts_share_are_settled_unsorted(monkeypatch):
+    """Of surroundings that two parts have alike, one goes to the sort, and all are found."""
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    block, rest = (TextBlock(*text_buffers(pa.array(t))) for t in ([text], [text, "x" * 90 + text[:700]]))
+    parts, sorted_rows, found = [], [], suffix_dedup.repeated_windows
+    for ids, b in ((np.array([1]), block), (np.array([2, 3]), rest)):
+        at, doc, h, around = suffix_dedup.anchors(b)
+        c = suffix_dedup._contexts(b, ids, at, doc, suffix_dedup.K)
+        c["g"] = h
+        parts.append(suffix_dedup._collapsed(c, np.lexsort((around, h)), suffix_dedup.K))
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda g, x, *a: (sorted_rows.append(len(x)), found(g, x, *a))[1])
+    spans = suffix_dedup._merged(np.concatenate([*(s for _, s in parts), suffix_dedup.sort_contexts(np.concatenate([c for c, _ in parts]), suffix_dedup.K)]))
+    assert [(d, s, e) for d, s, e in zip(spans["d"].tolist(), spans["s"].tolist(), spans["e"].tolist())] == [(1, 0, 900), (2, 0, 900), (3, 90, 790)]
+    assert sum(sorted_rows) < sum(len(c) for c, _ in parts) // 2
+
+
 @pytest.mark.parametrize("spread", [100_000, 2])
 @pytest.mark.parametrize("parts", [1, 3])
 def test_copies_beside_a_spread_passage(spark, parts, spread):
