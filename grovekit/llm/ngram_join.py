@@ -231,6 +231,13 @@ def agree_in_sketch(x: Profile, y: Profile, sim: tuple[int, int] = SIM) -> bool:
     return int(np.bitwise_count(a ^ b).sum()) * (sim[1] + sim[0]) <= (sim[1] - sim[0]) * (x.n + y.n)
 
 
+def _folded(column: pa.Array) -> pa.Array:
+    """Sketches of half the length, of two bits or more for each token. Bits that differ in the folded ones differ in the
+    whole ones, so nothing similar is held back."""
+    words = [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+    return pa.array([(x[: len(x) // 2] ^ x[len(x) // 2 :]).tobytes() for x in words], pa.binary())
+
+
 def jaccard_sets(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, n, cls (128 bits of the set); kind 1: payload of counts of frequent tokens."""
     docs = project(docs, doc_id="long", text="string")
@@ -521,11 +528,22 @@ def _in_lists(member: DataFrame, profile: DataFrame, sim: tuple[int, int], block
     are the former; each pair of blocks is a group of its own, so no task holds a whole list, and pairs that fail are never
     written. The work of a list grows with its size times the number of its classes that are not connected to the rest.
     """
-    by_label = member.groupBy("list_id", "label").agg(F.count(F.lit(1)).alias("c"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _folded(b.column(1))], names=["cls", "sketch"])
+
+    by_label = member.groupBy("list_id", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
     lists = by_label.groupBy("list_id").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("n_top"), F.sum("c").alias("size")).filter("n_top < size")
+    # the sizes of the classes beside the commonest label: what is similar to none of them by its size stays away
+    beside = by_label.join(lists, "list_id").filter("label <> top").groupBy("list_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    lists = lists.join(beside, "list_id")
     # to the pieces first: a piece is small, a list may not be
     pieces = member.select("list_id", "sub").distinct().join(lists, "list_id")
-    rows = member.join(pieces, ["list_id", "sub"]).join(profile.select("cls", "sketch"), "cls")
+    near = (F.col("n") * sim[1] >= F.col("low") * sim[0]) & (F.col("n") * sim[0] <= F.col("high") * sim[1])
+    # sketches are folded before they are sent to each list that has the class
+    short = profile.select("cls", "sketch").mapInArrow(fold, "cls binary, sketch binary")
+    rows = member.join(pieces, ["list_id", "sub"]).filter((F.col("label") != F.col("top")) | near).join(short, "cls")
     tops, others = F.ceil(F.col("n_top") / block), F.ceil((F.col("size") - F.col("n_top")) / block)
     is_top = F.col("label") == F.col("top")
     rows = rows.withColumn("own", F.when(is_top, F.pmod(F.xxhash64("cls"), tops)).otherwise(-1 - F.pmod(F.xxhash64("cls"), others)))

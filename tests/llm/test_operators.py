@@ -439,6 +439,24 @@ def test_long_lists_in_blocks(spark, block):
     assert all(label[a] != label[b] for a, b in got)
 
 
+def test_sketches_are_folded_for_lists():
+    """To half, two bits or more for each token, and no similar pair is told apart by the folded ones."""
+    r = random.Random(5)
+    sets = []
+    for size in (1, 3, 31, 64, 200, 511, 900):
+        x = r.sample(range(1 << 62), size)
+        sets += [x, [*x[: size - size // 8], *r.sample(range(1 << 62), size // 8)]]
+    doc, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.sort(np.array(x, np.uint64)) for x in sets])
+    raw, edge = ngram_join._sketches(doc, token, len(sets))
+    n = np.array([len(x) for x in sets])
+    whole = [raw[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+    short = ngram_join._folded(pa.array(whole, pa.binary())).to_pylist()
+    assert all(2 * m <= 8 * len(x) for x, m in zip(short, n.tolist())) and sum(map(len, short)) == sum(map(len, whole)) // 2
+    profiles = [ngram_join.Profile(int(m), b"", x) for m, x in zip(n, short)]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if ngram_join.similar(*(np.sort(np.array(sets[k], np.uint64)) for k in (i, j)))]
+    assert len(alike) >= 5 and all(ngram_join.agree_in_sketch(profiles[i], profiles[j]) for i, j in alike)
+
+
 def test_components_of_a_chain(spark):
     from grovekit.llm.common import Scratch
 
