@@ -381,6 +381,37 @@ def test_bm25_moves_blocks(spark):
     assert "FlatMapCoGroupsInArrow" not in plan and "BroadcastHashJoin" in plan
 
 
+@pytest.mark.parametrize("strips", [(12, 4), (2, 1)])
+def test_bm25_strips(spark, monkeypatch, strips):
+    """A block goes to a few strips and not to every block of the other side; the best across a strip's blocks, ties among them and
+    those of each part are as a sort of all pairs has them."""
+    monkeypatch.setattr(retrieval, "STRIP", strips[0])
+    monkeypatch.setattr(retrieval, "STRIPS", strips[1])
+    sent, strip = [], retrieval._strips
+    monkeypatch.setattr(retrieval, "_strips", lambda *a: (sent.append((a[0], a[2], strip(*a))), sent[-1][2])[1])
+    docs = spark.createDataFrame([(f"v{i % 7 // 6}", i, i, f"w{i % 5} x{i % 11} y{i % 3} " + "the " * (i % 4), i % 3 == 0) for i in range(400)], "vault string, id long, ord long, text string, g boolean")
+    q = spark.createDataFrame([(f"v{i % 7 // 6}", 1000 + i, f"w{i % 5} w{i % 4} x{i % 13} the") for i in range(150)] + [("v0", 2000, "unknown"), ("v0", 2001, None)], "vault string, id long, text string")
+    every = retrieval.bm25_scores(docs, q, part="g", block=2000).collect()
+    assert {(x.id, x.doc): round(x.score, 9) for x in every} == {(x.id, x.doc): round(x.score, 9) for x in retrieval.bm25_scores(docs, q, block=9).collect()}
+    for part in (None, "g"):
+        keys = ["vault", "id", *([part] if part else [])]
+        ranked = {}
+        for x in sorted(every, key=lambda x: (-round(x.score, 9), x.doc_ord)):
+            ranked.setdefault(tuple(x[c] for c in keys), []).append(x.doc)
+        best = retrieval.bm25_scores(docs, q, k=3, part=part, block=9)
+        got = {}
+        for x in sorted(retrieval.top_k(best, keys, 3).collect(), key=lambda x: x.rk):
+            got.setdefault(tuple(x[c] for c in keys), []).append(x.doc)
+        assert got == {key: docs[:3] for key, docs in ranked.items()} and got
+    asked, notes, both = sent[-1]
+    n_q, n_d = ({x["vault"]: x["count"] for x in t.groupBy("vault").count().collect()} for t in (asked, notes))
+    n_strips = lambda n: min(n, max(strips[1], -(-n // strips[0])))
+    sides = {(x["vault"], x["_side"]): x["count"] for x in both.groupBy("vault", "_side").count().collect()}
+    for v in n_q:
+        assert n_q[v] > 1 and n_d[v] > 6 and sides[v, "query"] == n_q[v] * n_strips(n_d[v]) and sides[v, "note"] == n_d[v] * n_strips(n_q[v])
+    assert strips[1] < 4 or sum(n for (_, side), n in sides.items() if side != "df") <= 4 * (sum(n_q.values()) + sum(n_d.values()))
+
+
 def test_hybrid_has_no_row_for_a_neighbour(spark):
     """Against a loop over all notes, where one folder has most of them; the plan has no join of queries with neighbours."""
     import random
