@@ -500,3 +500,30 @@ def test_all_pairs_come_in_small_blocks(spark):
     df = spark.createDataFrame([("v", i, [1.0, float(i)]) for i in range(3)], "vault string, id long, vector array<double>")
     assert f"{retrieval.PAIR_BLOCK}.0" in _plan(retrieval.cosine_scores(df, df)) and retrieval.PAIR_BLOCK**2 <= 1_000_000
     assert retrieval.cosine_scores(df, df).count() == 9
+
+
+def test_hash_vector_by_hand(spark):
+    """Texts are cut and hashed once, a batch at a time, and not by an expression that runs for each cell."""
+    import hashlib
+    import re
+
+    texts = ["A a b/c  9.5", "", None, "x\ny " * 40, "w" * 100 + " a a\u00e9b", "!?"]
+
+    def want(text):
+        out = [0.0] * 16
+        for t in re.findall("[a-z0-9_./+-]+", (text or "").lower()):
+            number = lambda kind: int(hashlib.md5(f"{kind}|{t}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
+            out[number("cell") % 16] += 1.0 if number("sign") % 2 == 0 else -1.0
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", retrieval.hash_vector(F.col("text")).alias("v"))
+    assert {r["id"]: r["v"] for r in df.collect()} == {i: want(t) for i, t in enumerate(texts)}
+    assert "md5" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_token_text_is_the_tokens(spark):
+    """Letters that fold into the range, and those whose lower case is longer or depends on its neighbours."""
+    from grovekit.functions.text import token_text, tokenize
+
+    df = spark.createDataFrame([("A \u017f \u212a\u0130x \u0131B \u03a3a\u03a3",), ("",), (None,), ("a  B/c",)], "t string")
+    assert df.filter(F.array_join(tokenize(F.col("t")), " ") != token_text(F.col("t"))).count() == 0
