@@ -554,3 +554,19 @@ def test_vector_strips(spark, monkeypatch, strips):
                 near = sorted((-round(cos[i, j], 9), j) for j in range(600) if g is None or (j % 5 == 0) == g)[:4]
                 want |= {(i, j, k + 1) for k, (_, j) in enumerate(near)}
         assert got == want
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_path_graph_in_blocks(spark, monkeypatch, block):
+    """Pairs of blocks of a folder are dealt out, none is lost or comes twice, and no task has a folder's square."""
+    monkeypatch.setattr(retrieval, "EDGE_BLOCK", block)
+    paths = [["a"], ["a", "b"], ["a", "b", "c"], ["d"], ["x", "y"]]
+    rows = [(f"v{i % 2}", i, paths[i % 7 % 5]) for i in range(60)] + [("v0", 100, ["d"]), ("v2", 101, ["a"]), (None, 102, ["a"]), (None, 103, ["a"])]
+    n = spark.createDataFrame(rows, "vault string, id long, path array<string>").withColumn("path_key", F.concat(F.lit("/"), F.array_join("path", "/")))
+    got = [tuple(r) for r in retrieval.path_graph(n).select("vault", "a", "b").collect()]
+    want = {(x[0], x[1], y[1]) for x in rows for y in rows if x[0] is not None and x[0] == y[0] and x[1] != y[1] and (x[2] == y[2] or x[2][:-1] == y[2] or y[2][:-1] == x[2])}
+    assert len(got) == len(set(got)) and set(got) == want
+    folder = n.filter("vault = 'v0' AND path_key = '/a'").select("vault", F.col("path_key").alias("_key"), "id")
+    pairs = retrieval._all_pairs(folder, folder, "vault")
+    used = pairs.select(F.spark_partition_id()).distinct().count()
+    assert (used > 1) == (block == 3)
